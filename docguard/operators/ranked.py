@@ -21,7 +21,8 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
     counts holds one row per (by, value); by and value are not NULL.
     """
     by = list(by)
-    ranged = counts.withColumn("_range", _range_of(counts, value, by))
+    ranged = counts.withColumn("_cuts", _cut_points(counts, value, by)) \
+        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,12 +84,11 @@ def _value_at(index: Column) -> Column:
     return F.max(F.when(held, F.col("value")))
 
 
-def _range_of(counts: DataFrame, value: str, by: Sequence[str]) -> Column:
-    """Range number of a value, from cut points drawn by hash.
+def _cut_points(counts: DataFrame, value: str, by: Sequence[str]) -> Column:
+    """Sorted cut points between the ranges, drawn by hash.
 
     The draw is the same whenever it runs, so a recomputed task agrees with the others;
     how well the ranges are balanced never changes the result.
     """
     drawn = counts.orderBy(F.xxhash64(value, *by), value).limit(RANGES)
-    cuts = drawn.agg(F.array_sort(F.collect_list(value))).scalar()
-    return F.size(F.filter(cuts, lambda cut: cut < F.col(value)))
+    return drawn.agg(F.array_sort(F.collect_list(value))).scalar()

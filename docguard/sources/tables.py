@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docguard.operators.splits import normalise_split
 from docguard.session import exists
@@ -15,16 +14,15 @@ from docguard.sources import schemas
 # split name -> name of its original table
 SPLIT_FILES = {"train": "train", "val": "validation", "test": "test"}
 
-_CSV = {"header": True, "multiLine": True, "escape": '"'}
 
-
-def read_splits(spark: SparkSession, folder: str, optional: StructType | None = None) -> DataFrame:
+def read_splits(spark: SparkSession, folder: str,
+                optional: Sequence[str] = tuple(schemas.OPTIONAL_SPLIT_COLUMNS)) -> DataFrame:
     """The three split tables as one, tagged with their split; optional columns become NULL."""
     parts = [spark.read.parquet(f"{folder}/{name}.parquet").withColumn("split", F.lit(split))
              for split, name in SPLIT_FILES.items()]
     union = union_splits(parts)
-    absent = [f for f in (optional or schemas.SPLIT_TABLE) if f.name not in union.columns]
-    return union.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else union
+    absent = [name for name in optional if name not in union.columns]
+    return union.withColumns({name: F.lit(None).cast("string") for name in absent}) if absent else union
 
 
 def union_splits(parts: Sequence[DataFrame]) -> DataFrame:
@@ -34,8 +32,9 @@ def union_splits(parts: Sequence[DataFrame]) -> DataFrame:
     return union
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV with header.  Values with line breaks need multi_line, which makes a file one task."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"')
 
 
 def read_cols(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
