@@ -9,6 +9,7 @@ from checks.inputs import (
 )
 from checks.registry import check
 from docguard.functions import text as T
+from docguard.functions.layout import boxes_text
 from docguard.operators import decisions as D
 from docguard.operators import layouts as LO
 from docguard.operators import metrics as M
@@ -55,10 +56,8 @@ def describe(spark, d):
         quantile_cont(s.vision_score, 0.5) AS median
     FROM sig s LEFT JOIN vision_rows v USING (sample_id)""", rounded=["mean", "std", "min", "max", "mean_keywords", "median"])
 def signal_summary(spark, d):
-    df = signals(spark, d).withColumns({
-        "has_image": (u("img") < 0.25).cast("int"),
-        "keyword_density": F.col("hidden_text_score") * F.col("keyword_density"),
-    })
+    df = signals(spark, d).selectExpr("vision_score", f"int({u('img')} < 0.25D) AS has_image",
+                                      "hidden_text_score * keyword_density AS keyword_density")
     return P.signal_summary(df)
 
 
@@ -74,7 +73,7 @@ def correlation_matrix(spark, d):
 @check("top_families", """SELECT source AS attack_family, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
     GROUP BY source ORDER BY n DESC, source LIMIT 15""")
 def top_families(spark, d):
-    return P.top_families(documents(spark, d).withColumn("attack_family", F.col("source")))
+    return P.top_families(documents(spark, d).selectExpr("label", "source AS attack_family"))
 
 
 @check("class_weights", "SELECT toxic AS label, count(*) AS n, (SELECT count(*) FROM labels)::double/(2*count(*)) AS weight FROM labels GROUP BY toxic",
@@ -122,9 +121,8 @@ _FLAGS = "SELECT CASE role WHEN 'user' THEN 'True' WHEN 'assistant' THEN 'false'
     SELECT flag AS value, count(*) AS n, any_value(o.true_share) AS true_share, any_value(o.true_share) > 0.5 AS mostly_true
     FROM r, o GROUP BY flag""", rounded=["true_share"])
 def flag_share(spark, d):
-    role = F.col("role")
-    raw = F.when(role == "user", "True").when(role == "assistant", "false").otherwise("1")
-    return P.flag_share(table(spark, d, "conversations").select(raw.alias("runtime_ocr")), "runtime_ocr")
+    raw = "CASE role WHEN 'user' THEN 'True' WHEN 'assistant' THEN 'false' ELSE '1' END AS runtime_ocr"
+    return P.flag_share(table(spark, d, "conversations").selectExpr(raw), "runtime_ocr")
 
 
 @check("feature_matrix_summary", with_("sig") + """SELECT count(*) AS total_samples, count(*) FILTER (split = 'train') AS train,
@@ -132,10 +130,10 @@ def flag_share(spark, d):
     count(*) FILTER (label = 1) AS malicious, count(*) FILTER (footer_text_density > 0.5::double) AS samples_with_images,
     7 AS n_features, printf('%.6f', avg(footer_text_density))::double AS first_mean FROM sig""")
 def feature_matrix_summary(spark, d):
-    df = signals(spark, d).withColumn("total_boxes", (F.col("footer_text_density") > 0.5).cast("int"))
+    df = signals(spark, d).selectExpr("*", "int(footer_text_density > 0.5D) AS total_boxes")
     one = P.feature_matrix_summary(df, COLUMNS)
-    return one.select("total_samples", "split_counts.*", "label_counts.*", "samples_with_images",
-                      F.size("feature_columns").alias("n_features"), F.col("feature_stats")[0]["mean"].alias("first_mean"))
+    return one.selectExpr("total_samples", "split_counts.*", "label_counts.*", "samples_with_images",
+                          "size(feature_columns) AS n_features", "feature_stats[0].mean AS first_mean")
 
 
 # --- boxes, pages, windows ---------------------------------------------------------------
@@ -144,7 +142,7 @@ def feature_matrix_summary(spark, d):
 @check("ocr_aggregate", with_("per_page") + "SELECT sample_id, md5(normal) AS digest, conf AS ocr_confidence, n AS total_boxes FROM per_page",
        rounded=["ocr_confidence"])
 def ocr_aggregate(spark, d):
-    return LO.ocr_aggregate(boxes(spark, d)).select("sample_id", F.md5("text").alias("digest"), "ocr_confidence", "total_boxes")
+    return LO.ocr_aggregate(boxes(spark, d)).selectExpr("sample_id", "md5(text) AS digest", "ocr_confidence", "total_boxes")
 
 
 @check("tiny_text_count", with_("per_page") + "SELECT sample_id, tiny AS tiny_text_count FROM per_page")
@@ -161,8 +159,7 @@ def footer_density(spark, d):
 @check("nested_boxes", with_("per_page") + "SELECT sample_id, n::int AS n_boxes, md5(normal) AS digest FROM per_page")
 def nested_boxes_query(spark, d):
     nested = LO.nest_boxes(boxes(spark, d))
-    texts = F.array_join(F.transform("boxes", lambda b: b["text"]), " ")
-    return nested.select("sample_id", F.size("boxes").alias("n_boxes"), F.md5(texts).alias("digest"))
+    return nested.selectExpr("sample_id", "size(boxes) AS n_boxes", f"md5({boxes_text('boxes')}) AS digest")
 
 
 @check("vision_features", with_("vision_out") + f"SELECT {', '.join(LO.VISION_COLUMNS)} FROM vision_out",
@@ -191,11 +188,9 @@ def extraction_errors(spark, d):
         count(*) FILTER (t <> '')*100.0::double/count(*) AS non_empty_pct, count(*) FILTER (t <> '') >= floor(count(*)*0.99::double) AS passed
     FROM c""", rounded=["mean_chars", "mean_confidence", "non_empty_pct"])
 def ocr_run_summary(spark, d):
-    short = F.col("n_chars") < 300
-    return P.ocr_run_summary(documents(spark, d).select(
-        F.when(short, "").otherwise(F.col("text")).alias("ocr_text_cached"), F.col("n_chars").alias("char_count"),
-        F.when(short, 0.0).otherwise(u("s11")).alias("ocr_confidence"),
-        F.when(F.col("image_path") == "", "no file").alias("error")))
+    return P.ocr_run_summary(documents(spark, d).selectExpr(
+        "if(n_chars < 300, '', text) AS ocr_text_cached", "n_chars AS char_count",
+        f"if(n_chars < 300, 0.0D, {u('s11')}) AS ocr_confidence", "if(image_path = '', 'no file', null) AS error"))
 
 
 _WINDOWS = f"""SELECT doc_id, start, {sql_density('chunk')} AS score FROM (
@@ -235,7 +230,7 @@ def sanitize_text(spark, d):
     texts = pages(spark, d).select("doc_id", "text", "boxes", "height")
     rows = decided(spark, d).join(texts, "doc_id")
     return X.sanitize(rows, TEST_PHRASES, boxes="boxes", height="height").select(
-        "sample_id", "sanitization_action", F.md5("sanitized_text").alias("digest"))
+        "sample_id", "sanitization_action", F.expr("md5(sanitized_text) AS digest"))
 
 
 # --- rules and decisions -----------------------------------------------------------------
@@ -244,9 +239,8 @@ def sanitize_text(spark, d):
 @check("normalise_context", with_("ctx") + """SELECT sample_id, risk_score, vision_score, hidden_text_detected, keyword_density, footer_density,
     watermark_score, prompt_score, attack_family, severity FROM ctx""")
 def normalise_context(spark, d):
-    padded = F.concat(F.lit("  "), F.upper("severity"), F.lit(" "))
-    ctx = rule_context(signals(spark, d).withColumn("severity", padded))
-    return ctx.select("sample_id", *[F.col(f"ctx_{c}").alias(c) for c in (
+    padded = signals(spark, d).selectExpr("* EXCEPT (severity)", "concat('  ', upper(severity), ' ') AS severity")
+    return rule_context(padded).selectExpr("sample_id", *[f"ctx_{c} AS {c}" for c in (
         "risk_score", "vision_score", "hidden_text_detected", "keyword_density", "footer_density", "watermark_score",
         "prompt_score", "attack_family", "severity")])
 
@@ -268,18 +262,17 @@ def render_reason(spark, d):
 def compile_condition(spark, d):
     from docguard.operators.rules import compile_condition as compiled
     span = {"risk_score": {"gte": 0.5, "lt": 0.6}}
-    return rule_context(signals(spark, d)).select(
-        "sample_id", compiled(span).alias("strict"), compiled(span, compat=True).alias("compat"),
-        compiled({"hidden_text_detected": False}).alias("not_hidden"),
-        compiled({"severity": {"in": ["low", "high"]}}).alias("listed"), compiled({"no_such_field": True}).alias("absent"))
+    return rule_context(signals(spark, d)).selectExpr(
+        "sample_id", f"{compiled(span)} AS strict", f"{compiled(span, compat=True)} AS compat",
+        f"{compiled({'hidden_text_detected': False})} AS not_hidden",
+        f"{compiled({'severity': {'in': ['low', 'high']}})} AS listed", f"{compiled({'no_such_field': True})} AS absent")
 
 
 @check("override_threshold", with_("ctx") + """SELECT sample_id, CASE WHEN risk_score >= 0.62::double THEN 'G1'
     WHEN hidden_text_detected THEN 'G2' ELSE 'other' END AS first FROM ctx""")
 def override_threshold(spark, d):
     changed = evaluate_rules(signals(spark, d), with_threshold(load_rules(), "G1", "risk_score", 0.62))
-    first = F.when(F.col("rule_id").isin("G1", "G2"), F.col("rule_id")).otherwise("other")
-    return changed.select("sample_id", first.alias("first"))
+    return changed.selectExpr("sample_id", "if(rule_id IN ('G1', 'G2'), rule_id, 'other') AS first")
 
 
 @check("decide_batch", with_("decided") + """SELECT sample_id, upper(substr(md5(sample_id),1,8)) AS audit_log_id,
@@ -288,7 +281,7 @@ def override_threshold(spark, d):
     raw_family AS attack_family_predicted, 0.0::double AS vision_ms, 0.0::double AS prompt_ms, 0.0::double AS risk_ms, 0.0::double AS governance_ms,
     0.0::double AS total_ms, NULL::varchar AS vision_error, NULL::varchar AS prompt_error, '1.0.0' AS agent_version FROM decided""")
 def decide_batch(spark, d):
-    return D.decide_batch(signals(spark, d), at=F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    return D.decide_batch(signals(spark, d), at="timestamp_ntz'2026-01-01 00:00:00'")
 
 
 @check("fail_safe", with_("sig") + """SELECT sample_id, CASE WHEN severity = 'low' THEN 0.5 ELSE vision_score END AS vision_score,
@@ -297,20 +290,18 @@ def decide_batch(spark, d):
     CASE WHEN severity = 'high' THEN CASE WHEN greatest(vision_score, malicious_probability) >= 0.65::double THEN 'HIGH' ELSE 'MEDIUM' END
          ELSE 'LOW' END AS risk_level FROM sig""")
 def fail_safe(spark, d):
-    severity = F.col("severity")
-    return D.fail_safe(signals(spark, d).withColumns({
-        "prompt_score": F.col("malicious_probability"), "risk_level": F.lit("LOW"),
-        "vision_error": F.when(severity == "low", "x"), "prompt_error": F.when(severity == "medium", "x"),
-        "risk_error": F.when(severity == "high", "x"),
-    })).select("sample_id", "vision_score", "prompt_score", "risk_score", "risk_level")
+    return D.fail_safe(signals(spark, d).selectExpr(
+        "sample_id", "vision_score", "malicious_probability AS prompt_score", "risk_score", "'LOW' AS risk_level",
+        "if(severity = 'low', 'x', null) AS vision_error", "if(severity = 'medium', 'x', null) AS prompt_error",
+        "if(severity = 'high', 'x', null) AS risk_error",
+    )).select("sample_id", "vision_score", "prompt_score", "risk_score", "risk_level")
 
 
 @check("rule_failure", with_("decided") + """SELECT sample_id, CASE WHEN severity = 'low' THEN 'BLOCK' ELSE decision END AS decision,
     CASE WHEN severity = 'low' THEN 'G_FAILSAFE' ELSE rule_id END AS rule_id,
     CASE WHEN severity = 'low' THEN 'Governance agent failed (broken). Blocking as failsafe.' ELSE reason END AS reason FROM decided""")
 def rule_failure(spark, d):
-    failed = F.when(F.col("severity") == "low", "broken")
-    return evaluate_rules(signals(spark, d), failed=failed).select("sample_id", "decision", "rule_id", "reason")
+    return evaluate_rules(signals(spark, d), failed="if(severity = 'low', 'broken', null)").select("sample_id", "decision", "rule_id", "reason")
 
 
 @check("decision_counts", with_("decided") + "SELECT decision, count(*) AS n FROM decided GROUP BY 1")
@@ -361,7 +352,7 @@ def auc_sql(score: str, source: str, y: str = "label") -> str:
 
 
 def _with_prediction(spark, d):
-    return signals(spark, d).withColumn("predicted", (F.col("risk_score") >= 0.5).cast("int"))
+    return signals(spark, d).selectExpr("label", "int(risk_score >= 0.5D) AS predicted")
 
 
 @check("confusion_matrix", with_("sig") + confusion_sql("risk_score >= 0.5", "sig"))
@@ -374,7 +365,7 @@ _TOXIC = f"SELECT toxic AS label, {sql_density('text')} AS p FROM documents JOIN
 
 @check("classification_metrics", f"WITH t AS ({_TOXIC}), c AS ({confusion_sql('p >= 0.5', 't')}) SELECT *, {METRICS_SQL} FROM c", rounded=["accuracy", "precision", "recall", "f1_macro", "f1_weighted", "fnr", "fpr"])
 def classification_metrics(spark, d):
-    scored = labelled(spark, d).withColumn("predicted", (T.keyword_density(F.col("text"), TEST_PHRASES) >= 0.5).cast("int"))
+    scored = labelled(spark, d).selectExpr("label", f"int({T.keyword_density('text', TEST_PHRASES)} >= 0.5D) AS predicted")
     return M.classification_metrics(scored, "label", "predicted")
 
 
@@ -388,9 +379,9 @@ def classification_report(spark, d):
 @check("roc_auc", with_("sig") + "SELECT 'risk_score' AS signal, " + auc_sql("risk_score", "sig") + " AS roc_auc UNION ALL SELECT 'toxic_density', "
        + auc_sql("p", f"({_TOXIC})"), rounded=["roc_auc"])
 def roc_auc(spark, d):
-    toxic = labelled(spark, d).withColumn("p", T.keyword_density(F.col("text"), TEST_PHRASES))
-    return M.roc_auc(signals(spark, d), "label", "risk_score").select(F.lit("risk_score").alias("signal"), "roc_auc") \
-        .unionByName(M.roc_auc(toxic, "label", "p").select(F.lit("toxic_density").alias("signal"), "roc_auc"))
+    toxic = labelled(spark, d).selectExpr("label", f"{T.keyword_density('text', TEST_PHRASES)} AS p")
+    return M.roc_auc(signals(spark, d), "label", "risk_score").selectExpr("'risk_score' AS signal", "roc_auc") \
+        .unionByName(M.roc_auc(toxic, "label", "p").selectExpr("'toxic_density' AS signal", "roc_auc"))
 
 
 @check("roc_curve", with_("sig") + """SELECT risk_score AS threshold,
@@ -468,5 +459,5 @@ _LEARNABLE = """SELECT sample_id, (risk_score >= 0.56::double)::int AS label, ri
 
 @check("threshold_sweep_feasible", with_("sig", scored=_LEARNABLE) + ", " + _SWEEP, rounded=["threshold", "f1_macro", "fnr", "chosen_threshold"])
 def threshold_sweep_feasible(spark, d):
-    rows = signals(spark, d).select("sample_id", (F.col("risk_score") >= 0.56).cast("int").alias("label"), "risk_score")
+    rows = signals(spark, d).selectExpr("sample_id", "int(risk_score >= 0.56D) AS label", "risk_score")
     return M.threshold_sweep(rows)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from docguard.fixed_values import DEFAULT_ALLOW, DEFAULT_RULES
-from docguard.functions.numbers import uniform
+from docguard.functions.numbers import listed, num, uniform
 
 # Words the test texts really contain; the default lists do not occur in them.
 TEST_PHRASES = ["trash", "pathetic", "idiot", "worthless", "disgusting",
@@ -23,132 +22,108 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def u(tag: str) -> Column:
-    return uniform(F.col("doc_id"), tag)
+def u(tag: str) -> str:
+    return uniform("doc_id", tag)
 
 
-def _pick(options: list[str], at: Column) -> Column:
-    return F.array(*[F.lit(o) for o in options])[F.floor(at * len(options)).cast("int")]
+def _pick(options: list[str], at: str) -> str:
+    return f"element_at(array({listed(options)}), int(floor({at} * {len(options)})) + 1)"
+
+
+SPLIT = f"CASE WHEN {u('s10')} < 0.8D THEN 'train' WHEN {u('s10')} < 0.9D THEN 'val' ELSE 'test' END"
+_HIDDEN = f"if({u('s3')} >= 0.9D, 1.0D, 0.0D) AS hidden_text_score"
+_PATH = (f"CASE WHEN {u('img')} < 0.25D THEN concat('/data/IMAGES/', doc_id, '.png') "
+         f"WHEN {u('img')} < 0.5D THEN '' WHEN {u('img')} < 0.75D THEN '  ' END")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with the label, family and path columns of a split table."""
-    docs = table(spark, folder, "documents").withColumn("sample_id", F.col("doc_id").cast("string"))
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    place = u("img")
-    path = (F.when(place < 0.25, F.concat(F.lit("/data/IMAGES/"), F.col("sample_id"), F.lit(".png")))
-            .when(place < 0.5, "").when(place < 0.75, "  "))
-    return docs.join(labels, "doc_id", "left").withColumns({
-        "label": F.when(F.col("toxic") == 1, "malicious").otherwise("benign"),
-        "attack_family": F.col("lang"),
-        "image_path": path,
-        "severity": _pick(SEVERITIES, u("s9")),
-    })
+    return table(spark, folder, "documents").join(labels, "doc_id", "left").selectExpr(
+        "*", "string(doc_id) AS sample_id", "if(toxic = 1, 'malicious', 'benign') AS label", "lang AS attack_family",
+        f"{_PATH} AS image_path", f"{_pick(SEVERITIES, u('s9'))} AS severity")
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that carry a label, with label as a number."""
-    docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return docs.join(labels, "doc_id").withColumn("sample_id", F.col("doc_id").cast("string"))
+    labels = table(spark, folder, "labels").selectExpr("doc_id", "toxic AS label")
+    return table(spark, folder, "documents").join(labels, "doc_id").selectExpr("*", "string(doc_id) AS sample_id")
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     """One row of scores per document."""
     docs = table(spark, folder, "documents").select("doc_id")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.col("doc_id").cast("string").alias("sample_id"),
-        u("s1").alias("risk_score"), u("s2").alias("vision_score"),
-        F.when(u("s3") >= 0.9, 1.0).otherwise(0.0).alias("hidden_text_score"),
-        u("s4").alias("keyword_density"), u("s5").alias("footer_text_density"), u("s6").alias("watermark_score"),
-        u("s7").alias("malicious_probability"),
-        _pick(FAMILIES, u("s8")).alias("attack_family"), _pick(SEVERITIES, u("s9")).alias("severity"),
-        F.coalesce(F.col("toxic"), (F.col("doc_id") % 2).cast("int")).alias("label"),
-        F.when(u("s10") < 0.8, "train").when(u("s10") < 0.9, "val").otherwise("test").alias("split"),
-    )
+    return docs.join(labels, "doc_id", "left").selectExpr(
+        "doc_id", "string(doc_id) AS sample_id", f"{u('s1')} AS risk_score", f"{u('s2')} AS vision_score", _HIDDEN,
+        f"{u('s4')} AS keyword_density", f"{u('s5')} AS footer_text_density", f"{u('s6')} AS watermark_score",
+        f"{u('s7')} AS malicious_probability", f"{_pick(FAMILIES, u('s8'))} AS attack_family",
+        f"{_pick(SEVERITIES, u('s9'))} AS severity", "coalesce(toxic, int(doc_id % 2)) AS label", f"{SPLIT} AS split")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt scores, known for the documents of the labels table only."""
-    known = table(spark, folder, "labels").select("doc_id")
-    return known.select(F.col("doc_id").cast("string").alias("sample_id"), u("s7").alias("malicious_probability"))
+    return table(spark, folder, "labels").selectExpr("string(doc_id) AS sample_id", f"{u('s7')} AS malicious_probability")
 
 
 def vision_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Vision scores, known for the documents with an image only."""
-    docs = table(spark, folder, "documents").select("doc_id").filter(u("img") < 0.25)
-    return docs.select(
-        F.col("doc_id").cast("string").alias("sample_id"), u("s2").alias("vision_score"),
-        F.when(u("s3") >= 0.9, 1.0).otherwise(0.0).alias("hidden_text_score"),
-        u("s4").alias("keyword_density"), u("s5").alias("footer_text_density"), u("s6").alias("watermark_score"),
-        u("s11").alias("ocr_confidence"), F.floor(u("s12") * 12).cast("int").alias("tiny_text_count"),
-        F.floor(u("s13") * 40).cast("int").alias("total_boxes"), F.floor(u("s14") * 400).cast("int").alias("total_words"),
-    )
+    return table(spark, folder, "documents").select("doc_id").filter(f"{u('img')} < 0.25D").selectExpr(
+        "string(doc_id) AS sample_id", f"{u('s2')} AS vision_score", _HIDDEN, f"{u('s4')} AS keyword_density",
+        f"{u('s5')} AS footer_text_density", f"{u('s6')} AS watermark_score", f"{u('s11')} AS ocr_confidence",
+        f"int(floor({u('s12')} * 12)) AS tiny_text_count", f"int(floor({u('s13')} * 40)) AS total_boxes",
+        f"int(floor({u('s14')} * 400)) AS total_words")
+
+
+def _y0(pos: str, n: str) -> str:
+    return f"({num(PAGE_HEIGHT)} * ({pos} + 1) / ({n} + 1))"
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
     """One box per non-blank line of a text."""
-    lines = F.split("text", "\n")
-    docs = table(spark, folder, "documents").select("doc_id", F.posexplode(lines).alias("pos", "text"),
-                                                    F.size(lines).alias("n"))
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"))
-    y0 = F.lit(PAGE_HEIGHT) * (F.col("pos") + 1) / (F.col("n") + 1)
-    placed = docs.filter(F.trim("text") != "").select(
-        F.col("doc_id").cast("string").alias("sample_id"), "pos", "text",
-        uniform(key, "c").alias("confidence"), y0.alias("y0"), uniform(key, "h").alias("_h"))
-    return placed.withColumn("y1", F.col("y0") + F.lit(60.0) * F.col("_h")).drop("_h") \
-        .withColumn("height", F.lit(PAGE_HEIGHT))
-
-
-def nested_boxes(text: Column, doc_id: Column) -> Column:
+    lines = table(spark, folder, "documents").selectExpr(
+        "doc_id", "size(split(text, '\\n')) AS n", "posexplode(split(text, '\\n')) AS (pos, text)")
+    key = "concat_ws(':', doc_id, pos)"
+    return lines.filter("trim(text) <> ''").selectExpr(
+        "string(doc_id) AS sample_id", "pos", "text", f"{uniform(key, 'c')} AS confidence", f"{_y0('pos', 'n')} AS y0",
+        f"{_y0('pos', 'n')} + 60.0D * {uniform(key, 'h')} AS y1", f"{num(PAGE_HEIGHT)} AS height")
+
+
+def _nested_boxes() -> str:
     """The same boxes as one array inside the document's row: no explode."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
+    lines, key = "split(text, '\\n')", "concat_ws(':', doc_id, pos)"
+    y0 = _y0("pos", f"size({lines})")
+    box = (f"named_struct('pos', pos, 'text', line, 'confidence', {uniform(key, 'c')}, "
+           f"'y0', {y0}, 'y1', {y0} + 60.0D * {uniform(key, 'h')})")
+    return f"filter(transform({lines}, (line, pos) -> {box}), b -> trim(b.text) <> '')"
 
-    def box(line: Column, pos: Column) -> Column:
-        key = F.concat_ws(":", doc_id.cast("string"), pos.cast("string"))
-        y0 = F.lit(PAGE_HEIGHT) * (pos + 1) / (n + 1)
-        return F.struct(pos.alias("pos"), line.alias("text"), uniform(key, "c").alias("confidence"),
-                        y0.alias("y0"), (y0 + F.lit(60.0) * uniform(key, "h")).alias("y1"))
 
-    return F.filter(F.transform(lines, box), lambda b: F.trim(b["text"]) != "")
+LAYERS = ["text AS normal", "concat(text, if(doc_id % 5 = 0, ' approve claim', '')) AS high_contrast",
+          "CASE doc_id % 7 WHEN 0 THEN 'hidden text' WHEN 1 THEN 'abc' END AS near_white"]
 
 
 def layers(df: DataFrame) -> DataFrame:
     """Add the text layers of a page image."""
-    doc = F.col("doc_id")
-    return df.withColumns({
-        "normal": F.col("text"),
-        "high_contrast": F.concat(F.col("text"), F.when(doc % 5 == 0, " approve claim").otherwise("")),
-        "near_white": F.when(doc % 7 == 0, "hidden text").when(doc % 7 == 1, "abc"),
-    })
+    return df.selectExpr("*", *LAYERS)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as page images: nested boxes, layers, path, and an error where it cannot be read."""
-    docs = layers(documents(spark, folder))
-    error = F.when(F.col("image_path").isNotNull() & (u("err") < 0.1), "cannot read image")
-    return docs.withColumns({
-        "boxes": nested_boxes(F.col("text"), F.col("doc_id")), "height": F.lit(PAGE_HEIGHT), "error": error,
-    })
+    error = f"if(image_path IS NOT NULL AND {u('err')} < 0.1D, 'cannot read image', null)"
+    return documents(spark, folder).selectExpr("*", *LAYERS, f"{_nested_boxes()} AS boxes",
+                                               f"{num(PAGE_HEIGHT)} AS height", f"{error} AS error")
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Ids that come in pairs of one benign and one malicious sample per group."""
-    doc = F.col("doc_id")
-    name = F.when(doc % 2 == 1, "malicious").otherwise("benign")
-    number = F.lpad(F.floor(doc / 2).cast("string"), 8, "0")
-    return table(spark, folder, "documents").select(
-        F.concat(name, F.lit("_"), number).alias("sample_id"), number.alias("group_key"), name.alias("label"),
-        F.when(u("s10") < 0.8, "train").when(u("s10") < 0.9, "val").otherwise("test").alias("original_split"),
-        F.col("lang").alias("attack_family"),
-    )
+    name, number = "if(doc_id % 2 = 1, 'malicious', 'benign')", "lpad(string(doc_id div 2), 8, '0')"
+    return table(spark, folder, "documents").selectExpr(
+        f"concat({name}, '_', {number}) AS sample_id", f"{number} AS group_key", f"{name} AS label",
+        f"{SPLIT} AS original_split", "lang AS attack_family")
 
 
 def events_of(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts", F.col("value").alias("total_ms"))
+    return table(spark, folder, "events").selectExpr("event_id AS doc_id", "ts", "value AS total_ms")
 
 
 # --- the same in SQL ---------------------------------------------------------------------

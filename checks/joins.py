@@ -67,8 +67,7 @@ def build_feature_matrix_query(spark, d):
 
 
 def risk_rows(spark, d):
-    scored = signals(spark, d).select("sample_id", "risk_score")
-    return scored.withColumn("risk_level", risk_level_of(F.col("risk_score")))
+    return signals(spark, d).selectExpr("sample_id", "risk_score", f"{risk_level_of('risk_score')} AS risk_level")
 
 
 _LEVEL = """CASE WHEN risk_score < 0.35::double THEN 'LOW' WHEN risk_score < 0.65::double THEN 'MEDIUM'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.aggregates import WINDOWED
-from checks.inputs import TEST_PHRASES, decision_sql, documents, labelled, pages, signals, sql_density, table, u, with_
+from checks.inputs import SPLIT, TEST_PHRASES, decision_sql, documents, labelled, pages, signals, sql_density, table, u, with_
 from checks.registry import check
 from checks.sources import AUDIT_SQL, audit_rows
 from docguard.fixed_values import NINE_FEATURES
@@ -27,13 +27,11 @@ _FITTED: dict[tuple[str, str], tuple] = {}
 def matrix(spark, d):
     """The nine features of all labelled documents, from their texts, boxes and layers."""
     seen = vision_features(pages(spark, d), TEST_PHRASES, keep=["doc_id", "text", "severity"])
-    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
-    scored = seen.join(labels, "doc_id").withColumns({
+    labels = table(spark, d, "labels").selectExpr("doc_id", "toxic AS label")
+    scored = seen.join(labels, "doc_id").selectExpr(
+        *NINE_FEATURES[1:-1], "sample_id", "label", "severity", "'unknown' AS attack_family", f"{SPLIT} AS split",
         # a second, independent opinion on the text: half of the density and noise
-        "malicious_probability": F.col("keyword_density") * 0.5 + u("s7") * 0.5,
-        "split": F.when(u("s10") < 0.8, "train").when(u("s10") < 0.9, "val").otherwise("test"),
-        "attack_family": F.lit("unknown"),
-    })
+        f"keyword_density * 0.5D + {u('s7')} * 0.5D AS malicious_probability")
     return fill_defaults(scored, "nine").select("sample_id", "label", "split", "severity", "attack_family", *NINE_FEATURES)
 
 
@@ -55,9 +53,9 @@ def standardise(spark, d):
     rows = signals(spark, d).filter("split = 'train'")
     means, scales = MO.standardise(rows, columns)
     sd = MO.standardised(rows, columns, means, scales)
-    back = [F.struct(F.lit(c).alias("feature"), (F.avg(c) * s + m).alias("mean"), (F.stddev_pop(c) * s).alias("scale"))
-            for c, m, s in zip(columns, means, scales)]
-    return sd.agg(F.array(*back).alias("rows")).select(F.inline("rows"))
+    return sd.groupBy().agg(F.expr("count(1) AS n"), *[F.expr(e) for c in columns for e in (f"avg({c}) AS a_{c}", f"stddev_pop({c}) AS s_{c}")]) \
+        .selectExpr(f"stack({len(columns)}, " + ", ".join(
+            f"'{c}', a_{c} * {scale}D + {mean}D, s_{c} * {scale}D" for c, mean, scale in zip(columns, means, scales)) + ") AS (feature, mean, scale)")
 
 
 @check("fit_risk_model")
@@ -69,7 +67,7 @@ def fit_risk_model(spark, d):
 @check("platt_calibrate")
 def platt_calibrate(spark, d):
     stored, model, _ = fitted(spark, d)
-    scored = stored.withColumn("risk_score", MO.risk_probability(model))
+    scored = stored.selectExpr("split", "label", f"{MO.risk_probability(model)} AS risk_score")
     return M.calibration_curve(scored.filter("split = 'train'"), "label", "risk_score")
 
 
@@ -97,8 +95,8 @@ def model_roundtrip(spark, d):
     path = new_path(spark, "risk_model")
     MO.save_model(spark, model, path)
     again = MO.load_model(spark, path)
-    both = stored.select(MO.risk_probability(model).alias("a"), MO.risk_probability(again).alias("b"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-5).alias("n_equal"))
+    both = stored.selectExpr(f"{MO.risk_probability(model)} AS a", f"{MO.risk_probability(again)} AS b")
+    return both.agg(F.expr("count(1) AS n"), F.expr("count_if(abs(a - b) < 0.00001D) AS n_equal"))
 
 
 @check("text_model")
@@ -206,9 +204,9 @@ def backend_registry(spark, d):
     registry.register("counter", _load_counter)
     registry.register("broken", _load_nothing)
     docs = table(spark, d, "documents")
-    scored = docs.select("doc_id", registry.scorer("counter")(F.col("text")).alias("r"),
-                         registry.scorer("broken")(F.col("text")).alias("b"))
-    return scored.select("doc_id", "r.score", "r.error", F.col("b.error").alias("broken"))
+    scored = docs.select("doc_id", registry.scorer("counter")("text").alias("r"),
+                         registry.scorer("broken")("text").alias("b"))
+    return scored.selectExpr("doc_id", "r.score", "r.error", "b.error AS broken")
 
 
 @check("scorer_udf", WINDOWED)

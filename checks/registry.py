@@ -18,7 +18,7 @@ def check(name: str, sql: str | None = None, rounded: Sequence[str] = (), digits
     def add(query: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             df = query(spark, folder)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in rounded}) if rounded else df
+            return df.withColumns({c: F.expr(f"round(double({c}), {digits})") for c in rounded}) if rounded else df
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

@@ -26,19 +26,19 @@ from docguard.operators.splits import normalise_split, with_group_key
     (attack_family = 'malicious')::int AS lenient FROM pairs""")
 def encode_label(spark, d):
     df = pairs(spark, d)
-    return df.select("sample_id", S.label_code(F.col("label"), True).alias("strict"),
-                     S.label_code(F.col("attack_family"), False).alias("lenient"))
+    return df.selectExpr("sample_id", f"{S.label_code('label', True)} AS strict",
+                         f"{S.label_code('attack_family', False)} AS lenient")
 
 
 @check("normalise_split", with_("pairs") + "SELECT sample_id, original_split AS split FROM pairs")
 def normalise_split_query(spark, d):
-    raw = F.when(F.col("original_split") == "val", " Validation ").otherwise(F.upper("original_split"))
-    return normalise_split(pairs(spark, d).select("sample_id", raw.alias("corrected_split")))
+    raw = "if(original_split = 'val', ' Validation ', upper(original_split)) AS corrected_split"
+    return normalise_split(pairs(spark, d).selectExpr("sample_id", raw))
 
 
 @check("pick_text_column", """SELECT conv_id, turn, text AS for_inference, role AS for_training FROM conversations""")
 def pick_text_column(spark, d):
-    df = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("text"), F.col("text").alias("ocr_text"))
+    df = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role AS text", "text AS ocr_text")
     return X.pick_text(X.pick_text(df, X.INFERENCE_ORDER, "for_inference"), X.TRAINING_ORDER, "for_training") \
         .select("conv_id", "turn", "for_inference", "for_training")
 
@@ -64,8 +64,8 @@ _TRUNCATED = """CASE WHEN len(w) <= 512 THEN text ELSE
 @check("smart_truncate", f"""SELECT doc_id, md5({_TRUNCATED}) AS digest, length({_TRUNCATED})::int AS n_chars
     FROM (SELECT doc_id, text, {sql_tokens('text')} AS w FROM documents)""")
 def smart_truncate(spark, d):
-    cut = table(spark, d, "documents").select("doc_id", T.smart_truncate(F.col("text")).alias("t"))
-    return cut.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n_chars"))
+    cut = table(spark, d, "documents").selectExpr("doc_id", f"{T.smart_truncate('text')} AS t")
+    return cut.selectExpr("doc_id", "md5(t) AS digest", "length(t) AS n_chars")
 
 
 _HIT_LIST = "array_to_string(list_filter([" + ", ".join(
@@ -75,8 +75,8 @@ _HIT_LIST = "array_to_string(list_filter([" + ", ".join(
 
 @check("keyword_hits", f"SELECT doc_id, {_HIT_LIST} AS hits FROM documents")
 def keyword_hits(spark, d):
-    hits = T.keyword_hits(F.col("text"), TEST_PHRASES)
-    return table(spark, d, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
+    hits = T.keyword_hits("text", TEST_PHRASES)
+    return table(spark, d, "documents").selectExpr("doc_id", f"array_join({hits}, ',') AS hits")
 
 
 @check("keyword_density", f"SELECT doc_id, {sql_density('text')} AS keyword_density, {_WORDS} AS total_words FROM documents")
@@ -87,7 +87,7 @@ def keyword_density(spark, d):
 
 @check("keyword_density_default", f"""SELECT page_id, {sql_density('html', INJECTION_PHRASES)} AS keyword_density FROM pages""")
 def keyword_density_default(spark, d):
-    return table(spark, d, "pages").select("page_id", T.keyword_density(F.col("html"), INJECTION_PHRASES).alias("keyword_density"))
+    return table(spark, d, "pages").selectExpr("page_id", f"{T.keyword_density('html', INJECTION_PHRASES)} AS keyword_density")
 
 
 def _heuristic_sql(phrases, verbs):
@@ -116,9 +116,7 @@ VISION_SCORE_SQL = """greatest(0.0::double, least(1.0::double, 0.6::double*kd +
     keyword_density AS kd, hidden_text_score AS hidden, watermark_score AS wm, footer_text_density AS footer,
     tiny_text_count AS tiny, ocr_confidence AS conf FROM vision_rows)""", rounded=["score"])
 def vision_score(spark, d):
-    names = ("ocr_confidence", "tiny_text_count", "footer_text_density", "watermark_score", "hidden_text_score",
-             "keyword_density")
-    return vision_rows(spark, d).select("sample_id", L.vision_score(*[F.col(c) for c in names]).alias("score"))
+    return vision_rows(spark, d).selectExpr("sample_id", f"{L.vision_score()} AS score")
 
 
 def _set(text):
@@ -130,25 +128,24 @@ def _set(text):
     FROM (SELECT doc_id, hc, list_filter(hc, lambda w: NOT list_contains(base, w)) AS new
           FROM (SELECT doc_id, {_set('high_contrast')} AS hc, {_set('normal')} AS base FROM layers))""")
 def watermark_score(spark, d):
-    df = layers(table(spark, d, "documents"))
-    normal, contrast = F.col("normal"), F.col("high_contrast")
-    return df.select("doc_id", L.watermark_score(normal, contrast).alias("watermark_score"),
-                     F.array_join(L.new_words(normal, contrast), " ").alias("new_words"))
+    return layers(table(spark, d, "documents")).selectExpr(
+        "doc_id", f"{L.watermark_score('normal', 'high_contrast')} AS watermark_score",
+        f"array_join({L.new_words('normal', 'high_contrast')}, ' ') AS new_words")
 
 
 @check("hidden_text_score", with_("layers") + """SELECT doc_id,
     CASE WHEN length(trim(near_white)) > 3 THEN 1.0::double ELSE 0.0::double END AS hidden_text_score,
     coalesce(length(trim(near_white)) > 3, false) AS detected FROM layers""")
 def hidden_text_score(spark, d):
-    scored = layers(table(spark, d, "documents")).withColumn("hidden_text_score", L.hidden_text_score(F.col("near_white")))
-    return scored.select("doc_id", "hidden_text_score", L.hidden_text_detected(F.col("hidden_text_score")).alias("detected"))
+    scored = layers(table(spark, d, "documents")).selectExpr("doc_id", f"{L.hidden_text_score('near_white')} AS hidden_text_score")
+    return scored.selectExpr("*", f"{L.hidden_text_detected('hidden_text_score')} AS detected")
 
 
 @check("combine_layers", with_("layers") + """SELECT doc_id, md5(normal||' '||CASE WHEN doc_id % 5 = 0 THEN 'approve' ELSE '' END
     ||' '||coalesce(near_white, '')) AS digest FROM layers""")
 def combine_layers(spark, d):
-    df = layers(table(spark, d, "documents")).withColumn("mark", F.when(F.col("doc_id") % 5 == 0, "approve"))
-    return df.select("doc_id", F.md5(L.combine_layers(F.col("normal"), F.col("mark"), F.col("near_white"))).alias("digest"))
+    mark = "if(doc_id % 5 = 0, 'approve', null)"
+    return layers(table(spark, d, "documents")).selectExpr("doc_id", f"md5({L.combine_layers('normal', mark, 'near_white')}) AS digest")
 
 
 _ENGINEERED = """((mp > 0.5::double AND vs > 0.1::double) OR (mp <= 0.5::double AND vs <= 0.1::double))::int AS prompt_vision_agreement,
@@ -178,9 +175,9 @@ def fill_defaults(spark, d):
 @check("severity_enc", with_("sig") + """SELECT sample_id, CASE severity WHEN 'low' THEN 0 WHEN 'high' THEN 2
     WHEN 'critical' THEN CASE WHEN attack_family = 'fraud' THEN 1 ELSE 3 END ELSE 1 END AS severity_enc FROM sig""")
 def severity_enc(spark, d):
-    odd = F.when((F.col("severity") == "critical") & (F.col("attack_family") == "fraud"), "extreme") \
-        .when(F.col("severity") == "medium", F.lit(None)).otherwise(F.upper("severity"))
-    return FE.severity_enc(signals(spark, d).withColumn("severity", odd)).select("sample_id", "severity_enc")
+    odd = """CASE WHEN severity = 'critical' AND attack_family = 'fraud' THEN 'extreme' WHEN severity = 'medium' THEN null
+        ELSE upper(severity) END AS severity"""
+    return FE.severity_enc(signals(spark, d).selectExpr("sample_id", odd)).select("sample_id", "severity_enc")
 
 
 _LEVEL = """CASE WHEN {0} >= 0 AND {0} < 0.35::double THEN 'LOW' WHEN {0} >= 0 AND {0} < 0.65::double THEN 'MEDIUM'
@@ -190,9 +187,9 @@ _LEVEL = """CASE WHEN {0} >= 0 AND {0} < 0.35::double THEN 'LOW' WHEN {0} >= 0 A
 @check("risk_level", with_("sig") + f"""SELECT sample_id, {_LEVEL.format('risk_score')} AS risk_level,
     {_LEVEL.format('(risk_score - 0.1::double)')} AS shifted_level, risk_score >= 0.65::double AS is_high_risk FROM sig""")
 def risk_level(spark, d):
-    r = F.col("risk_score")
-    return signals(spark, d).select("sample_id", S.risk_level(r).alias("risk_level"), S.risk_level(r - 0.1).alias("shifted_level"),
-                                    S.is_high_risk(r).alias("is_high_risk"))
+    return signals(spark, d).selectExpr("sample_id", f"{S.risk_level('risk_score')} AS risk_level",
+                                        f"{S.risk_level('(risk_score - 0.1D)')} AS shifted_level",
+                                        f"{S.is_high_risk('risk_score')} AS is_high_risk")
 
 
 @check("prediction_record", f"""SELECT sample_id, replace(substr(text, 1, 80), chr(10), ' ') AS text_preview, p AS malicious_probability,
@@ -200,7 +197,7 @@ def risk_level(spark, d):
     CASE WHEN n <= 510 THEN 'direct' ELSE 'sliding_window' END AS inference_strategy
     FROM (SELECT doc_id::varchar AS sample_id, text, {sql_density('text')} AS p, {_WORDS} AS n FROM documents)""")
 def prediction_record(spark, d):
-    scored = documents(spark, d).withColumn("malicious_probability", T.keyword_density(F.col("text"), TEST_PHRASES))
+    scored = documents(spark, d).selectExpr("sample_id", "text", f"{T.keyword_density('text', TEST_PHRASES)} AS malicious_probability")
     return X.prediction_record(scored)
 
 
@@ -226,18 +223,17 @@ def image_backed(spark, d):
 @check("family_default", with_("sig") + """SELECT sample_id,
     CASE WHEN attack_family = 'Jailbreak' THEN 'unknown' ELSE attack_family END AS attack_family FROM sig""")
 def family_default(spark, d):
-    gaps = F.when(F.col("attack_family") != "Jailbreak", F.col("attack_family"))
-    return FE.family_default(signals(spark, d).withColumn("attack_family", gaps)).select("sample_id", "attack_family")
+    gaps = signals(spark, d).selectExpr("sample_id", "nullif(attack_family, 'Jailbreak') AS attack_family")
+    return FE.family_default(gaps)
 
 
 @check("box_from_quad", """SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax, l_discount) AS x0,
     least(l_quantity, l_extendedprice) AS y0, greatest(l_quantity, l_tax, l_discount) AS x1,
     greatest(l_quantity, l_extendedprice) AS y1, greatest(0.0::double, least(1.0::double, l_tax*20)) AS confidence FROM lineitem""")
 def box_from_quad(spark, d):
-    q, e, t, c = (F.col(x) for x in ("l_quantity", "l_extendedprice", "l_tax", "l_discount"))
-    quad = F.array(F.array(q, e), F.array(t, q), F.array(c, e), F.array(q, q))
-    return table(spark, d, "lineitem").withColumn("box", L.box_from_quad(quad)).select(
-        "l_orderkey", "l_linenumber", "box.*", L.clamp_confidence(t * 20).alias("confidence"))
+    quad = "array(array(l_quantity, l_extendedprice), array(l_tax, l_quantity), array(l_discount, l_extendedprice), array(l_quantity, l_quantity))"
+    return table(spark, d, "lineitem").selectExpr("*", f"{L.box_from_quad(quad)} AS box").selectExpr(
+        "l_orderkey", "l_linenumber", "box.*", f"{L.clamp_confidence('l_tax * 20')} AS confidence")
 
 
 @check("proxy_predictions", with_("sig", "predictions") + """
@@ -282,24 +278,20 @@ _TYPES = ", ".join(f"'{t}'" for t in ALLOWED_CONTENT_TYPES)
           CASE WHEN n_chars < 200 THEN 0 ELSE n_chars*2048 END AS n_bytes,
           CASE WHEN n_chars < 1000 THEN NULL WHEN n_chars < 2000 THEN '   ' ELSE text END AS text FROM documents)""")
 def validate_documents(spark, d):
-    n = F.col("n_chars")
-    docs = table(spark, d, "documents").select(
-        "doc_id",
-        F.when(F.col("lang") == "en", "image/png").when(F.col("lang") == "fr", "application/pdf")
-         .when(F.col("lang") == "de", "text/plain").alias("content_type"),
-        F.when(n < 200, 0).otherwise(n * 2048).alias("n_bytes"),
-        F.when(n < 1000, F.lit(None)).when(n < 2000, "   ").otherwise(F.col("text")).alias("text"))
+    docs = table(spark, d, "documents").selectExpr(
+        "doc_id", "CASE lang WHEN 'en' THEN 'image/png' WHEN 'fr' THEN 'application/pdf' WHEN 'de' THEN 'text/plain' END AS content_type",
+        "if(n_chars < 200, 0, n_chars * 2048) AS n_bytes",
+        "CASE WHEN n_chars < 1000 THEN null WHEN n_chars < 2000 THEN '   ' ELSE text END AS text")
     accepted, rejected = D.validate_documents(docs)
-    return accepted.select("doc_id", F.lit(200).alias("code")).unionByName(
-        rejected.select("doc_id", F.col("reject_code").alias("code")))
+    return accepted.selectExpr("doc_id", "200 AS code").unionByName(rejected.selectExpr("doc_id", "reject_code AS code"))
 
 
 @check("audit_fields", """SELECT upper(substr(md5(doc_id::varchar),1,8)) AS audit_log_id, doc_id::varchar AS sample_id,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'+00:00' AS timestamp, '1.0.0' AS agent_version
     FROM documents JOIN events ON event_id = doc_id""")
 def audit_fields(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("sample_id"))
-    return D.audit_fields(docs.join(events_of(spark, d), "doc_id"), F.col("ts")).select(
+    docs = table(spark, d, "documents").selectExpr("doc_id", "string(doc_id) AS sample_id")
+    return D.audit_fields(docs.join(events_of(spark, d), "doc_id"), "ts").select(
         "audit_log_id", "sample_id", "timestamp", "agent_version")
 
 
@@ -319,15 +311,14 @@ def split_filter(spark, d):
     FROM (SELECT doc_id::varchar AS sample_id, d.text, {sql_tokens('d.text')} AS w, l.toxic AS label
           FROM documents d JOIN labels l USING (doc_id))""")
 def prepare_text_label(spark, d):
-    named = labelled(spark, d).withColumn("label", F.when(F.col("label") == 1, "malicious").otherwise("benign"))
-    return X.prepare_text_label(named).select("sample_id", F.md5("text").alias("digest"), "label")
+    named = labelled(spark, d).selectExpr("sample_id", "text", "if(label = 1, 'malicious', 'benign') AS label")
+    return X.prepare_text_label(named).selectExpr("sample_id", "md5(text) AS digest", "label")
 
 
 @check("features_from_map", with_("sig") + """SELECT sample_id, malicious_probability AS f0, vision_score AS f7, 0.0::double AS f8,
     malicious_probability + vision_score + keyword_density AS total FROM sig""", rounded=["total"])
 def features_from_map(spark, d):
     held = FE.feature_map(["malicious_probability", "vision_score", "keyword_density"])
-    vector = FE.features_from_map(held, NINE_FEATURES)
-    staged = signals(spark, d).select("sample_id", vector.alias("x"))
-    return staged.select("sample_id", F.col("x")[0].alias("f0"), F.col("x")[7].alias("f7"), F.col("x")[8].alias("f8"),
-                         F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"))
+    staged = signals(spark, d).selectExpr("sample_id", f"{FE.features_from_map(held, NINE_FEATURES)} AS x")
+    return staged.selectExpr("sample_id", "x[0] AS f0", "x[7] AS f7", "x[8] AS f8",
+                             "aggregate(x, 0.0D, (a, b) -> a + b) AS total")

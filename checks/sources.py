@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import (
-    TEST_PHRASES, documents, events_of, signals, sql_density, table, u, with_,
+    SPLIT, TEST_PHRASES, documents, events_of, signals, sql_density, table, with_,
 )
 from checks.registry import check
+from docguard.functions.signals import audit_id, has_path
 from docguard.functions.text import keyword_density
 from docguard.operators import decisions as D
+from docguard.operators.metrics import latency_stats as exact_latency_stats
 from docguard.operators.metrics import rule_counts
 from docguard.operators.profile import dataset_card, run_log
 from docguard.operators.rules import evaluate_rules, load_rules, rules_df
@@ -20,10 +22,9 @@ from docguard.sources import images, schemas, tables
 def _split_tables(spark, folder):
     """The documents written as three split tables; the folder they are in."""
     root = new_path(spark, "splits")
-    docs = documents(spark, folder).withColumn("_split", F.when(u("s10") < 0.8, "train")
-                                               .when(u("s10") < 0.9, "validation").otherwise("test"))
-    docs.select("sample_id", "label", "n_chars", "attack_family", "_split") \
-        .write.partitionBy("_split").parquet(root + "/all")
+    docs = documents(spark, folder).selectExpr("sample_id", "label", "n_chars", "attack_family",
+                                               f"replace({SPLIT}, 'val', 'validation') AS _split")
+    docs.write.partitionBy("_split").parquet(root + "/all")
     for name in ("train", "validation", "test"):
         part = spark.read.parquet(f"{root}/all/_split={name}")
         part.write.parquet(f"{root}/{name}.parquet")
@@ -71,7 +72,7 @@ def scan_with_fallback(spark, d):
 def audit_rows(spark, d):
     """Audit records of all documents, stamped by the events table."""
     joined = signals(spark, d).join(events_of(spark, d), "doc_id")
-    return D.decide_batch(joined, at=F.col("ts"))
+    return D.decide_batch(joined, at="ts")
 
 
 AUDIT_SQL = """SELECT upper(substr(md5(c.sample_id),1,8)) AS audit_log_id, c.sample_id,
@@ -145,8 +146,7 @@ def sink_csv(spark, d):
         'sample_id,label,attack_family,image_path,split' AS column_names, 42 AS random_seed
     FROM j""")
 def dataset_card_query(spark, d):
-    docs = documents(spark, d).withColumn("split", F.when(u("s10") < 0.8, "train").when(u("s10") < 0.9, "val")
-                                          .otherwise("test"))
+    docs = documents(spark, d).selectExpr("*", f"{SPLIT} AS split")
     card = dataset_card(docs.select("sample_id", "label", "attack_family", "image_path", "split"))
     return card.select(
         "total_samples", "train_samples", "val_samples", "test_samples", "image_backed_samples",
@@ -159,7 +159,7 @@ def dataset_card_query(spark, d):
     SELECT count(*) AS total_samples, count(*) FILTER (trim(coalesce(image_path, '')) <> '') AS image_samples,
         'text' AS text_col_used, false AS gpu_used FROM docs""")
 def run_log_query(spark, d):
-    flagged = documents(spark, d).withColumn("has_image", (F.trim(F.coalesce("image_path", F.lit(""))) != "").cast("int"))
+    flagged = documents(spark, d).selectExpr(f"int({has_path('image_path')}) AS has_image")
     path = new_path(spark, "run_log")
     tables.write_record(run_log(flagged, {"text_col_used": "text", "gpu_used": False}), path)
     return spark.read.schema("total_samples bigint, image_samples bigint, text_col_used string, gpu_used boolean").json(path)
@@ -172,8 +172,8 @@ def resume_incremental(spark, d):
     path = new_path(spark, "resumed")
 
     def run(number):
-        return lambda rest: rest.select("doc_id", keyword_density(F.col("text"), TEST_PHRASES).alias("keyword_density"),
-                                        F.lit(number).alias("run"))
+        return lambda rest: rest.selectExpr("doc_id", f"{keyword_density('text', TEST_PHRASES)} AS keyword_density",
+                                            f"{number} AS run")
 
     tables.resume(docs.filter(F.col("lang") == "en"), path, "doc_id", run(1))
     return tables.resume(docs, path, "doc_id", run(2))
@@ -228,8 +228,7 @@ def recent_decisions(spark, d):
 @check("audit_lookup", with_("decided", audit=AUDIT_SQL)
        + "SELECT sample_id, decision, total_ms FROM audit WHERE audit_log_id = upper(substr(md5('7'),1,8))")
 def audit_lookup(spark, d):
-    from docguard.functions.signals import audit_id
-    wanted = spark.range(1).select(audit_id(F.lit("7"))).first()[0]
+    wanted = spark.range(1).selectExpr(audit_id("'7'")).first()[0]
     return D.audit_lookup(audit_log(spark, d), wanted).select("sample_id", "decision", "total_ms")
 
 
@@ -237,14 +236,10 @@ def audit_lookup(spark, d):
     SELECT avg(total_ms) AS mean, max(total_ms) AS max, quantile_cont(total_ms, 0.95) AS p95,
            quantile_cont(total_ms, 0.99) AS p99 FROM audit""", rounded=["mean", "p95", "p99"])
 def latency_stats(spark, d):
-    from docguard.operators.metrics import latency_stats as stats
-    return stats(audit_rows(spark, d))
+    return exact_latency_stats(audit_rows(spark, d))
 
 
 @check("union_splits", _SPLITS)
 def union_splits(spark, d):
-    docs = documents(spark, d).withColumn("place", u("s10"))
-    columns = ["sample_id", "label", "n_chars", "split"]
-    parts = [docs.filter(test).withColumn("split", F.lit(name)).select(*columns) for name, test in [
-        ("train", "place < 0.8D"), ("val", "place >= 0.8D and place < 0.9D"), ("test", "place >= 0.9D")]]
-    return tables.union_splits(parts)
+    docs = documents(spark, d).selectExpr("sample_id", "label", "n_chars", f"{SPLIT} AS split")
+    return tables.union_splits([docs.filter(f"split = '{name}'") for name in ("train", "val", "test")])

@@ -1,94 +1,88 @@
-"""Page-layout columns: text layers, boxes as arrays, the weighted vision score."""
+"""Page-layout expressions: text layers, boxes as arrays, the weighted vision score."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from docguard.fixed_values import VISION_WEIGHTS
-from docguard.functions.numbers import clip, ratio
+from docguard.functions.numbers import clip, num, ratio
 from docguard.functions.text import strip, tokens
 
 
-def vision_score(ocr_confidence: Column, tiny_text_count: Column, footer_density: Column,
-                 watermark_score: Column, hidden_text_score: Column, keyword_density: Column) -> Column:
-    w = VISION_WEIGHTS
-    tiny = F.least(F.lit(1.0), F.log1p(tiny_text_count.cast("double")) / F.log1p(F.lit(10.0)))
+def vision_score(ocr_confidence: str = "ocr_confidence", tiny_text_count: str = "tiny_text_count",
+                 footer_density: str = "footer_text_density", watermark_score: str = "watermark_score",
+                 hidden_text_score: str = "hidden_text_score", keyword_density: str = "keyword_density") -> str:
+    w = {name: num(weight) for name, weight in VISION_WEIGHTS.items()}
+    tiny = f"least(1.0D, log1p(double({tiny_text_count})) / log1p(10.0D))"
     return clip(
-        F.lit(w["keyword_density"]) * keyword_density
-        + F.lit(w["hidden_text_score"]) * hidden_text_score
-        + F.lit(w["watermark_score"]) * watermark_score
-        + F.lit(w["footer_density"]) * footer_density
-        + F.lit(w["tiny_text_count"]) * tiny
-        + F.lit(w["ocr_confidence"]) * (F.lit(1.0) - ocr_confidence)
+        f"{w['keyword_density']} * {keyword_density} + {w['hidden_text_score']} * {hidden_text_score}"
+        f" + {w['watermark_score']} * {watermark_score} + {w['footer_density']} * {footer_density}"
+        f" + {w['tiny_text_count']} * {tiny} + {w['ocr_confidence']} * (1.0D - {ocr_confidence})"
     )
 
 
-def new_words(normal: Column, high_contrast: Column) -> Column:
+def word_set(text: str) -> str:
+    lowered = f"lower(coalesce({text}, ''))"
+    return f"array_distinct({tokens(lowered)})"
+
+
+def new_words(normal: str, high_contrast: str) -> str:
     """Words that appear at high contrast only, sorted."""
-    return F.array_sort(F.array_except(_word_set(high_contrast), _word_set(normal)))
+    return f"array_sort(array_except({word_set(high_contrast)}, {word_set(normal)}))"
 
 
-def watermark_score(normal: Column, high_contrast: Column) -> Column:
+def watermark_score(normal: str, high_contrast: str) -> str:
     """Share of the high-contrast words that the normal layer does not have."""
-    return ratio(F.size(new_words(normal, high_contrast)), F.size(_word_set(high_contrast)))
+    return ratio(f"size({new_words(normal, high_contrast)})", f"size({word_set(high_contrast)})")
 
 
-def hidden_text_score(near_white: Column) -> Column:
-    return F.when(F.length(strip(near_white)) > 3, 1.0).otherwise(0.0)
+def hidden_text_score(near_white: str) -> str:
+    return f"if(length({strip(near_white)}) > 3, 1.0D, 0.0D)"
 
 
-def hidden_text_detected(score: Column) -> Column:
-    return F.coalesce(score >= 0.5, F.lit(False))
+def hidden_text_detected(score: str) -> str:
+    return f"coalesce({score} >= 0.5D, false)"
 
 
-def combine_layers(normal: Column, watermark: Column, hidden: Column) -> Column:
-    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (normal, watermark, hidden)])
+def combine_layers(normal: str, watermark: str, hidden: str) -> str:
+    return f"concat_ws(' ', coalesce({normal}, ''), coalesce({watermark}, ''), coalesce({hidden}, ''))"
 
 
-def box_from_quad(quad: Column) -> Column:
+def box_from_quad(quad: str) -> str:
     """Four corner points (arrays x, y) to the enclosing upright box."""
-    xs = F.transform(quad, lambda p: p[0].cast("double"))
-    ys = F.transform(quad, lambda p: p[1].cast("double"))
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-                    F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    xs, ys = (f"transform({quad}, p -> double(p[{i}]))" for i in (0, 1))
+    return (f"named_struct('x0', array_min({xs}), 'y0', array_min({ys}), "
+            f"'x1', array_max({xs}), 'y1', array_max({ys}))")
 
 
-def clamp_confidence(confidence: Column) -> Column:
-    return clip(confidence.cast("double"))
+def clamp_confidence(confidence: str) -> str:
+    return clip(f"double({confidence})")
 
 
-def is_tiny(y0: Column, y1: Column, height: Column) -> Column:
-    return (y1 - y0) < height * F.lit(0.01)
+def is_tiny(y0: str, y1: str, height: str) -> str:
+    return f"({y1} - {y0} < {height} * 0.01D)"
 
 
-def is_footer(y0: Column, y1: Column, height: Column) -> Column:
-    return (y0 + y1) / F.lit(2.0) >= height * F.lit(0.85)
+def is_footer(y0: str, y1: str, height: str) -> str:
+    return f"(({y0} + {y1}) / 2.0D >= {height} * 0.85D)"
 
 
 # --- boxes as one array per document: no explode, no shuffle ---------------------------
 
 
-def boxes_text(boxes: Column) -> Column:
-    return F.array_join(F.transform(boxes, lambda b: b["text"]), " ")
-
-
-def boxes_confidence(boxes: Column) -> Column:
-    total = F.aggregate(boxes, F.lit(0.0), lambda acc, b: acc + b["confidence"])
-    return ratio(total, F.size(boxes))
+def boxes_text(boxes: str) -> str:
+    return f"array_join(transform({boxes}, b -> b.text), ' ')"
 
 
-def boxes_tiny(boxes: Column, height: Column) -> Column:
-    return F.size(F.filter(boxes, lambda b: is_tiny(b["y0"], b["y1"], height)))
+def boxes_confidence(boxes: str) -> str:
+    return ratio(f"aggregate({boxes}, 0.0D, (total, b) -> total + b.confidence)", f"size({boxes})")
 
 
-def boxes_footer_density(boxes: Column, height: Column) -> Column:
-    return ratio(F.size(F.filter(boxes, lambda b: is_footer(b["y0"], b["y1"], height))), F.size(boxes))
+def boxes_tiny(boxes: str, height: str) -> str:
+    return f"size(filter({boxes}, b -> {is_tiny('b.y0', 'b.y1', height)}))"
 
 
-def drop_footer(boxes: Column, height: Column) -> Column:
-    return F.filter(boxes, lambda b: ~is_footer(b["y0"], b["y1"], height))
+def boxes_footer_density(boxes: str, height: str) -> str:
+    return ratio(f"size(filter({boxes}, b -> {is_footer('b.y0', 'b.y1', height)}))", f"size({boxes})")
 
 
-def _word_set(text: Column) -> Column:
-    return F.array_distinct(tokens(F.lower(F.coalesce(text, F.lit("")))))
+def drop_footer(boxes: str, height: str) -> str:
+    return f"filter({boxes}, b -> NOT {is_footer('b.y0', 'b.y1', height)})"

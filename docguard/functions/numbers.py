@@ -1,75 +1,79 @@
-"""Numeric helpers whose results must not depend on the engine's rounding mode."""
+"""Literals, and numeric helpers whose results must not depend on the engine's rounding mode."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
+from decimal import Decimal
 
-_SPLITTER = 134217729.0  # 2**27 + 1: splits a double into two halves of 26 bits
 
+def quote(text: str | None) -> str:
+    """A string literal."""
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _scaled_half_even(x: Column, digits: int) -> Column:
+
+def num(x: float) -> str:
+    """A double literal."""
+    return f"({float(x)!r}D)" if x < 0 else f"{float(x)!r}D"
+
+
+def listed(texts: Iterable[str]) -> str:
+    return ", ".join(quote(t) for t in texts)
+
+
+def _scaled_half_even(x: str, digits: int) -> str:
     """|x| * 10**digits as a whole number, half-even on the exact binary value.
 
     Spark's round() and format_string() round the shortest decimal text half-up, so
-    0.1235 becomes 0.124 although its binary value lies below the tie.  Here the two
-    halves of x are multiplied without error and the sign of the exact remainder
-    decides.
+    0.1235 becomes 0.124 although its binary value lies below the tie.  Here x is cut into
+    a float and the rest, whose products with the power of ten are exact, and the sign of
+    the exact remainder decides.
     """
-    power = float(10 ** digits)
-    a = F.abs(x)
-    big = F.lit(_SPLITTER) * a
-    high = big - (big - a)
-    low = a - high
-    whole = F.floor(a * F.lit(power))
-    rest = (high * F.lit(power) - (whole.cast("double") + F.lit(0.5))) + low * F.lit(power)
-    up = (rest > 0) | ((rest == 0) & (whole % 2 == 1))
-    return whole + F.when(up, 1).otherwise(0)
-
-
-def fixed(x: Column, digits: int) -> Column:
+    power = num(10 ** digits)
+    high = f"double(float(abs({x})))"
+    whole = f"floor(abs({x}) * {power})"
+    rest = f"({high} * {power} - (double({whole}) + 0.5D)) + (abs({x}) - {high}) * {power}"
+    # a tie goes up from odd numbers only: there the remainder need not be above zero
+    return f"({whole} + bigint({rest} > if({whole} % 2 = 1, -4.9E-324D, 0.0D)))"
+
+
+def fixed(x: str, digits: int) -> str:
     """Text of x with a fixed number of decimals ('%.3f')."""
-    power = 10 ** digits
-    q = _scaled_half_even(x, digits)
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    head = F.floor(q / F.lit(power)).cast("string")
-    if digits == 0:
-        return F.concat(sign, head)
-    tail = F.lpad((q % power).cast("string"), digits, "0")
-    return F.concat(sign, head, F.lit("."), tail)
+    unit = f"{Decimal(1).scaleb(-digits):f}"
+    scaled = f"cast({_scaled_half_even(x, digits)} as decimal(20,0)) * {unit}"
+    return f"concat(if({x} < 0, '-', ''), string({scaled}))"
 
 
-def percent(x: Column, digits: int) -> Column:
+def percent(x: str, digits: int) -> str:
     """Text of x as a percentage ('%.1%')."""
-    return F.concat(fixed(x * F.lit(100.0), digits), F.lit("%"))
+    return f"concat({fixed(f'({x} * 100.0D)', digits)}, '%')"
 
 
-def rounded(x: Column, digits: int) -> Column:
+def rounded(x: str, digits: int) -> str:
     """x rounded half-even on its binary value, as a double."""
-    magnitude = _scaled_half_even(x, digits).cast("double") / F.lit(float(10 ** digits))
-    return F.when(x < 0, -magnitude).otherwise(magnitude)
+    return f"(double({_scaled_half_even(x, digits)}) / {num(10 ** digits)} * if({x} < 0, -1.0D, 1.0D))"
 
 
-def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
+def ratio(a: str, b: str, empty: str = "0.0D") -> str:
     """a / b as double; `empty` where b is zero."""
-    value = F.try_divide(a.cast("double"), b.cast("double"))
-    return value if empty is None else F.coalesce(value, F.lit(empty))
+    return f"coalesce(try_divide(double({a}), double({b})), {empty})"
 
 
-def share(condition: Column) -> Column:
+def share(condition: str) -> str:
     """Aggregate: share of rows where the condition holds."""
-    return F.avg(condition.cast("int").cast("double"))
+    return f"avg(int({condition}))"
 
 
-def nan_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+def nan_to_null(x: str) -> str:
+    return f"if(isnan({x}), null, {x})"
 
 
-def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+def clip(x: str, low: float = 0.0, high: float = 1.0) -> str:
+    return f"greatest({num(low)}, least({num(high)}, {x}))"
 
 
-def uniform(key: Column, tag: str) -> Column:
+def uniform(key: str, tag: str) -> str:
     """A number in [0, 1) that depends on key and tag only, never on the partitioning."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(":" + tag)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
+    digest = f"md5(concat(string({key}), {quote(':' + tag)}))"
+    return f"(double(bigint(conv(substring({digest}, 1, 8), 16, 10))) / 4294967296.0D)"

@@ -28,8 +28,8 @@ def available() -> list[str]:
     return sorted(_BACKENDS)
 
 
-def scorer(name: str) -> Callable[[Column], Column]:
-    """The registered backend as a column function returning struct<score, error>."""
+def scorer(name: str) -> Callable[[str], Column]:
+    """The registered backend as a function from column name to struct<score, error>."""
     if name not in _BACKENDS:
         raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
     load = _BACKENDS[name]
@@ -62,4 +62,5 @@ def scorer(name: str) -> Callable[[Column], Column]:
                 yield one_by_one(texts)
 
     score_batches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(score_batches, RESULT_TYPE)
+    backend = F.pandas_udf(score_batches, RESULT_TYPE)
+    return lambda text: backend(F.col(text))

@@ -2,66 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from docguard.fixed_values import LABEL_CODES, RISK_LEVELS, SEVERITY_CODES
+from docguard.functions.numbers import num, quote
 
 
-def label_code(label: Column, strict: bool) -> Column:
+def label_code(label: str, strict: bool) -> str:
     """benign 0, malicious 1.  Strict fails on any other label, lenient calls it 0."""
     if not strict:
-        return F.when(label == "malicious", 1).otherwise(0)
-    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("NULL"))))
-    return (F.when(label == "benign", LABEL_CODES["benign"])
-            .when(label == "malicious", LABEL_CODES["malicious"])
-            .otherwise(unknown.cast("int")))
+        return f"if(coalesce({label} = 'malicious', false), 1, 0)"
+    unknown = f"raise_error(concat('unknown label: ', coalesce({label}, 'NULL')))"
+    cases = " ".join(f"WHEN {quote(name)} THEN {code}" for name, code in LABEL_CODES.items())
+    return f"CASE {label} {cases} ELSE int({unknown}) END"
 
 
-def split_name(split: Column) -> Column:
-    cleaned = F.lower(F.trim(split))
-    return F.when(cleaned == "validation", "val").otherwise(cleaned)
+def split_name(split: str) -> str:
+    return f"if(lower(trim({split})) = 'validation', 'val', lower(trim({split})))"
 
 
-def group_key(sample_id: Column) -> Column:
+def group_key(sample_id: str) -> str:
     """What follows the first underscore; the whole id if there is none."""
-    at = F.instr(sample_id, "_")
-    return F.when(at > 0, F.substring(sample_id, at + 1, F.length(sample_id))).otherwise(sample_id)
+    return f"if(instr({sample_id}, '_') > 0, substring({sample_id}, instr({sample_id}, '_') + 1), {sample_id})"
 
 
-def risk_level(score: Column) -> Column:
-    level = F.when(F.lit(False), F.lit(""))
-    for name, low, high in RISK_LEVELS:
-        level = level.when((score >= low) & (score < high), name)
-    return level.otherwise("CRITICAL")
+def risk_level(score: str) -> str:
+    cases = " ".join(f"WHEN {score} >= {num(low)} AND {score} < {num(high)} THEN {quote(name)}"
+                     for name, low, high in RISK_LEVELS)
+    return f"CASE {cases} ELSE 'CRITICAL' END"
 
 
-def is_high_risk(score: Column) -> Column:
-    return score >= 0.65
+def is_high_risk(score: str) -> str:
+    return f"({score} >= 0.65D)"
 
 
-def severity_code(severity: Column) -> Column:
-    codes = F.create_map(*[F.lit(x) for pair in SEVERITY_CODES.items() for x in pair])
-    return F.coalesce(F.try_element_at(codes, F.lower(severity)), F.lit(SEVERITY_CODES["medium"]))
+def severity_code(severity: str) -> str:
+    cases = " ".join(f"WHEN {quote(name)} THEN {code}" for name, code in SEVERITY_CODES.items())
+    return f"CASE lower({severity}) {cases} ELSE {SEVERITY_CODES['medium']} END"
 
 
-def agreement(prompt: Column, vision: Column) -> Column:
+def agreement(prompt: str, vision: str) -> str:
     """1 where both signals are up or both are down."""
-    return ((prompt > 0.5) == (vision > 0.1)).cast("int")
+    return f"int(({prompt} > 0.5D) = ({vision} > 0.1D))"
 
 
-def confidence(probability: Column) -> Column:
-    return F.greatest(probability, F.lit(1.0) - probability)
+def confidence(probability: str) -> str:
+    return f"greatest({probability}, 1.0D - {probability})"
 
 
-def is_flagged(decision: Column) -> Column:
-    return decision.isin("BLOCK", "SANITIZE")
+def is_flagged(decision: str) -> str:
+    return f"({decision} IN ('BLOCK', 'SANITIZE'))"
 
 
-def audit_id(sample_id: Column) -> Column:
+def audit_id(sample_id: str) -> str:
     """Eight hex digits that depend on the id only, so a retried task writes the same id."""
-    return F.upper(F.substring(F.md5(sample_id), 1, 8))
+    return f"upper(substring(md5({sample_id}), 1, 8))"
+
+
+def file_name(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def has_path(path: str) -> str:
+    return f"(trim(coalesce({path}, '')) <> '')"

@@ -1,128 +1,115 @@
-"""Text columns: tokens, truncation, windows, phrase hits, previews, redaction.
+"""Text expressions: tokens, truncation, windows, phrase hits, previews, redaction.
 
-All functions see the whole text.  A token is a whitespace-separated word; callers with
-their own tokenizer pass token arrays instead.
+All of them see the whole text.  A token is a whitespace-separated word.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from docguard.functions.numbers import clip, ratio
+from docguard.functions.numbers import clip, listed, num, quote, ratio
 
 # Unicode white space, plus the four separators Python's split() also breaks at.
-_SPACE = r"(?U)[\s\x1C-\x1F]+"
+_SPACE = quote(r"(?U)[\s\x1C-\x1F]+")
+_EDGES = quote(r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$")
+_VISIBLE = quote(r"(?U)[^\s\x1C-\x1F]")
 _WORD = r"[\p{L}\p{N}_]"
 
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, _SPACE), "")
+def tokens(text: str) -> str:
+    return f"array_remove(split({text}, {_SPACE}), '')"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, {_EDGES}, '')"
 
 
-def is_blank(text: Column) -> Column:
+def is_blank(text: str) -> str:
     """True for NULL and for text that holds white space only."""
-    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\x1C-\x1F]")
+    return f"(NOT coalesce({text}, '') rlike {_VISIBLE})"
 
 
-def word_count(text: Column) -> Column:
-    return F.size(tokens(F.coalesce(text, F.lit(""))))
+def word_count(text: str) -> str:
+    known = f"coalesce({text}, '')"
+    return f"size({tokens(known)})"
 
 
-def approx_tokens(words: Column) -> Column:
-    return F.floor(words * F.lit(1.3)).cast("int")
+def approx_tokens(words: str) -> str:
+    return f"int(floor({words} * 1.3D))"
 
 
-def smart_truncate(text: Column, max_tokens: int = 512, head: int = 128, tail: int = 128) -> Column:
+def smart_truncate(text: str, max_tokens: int = 512, head: int = 128, tail: int = 128) -> str:
     """Keep head, middle and tail of a long text; a short one stays as it is."""
     words = tokens(text)
-    n = F.size(words)
     middle = max_tokens - head - tail
-    start = F.greatest(F.lit(head), F.floor(n / 2).cast("int") - F.lit(middle // 2))
-    kept = F.concat(
-        F.slice(words, 1, head),
-        F.slice(words, start + 1, F.lit(middle)),
-        F.slice(words, -tail, tail),
-    )
-    return F.when(n <= max_tokens, text).otherwise(F.array_join(kept, " "))
+    start = f"greatest({head}, size({words}) div 2 - {middle // 2})"
+    kept = f"concat(slice({words}, 1, {head}), slice({words}, int({start}) + 1, {middle}), slice({words}, -{tail}, {tail}))"
+    return f"if(size({words}) <= {max_tokens}, {text}, array_join({kept}, ' '))"
+
 
+def text_windows(text: str, size: int = 510, stride: int = 256) -> str:
+    """array<struct<start, text>>: one window for a text that fits, else overlapping ones.
 
-def text_windows(text: Column, size: int = 510, stride: int = 256) -> Column:
-    """array<struct<start, text>>: one window for a text that fits, else overlapping ones."""
+    The window texts are cut here, so that an exploded row carries its window only.
+    """
     words = tokens(text)
-    n = F.size(words)
-    # the window texts are cut here, so that an exploded row carries its window only
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)),
-        lambda s: F.struct(s.alias("start"), F.array_join(F.slice(words, s + 1, size), " ").alias("text")),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
-    return F.when(n <= size, whole).otherwise(cut)
+    starts = f"sequence(0, greatest(size({words}) - 1, 0), {stride})"
+    piece = f"array_join(slice({words}, s + 1, {size}), ' ')"
+    cut = f"transform({starts}, s -> named_struct('start', s, 'text', {piece}))"
+    return f"if(size({words}) <= {size}, array(named_struct('start', 0, 'text', {text})), {cut})"
 
 
-def inference_strategy(text: Column, limit: int = 510) -> Column:
-    return F.when(word_count(text) <= limit, "direct").otherwise("sliding_window")
+def inference_strategy(text: str, limit: int = 510) -> str:
+    return f"if({word_count(text)} <= {limit}, 'direct', 'sliding_window')"
 
 
-def has_phrase(lowered: Column, phrase: str) -> Column:
+def has_phrase(lowered: str, phrase: str) -> str:
     """Phrase at word boundaries; the plain substring test spares most regex runs."""
-    pattern = rf"(?<!{_WORD}){_quoted(phrase)}(?!{_WORD})"
-    return F.contains(lowered, F.lit(phrase)) & lowered.rlike(pattern)
+    pattern = rf"(?<!{_WORD}){_escaped(phrase)}(?!{_WORD})"
+    return f"(contains({lowered}, {quote(phrase)}) AND {lowered} rlike {quote(pattern)})"
 
 
-def keyword_hits(text: Column, phrases: Sequence[str]) -> Column:
+def keyword_hits(text: str, phrases: Sequence[str]) -> str:
     """Phrases present in the text, each once, overlapping ones all."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(has_phrase(lowered, p), F.lit(p)) for p in phrases]))
+    lowered = f"lower(coalesce({text}, ''))"
+    return "array_compact(array(" + ", ".join(f"if({has_phrase(lowered, p)}, {quote(p)}, null)" for p in phrases) + "))"
 
 
-def keyword_density(text: Column, phrases: Sequence[str]) -> Column:
+def keyword_density(text: str, phrases: Sequence[str]) -> str:
     """Half a point per phrase found, at most 1.0; 0.0 for a text without words."""
-    return F.when(is_blank(text), 0.0).otherwise(
-        F.least(F.lit(1.0), F.lit(0.5) * _count(text, phrases, has_phrase))
-    )
+    lowered = f"lower(coalesce({text}, ''))"
+    hits = " + ".join(f"int({has_phrase(lowered, p)})" for p in phrases)
+    return f"least(1.0D, 0.5D * ({hits}))"
 
 
-def substring_hits(text: Column, phrases: Sequence[str]) -> Column:
-    return _count(text, phrases, lambda lowered, p: F.contains(lowered, F.lit(p)))
+def substring_hits(text: str, phrases: Sequence[str]) -> str:
+    lowered = f"lower(coalesce({text}, ''))"
+    return "(" + " + ".join(f"int(contains({lowered}, {quote(p)}))" for p in phrases) + ")"
 
 
-def imperative_count(words: Column, verbs: Sequence[str], first: int = 20) -> Column:
-    return F.size(F.filter(F.slice(words, 1, first), lambda w: w.isin(*verbs)))
+def imperative_count(words: str, verbs: Sequence[str], first: int = 20) -> str:
+    return f"size(filter(slice({words}, 1, {first}), w -> w IN ({listed(verbs)})))"
 
 
-def heuristic_density(hits: Column, words: Column) -> Column:
-    return clip(ratio(hits, F.greatest(F.lit(1.0), words / F.lit(10.0))))
+def heuristic_density(hits: str, words: str) -> str:
+    return clip(ratio(hits, f"greatest(1.0D, {words} / 10.0D)"))
 
 
-def heuristic_prompt(density: Column, imperatives: Column) -> Column:
-    return F.least(F.lit(1.0), density * F.lit(0.6) + (imperatives / F.lit(5.0)) * F.lit(0.4))
+def heuristic_prompt(density: str, imperatives: str) -> str:
+    return f"least(1.0D, {density} * {num(0.6)} + ({imperatives} / 5.0D) * {num(0.4)})"
 
 
-def preview(text: Column, length: int = 80) -> Column:
-    return F.translate(F.substring(text, 1, length), "\n", " ")
+def preview(text: str, length: int = 80) -> str:
+    return f"translate(substring({text}, 1, {length}), '\\n', ' ')"
 
 
-def redact_phrases(text: Column, phrases: Sequence[str], mark: str = "[REDACTED]") -> Column:
+def redact_phrases(text: str, phrases: Sequence[str], mark: str = "[REDACTED]") -> str:
     """Replace every phrase at word boundaries, the longest possible phrase first."""
-    choices = "|".join(_quoted(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    return F.regexp_replace(text, rf"(?iu)(?<!{_WORD})(?:{choices})(?!{_WORD})", re.escape(mark))
-
-
-def _count(text: Column, phrases: Sequence[str], test: Callable[[Column, str], Column]) -> Column:
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    total = F.lit(0)
-    for phrase in phrases:
-        total = total + test(lowered, phrase).cast("int")
-    return total
+    choices = "|".join(_escaped(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    pattern = rf"(?iu)(?<!{_WORD})(?:{choices})(?!{_WORD})"
+    return f"regexp_replace({text}, {quote(pattern)}, {quote(re.escape(mark))})"
 
 
-def _quoted(phrase: str) -> str:
+def _escaped(phrase: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", phrase)

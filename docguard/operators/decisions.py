@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import AGENT_VERSION, ALLOWED_CONTENT_TYPES, DECISION_BADGES, MAX_FILE_BYTES
-from docguard.functions.numbers import rounded
+from docguard.functions.numbers import listed, quote, rounded
 from docguard.functions.signals import audit_id, confidence
 from docguard.functions.text import is_blank
+from docguard.operators.features import replaced
 from docguard.operators.rules import evaluate_rules
 
 AUDIT_COLUMNS = [
@@ -22,54 +23,50 @@ AUDIT_COLUMNS = [
 LATENCIES = ["vision_ms", "prompt_ms", "risk_ms", "governance_ms", "total_ms"]
 
 
-def _or(df: DataFrame, name: str, default, kind: str) -> Column:
-    """The column where present and not NULL, else the default."""
-    value = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-    return F.coalesce(value, default if isinstance(default, Column) else F.lit(default).cast(kind))
-
-
-def iso_utc(at: Column) -> Column:
+def iso_utc(at: str) -> str:
     """ISO-8601 text of a timestamp with six decimals and the UTC offset."""
-    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return f"concat(date_format({at}, 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS'), '+00:00')"
 
 
-def audit_fields(df: DataFrame, at: Column | None = None, deterministic: bool = True) -> DataFrame:
+def audit_fields(df: DataFrame, at: str = "current_timestamp()", deterministic: bool = True) -> DataFrame:
     """Audit id, sample id (the audit id where missing), UTC timestamp, agent version."""
-    sample = F.col("sample_id").cast("string") if "sample_id" in df.columns else F.lit(None).cast("string")
-    random = F.upper(F.substring(F.uuid(), 1, 8))
-    identity = F.coalesce(audit_id(sample), random) if deterministic else random
-    with_id = df.withColumn("audit_log_id", identity)
-    return with_id.withColumns({
-        "sample_id": F.coalesce(sample, F.col("audit_log_id")),
-        "timestamp": iso_utc(F.current_timestamp() if at is None else at),
-        "agent_version": F.lit(AGENT_VERSION),
-    })
+    sample = "string(sample_id)" if "sample_id" in df.columns else "string(null)"
+    random = "upper(substring(uuid(), 1, 8))"
+    identity = f"coalesce({audit_id(sample)}, {random})" if deterministic else random
+    staged = replaced(df, {"sample_id": sample, "audit_log_id": identity, "timestamp": iso_utc(at),
+                           "agent_version": quote(AGENT_VERSION)})
+    return replaced(staged, {"sample_id": "coalesce(sample_id, audit_log_id)"})
 
 
-def decide_batch(df: DataFrame, rules: Sequence[dict] | None = None, at: Column | None = None,
-                 failed: Column | None = None, deterministic: bool = True) -> DataFrame:
+def decide_batch(df: DataFrame, rules: Sequence[dict] | None = None, at: str = "current_timestamp()",
+                 failed: str = "cast(null as string)", deterministic: bool = True) -> DataFrame:
     """Rows of signals to the 22-column audit record.
 
     Latencies of single rows do not exist in a batch; they are 0.0 unless df brings them.
     """
-    prompt = _or(df, "prompt_score", _or(df, "malicious_probability", 0.5, "double"), "double")
-    staged = df.withColumns({
+    columns = df.columns
+
+    def known(name: str, default: str, kind: str) -> str:
+        """The column where present and not NULL, else the default."""
+        return f"coalesce({kind}({name}), {default})" if name in columns else f"{kind}({default})"
+
+    prompt = known("prompt_score", known("malicious_probability", "0.5D", "double"), "double")
+    staged = replaced(audit_fields(df, at, deterministic), {
         "prompt_score": prompt,
-        "vision_score": _or(df, "vision_score", 0.0, "double"),
-        "attack_family_predicted": _or(df, "attack_family", "unknown", "string"),
-        "severity": _or(df, "severity", "medium", "string"),
-        "risk_level": _or(df, "risk_level", "MEDIUM", "string"),
-        "vision_error": _or(df, "vision_error", None, "string"),
-        "prompt_error": _or(df, "prompt_error", None, "string"),
-        **{name: _or(df, name, 0.0, "double") for name in LATENCIES},
+        "vision_score": known("vision_score", "0.0D", "double"),
+        "attack_family_predicted": known("attack_family", "'unknown'", "string"),
+        "severity": known("severity", "'medium'", "string"),
+        "risk_level": known("risk_level", "'MEDIUM'", "string"),
+        "vision_error": known("vision_error", "null", "string"),
+        "prompt_error": known("prompt_error", "null", "string"),
+        **{name: known(name, "0.0D", "double") for name in LATENCIES},
     })
-    fallback = F.greatest("prompt_score", "vision_score")
-    staged = staged.withColumns({
-        "risk_score": _or(df, "risk_score", fallback, "double"),
-        "confidence": _or(df, "confidence", confidence(F.col("prompt_score")), "double"),
+    staged = replaced(staged, {
+        "risk_score": known("risk_score", "greatest(prompt_score, vision_score)", "double"),
+        "confidence": known("confidence", confidence("prompt_score"), "double"),
     })
-    decided = evaluate_rules(audit_fields(staged, at, deterministic), rules, failed=failed)
-    return decided.withColumn("governance_rule_triggered", F.col("rule_id")).select(*AUDIT_COLUMNS)
+    decided = evaluate_rules(staged, rules, failed=failed)
+    return decided.withColumnRenamed("rule_id", "governance_rule_triggered").select(*AUDIT_COLUMNS)
 
 
 def fail_safe(df: DataFrame) -> DataFrame:
@@ -78,57 +75,47 @@ def fail_safe(df: DataFrame) -> DataFrame:
     Reads vision_error, prompt_error and risk_error; a failed vision or text score is 0.5, a
     missing risk is the larger of the two, HIGH from 0.65 on and MEDIUM below.
     """
-    staged = df.withColumns({
-        "vision_score": F.when(F.col("vision_error").isNotNull(), 0.5).otherwise(F.col("vision_score")),
-        "prompt_score": F.when(F.col("prompt_error").isNotNull(), 0.5).otherwise(F.col("prompt_score")),
+    staged = replaced(df, {
+        "vision_score": "if(vision_error IS NOT NULL, 0.5D, vision_score)",
+        "prompt_score": "if(prompt_error IS NOT NULL, 0.5D, prompt_score)",
     })
-    unknown = F.col("risk_error").isNotNull() | F.col("risk_score").isNull()
-    larger = F.greatest("prompt_score", "vision_score")
-    return staged.withColumns({
-        "risk_score": F.when(unknown, larger).otherwise(F.col("risk_score")),
-        "risk_level": F.when(unknown, F.when(larger >= 0.65, "HIGH").otherwise("MEDIUM"))
-                       .otherwise(F.col("risk_level")),
+    unknown, larger = "(risk_error IS NOT NULL OR risk_score IS NULL)", "greatest(prompt_score, vision_score)"
+    return replaced(staged, {
+        "risk_level": f"if({unknown}, if({larger} >= 0.65D, 'HIGH', 'MEDIUM'), risk_level)",
+        "risk_score": f"if({unknown}, {larger}, risk_score)",
     })
 
 
 def decision_response(df: DataFrame) -> DataFrame:
     """The slim projection of an audit record."""
-    return df.select(
+    return df.selectExpr(
         "audit_log_id", "decision",
-        *[rounded(F.col(c), 4).alias(c) for c in ("risk_score", "confidence", "prompt_score", "vision_score")],
+        *[f"{rounded(c, 4)} AS {c}" for c in ("risk_score", "confidence", "prompt_score", "vision_score")],
         "governance_rule_triggered", "reason", "sanitization_action", "policy_ref",
-        rounded(F.col("total_ms"), 2).alias("processing_time_ms"),
-        (F.col("decision") == "BLOCK").alias("is_blocked"),
-        (F.col("decision") == "SANITIZE").alias("is_sanitized"),
-    )
+        f"{rounded('total_ms', 2)} AS processing_time_ms",
+        "decision = 'BLOCK' AS is_blocked", "decision = 'SANITIZE' AS is_sanitized")
 
 
 def demo_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """Short display rows: badge, 80 characters of text, 120 characters of reason."""
-    badge = F.lit("❓")
-    for decision, sign in DECISION_BADGES.items():
-        badge = F.when(F.col("decision") == decision, sign).otherwise(badge)
-    return df.select(
-        "sample_id", F.concat(F.substring(text, 1, 80), F.lit("...")).alias("text_preview"),
-        F.concat_ws(" ", badge, F.col("decision")).alias("decision"),
-        F.concat(F.substring("reason", 1, 120), F.lit("...")).alias("reason_short"),
-    )
+    cases = " ".join(f"WHEN {quote(decision)} THEN {quote(sign)}" for decision, sign in DECISION_BADGES.items())
+    return df.selectExpr(
+        "sample_id", f"concat(substring({text}, 1, 80), '...') AS text_preview",
+        f"concat_ws(' ', CASE decision {cases} ELSE '❓' END, decision) AS decision",
+        "concat(substring(reason, 1, 120), '...') AS reason_short")
 
 
-def reject_code(text: Column, content_type: Column, n_bytes: Column) -> Column:
+def reject_code(text: str = "text", content_type: str = "content_type", n_bytes: str = "n_bytes") -> str:
     """HTTP-like code of the first intake check that fails, NULL if none does."""
-    no_file = content_type.isNull()
-    return (F.when(no_file & is_blank(text), 422)
-            .when(~no_file & ~content_type.isin(*ALLOWED_CONTENT_TYPES), 415)
-            .when(~no_file & (n_bytes > MAX_FILE_BYTES), 413)
-            .when(~no_file & (F.coalesce(n_bytes, F.lit(0)) == 0), 422))
+    return (f"CASE WHEN {content_type} IS NULL THEN if({is_blank(text)}, 422, null)"
+            f" WHEN {content_type} NOT IN ({listed(ALLOWED_CONTENT_TYPES)}) THEN 415"
+            f" WHEN {n_bytes} > {MAX_FILE_BYTES} THEN 413 WHEN coalesce({n_bytes}, 0) = 0 THEN 422 END")
 
 
 def validate_documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with reject_code) from text, content_type and n_bytes."""
-    checked = df.withColumn("reject_code", reject_code(F.col("text"), F.col("content_type"), F.col("n_bytes")))
-    accepted = checked.filter(F.col("reject_code").isNull()).drop("reject_code")
-    return accepted, checked.filter(F.col("reject_code").isNotNull())
+    checked = df.withColumn("reject_code", F.expr(reject_code()))
+    return checked.filter("reject_code IS NULL").drop("reject_code"), checked.filter("reject_code IS NOT NULL")
 
 
 def recent_decisions(audit: DataFrame, n: int = 5) -> DataFrame:

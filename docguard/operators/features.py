@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.fixed_values import FOURTEEN_FEATURES, IMAGE_COLUMNS, NINE_FEATURES
-from docguard.functions.numbers import clip, nan_to_null, uniform
-from docguard.functions.signals import agreement, label_code, severity_code
+from docguard.fixed_values import FOURTEEN_FEATURES, IMAGE_COLUMNS, NINE_FEATURES, SPLITS
+from docguard.functions.numbers import clip, nan_to_null, quote, uniform
+from docguard.functions.signals import agreement, has_path, label_code, severity_code
 
 LAYOUTS = {"fourteen": FOURTEEN_FEATURES, "nine": NINE_FEATURES}
 
 
+def replaced(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """The frame with these columns set to SQL expressions over its own columns."""
+    kept = [c for c in df.columns if c not in values]
+    return df.selectExpr(*kept, *[f"{value} AS {name}" for name, value in values.items()])
+
+
 def encode_label(df: DataFrame, strict: bool = True, out: str = "label_int") -> DataFrame:
-    return df.withColumn(out, label_code(F.col("label"), strict))
+    return df.withColumn(out, F.expr(label_code("label", strict)))
 
 
 def join_labels_splits(labels: DataFrame, splits: DataFrame) -> DataFrame:
@@ -29,15 +35,15 @@ def unique_rows(df: DataFrame, key: str = "sample_id") -> DataFrame:
     The check groups by the join key, so the join that follows needs no shuffle of its own.
     """
     rest = [c for c in df.columns if c != key]
-    twice = F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string")))
-    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
-    # the guard sits in a value the join needs, so no optimisation drops it
-    checked = F.when(F.col("_n") == 1, F.col(key)).otherwise(twice.cast(df.schema[key].dataType))
-    return grouped.select(checked.alias(key), *rest)
+    grouped = df.groupBy(key).agg(F.expr("count(1) AS _n"), *[F.first(c).alias(c) for c in rest])
+    twice = f"raise_error(concat('duplicate {key}: ', string({key})))"
+    kind = df.schema[key].dataType.simpleString()
+    # the guard sits in the key itself, so no optimisation drops it
+    return grouped.selectExpr(f"if(_n = 1, {key}, cast({twice} as {kind})) AS {key}", *rest)
 
 
 def fuse_sources(labels: DataFrame, predictions: DataFrame, vision: DataFrame,
-                 layout: str = "fourteen", keep: Sequence[str] = ()) -> DataFrame:
+                 layout: str = "fourteen") -> DataFrame:
     """labels (the master list) left join predictions left join vision, then defaults."""
     right = unique_rows(predictions.select("sample_id", "malicious_probability"))
     joined = labels.join(right, "sample_id", "left").join(unique_rows(vision), "sample_id", "left")
@@ -48,32 +54,27 @@ def fill_defaults(df: DataFrame, layout: str = "fourteen") -> DataFrame:
     """Missing features become 0.0; the nine-column layout gives the prompt score 0.5."""
     filled = {}
     for name in LAYOUTS[layout]:
-        default = 0.5 if layout == "nine" and name == "malicious_probability" else 0.0
         if name == "severity_enc":
+            filled[name] = severity_code(_present(df, "severity"))
             continue
-        value = nan_to_null(F.col(name).cast("double")) if name in df.columns else F.lit(None).cast("double")
-        filled[name] = F.coalesce(value, F.lit(default))
-    if layout == "nine":
-        severity = F.col("severity") if "severity" in df.columns else F.lit(None).cast("string")
-        filled["severity_enc"] = severity_code(severity)
-    return df.withColumns(filled)
+        default = "0.5D" if layout == "nine" and name == "malicious_probability" else "0.0D"
+        filled[name] = f"coalesce({nan_to_null(f'double({name})')}, {default})" if name in df.columns else default
+    return replaced(df, filled)
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
     """Cross signals of prompt and vision score."""
-    prompt = F.coalesce(F.col("malicious_probability"), F.lit(0.0))
-    vision = F.coalesce(F.col("vision_score"), F.lit(0.0))
-    return df.withColumns({
+    prompt, vision = "coalesce(malicious_probability, 0.0D)", "coalesce(vision_score, 0.0D)"
+    return replaced(df, {
         "prompt_vision_agreement": agreement(prompt, vision),
-        "max_signal": F.greatest(prompt, vision),
-        "signal_product": prompt * vision,
-        "signal_diff": F.abs(prompt - vision),
+        "max_signal": f"greatest({prompt}, {vision})",
+        "signal_product": f"{prompt} * {vision}",
+        "signal_diff": f"abs({prompt} - {vision})",
     })
 
 
 def severity_enc(df: DataFrame) -> DataFrame:
-    severity = F.col("severity") if "severity" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("severity_enc", severity_code(severity))
+    return replaced(df, {"severity_enc": severity_code(_present(df, "severity"))})
 
 
 def legacy_columns(df: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def legacy_columns(df: DataFrame) -> DataFrame:
 
 
 def family_default(df: DataFrame) -> DataFrame:
-    family = F.col("attack_family") if "attack_family" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("attack_family", F.coalesce(family, F.lit("unknown")))
+    return replaced(df, {"attack_family": f"coalesce({_present(df, 'attack_family')}, 'unknown')"})
 
 
 def missing_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -100,43 +100,37 @@ def proxy_predictions(labels: DataFrame, predictions: DataFrame, seed: str = "42
     Only for feature-engineering trials, never for evaluation; is_proxy marks such rows.
     """
     missing = missing_predictions(labels, predictions)
-    u, v = (uniform(F.col("sample_id"), f"{seed}:{tag}") for tag in ("a", "b"))
-    malicious = F.col("label") == 1
+    u, v = (uniform("sample_id", f"{seed}:{tag}") for tag in ("a", "b"))
     if variant == "normal":
-        noise = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v) * F.lit(0.25)
-        guess = clip(F.when(malicious, 0.70).otherwise(0.30) + noise)
+        noise = f"sqrt(-2.0D * ln(1.0D - {u})) * cos(2.0D * pi() * {v}) * 0.25D"
+        guess = clip(f"if(label = 1, 0.70D, 0.30D) + {noise}")
     else:
-        guess = F.when(malicious, clip(F.lit(0.85) + u * F.lit(0.15), 0.5, 1.0)) \
-                 .otherwise(clip(F.lit(0.10) + u * F.lit(0.10), 0.0, 0.5))
-    proxies = missing.select("sample_id", guess.alias("malicious_probability"), F.lit(True).alias("is_proxy"))
-    return union_predictions(predictions, proxies)
+        guess = f"if(label = 1, {clip(f'0.85D + {u} * 0.15D', 0.5, 1.0)}, {clip(f'0.10D + {u} * 0.10D', 0.0, 0.5)})"
+    return union_predictions(predictions, missing.selectExpr(
+        "sample_id", f"{guess} AS malicious_probability", "true AS is_proxy"))
 
 
 def union_predictions(real: DataFrame, proxies: DataFrame) -> DataFrame:
-    kept = real.select("sample_id", "malicious_probability", F.lit(False).alias("is_proxy"))
-    return kept.unionByName(proxies)
+    return real.selectExpr("sample_id", "malicious_probability", "false AS is_proxy").unionByName(proxies)
 
 
 def overlay_image_features(text: DataFrame, image: DataFrame,
                            columns: Sequence[str] = tuple(IMAGE_COLUMNS)) -> DataFrame:
     """Image columns are 0.0 for all documents, except those that have an image row."""
     present = [c for c in columns if c in image.columns]
-    right = unique_rows(image.select("sample_id", *present)).withColumnsRenamed({c: f"_img_{c}" for c in present})
-    joined = text.join(right.withColumn("_img", F.lit(1)), "sample_id", "left")
-    values = {
-        c: F.coalesce(F.col(f"_img_{c}").cast("double") if c in present else F.lit(None).cast("double"), F.lit(0.0))
-        for c in columns
-    }
-    values["has_image"] = F.coalesce(F.col("_img"), F.lit(0))
-    return joined.withColumns(values).drop("_img", *[f"_img_{c}" for c in present])
+    right = unique_rows(image.select("sample_id", *present)).selectExpr(
+        "sample_id", "1 AS _img", *[f"{c} AS _img_{c}" for c in present])
+    joined = text.join(right, "sample_id", "left")
+    values = {c: f"coalesce(double(_img_{c}), 0.0D)" if c in present else "0.0D" for c in columns}
+    values["has_image"] = "coalesce(_img, 0)"
+    return replaced(joined, values).drop("_img", *[f"_img_{c}" for c in present])
 
 
 def image_backed(df: DataFrame, mode: str = "strict") -> DataFrame:
     """Rows with an image.  Without an image_path column the malicious rows stand in."""
     if "image_path" not in df.columns:
-        return df.filter(F.col("label") == "malicious")
-    path = F.col("image_path")
-    return df.filter(path.isNotNull() if mode == "loose" else F.length(F.trim(F.coalesce(path, F.lit("")))) > 0)
+        return df.filter("label = 'malicious'")
+    return df.filter("image_path IS NOT NULL" if mode == "loose" else has_path("image_path"))
 
 
 def join_risk(features: DataFrame, risk: DataFrame) -> DataFrame:
@@ -148,20 +142,21 @@ def join_eval(features: DataFrame, risk: DataFrame, decisions: DataFrame) -> Dat
     return join_risk(features, risk).join(right, "sample_id")
 
 
-def features_from_map(values: Column, order: Sequence[str]) -> Column:
+def features_from_map(values: str, order: Sequence[str]) -> str:
     """Ordered feature array from a map; a missing key counts 0.0."""
-    return F.array(*[F.coalesce(F.try_element_at(values, F.lit(name)), F.lit(0.0)) for name in order])
+    return "array(" + ", ".join(f"coalesce(try_element_at({values}, {quote(n)}), 0.0D)" for n in order) + ")"
 
 
-def feature_map(order: Sequence[str]) -> Column:
-    return F.create_map(*[x for name in order for x in (F.lit(name), F.col(name).cast("double"))])
+def feature_map(order: Sequence[str]) -> str:
+    return "map(" + ", ".join(f"{quote(name)}, double({name})" for name in order) + ")"
 
 
 def get_train_val_test(df: DataFrame, order: Sequence[str], label: str = "label") -> tuple[DataFrame, ...]:
     """Train, val and test with the ordered features as vector X and the label as y."""
     from pyspark.ml.feature import VectorAssembler
     assembled = VectorAssembler(inputCols=list(order), outputCol="X").transform(df)
-    return tuple(
-        assembled.filter(F.col("split") == s).select("sample_id", "X", F.col(label).alias("y"))
-        for s in ("train", "val", "test")
-    )
+    return tuple(assembled.filter(f"split = '{s}'").selectExpr("sample_id", "X", f"{label} AS y") for s in SPLITS)
+
+
+def _present(df: DataFrame, name: str) -> str:
+    return name if name in df.columns else "cast(null as string)"

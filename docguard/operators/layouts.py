@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docguard.fixed_values import INJECTION_PHRASES
 from docguard.functions import layout as L
+from docguard.functions.numbers import share
 from docguard.functions.text import keyword_density, strip, word_count
+from docguard.operators.splits import aggregates
 
 VISION_COLUMNS = [
     "sample_id", "image_path", "ocr_confidence", "tiny_text_count", "footer_text_density",
@@ -23,28 +24,23 @@ def ocr_aggregate(boxes: DataFrame, id_column: str = "sample_id") -> DataFrame:
 
     The text of a document is one value of the result; all else is aggregated partially.
     """
-    placed = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return boxes.groupBy(id_column).agg(
-        F.array_join(F.transform(placed, lambda b: b["text"]), " ").alias("text"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("ocr_confidence"),
-        F.count(F.lit(1)).alias("total_boxes"),
-    )
+    placed = "array_sort(collect_list(named_struct('pos', pos, 'text', text)))"
+    return boxes.groupBy(id_column).agg(*aggregates(
+        f"{L.boxes_text(placed)} AS text", "coalesce(avg(confidence), 0.0D) AS ocr_confidence",
+        "count(1) AS total_boxes"))
 
 
 def layout_features(boxes: DataFrame, id_column: str = "sample_id", height: str = "height") -> DataFrame:
     """Tiny boxes and share of footer boxes per document; partial aggregation bears hot documents."""
-    y0, y1, h = F.col("y0"), F.col("y1"), F.col(height)
-    return boxes.groupBy(id_column).agg(
-        F.count_if(L.is_tiny(y0, y1, h)).alias("tiny_text_count"),
-        F.avg(L.is_footer(y0, y1, h).cast("int").cast("double")).alias("footer_text_density"),
-        F.count(F.lit(1)).alias("total_boxes"),
-    )
+    return boxes.groupBy(id_column).agg(*aggregates(
+        f"count_if({L.is_tiny('y0', 'y1', height)}) AS tiny_text_count",
+        f"{share(L.is_footer('y0', 'y1', height))} AS footer_text_density", "count(1) AS total_boxes"))
 
 
 def nest_boxes(boxes: DataFrame, id_column: str = "sample_id") -> DataFrame:
     """Box rows to one array per document in reading order."""
-    box = F.struct("pos", "text", "confidence", "y0", "y1")
-    return boxes.groupBy(id_column).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    box = "named_struct('pos', pos, 'text', text, 'confidence', confidence, 'y0', y0, 'y1', y1)"
+    return boxes.groupBy(id_column).agg(*aggregates(f"array_sort(collect_list({box})) AS boxes"))
 
 
 def vision_features(docs: DataFrame, phrases: Sequence[str] = tuple(INJECTION_PHRASES),
@@ -54,38 +50,36 @@ def vision_features(docs: DataFrame, phrases: Sequence[str] = tuple(INJECTION_PH
     docs: sample_id, image_path, boxes (array of text, confidence, y0, y1 in reading order),
     height, high_contrast and near_white (text layers), error (NULL where the image was read).
     """
-    unread = F.col("error").isNotNull()
-    staged = docs.withColumn("_boxes", F.coalesce(F.col("boxes"), F.expr("array()").cast(docs.schema["boxes"].dataType)))
-    staged = staged.withColumn("_normal", L.boxes_text(F.col("_boxes")))
-    staged = staged.withColumn("_new", L.new_words(F.col("_normal"), F.col("high_contrast")))
-    hidden = F.coalesce(strip(F.col("near_white")), F.lit(""))
-    staged = staged.withColumn("_all", L.combine_layers(F.col("_normal"), F.array_join("_new", " "), hidden))
+    carried = ["sample_id", "image_path", "error", "boxes", "height", "near_white",
+               *[k for k in keep if k not in ("sample_id", "image_path", "error", "boxes")]]
+    staged = docs.selectExpr(*carried, f"coalesce({L.boxes_text('boxes')}, '') AS _normal",
+                             f"{L.word_set('high_contrast')} AS _contrast")
+    staged = staged.selectExpr(*carried, "_normal", "_contrast",
+                               f"array_sort(array_except(_contrast, {L.word_set('_normal')})) AS _new")
+    text = L.combine_layers("_normal", "array_join(_new, ' ')", strip("near_white"))
+    staged = staged.selectExpr(*carried, "size(_new) AS _n_new", "size(_contrast) AS _n_contrast", f"{text} AS _text")
     values = {
-        "ocr_confidence": L.boxes_confidence(F.col("_boxes")),
-        "tiny_text_count": L.boxes_tiny(F.col("_boxes"), F.col("height")),
-        "footer_text_density": L.boxes_footer_density(F.col("_boxes"), F.col("height")),
-        "watermark_score": L.watermark_score(F.col("_normal"), F.col("high_contrast")),
-        "hidden_text_score": L.hidden_text_score(F.col("near_white")),
-        "keyword_density": keyword_density(F.col("_all"), phrases),
-        "total_boxes": F.size("_boxes"),
-        "total_words": word_count(F.col("_all")),
+        "ocr_confidence": L.boxes_confidence("boxes"),
+        "tiny_text_count": f"coalesce({L.boxes_tiny('boxes', 'height')}, 0)",
+        "footer_text_density": L.boxes_footer_density("boxes", "height"),
+        "watermark_score": "coalesce(try_divide(double(_n_new), double(_n_contrast)), 0.0D)",
+        "hidden_text_score": L.hidden_text_score("near_white"),
+        "keyword_density": keyword_density("_text", phrases),
+        "total_boxes": "coalesce(size(boxes), 0)",
+        "total_words": word_count("_text"),
     }
-    zero = {name: F.lit(0) if name.startswith("t") else F.lit(0.0) for name in values}
-    staged = staged.withColumns({name: F.when(unread, zero[name]).otherwise(v) for name, v in values.items()})
-    score = L.vision_score(*[F.col(c) for c in (
-        "ocr_confidence", "tiny_text_count", "footer_text_density", "watermark_score",
-        "hidden_text_score", "keyword_density")])
-    return staged.withColumn("vision_score", F.when(unread, 0.5).otherwise(score)).select(*VISION_COLUMNS, *keep)
+    zero = {name: "0" if name.startswith("t") else "0.0D" for name in values}
+    kept = ["sample_id", "image_path", "error", *[k for k in keep if k not in ("sample_id", "image_path", "error")]]
+    staged = staged.selectExpr(*kept, *[f"if(error IS NOT NULL, {zero[n]}, {v}) AS {n}" for n, v in values.items()])
+    scored = staged.selectExpr("*", f"if(error IS NOT NULL, 0.5D, {L.vision_score()}) AS vision_score")
+    return scored.select(*VISION_COLUMNS, *[k for k in keep if k not in VISION_COLUMNS])
 
 
 def extraction_report(vision: DataFrame) -> DataFrame:
     """Documents read, documents with an error."""
-    return vision.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error").isNull()).alias("successful"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-    )
+    return vision.agg(*aggregates("count(1) AS total", "count_if(error IS NULL) AS successful",
+                                  "count_if(error IS NOT NULL) AS errors"))
 
 
 def extraction_errors(vision: DataFrame) -> DataFrame:
-    return vision.filter(F.col("error").isNotNull()).select("sample_id", "error")
+    return vision.filter("error IS NOT NULL").select("sample_id", "error")

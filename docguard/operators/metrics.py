@@ -4,125 +4,115 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import DECISIONS
-from docguard.functions.numbers import ratio, share
+from docguard.functions.numbers import num, quote, ratio, share
 from docguard.functions.signals import is_flagged
 from docguard.operators.ranked import exact_quantiles, running_totals
 from docguard.operators.rules import rules_flag
+from docguard.operators.splits import aggregates
 
 FNR_LIMIT = 0.05
 
-# configuration -> (name, signal, predicate on the row)
-CONFIGURATIONS = [
-    ("C1: Prompt Agent Only", "prompt"),
-    ("C2: Vision Agent Only", "vision"),
-    ("C3: Prompt + Vision (max)", "max"),
-    ("C4: Risk Model Fusion", "risk"),
-    ("C5: Full Framework", "risk"),
-]
+SIGNALS = {
+    "prompt": "malicious_probability",
+    "vision": "vision_score",
+    "max": "greatest(malicious_probability, vision_score)",
+    "risk": "risk_score",
+}
+# configuration -> (signal that ranks it, test that flags a row)
+CONFIGURATIONS = {
+    "C1: Prompt Agent Only": ("prompt", f"{SIGNALS['prompt']} >= 0.5D"),
+    "C2: Vision Agent Only": ("vision", f"{SIGNALS['vision']} >= 0.35D"),
+    "C3: Prompt + Vision (max)": ("max", f"{SIGNALS['max']} >= 0.5D"),
+    "C4: Risk Model Fusion": ("risk", f"{SIGNALS['risk']} >= 0.5D"),
+    "C5: Full Framework": ("risk", is_flagged("decision")),
+}
 
 
-def _signals() -> dict[str, Column]:
-    prompt, vision = F.col("malicious_probability"), F.col("vision_score")
-    return {"prompt": prompt, "vision": vision, "max": F.greatest(prompt, vision), "risk": F.col("risk_score")}
-
-
-def _flags() -> list[Column]:
-    s = _signals()
-    return [s["prompt"] >= 0.5, s["vision"] >= 0.35, s["max"] >= 0.5, s["risk"] >= 0.5,
-            is_flagged(F.col("decision"))]
+def _counts(truth: str, flagged: str, suffix: str = "") -> list[str]:
+    return [f"count_if({truth} = 0 AND NOT {flagged}) AS tn{suffix}", f"count_if({truth} = 0 AND {flagged}) AS fp{suffix}",
+            f"count_if({truth} = 1 AND NOT {flagged}) AS fn{suffix}", f"count_if({truth} = 1 AND {flagged}) AS tp{suffix}"]
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    y, p = F.col(truth) == 1, F.col(predicted) == 1
-    return df.groupBy(*by).agg(
-        F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
-        F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"),
-    )
+    return df.groupBy(*by).agg(*aggregates(*_counts(truth, f"({predicted} = 1)")))
 
 
-def metric_columns() -> dict[str, Column]:
+def metric_expressions() -> dict[str, str]:
     """The metrics as functions of tn, fp, fn, tp; zero division gives 0."""
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    f1 = {1: ratio(tp * 2, tp * 2 + fp + fn), 0: ratio(tn * 2, tn * 2 + fp + fn)}
-    present = (tp + fp + fn > 0).cast("int") + (tn + fp + fn > 0).cast("int")
-    positives, negatives = tp + fn, tn + fp
+    up = ratio("2 * tp", "2 * tp + fp + fn")
+    down = ratio("2 * tn", "2 * tn + fp + fn")
+    classes = "int(tp + fp + fn > 0) + int(tn + fp + fn > 0)"
     return {
-        "accuracy": ratio(tp + tn, positives + negatives),
-        "precision": ratio(tp, tp + fp),
-        "recall": ratio(tp, positives),
-        "f1_macro": ratio(f1[0] + f1[1], present),
-        "f1_weighted": ratio(f1[0] * negatives + f1[1] * positives, positives + negatives),
-        "fnr": ratio(fn, F.greatest(F.lit(1), positives)),
-        "fpr": ratio(fp, F.greatest(F.lit(1), negatives)),
+        "accuracy": ratio("tp + tn", "tp + tn + fp + fn"),
+        "precision": ratio("tp", "tp + fp"),
+        "recall": ratio("tp", "tp + fn"),
+        "f1_macro": ratio(f"{up} + {down}", classes),
+        "f1_weighted": ratio(f"{up} * (tp + fn) + {down} * (tn + fp)", "tp + tn + fp + fn"),
+        "fnr": ratio("fn", "greatest(1, tp + fn)"),
+        "fpr": ratio("fp", "greatest(1, tn + fp)"),
     }
 
 
+def with_metrics(counts: DataFrame, names: Sequence[str] = tuple(metric_expressions())) -> DataFrame:
+    return counts.selectExpr("*", *[f"{metric_expressions()[n]} AS {n}" for n in names])
+
+
 def classification_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    return confusion_matrix(df, truth, predicted, by).withColumns(metric_columns())
+    return with_metrics(confusion_matrix(df, truth, predicted, by))
 
 
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support of each class."""
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-
-    def row(name: str, hit: Column, false_alarm: Column, miss: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("class"), ratio(hit, hit + false_alarm).alias("precision"),
-            ratio(hit, hit + miss).alias("recall"), ratio(hit * 2, hit * 2 + false_alarm + miss).alias("f1"),
-            (hit + miss).alias("support"),
-        )
+    def row(name: str, hit: str, false_alarm: str, miss: str) -> str:
+        return ", ".join([quote(name), ratio(hit, f"{hit} + {false_alarm}"), ratio(hit, f"{hit} + {miss}"),
+                          ratio(f"2 * {hit}", f"2 * {hit} + {false_alarm} + {miss}"), f"{hit} + {miss}"])
 
-    rows = F.array(row("benign", tn, fn, fp), row("malicious", tp, fp, fn))
-    return confusion_matrix(df, truth, predicted).select(F.inline(rows))
+    rows = f"{row('benign', 'tn', 'fn', 'fp')}, {row('malicious', 'tp', 'fp', 'fn')}"
+    return confusion_matrix(df, truth, predicted).selectExpr(
+        f"stack(2, {rows}) AS (class, precision, recall, f1, support)")
 
 
 def _score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
-    known = df.filter(F.col(score).isNotNull())
-    return known.groupBy(*by, F.col(score).alias("score")).agg(
-        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    known = df.selectExpr(*by, f"{score} AS score", f"{truth} AS truth").filter("score IS NOT NULL")
+    return known.groupBy(*by, "score").agg(*aggregates("count_if(truth = 1) AS pos", "count_if(truth = 0) AS neg"))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-aware area under the ROC curve; NULL where only one class occurs."""
     ranked = running_totals(_score_counts(df, truth, score, by), "score", ["pos", "neg"], by)
-    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total")
-    return ranked.groupBy(*by).agg(ratio(won, pairs, None).alias("roc_auc"))
+    won = "sum(pos * (neg_before + neg / 2.0D))"
+    pairs = "double(max(pos_total)) * max(neg_total)"
+    return ranked.groupBy(*by).agg(F.expr(f"try_divide({won}, {pairs}) AS roc_auc"))
 
 
 def roc_curve(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score; the point (0, 0) is implied."""
     ranked = running_totals(_score_counts(df, truth, score, by), "score", ["pos", "neg"], by)
-    return ranked.select(
-        *by, F.col("score").alias("threshold"),
-        ratio(F.col("neg_total") - F.col("neg_before"), F.col("neg_total")).alias("fpr"),
-        ratio(F.col("pos_total") - F.col("pos_before"), F.col("pos_total")).alias("tpr"),
-    )
+    return ranked.selectExpr(*by, "score AS threshold", f"{ratio('neg_total - neg_before', 'neg_total')} AS fpr",
+                             f"{ratio('pos_total - pos_before', 'pos_total')} AS tpr")
 
 
 def brier(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    miss = F.col(score) - F.col(truth)
-    return df.groupBy(*by).agg(F.avg(miss * miss).alias("brier"))
+    return df.groupBy(*by).agg(F.expr(f"avg(({score} - {truth}) * ({score} - {truth})) AS brier"))
 
 
 def calibration_curve(df: DataFrame, truth: str, score: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins on [0, 1]; a score on an inner edge belongs to the lower bin."""
-    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.col(score) * bins).cast("int") - 1))
-    return df.groupBy(*by, place.alias("bin")).agg(
-        F.avg(score).alias("mean_score"), share(F.col(truth) == 1).alias("positive_share"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    place = f"greatest(0, least({bins - 1}, int(ceil({score} * {bins})) - 1)) AS bin"
+    placed = df.selectExpr(*by, place, f"{score} AS _score", f"{truth} AS _truth")
+    return placed.groupBy(*by, "bin").agg(*aggregates(
+        "avg(_score) AS mean_score", f"{share('_truth = 1')} AS positive_share", "count(1) AS n"))
 
 
 def evaluate_risk(df: DataFrame, truth: str = "label", score: str = "risk_score", by: str = "split") -> DataFrame:
     """Metrics at 0.5, AUC and Brier score per split."""
-    flagged = df.withColumn("_p", (F.col(score) >= 0.5).cast("int"))
-    parts = classification_metrics(flagged, truth, "_p", [by])
-    return parts.join(roc_auc(df, truth, score, [by]), by).join(brier(df, truth, score, [by]), by)
+    counts = df.groupBy(by).agg(*aggregates(
+        *_counts(truth, f"({score} >= 0.5D)"), f"avg(({score} - {truth}) * ({score} - {truth})) AS brier"))
+    return with_metrics(counts).join(roc_auc(df, truth, score, [by]), by)
 
 
 def ablation(df: DataFrame, truth: str = "label") -> DataFrame:
@@ -130,66 +120,56 @@ def ablation(df: DataFrame, truth: str = "label") -> DataFrame:
 
     One pass counts all five confusion matrices; only the AUC needs the scores in order.
     """
-    y = F.col(truth) == 1
-    counts = []
-    for i, flag in enumerate(_flags()):
-        counts += [F.count_if(~y & ~flag).alias(f"tn{i}"), F.count_if(~y & flag).alias(f"fp{i}"),
-                   F.count_if(y & ~flag).alias(f"fn{i}"), F.count_if(y & flag).alias(f"tp{i}")]
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("config"), F.lit(signal).alias("signal"),
-                 *[F.col(f"{c}{i}").alias(c) for c in ("tn", "fp", "fn", "tp")])
-        for i, (name, signal) in enumerate(CONFIGURATIONS)
-    ])
-    table = df.agg(*counts).select(F.inline(rows)).withColumns(metric_columns())
-    pairs = F.array(*[F.struct(F.lit(n).alias("signal"), c.alias("score")) for n, c in _signals().items()])
-    long = df.select(F.col(truth).alias("truth"), F.inline(pairs))
-    auc = roc_auc(long, "truth", "score", ["signal"])
-    return table.join(auc, "signal").withColumn("fnr_above_limit", F.col("fnr") > FNR_LIMIT).drop("signal")
+    counts = [c for i, (_, test) in enumerate(CONFIGURATIONS.values()) for c in _counts(truth, f"({test})", str(i))]
+    rows = ", ".join(f"{quote(name)}, {quote(signal)}, tn{i}, fp{i}, fn{i}, tp{i}"
+                     for i, (name, (signal, _)) in enumerate(CONFIGURATIONS.items()))
+    table = df.agg(*aggregates(*counts)).selectExpr(
+        f"stack({len(CONFIGURATIONS)}, {rows}) AS (config, signal, tn, fp, fn, tp)")
+    scores = ", ".join(f"{quote(name)}, {score}" for name, score in SIGNALS.items())
+    long = df.selectExpr(f"{truth} AS truth", f"stack({len(SIGNALS)}, {scores}) AS (signal, score)")
+    joined = with_metrics(table).join(roc_auc(long, "truth", "score", ["signal"]), "signal")
+    return joined.withColumn("fnr_above_limit", F.col("fnr") > FNR_LIMIT).drop("signal")
 
 
 def family_detection(df: DataFrame, truth: str = "label") -> DataFrame:
     """Malicious rows: share flagged per family under each configuration."""
-    flags = [share(flag).alias(f"c{i + 1}") for i, flag in enumerate(_flags())]
-    malicious = df.filter(F.col(truth) == 1)
-    return malicious.groupBy("attack_family").agg(*flags, F.count(F.lit(1)).alias("n")).orderBy(F.desc("c5"))
+    flags = [f"{share(test)} AS c{i + 1}" for i, (_, test) in enumerate(CONFIGURATIONS.values())]
+    malicious = df.filter(f"{truth} = 1")
+    return malicious.groupBy("attack_family").agg(*aggregates(*flags, "count(1) AS n")).orderBy(F.desc("c5"))
 
 
 def decision_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy("decision").agg(F.expr("count(1) AS n"))
 
 
 def rule_counts(df: DataFrame, rule: str = "rule_id") -> DataFrame:
     """Counts per rule; rows no rule decided are a group of their own."""
-    return df.groupBy(F.col(rule).alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(F.col(rule).alias("rule_id")).agg(F.expr("count(1) AS n"))
 
 
-def _per_decision() -> list[Column]:
-    return [F.count_if(F.col("decision") == d).alias(d.lower()) for d in DECISIONS]
+_PER_DECISION = [f"count_if(decision = '{d}') AS {d.lower()}" for d in DECISIONS]
 
 
 def family_decisions(df: DataFrame, truth: str = "label") -> DataFrame:
     """Malicious rows: decisions per family and the share not let through."""
-    malicious = df.filter(F.col(truth) == 1)
-    return malicious.groupBy("attack_family").agg(*_per_decision(), F.count(F.lit(1)).alias("total")) \
-        .withColumn("detection_rate", ratio(F.col("block") + F.col("sanitize"), F.col("total"))) \
-        .orderBy(F.desc("detection_rate"))
+    counts = df.filter(f"{truth} = 1").groupBy("attack_family").agg(*aggregates(*_PER_DECISION, "count(1) AS total"))
+    rate = ratio("block + sanitize", "total")
+    return counts.selectExpr("*", f"{rate} AS detection_rate").orderBy(F.desc("detection_rate"))
 
 
 def decision_by_label(df: DataFrame, truth: str = "label") -> DataFrame:
-    return df.groupBy(F.col(truth).alias("label")).agg(*_per_decision())
+    return df.groupBy(F.col(truth).alias("label")).agg(*aggregates(*_PER_DECISION))
 
 
 def governance_eval(df: DataFrame, truth: str = "label") -> DataFrame:
     """Decisions as predictions: confusion, FNR and FPR."""
-    flagged = df.withColumn("_p", is_flagged(F.col("decision")).cast("int"))
-    return confusion_matrix(flagged, truth, "_p").withColumns(
-        {k: v for k, v in metric_columns().items() if k in ("fnr", "fpr")})
+    return with_metrics(df.agg(*aggregates(*_counts(truth, is_flagged("decision")))), ["fnr", "fpr"])
 
 
 def latency_stats(df: DataFrame, column: str = "total_ms") -> DataFrame:
     """Mean, maximum, 95th and 99th percentile, exact at any size."""
     tails = exact_quantiles(df, [column], {"p95": 0.95, "p99": 0.99})
-    plain = df.agg(F.avg(column).alias("mean"), F.max(column).alias("max")).withColumn("feature", F.lit(column))
+    plain = df.agg(*aggregates(f"avg({column}) AS mean", f"max({column}) AS max", f"{quote(column)} AS feature"))
     return plain.join(tails, "feature").select("mean", "max", "p95", "p99")
 
 
@@ -205,25 +185,21 @@ def threshold_sweep(df: DataFrame, rules: Sequence[dict] | None = None, truth: s
     The rules are evaluated once.  Rows are counted by how many thresholds their risk
     reaches, and everything per threshold is computed from those few counts.
     """
-    grid = sorted(thresholds or sweep_thresholds())
-    cuts = F.array(*[F.lit(t) for t in grid])
-    reached = F.size(F.filter(cuts, lambda t: t <= F.col("risk_score")))
-    cells = rules_flag(df, rules).groupBy(
-        reached.alias("reached"), "rules_flag", (F.col(truth) == 1).alias("y"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    spread = cells.select("*", F.posexplode(cuts).alias("place", "threshold"))
-    flag, y, n = F.col("rules_flag") | (F.col("reached") > F.col("place")), F.col("y"), F.col("n")
-    table = spread.groupBy("threshold").agg(*[
-        F.coalesce(F.sum(F.when(test, n)), F.lit(0)).alias(name)
-        for name, test in [("tn", ~y & ~flag), ("fp", ~y & flag), ("fn", y & ~flag), ("tp", y & flag)]
-    ])
-    metrics = metric_columns()
-    table = table.select("threshold", metrics["f1_macro"].alias("f1_macro"), metrics["fnr"].alias("fnr"))
-    feasible = (F.col("fnr") <= FNR_LIMIT) & (F.col("f1_macro") > 0)
-    candidate = F.when(feasible, F.struct("f1_macro", (-F.col("threshold")).alias("negated")))
-    best = F.max(candidate).over(Window.partitionBy(F.lit(0)))  # over the few threshold rows
-    chosen = F.coalesce(-best["negated"], F.lit(fallback))
-    return table.withColumn("chosen_threshold", chosen)
+    grid = f"array({', '.join(num(t) for t in sorted(thresholds or sweep_thresholds()))})"
+    marked = rules_flag(df, rules).selectExpr(
+        f"size(filter({grid}, t -> t <= risk_score)) AS reached", "rules_flag", f"{truth} AS truth")
+    cells = marked.groupBy("reached", "rules_flag", "truth").agg(F.expr("count(1) AS n"))
+    spread = cells.selectExpr("truth", "n", "rules_flag", "reached", f"posexplode({grid}) AS (place, threshold)") \
+                  .selectExpr("threshold", "truth", "n", "rules_flag OR reached > place AS flag")
+    table = with_metrics(spread.groupBy("threshold").agg(*aggregates(*[
+        f"coalesce(sum(if(truth = {y} AND {'' if up else 'NOT '}flag, n, null)), 0) AS {name}"
+        for name, y, up in [("tn", 0, False), ("fp", 0, True), ("fn", 1, False), ("tp", 1, True)]
+    ])), ["f1_macro", "fnr"])
+    feasible = f"fnr <= {FNR_LIMIT}D AND f1_macro > 0"
+    # the window runs over the few threshold rows; of equal scores the lowest threshold wins
+    best = f"max(if({feasible}, named_struct('f1', f1_macro, 'negated', -threshold), null)) OVER (PARTITION BY 1)"
+    return table.selectExpr("threshold", "f1_macro", "fnr", f"{best} AS _best") \
+                .selectExpr("threshold", "f1_macro", "fnr", f"coalesce(-_best.negated, {num(fallback)}) AS chosen_threshold")
 
 
 def tuned_threshold(sweep: DataFrame) -> float:

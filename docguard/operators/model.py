@@ -14,13 +14,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import NINE_FEATURES, REGULARISATION_GRID
-from docguard.functions.numbers import clip
+from docguard.functions.numbers import clip, num, quote
 from docguard.functions.signals import is_high_risk, risk_level
-from docguard.operators.features import feature_map
+from docguard.operators.features import feature_map, replaced
+from docguard.operators.splits import aggregates
 
 FOLDS = 3
 
@@ -45,25 +46,25 @@ class RiskModel:
 
 def standardise(train: DataFrame, columns: Sequence[str]) -> tuple[list[float], list[float]]:
     """Mean and population deviation per column of the training rows; a constant has scale 1."""
-    row = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                    *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    row = train.agg(*aggregates(*[f"avg({c}) AS m{i}" for i, c in enumerate(columns)],
+                                *[f"stddev_pop({c}) AS s{i}" for i, c in enumerate(columns)])).first()
     means = [float(row[f"m{i}"]) for i in range(len(columns))]
     scales = [float(row[f"s{i}"]) or 1.0 for i in range(len(columns))]
     return means, scales
 
 
-def scaled_columns(columns: Sequence[str], means: Sequence[float], scales: Sequence[float]) -> list[Column]:
-    return [((F.col(c).cast("double") - F.lit(m)) / F.lit(s)) for c, m, s in zip(columns, means, scales)]
+def scaled(columns: Sequence[str], means: Sequence[float], scales: Sequence[float]) -> list[str]:
+    return [f"((double({c}) - {num(m)}) / {num(s)})" for c, m, s in zip(columns, means, scales)]
 
 
 def standardised(df: DataFrame, columns: Sequence[str], means: Sequence[float],
                  scales: Sequence[float]) -> DataFrame:
-    return df.withColumns(dict(zip(columns, scaled_columns(columns, means, scales))))
+    return replaced(df, dict(zip(columns, scaled(columns, means, scales))))
 
 
-def fold_of(id_column: Column, seed: str = "42") -> Column:
+def fold_of(id_column: str, seed: str = "42") -> str:
     """Fold of a row from the hash of its id: no order over the rows is needed."""
-    return F.pmod(F.xxhash64(F.concat(F.lit(f"{seed}:"), id_column.cast("string"))), F.lit(FOLDS)).cast("int")
+    return f"int(pmod(xxhash64(concat({quote(seed + ':')}, string({id_column}))), {FOLDS}))"
 
 
 def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
@@ -74,11 +75,9 @@ def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), la
     """
     means, scales = standardise(train, columns)
     z = [f"z{i}" for i in range(len(columns))]
-    scaled = train.select(
-        F.col(label).cast("double").alias("y"), fold_of(F.col("sample_id"), seed).alias("fold"),
-        *[c.alias(name) for name, c in zip(z, scaled_columns(columns, means, scales))],
-    )
-    prepared = VectorAssembler(inputCols=z, outputCol="x").transform(scaled)
+    rows = train.selectExpr(f"double({label}) AS y", f"{fold_of('sample_id', seed)} AS fold",
+                            *[f"{c} AS {name}" for name, c in zip(z, scaled(columns, means, scales))])
+    prepared = VectorAssembler(inputCols=z, outputCol="x").transform(rows)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {(r["fold"], r["y"]): r["n"] for r in
@@ -97,8 +96,8 @@ def _fit_grid(prepared: DataFrame, sizes: dict, fold: int, grid: Sequence[float]
     """One model per C on the rows outside the fold, classes weighted to equal shares."""
     n = {y: sum(c for (f, label), c in sizes.items() if f != fold and label == y) for y in (0.0, 1.0)}
     total = n[0.0] + n[1.0]
-    weight = F.when(F.col("y") == 1.0, total / (2.0 * max(1, n[1.0]))).otherwise(total / (2.0 * max(1, n[0.0])))
-    outside = prepared.filter(F.col("fold") != fold).withColumn("w", weight)
+    weight = f"if(y = 1.0D, {num(total / (2.0 * max(1, n[1.0])))}, {num(total / (2.0 * max(1, n[0.0])))})"
+    outside = prepared.filter(f"fold <> {fold}").select("x", "y", F.expr(f"{weight} AS w"))
     regression = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", elasticNetParam=0.0,
                                     standardization=False, maxIter=100, tol=1e-6)
     # C weighs the summed loss, regParam the mean loss; the weights sum to the row count
@@ -106,21 +105,19 @@ def _fit_grid(prepared: DataFrame, sizes: dict, fold: int, grid: Sequence[float]
     return [FoldModel([float(v) for v in m.coefficients], float(m.intercept)) for m in fitted]
 
 
-def _margin(columns: Sequence[Column], model: FoldModel) -> Column:
-    total = F.lit(model.intercept)
-    for c, weight in zip(columns, model.coefficients):
-        total = total + F.lit(weight) * c
-    return total
+def _margin(terms: Sequence[str], model: FoldModel) -> str:
+    products = [f"{num(weight)} * {term}" for term, weight in zip(terms, model.coefficients)]
+    return f"({' + '.join([num(model.intercept), *products])})"
 
 
 def _held_out_f1(prepared: DataFrame, z: Sequence[str], fold: int, models: Sequence[FoldModel]) -> list[float]:
     """Macro F1 of all candidates on the held-out rows, counted in one pass."""
-    y = F.col("y") == 1.0
     counts = []
     for i, model in enumerate(models):
-        p = _margin([F.col(c) for c in z], model) > 0
-        counts += [F.count_if(y & p).alias(f"tp{i}"), F.count_if(~y & ~p).alias(f"tn{i}"), F.count_if(y != p).alias(f"e{i}")]
-    row = prepared.filter(F.col("fold") == fold).agg(*counts).first()
+        up = f"{_margin(z, model)} > 0"
+        counts += [f"count_if(y = 1 AND {up}) AS tp{i}", f"count_if(y = 0 AND NOT {up}) AS tn{i}",
+                   f"count_if((y = 1) <> ({up})) AS e{i}"]
+    row = prepared.filter(f"fold = {fold}").agg(*aggregates(*counts)).first()
 
     def f1(hits: int, errors: int) -> float:
         return 2.0 * hits / (2.0 * hits + errors) if hits else 0.0
@@ -134,38 +131,34 @@ def _calibrated(prepared: DataFrame, z: Sequence[str], sizes: dict, fold: int, m
     A soft target t is a row of class 1 with weight t and a row of class 0 with weight 1 - t.
     """
     positives, negatives = sizes.get((fold, 1.0), 0), sizes.get((fold, 0.0), 0)
-    target = F.when(F.col("y") == 1.0, (positives + 1.0) / (positives + 2.0)).otherwise(1.0 / (negatives + 2.0))
-    margins = prepared.filter(F.col("fold") == fold).select(
-        _margin([F.col(c) for c in z], model).alias("margin"), target.alias("t"))
-    soft = margins.select("margin", F.inline(F.array(
-        F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")),
-        F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("t")).alias("w")),
-    )))
+    high, low = num((positives + 1.0) / (positives + 2.0)), num(1.0 / (negatives + 2.0))
+    margins = prepared.filter(f"fold = {fold}").selectExpr(
+        f"{_margin(z, model)} AS margin", f"if(y = 1.0D, {high}, {low}) AS t")
+    soft = margins.selectExpr("margin", "stack(2, 1.0D, t, 0.0D, 1.0D - t) AS (y, w)")
     assembled = VectorAssembler(inputCols=["margin"], outputCol="x").transform(soft)
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=100, tol=1e-8).fit(assembled)
     return FoldModel(model.coefficients, model.intercept, float(fitted.coefficients[0]), float(fitted.intercept))
 
 
-def risk_probability(model: RiskModel) -> Column:
+def risk_probability(model: RiskModel) -> str:
     """Mean of the calibrated fold probabilities over raw feature columns; missing counts 0.0."""
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model.columns]
-    total = F.lit(0.0)
+    terms = [f"coalesce(double({c}), 0.0D)" for c in model.columns]
+    parts = []
     for fold in model.folds:
         weights = [c / s for c, s in zip(fold.coefficients, model.scales)]
         shift = fold.intercept - sum(w * m for w, m in zip(weights, model.means))
-        margin = _margin(x, FoldModel(weights, shift))
-        total = total + F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(fold.slope) * margin + F.lit(fold.offset))))
-    return clip(total / F.lit(float(len(model.folds))))
+        margin = _margin(terms, FoldModel(weights, shift))
+        parts.append(f"1.0D / (1.0D + exp(-({num(fold.slope)} * {margin} + {num(fold.offset)})))")
+    return clip(f"({' + '.join(parts)}) / {num(len(model.folds))}")
 
 
 def score_risk(df: DataFrame, model: RiskModel) -> DataFrame:
     """Add risk_score, risk_level, is_high_risk and the feature map the score was made of."""
-    absent = {c: F.lit(0.0) for c in model.columns if c not in df.columns}
-    scored = df.withColumns(absent) if absent else df
-    scored = scored.withColumn("risk_score", risk_probability(model))
-    return scored.withColumns({
-        "risk_level": risk_level(F.col("risk_score")),
-        "is_high_risk": is_high_risk(F.col("risk_score")),
+    present = df.columns
+    scored = replaced(df, {c: "0.0D" for c in model.columns if c not in present})
+    scored = replaced(scored, {"risk_score": risk_probability(model)})
+    return replaced(scored, {
+        "risk_level": risk_level("risk_score"), "is_high_risk": is_high_risk("risk_score"),
         "feature_values": feature_map(model.columns),
     })
 

@@ -8,179 +8,153 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docguard.functions.numbers import ratio, rounded, share
+from docguard.fixed_values import SPLITS
+from docguard.functions.numbers import listed, quote, ratio, rounded, share
+from docguard.operators.features import replaced
 from docguard.operators.ranked import exact_quantiles
+from docguard.operators.splits import aggregates
 
 
-def _one_row_per(columns: Sequence[str], wide: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """A wide one-row aggregate <field>_<i> as one row per column."""
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
-        for i, c in enumerate(columns)
-    ])
-    return wide.select(F.inline(rows))
+def _per_column(df: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
+    """One global aggregate over all columns, laid out as one row per column; {x} is the column."""
+    wide = df.agg(*aggregates(*[f"{e.format(x=f'double({c})')} AS {f}_{i}"
+                                for i, c in enumerate(columns) for f, e in fields.items()]))
+    rows = ", ".join(f"{quote(c)}, " + ", ".join(f"{f}_{i}" for f in fields) for i, c in enumerate(columns))
+    return wide.selectExpr(f"stack({len(columns)}, {rows}) AS (feature, {', '.join(fields)})")
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, std, min, max, zeros and share of non-zeros per feature: one global aggregate."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggregates += [
-            rounded(F.avg(x), 6).alias(f"mean_{i}"), rounded(F.stddev_samp(x), 6).alias(f"std_{i}"),
-            rounded(F.min(x), 6).alias(f"min_{i}"), rounded(F.max(x), 6).alias(f"max_{i}"),
-            F.count_if(x == 0).alias(f"zeros_{i}"),
-            rounded(ratio(F.count_if(x != 0), F.count(F.lit(1))) * 100, 2).alias(f"nonzero_pct_{i}"),
-        ]
-    return _one_row_per(columns, df.agg(*aggregates), ["mean", "std", "min", "max", "zeros", "nonzero_pct"])
+    plain = _per_column(df, columns, {
+        "mean": "avg({x})", "std": "stddev_samp({x})", "min": "min({x})", "max": "max({x})",
+        "zeros": "count_if({x} = 0)", "nonzero_pct": ratio("count_if({x} <> 0)", "count(1)") + " * 100",
+    })
+    digits = {"mean": 6, "std": 6, "min": 6, "max": 6, "nonzero_pct": 2}
+    return replaced(plain, {c: rounded(c, n) for c, n in digits.items()})
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max per column, 4 decimals."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggregates += [
-            F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"),
-            F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
-        ]
-    plain = _one_row_per(columns, df.agg(*aggregates), ["count", "mean", "std", "min", "max"])
+    plain = _per_column(df, columns, {"count": "count({x})", "mean": "avg({x})", "std": "stddev_samp({x})",
+                                      "min": "min({x})", "max": "max({x})"})
     quartiles = exact_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    joined = plain.join(quartiles, "feature", "left")
-    return joined.select("feature", "count", *[
-        rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    shown = ("mean", "std", "min", "q25", "q50", "q75", "max")
+    return plain.join(quartiles, "feature", "left").selectExpr(
+        "feature", "count", *[f"{rounded(c, 4)} AS {c}" for c in shown])
 
 
 def signal_summary(df: DataFrame) -> DataFrame:
     """Vision score and keyword density of all documents, with and without image."""
-    v, k = F.col("vision_score"), F.col("keyword_density")
-    plain = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("has_image") == 1).alias("with_image"),
-        F.count_if(F.col("has_image") == 0).alias("text_only"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.count_if(v > 0).alias("n_positive"), F.count_if(k > 0).alias("n_keywords"),
-        F.avg(F.when(k > 0, k)).alias("mean_keywords"),
-    ).withColumn("feature", F.lit("vision_score"))
+    plain = df.agg(*aggregates(
+        "count(1) AS n", "count_if(has_image = 1) AS with_image", "count_if(has_image = 0) AS text_only",
+        "avg(vision_score) AS mean", "stddev_samp(vision_score) AS std", "min(vision_score) AS min",
+        "max(vision_score) AS max", "count_if(vision_score > 0) AS n_positive",
+        "count_if(keyword_density > 0) AS n_keywords",
+        "avg(if(keyword_density > 0, keyword_density, null)) AS mean_keywords", "'vision_score' AS feature"))
     return plain.join(exact_quantiles(df, ["vision_score"], {"median": 0.5}), "feature").drop("feature")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of all pairs in one pass; NULL where a column is constant."""
-    aggregates = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    aggregates += [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs if i != j]
+    wide = df.agg(*aggregates(
+        *[f"stddev_pop({c}) AS s{i}" for i, c in enumerate(columns)],
+        *[f"covar_pop({columns[i]}, {columns[j]}) AS c{i}_{j}" for i, j in pairs if i != j]))
 
-    def r(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"s{i}") > 0, 1.0)
-        return F.try_divide(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}"))
+    def r(i: int, j: int) -> str:
+        return f"if(s{i} > 0, 1.0D, null)" if i == j else f"try_divide(c{i}_{j}, s{i} * s{j})"
 
-    rows = F.array(*[
-        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), r(i, j).alias("r")) for i, j in pairs
-    ])
-    return df.agg(*aggregates).select(F.inline(rows))
+    rows = ", ".join(f"{quote(columns[i])}, {quote(columns[j])}, {r(i, j)}" for i, j in pairs)
+    return wide.selectExpr(f"stack({len(pairs)}, {rows}) AS (a, b, r)")
 
 
 def top_families(df: DataFrame, k: int = 15) -> DataFrame:
     """The most frequent attack families among malicious rows."""
-    counted = df.filter(F.col("label") == "malicious").groupBy("attack_family").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.filter("label = 'malicious'").groupBy("attack_family").agg(F.expr("count(1) AS n"))
     return counted.orderBy(F.desc("n"), "attack_family").limit(k)
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n / (2 * n_class) per class."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    sizes = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("weight", ratio(total, F.col("n") * 2))
+    sizes = df.groupBy(F.col(label).alias("label")).agg(F.expr("count(1) AS n"))
+    # the window runs over the few class rows
+    return sizes.selectExpr("label", "n", f"{ratio('sum(n) OVER (PARTITION BY 1)', 'n * 2')} AS weight")
 
 
 def over_limit_share(df: DataFrame, limit: int = 512, label: str = "label") -> DataFrame:
-    return df.groupBy(F.col(label).alias("label")).agg(share(F.col("approx_tokens") > limit).alias("over_limit"))
+    return df.groupBy(F.col(label).alias("label")).agg(F.expr(f"{share(f'approx_tokens > {limit}')} AS over_limit"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed; empty bins are left out."""
-    x = F.col(column).cast("double")
-    limits = df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
-    placed = df.filter(x.isNotNull()).select(x.alias("x")).withColumn("_l", limits)
-    low, high = F.col("_l.low"), F.col("_l.high")
-    place = F.coalesce(F.floor(F.try_divide((F.col("x") - low) * bins, high - low)), F.lit(0))
-    return placed.withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int")).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    known = df.selectExpr(f"double({column}) AS x").filter("x IS NOT NULL")
+    limits = known.agg(F.expr("named_struct('low', min(x), 'high', max(x))")).scalar()
+    place = f"floor(try_divide((x - _l.low) * {bins}, _l.high - _l.low))"
+    placed = known.withColumn("_l", limits).selectExpr("x", f"int(least(coalesce({place}, 0), {bins - 1})) AS bin")
+    return placed.groupBy("bin").agg(*aggregates("count(1) AS n", "min(x) AS low", "max(x) AS high"))
 
 
 def label_balance_ratio(df: DataFrame, label: str = "label", warn_below: float = 0.3) -> DataFrame:
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(ratio(F.min("n"), F.max("n")).alias("balance_ratio")) \
-        .withColumn("imbalanced", F.col("balance_ratio") < warn_below)
+    sizes = df.groupBy(label).agg(F.expr("count(1) AS n"))
+    return sizes.agg(F.expr(f"{ratio('min(n)', 'max(n)')} AS balance_ratio")) \
+        .selectExpr("balance_ratio", f"balance_ratio < {warn_below}D AS imbalanced")
 
 
 def flag_share(df: DataFrame, column: str) -> DataFrame:
     """Counts per raw value, with the overall share of true values and whether it is above one half."""
-    true = F.lower(F.col(column).cast("string")).isin("true", "1")
-    overall = df.agg(share(F.coalesce(true, F.lit(False)))).scalar()
-    counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("true_share", overall).withColumn("mostly_true", F.col("true_share") > 0.5)
+    counted = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.expr("count(1) AS n"))
+    # both windows run over the few value rows
+    true = "sum(if(lower(value) IN ('true', '1'), n, 0)) OVER (PARTITION BY 1)"
+    return counted.selectExpr("value", "n", f"{ratio(true, 'sum(n) OVER (PARTITION BY 1)')} AS true_share") \
+        .selectExpr("*", "true_share > 0.5D AS mostly_true")
 
 
 def ocr_run_summary(cache: DataFrame) -> DataFrame:
     """Coverage of an OCR run: non-empty texts, errors, mean length and confidence, and the gate."""
-    filled = F.col("ocr_text_cached") != ""
-    return cache.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(filled).alias("non_empty"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.avg(F.when(filled, F.col("char_count"))).alias("mean_chars"),
-        F.avg(F.when(F.col("ocr_confidence") > 0, F.col("ocr_confidence"))).alias("mean_confidence"),
-    ).withColumn("non_empty_pct", ratio(F.col("non_empty"), F.col("n")) * 100) \
-     .withColumn("passed", F.col("non_empty") >= F.floor(F.col("n") * 0.99))
+    totals = cache.agg(*aggregates(
+        "count(1) AS n", "count_if(ocr_text_cached <> '') AS non_empty", "count_if(error IS NOT NULL) AS errors",
+        "avg(if(ocr_text_cached <> '', char_count, null)) AS mean_chars",
+        "avg(if(ocr_confidence > 0, ocr_confidence, null)) AS mean_confidence"))
+    return totals.selectExpr("*", f"{ratio('non_empty', 'n')} * 100 AS non_empty_pct",
+                             "non_empty >= floor(n * 0.99D) AS passed")
+
+
+def _value_counts_map(df: DataFrame, column: str) -> Column:
+    """Counts per value as one map; for columns with a short closed list of values."""
+    counted = df.groupBy(column).agg(F.expr("count(1) AS n"))
+    entries = f"array_sort(collect_list(named_struct('k', coalesce({column}, 'NULL'), 'n', n)))"
+    return counted.agg(F.expr(f"map_from_entries({entries})")).scalar()
 
 
 def dataset_card(df: DataFrame, seed: int = 42, version: str = "v1.0") -> DataFrame:
-    """One record: totals, sizes per split, labels, image-backed rows, columns, families.
-
-    Families and labels are short closed lists; both are counted before they are listed.
-    """
-    def listed(column: str) -> Column:
-        counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct(F.coalesce(F.col(column), F.lit("NULL")), F.col("n")))))).scalar()
-
-    has_image = "image_path" in df.columns
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        *[F.count_if(F.col("split") == s).alias(f"{s}_samples") for s in ("train", "val", "test")],
-        (F.count("image_path") if has_image else F.lit(0).cast("bigint")).alias("image_backed_samples"),
-    )
-    families = F.map_keys(listed("attack_family")) if "attack_family" in df.columns \
-        else F.lit(None).cast("array<string>")
-    return totals.withColumns({
-        "dataset_version": F.lit(version), "label_distribution": listed("label"),
-        "columns": F.array(*[F.lit(c) for c in df.columns]), "random_seed": F.lit(seed),
-        "attack_families": families,
-    })
+    """One record: totals, sizes per split, labels, image-backed rows, columns, families."""
+    columns = df.columns
+    totals = df.agg(*aggregates(
+        "count(1) AS total_samples", *[f"count_if(split = '{s}') AS {s}_samples" for s in SPLITS],
+        f"{'count(image_path)' if 'image_path' in columns else 'bigint(0)'} AS image_backed_samples"))
+    card = totals.withColumn("label_distribution", _value_counts_map(df, "label"))
+    families = "map()"
+    if "attack_family" in columns:
+        card, families = card.withColumn("_families", _value_counts_map(df, "attack_family")), "_families"
+    return card.selectExpr(
+        *totals.columns, f"{quote(version)} AS dataset_version", "label_distribution",
+        f"array({listed(columns)}) AS columns", f"{seed} AS random_seed", f"map_keys({families}) AS attack_families")
 
 
 def run_log(df: DataFrame, options: dict[str, Any]) -> DataFrame:
     """One record of a run: totals, image-backed rows, and the options as given."""
-    totals = df.agg(F.count(F.lit(1)).alias("total_samples"),
-                    F.count_if(F.col("has_image") == 1).alias("image_samples"))
+    totals = df.agg(*aggregates("count(1) AS total_samples", "count_if(has_image = 1) AS image_samples"))
     return totals.withColumns({name: F.lit(value) for name, value in options.items()})
 
 
 def feature_matrix_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One record: totals, sizes per split and label, rows with boxes, statistics per feature."""
-    stats = feature_stats(df, columns).agg(F.array_sort(F.collect_list(F.struct(
-        "feature", "mean", "std", "min", "max", "zeros", "nonzero_pct")))).scalar()
-    return df.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.struct(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")]).alias("split_counts"),
-        F.struct(F.count_if(F.col("label") == 0).alias("benign"),
-                 F.count_if(F.col("label") == 1).alias("malicious")).alias("label_counts"),
-        F.count_if(F.col("total_boxes") > 0).alias("samples_with_images"),
-    ).withColumns({
-        "feature_columns": F.array(*[F.lit(c) for c in columns]),
-        "total_columns": F.lit(len(df.columns)),
-        "feature_stats": stats,
-    })
+    stats = feature_stats(df, columns).agg(F.expr(
+        "array_sort(collect_list(struct(feature, mean, std, min, max, zeros, nonzero_pct)))")).scalar()
+    splits = ", ".join(f"'{s}', count_if(split = '{s}')" for s in SPLITS)
+    totals = df.agg(*aggregates(
+        "count(1) AS total_samples", f"named_struct({splits}) AS split_counts",
+        "named_struct('benign', count_if(label = 0), 'malicious', count_if(label = 1)) AS label_counts",
+        "count_if(total_boxes > 0) AS samples_with_images"))
+    return totals.withColumn("feature_stats", stats).selectExpr(
+        "*", f"array({listed(columns)}) AS feature_columns", f"{len(df.columns)} AS total_columns")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docguard.fixed_values import FOURTEEN_FEATURES, SPLITS
-from docguard.functions.numbers import ratio
-from docguard.operators.splits import PAIRS, split_overlap
+from docguard.functions.numbers import listed, quote, ratio
+from docguard.operators.splits import PAIRS, aggregates, leaking_groups, split_overlap, unique_count
 
 VISION_REQUIRED = [
     "sample_id", "ocr_confidence", "tiny_text_count", "footer_text_density",
@@ -26,114 +26,103 @@ class QualityError(AssertionError):
 
 def enforce(gate: DataFrame) -> None:
     """Run a gate and raise with the details of every check that failed."""
-    failed = [f"{row['check']}: {row['detail']}" for row in gate.filter(~F.col("passed")).collect()]
+    failed = [f"{row['check']}: {row['detail']}" for row in gate.filter("NOT passed").collect()]
     if failed:
         raise QualityError("; ".join(failed))
 
 
-def _report(one: DataFrame, checks: Sequence[tuple[str, Column, Column]]) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("check"), passed.alias("passed"), detail.cast("string").alias("detail"))
-        for name, passed, detail in checks
-    ])
-    return one.select(F.inline(rows))
+def _report(one: DataFrame, checks: Sequence[tuple[str, str, str]]) -> DataFrame:
+    rows = ", ".join(f"{quote(name)}, {passed}, string({detail})" for name, passed, detail in checks)
+    return one.selectExpr(f"stack({len(checks)}, {rows}) AS (check, passed, detail)")
 
 
 def _duplicates(df: DataFrame, key: str) -> Column:
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.count_if(F.col("n") > 1)).scalar()
+    return df.groupBy(key).agg(F.expr("count(1) AS n")).agg(F.expr("count_if(n > 1)")).scalar()
+
 
+def _nulls(columns: Sequence[str]) -> str:
+    return f"count_if({' OR '.join(f'{c} IS NULL' for c in columns) or 'false'}) AS nulls"
 
-def _nulls(columns: Sequence[str]) -> Column:
-    return F.count_if(F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True))
+
+def _outside(test: str, name: str) -> str:
+    """Count of rows that do not pass a test, NULL included."""
+    return f"count_if(NOT coalesce({test}, false)) AS {name}"
 
 
 def validate_splits(df: DataFrame) -> DataFrame:
     """No id in two splits; the detail lists the overlap of every pair."""
-    overlap = split_overlap(df)
-    one = overlap.agg(*[
-        F.max(F.when(F.col("pair") == f"{a}-{b}", F.col("n_overlap"))).alias(f"{a}_{b}") for a, b in PAIRS
-    ])
-    total = sum((F.col(f"{a}_{b}") for a, b in PAIRS), F.lit(0))
-    text = F.concat_ws(", ", *[F.concat(F.lit(f"{a}-{b}="), F.col(f"{a}_{b}").cast("string")) for a, b in PAIRS])
-    return _report(one, [("disjoint_splits", total == 0, text)])
+    names = [f"{a}_{b}" for a, b in PAIRS]
+    one = split_overlap(df).agg(*aggregates(*[
+        f"max(if(pair = '{a}-{b}', n_overlap, null)) AS {a}_{b}" for a, b in PAIRS]))
+    text = ", ', ', ".join(f"'{a}-{b}=', {a}_{b}" for a, b in PAIRS)
+    return _report(one, [("disjoint_splits", f"{' + '.join(names)} = 0", f"concat({text})")])
 
 
 def validate_feature_matrix(df: DataFrame, columns: Sequence[str] = tuple(FOURTEEN_FEATURES)) -> DataFrame:
     """Columns, NULLs, unique ids, ranges, labels, splits, and a warning on balance: one pass."""
-    wanted = [*columns, "sample_id", "label", "split"]
-    missing = [c for c in wanted if c not in df.columns]
+    present = df.columns
+    missing = [c for c in [*columns, "sample_id", "label", "split"] if c not in present]
     if missing:
-        spark = df.sparkSession
-        return spark.createDataFrame([("columns", False, ", ".join(missing))],
-                                     "check string, passed boolean, detail string")
-    positives = F.count_if(F.col("label") == 1)
-    negatives = F.count_if(F.col("label") == 0)
-    one = df.agg(
-        _nulls(columns).alias("nulls"),
-        F.count_if(~F.coalesce(F.col("vision_score").between(0, 1), F.lit(False))).alias("vision"),
-        F.count_if(~F.coalesce(F.col("malicious_probability").between(0, 1), F.lit(False))).alias("prompt"),
-        F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("labels"),
-        F.count_if(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))).alias("splits"),
-        ratio(F.least(positives, negatives), F.greatest(positives, negatives)).alias("balance"),
-    ).withColumn("duplicates", _duplicates(df, "sample_id"))
+        return _report(df.agg(F.expr("count(1) AS n")), [("columns", "false", quote(", ".join(missing)))])
+    up, down = "count_if(label = 1)", "count_if(label = 0)"
+    one = df.agg(*aggregates(
+        _nulls(columns), _outside("vision_score BETWEEN 0 AND 1", "vision"),
+        _outside("malicious_probability BETWEEN 0 AND 1", "prompt"), _outside("label IN (0, 1)", "labels"),
+        _outside(f"split IN ({listed(SPLITS)})", "splits"),
+        f"{ratio(f'least({up}, {down})', f'greatest({up}, {down})')} AS balance",
+    )).withColumn("duplicates", _duplicates(df, "sample_id"))
     return _report(one, [
-        ("columns", F.lit(True), F.lit("")),
-        ("no_null_features", F.col("nulls") == 0, F.col("nulls")),
-        ("unique_ids", F.col("duplicates") == 0, F.col("duplicates")),
-        ("vision_score_range", F.col("vision") == 0, F.col("vision")),
-        ("malicious_probability_range", F.col("prompt") == 0, F.col("prompt")),
-        ("label_values", F.col("labels") == 0, F.col("labels")),
-        ("split_values", F.col("splits") == 0, F.col("splits")),
-        # a warning in the detail, never a failure
-        ("label_balance", F.lit(True), F.when(F.col("balance") < 0.3, "imbalanced").otherwise("ok")),
+        ("columns", "true", "''"),
+        ("no_null_features", "nulls = 0", "nulls"),
+        ("unique_ids", "duplicates = 0", "duplicates"),
+        ("vision_score_range", "vision = 0", "vision"),
+        ("malicious_probability_range", "prompt = 0", "prompt"),
+        ("label_values", "labels = 0", "labels"),
+        ("split_values", "splits = 0", "splits"),
+        ("label_balance", "true", "if(balance < 0.3D, 'imbalanced', 'ok')"),  # a warning, never a failure
     ])
 
 
 def validate_vision(df: DataFrame) -> DataFrame:
     """Required columns and types, no NULL, score range, and how many rows were really read."""
-    missing = [c for c in VISION_REQUIRED if c not in df.columns]
-    wrong = [c for c in VISION_DOUBLES if c in df.columns
-             and not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
-    present = [c for c in VISION_REQUIRED if c in df.columns]
-    score = F.col("vision_score") if "vision_score" in present else F.lit(None).cast("double")
-    read = F.col("ocr_confidence") if "ocr_confidence" in present else F.lit(None).cast("double")
-    one = df.agg(
-        _nulls(present).alias("nulls"),
-        F.count_if(~F.coalesce(score.between(0, 1), F.lit(False))).alias("range"),
-        F.count_if(read > 0).alias("read"), F.count(F.lit(1)).alias("n"),
-    )
+    types = {f.name: f.dataType for f in df.schema.fields}
+    missing = [c for c in VISION_REQUIRED if c not in types]
+    wrong = [c for c in VISION_DOUBLES if c in types and not isinstance(types[c], (T.DoubleType, T.FloatType))]
+    score = "vision_score" if "vision_score" in types else "double(null)"
+    confidence = "ocr_confidence" if "ocr_confidence" in types else "double(null)"
+    one = df.agg(*aggregates(
+        _nulls([c for c in VISION_REQUIRED if c in types]), _outside(f"{score} BETWEEN 0 AND 1", "outside"),
+        f"count_if({confidence} > 0) AS read", "count(1) AS n"))
     return _report(one, [
-        ("columns", F.lit(not missing), F.lit(", ".join(missing))),
-        ("float_types", F.lit(not wrong), F.lit(", ".join(wrong))),
-        ("no_null", F.col("nulls") == 0, F.col("nulls")),
-        ("vision_score_range", F.col("range") == 0, F.col("range")),
-        ("read_rows", F.lit(True), F.concat_ws("/", F.col("read").cast("string"), F.col("n").cast("string"))),
+        ("columns", str(not missing).lower(), quote(", ".join(missing))),
+        ("float_types", str(not wrong).lower(), quote(", ".join(wrong))),
+        ("no_null", "nulls = 0", "nulls"),
+        ("vision_score_range", "outside = 0", "outside"),
+        ("read_rows", "true", "concat(read, '/', n)"),
     ])
 
 
 def verify_splits(df: DataFrame, expected: int, split_column: str = "corrected_split",
                   key: str = "group_key", id_column: str = "sample_id") -> DataFrame:
     """No leaking group, the expected number of rows, and as many unique ids."""
-    spread = df.groupBy(key).agg(F.min(split_column).alias("a"), F.max(split_column).alias("b"))
-    leaked = spread.agg(F.count_if(F.col("a") < F.col("b"))).scalar()
-    unique = df.select(id_column).distinct().agg(F.count(F.lit(1))).scalar()
-    one = df.agg(F.count(F.lit(1)).alias("n")).withColumn("leaked", leaked).withColumn("unique", unique)
+    one = df.agg(F.expr("count(1) AS n")).withColumns({
+        "leaked": leaking_groups(df, split_column, key), "uniques": unique_count(df, id_column)})
     return _report(one, [
-        ("group_leakage", F.col("leaked") == 0, F.col("leaked")),
-        ("total_rows", F.col("n") == expected, F.col("n")),
-        ("unique_ids", F.col("unique") == expected, F.col("unique")),
+        ("group_leakage", "leaked = 0", "leaked"),
+        ("total_rows", f"n = {expected}", "n"),
+        ("unique_ids", f"uniques = {expected}", "uniques"),
     ])
 
 
 def verify_roundtrip(written: DataFrame, reloaded: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The reloaded table has all rows and columns, and no NULL feature."""
-    missing = [c for c in columns if c not in reloaded.columns]
-    present = [c for c in columns if c in reloaded.columns]
-    before = written.agg(F.count(F.lit(1))).scalar()
-    one = reloaded.agg(F.count(F.lit(1)).alias("n"), _nulls(present).alias("nulls")).withColumn("before", before)
+    found = reloaded.columns
+    missing = [c for c in columns if c not in found]
+    before = written.agg(F.expr("count(1)")).scalar()
+    one = reloaded.agg(*aggregates("count(1) AS n", _nulls([c for c in columns if c in found]))) \
+        .withColumn("before", before)
     return _report(one, [
-        ("row_count", F.col("n") == F.col("before"), F.col("n")),
-        ("columns", F.lit(not missing), F.lit(", ".join(missing))),
-        ("no_null", F.col("nulls") == 0, F.col("nulls")),
+        ("row_count", "n = before", "n"),
+        ("columns", str(not missing).lower(), quote(", ".join(missing))),
+        ("no_null", "nulls = 0", "nulls"),
     ])

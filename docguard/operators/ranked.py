@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docguard.functions.numbers import num, quote
+
 RANGES = 255  # cut points between ranges, also the number of rows behind them
 
 
@@ -20,68 +22,53 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
 
     counts holds one row per (by, value); by and value are not NULL.
     """
-    by = list(by)
-    ranged = counts.withColumn("_cuts", _cut_points(counts, value, by)) \
-        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_range",
-        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_offset") for s in sums],
-        *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(offsets, [*by, "_range"])
-    before = {
-        f"{s}_before": F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums
-    }
-    return joined.withColumns(before).drop("_range", *[f"_{s}_offset" for s in sums])
+    keys = [*by, "_range"]
+    ranged = counts.withColumn("_cuts", _cut_points(counts, value, by)).selectExpr(
+        *counts.columns, f"size(filter(_cuts, cut -> cut < {value})) AS _range")
+    totals = ranged.groupBy(*keys).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
+    group = f"PARTITION BY {', '.join(by) or '1'}"
+    earlier = "ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = totals.selectExpr(
+        *keys, *[f"coalesce(sum({s}) OVER ({group} {earlier}), 0) AS _{s}_offset" for s in sums],
+        *[f"sum({s}) OVER ({group}) AS {s}_total" for s in sums])
+    inside = f"PARTITION BY {', '.join(keys)} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return ranged.join(offsets, keys).selectExpr(
+        *counts.columns, *[f"_{s}_offset + coalesce(sum({s}) OVER ({inside}), 0) AS {s}_before" for s in sums],
+        *[f"{s}_total" for s in sums])
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, n) over the non-NULL values of several numeric columns."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ]))
-    long = df.select(pairs.alias("_p")).select("_p.feature", "_p.value").filter("value is not null")
-    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = ", ".join(f"{quote(c)}, double({c})" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").filter("value IS NOT NULL")
+    return long.groupBy("feature", "value").agg(F.expr("count(1) AS n"))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
     """One row per column with linearly interpolated exact quantiles, e.g. {"median": .5}."""
     ranked = running_totals(value_counts(df, columns), "value", ["n"], ["feature"])
-    parts = {}
+
+    def value_at(place: str) -> str:
+        return f"max(if(n_before <= {place} AND {place} < n_before + n, value, null))"
+
+    edges, result = [], []
     for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("n_total") - 1)
-        parts[name] = (place, _value_at(F.floor(place)), _value_at(F.ceil(place)))
-    edges = ranked.groupBy("feature").agg(
-        F.max("n_total").alias("n_total"),
-        *[low.alias(f"_{name}_low") for name, (_, low, _) in parts.items()],
-        *[high.alias(f"_{name}_high") for name, (_, _, high) in parts.items()],
-    )
-    result = []
-    for name, (place, _, _) in parts.items():
-        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        result.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return edges.select("feature", *result)
-
-
-def value_at_rank(counts: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+        place = f"({num(p)} * (n_total - 1))"
+        edges += [f"{value_at(f'floor({place})')} AS _{name}_low", f"{value_at(f'ceil({place})')} AS _{name}_high"]
+        result.append(f"_{name}_low + (_{name}_high - _{name}_low) * ({place} - floor({place})) AS {name}")
+    held = ranked.groupBy("feature").agg(*[F.expr(e) for e in ["max(n_total) AS n_total", *edges]])
+    return held.selectExpr("feature", *result)
+
+
+def value_at_rank(values: DataFrame, value: str, ranks: dict[str, str]) -> DataFrame:
     """One row: the values at the given 1-based ranks (NULL for rank 0) of distinct values.
 
-    Each rank is a function of the column "n_total", the number of values.
+    A rank is an expression over the column n_total, the number of values.
     """
-    one_each = counts.select(value).distinct().withColumn("n", F.lit(1).cast("bigint"))
+    one_each = values.select(value).distinct().withColumn("n", F.expr("bigint(1)"))
     ranked = running_totals(one_each, value, ["n"])
-    return ranked.agg(*[
-        F.max(F.when(F.col("n_before") + 1 == rank, F.col(value))).alias(name) for name, rank in ranks.items()
-    ])
-
-
-def _value_at(index: Column) -> Column:
-    held = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
-    return F.max(F.when(held, F.col("value")))
+    return ranked.agg(*[F.expr(f"max(if(n_before + 1 = {rank}, {value}, null)) AS {name}")
+                        for name, rank in ranks.items()])
 
 
 def _cut_points(counts: DataFrame, value: str, by: Sequence[str]) -> Column:
@@ -91,4 +78,4 @@ def _cut_points(counts: DataFrame, value: str, by: Sequence[str]) -> Column:
     how well the ranges are balanced never changes the result.
     """
     drawn = counts.orderBy(F.xxhash64(value, *by), value).limit(RANGES)
-    return drawn.agg(F.array_sort(F.collect_list(value))).scalar()
+    return drawn.agg(F.expr(f"array_sort(collect_list({value}))")).scalar()

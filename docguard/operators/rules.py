@@ -1,6 +1,6 @@
 """The prioritised rule table, compiled to one CASE expression.
 
-No UDF and no join: every rule becomes a boolean column, and the first that holds decides.
+No UDF and no join: every rule becomes a condition, and the first that holds decides.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import DEFAULT_ALLOW, DEFAULT_RULES, FAIL_SAFE_BLOCK
-from docguard.functions.numbers import fixed, nan_to_null, percent
+from docguard.functions.numbers import fixed, listed, nan_to_null, num, percent, quote
 from docguard.functions.signals import is_flagged
 from docguard.functions.text import strip
 
@@ -23,28 +23,19 @@ RULES_SCHEMA = "id string, name string, priority int, action string, severity st
 
 # context field -> (candidate columns, default, kind)
 CONTEXT = {
-    "risk_score": (("risk_score",), None, "number"),
-    "vision_score": (("vision_score",), 0.0, "number"),
-    "hidden_text_detected": (("hidden_text_detected", "hidden_text_score"), False, "flag"),
-    "keyword_density": (("keyword_density",), 0.0, "number"),
-    "footer_density": (("footer_density", "footer_text_density"), 0.0, "number"),
-    "watermark_score": (("watermark_score",), 0.0, "number"),
-    "prompt_score": (("prompt_score", "malicious_probability"), 0.0, "number"),
-    "attack_family": (("attack_family_predicted", "attack_family"), "unknown", "text"),
-    "severity": (("severity",), "medium", "text"),
+    "risk_score": (("risk_score",), "null", "number"),
+    "vision_score": (("vision_score",), "0.0D", "number"),
+    "hidden_text_detected": (("hidden_text_detected", "hidden_text_score"), "false", "flag"),
+    "keyword_density": (("keyword_density",), "0.0D", "number"),
+    "footer_density": (("footer_density", "footer_text_density"), "0.0D", "number"),
+    "watermark_score": (("watermark_score",), "0.0D", "number"),
+    "prompt_score": (("prompt_score", "malicious_probability"), "0.0D", "number"),
+    "attack_family": (("attack_family_predicted", "attack_family"), "'unknown'", "text"),
+    "severity": (("severity",), "'medium'", "text"),
 }
-
-_COMPARE = {
-    "gt": lambda c, v: c > v,
-    "gte": lambda c, v: c >= v,
-    "lt": lambda c, v: c < v,
-    "lte": lambda c, v: c <= v,
-    "eq": lambda c, v: c == v,
-    "in": lambda c, v: c.isin(list(v)),
-}
-
-DECISION_COLUMNS = ["decision", "rule_id", "rule_name", "rule_severity", "policy_ref", "reason",
-                    "sanitization_action"]
+_TYPES = {"number": "double", "flag": "boolean", "text": "string"}
+_OPERATORS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "in": "IN"}
+_PLACEHOLDER = re.compile(r"\{(\w+)(?::\.(\d+)([f%]))?\}")
 
 
 def load_rules(path: str | None = None) -> list[dict[str, Any]]:
@@ -68,8 +59,7 @@ def with_threshold(rules: Sequence[dict], rule_id: str, field: str, value: float
 
 def rules_df(spark: SparkSession, rules: Sequence[dict]) -> DataFrame:
     """The rule list as rows in priority order."""
-    rows = [(r["id"], r["name"], r["priority"], r["action"], r["severity"], r.get("policy_ref") or "")
-            for r in sorted(rules, key=lambda r: r["priority"])]
+    rows = [(r["id"], r["name"], r["priority"], r["action"], r["severity"], r.get("policy_ref") or "") for r in rules]
     return spark.createDataFrame(rows, RULES_SCHEMA).orderBy("priority")
 
 
@@ -85,141 +75,144 @@ def rule_conditions(spark: SparkSession, rules: Sequence[dict]) -> DataFrame:
 
 def rule_context(df: DataFrame) -> DataFrame:
     """Add the normalised rule inputs as columns ctx_*; missing columns get their default."""
-    added = {}
+    added = []
     for field, (candidates, default, kind) in CONTEXT.items():
         present = next((c for c in candidates if c in df.columns), None)
         if present is None:
-            value = F.lit(default).cast({"number": "double", "flag": "boolean", "text": "string"}[kind])
+            value = "null"
         elif kind == "number":
-            value = nan_to_null(F.col(present).cast("double"))
+            value = nan_to_null(f"double({present})")
         elif kind == "flag":
-            value = F.col(present) if present == candidates[0] else F.col(present) >= 0.5
+            value = present if present == candidates[0] else f"{present} >= 0.5D"
         else:
-            value = F.lower(strip(F.coalesce(F.col(present), F.lit(default))))
-        if present is not None and default is not None and kind != "text":
-            value = F.coalesce(value, F.lit(default))
-        added[f"ctx_{field}"] = value
-    return df.withColumns(added)
-
-
-def drop_context(df: DataFrame) -> DataFrame:
-    return df.drop(*[f"ctx_{field}" for field in CONTEXT])
+            value = f"lower({strip(present)})"
+        added.append(f"coalesce({_TYPES[kind]}({value}), {default}) AS ctx_{field}")
+    return df.selectExpr("*", *added)
 
 
-def compile_condition(condition: dict[str, Any], compat: bool = False) -> Column:
-    """A condition map as one boolean column that is never NULL.
+def compile_condition(condition: dict[str, Any], compat: bool = False) -> str:
+    """A condition map as one boolean expression over ctx_* columns that is never NULL.
 
     Fields are joined by AND, and NULL never fires.  By default every operator of a field
     counts and an unknown one is an error; compat=True looks at the first operator only
     and lets unknown ones pass.
     """
-    result = F.lit(True)
-    for field, constraint in condition.items():
-        if field not in CONTEXT:
-            return F.lit(False)
-        value, kind = F.col(f"ctx_{field}"), CONTEXT[field][2]
-        result = result & F.coalesce(_constraint(value, kind, field, constraint, compat), F.lit(False))
-    return result
-
-
-def render(template: str) -> Column:
-    """A reason template with {x}, {x:.3f} and {x:.1%} as one string column."""
-    parts = []
-    for literal, field, digits, style in re.findall(r"([^{]*)(?:\{(\w+)(?::\.(\d+)([f%]))?\})?", template):
-        if literal:
-            parts.append(F.lit(literal))
-        if field and digits:
-            text = (fixed if style == "f" else percent)(F.col(f"ctx_{field}"), int(digits))
-            parts.append(F.coalesce(text, F.lit("nan")))
-        elif field:
-            parts.append(F.coalesce(F.col(f"ctx_{field}").cast("string"), F.lit("None")))
-    return F.concat(*parts)
+    if any(field not in CONTEXT for field in condition):
+        return "false"
+    tests = [_constraint(f"ctx_{field}", CONTEXT[field][2], field, constraint, compat)
+             for field, constraint in condition.items()]
+    return f"coalesce({' AND '.join(tests) or 'true'}, false)"
+
+
+def render(template: str) -> str:
+    """A reason template with {x}, {x:.3f} and {x:.1%} as one string expression over ctx_text_* columns."""
+    parts, at = [], 0
+    for match in _PLACEHOLDER.finditer(template):
+        parts += [quote(template[at:match.start()]), _text_name(*match.groups())]
+        at = match.end()
+    return f"concat({', '.join([*parts, quote(template[at:])])})"
+
+
+def _text_name(field: str, digits: str | None, style: str | None) -> str:
+    return f"ctx_text_{field}_{digits or 0}{'p' if style == '%' else 'f' if style else 's'}"
+
+
+def _context_texts(rules: Sequence[dict]) -> list[str]:
+    """One expression per formatted value that any template uses: each is formatted once."""
+    texts = {}
+    for rule in rules:
+        for field, digits, style in _PLACEHOLDER.findall(rule["reason_template"]):
+            value = f"ctx_{field}"
+            if digits:
+                text = f"coalesce({(fixed if style == 'f' else percent)(value, int(digits))}, 'nan')"
+            else:
+                text = f"coalesce(string({value}), 'None')"
+            texts[_text_name(field, digits, style)] = text
+    return [f"{text} AS {name}" for name, text in texts.items()]
+
+
+def _first_rule(rules: Sequence[dict], compat: bool, failed: str) -> str:
+    """Place of the first rule that holds, the number of rules if none, -1 for failed rows."""
+    cases = " ".join(f"WHEN {compile_condition(r['condition'], compat)} THEN {i}" for i, r in enumerate(rules))
+    return f"CASE WHEN {failed} IS NOT NULL THEN -1 {cases} ELSE {len(rules)} END"
 
 
 def evaluate_rules(df: DataFrame, rules: Sequence[dict] | None = None, compat: bool = False,
-                   failed: Column | None = None) -> DataFrame:
+                   failed: str = "cast(null as string)") -> DataFrame:
     """Add the decision of the first rule that holds; ALLOW if none does.
 
-    failed, if given, is an error text: rows where it is not NULL are blocked as fail-safe.
+    failed is an error text: rows where it is not NULL are blocked as fail-safe.
     """
     rules = load_rules() if rules is None else sorted(rules, key=lambda r: r["priority"])
-    staged = rule_context(df)
-    error = F.lit(None).cast("string") if failed is None else failed
-    number = F.when(error.isNotNull(), -1)
-    for place, rule in enumerate(rules):
-        number = number.when(compile_condition(rule["condition"], compat), place)
-    staged = staged.withColumn("_rule", number.otherwise(len(rules)))
-
-    def pick(by_rule, allow, fail) -> Column:
-        chosen = F.when(F.col("_rule") == -1, fail)
-        for place, rule in enumerate(rules):
-            chosen = chosen.when(F.col("_rule") == place, by_rule(rule))
-        return chosen.otherwise(allow)
-
-    def constant(rule_key: str, result_key: str) -> Column:
-        return pick(lambda rule: F.lit(rule.get(rule_key)), F.lit(DEFAULT_ALLOW[result_key]),
-                    F.lit(FAIL_SAFE_BLOCK[result_key])).cast("string")
-
-    blocked = F.concat(F.lit("Governance agent failed ("), error, F.lit("). Blocking as failsafe."))
-    staged = staged.withColumns({
-        "decision": constant("action", "decision"),
-        "rule_id": constant("id", "rule_id"),
-        "rule_name": constant("name", "rule_name"),
-        "rule_severity": constant("severity", "severity"),
-        "policy_ref": constant("policy_ref", "policy_ref"),
-        "reason": pick(lambda rule: render(rule["reason_template"]), F.lit(DEFAULT_ALLOW["reason"]), blocked),
-        "sanitization_action": constant("sanitization_action", "sanitization_action"),
-    })
-    return drop_context(staged).drop("_rule")
+    staged = rule_context(df).selectExpr("*", f"{failed} AS _failed", *_context_texts(rules))
+    staged = staged.selectExpr("*", f"{_first_rule(rules, compat, '_failed')} AS _rule")
+
+    def pick(values: Sequence[str], allow: str, fail: str) -> str:
+        cases = " ".join(f"WHEN {i} THEN {value}" for i, value in enumerate(values))
+        return f"CASE _rule WHEN -1 THEN {fail} {cases} ELSE {allow} END"
+
+    def constant(rule_key: str, result_key: str) -> str:
+        return pick([quote(r.get(rule_key)) for r in rules], quote(DEFAULT_ALLOW[result_key]),
+                    quote(FAIL_SAFE_BLOCK[result_key]))
+
+    blocked = "concat('Governance agent failed (', _failed, '). Blocking as failsafe.')"
+    reason = pick([render(r["reason_template"]) for r in rules], quote(DEFAULT_ALLOW["reason"]), blocked)
+    return staged.selectExpr(
+        *df.columns,
+        f"{constant('action', 'decision')} AS decision", f"{constant('id', 'rule_id')} AS rule_id",
+        f"{constant('name', 'rule_name')} AS rule_name", f"{constant('severity', 'severity')} AS rule_severity",
+        f"{constant('policy_ref', 'policy_ref')} AS policy_ref", f"{reason} AS reason",
+        f"{constant('sanitization_action', 'sanitization_action')} AS sanitization_action")
 
 
 def rule_hits(df: DataFrame, rules: Sequence[dict] | None = None, id_column: str = "sample_id",
               compat: bool = False) -> DataFrame:
     """All rules that hold, as (id, rule_id, priority) rows: a generator, no cross join."""
     rules = load_rules() if rules is None else rules
-    fired = F.array_compact(F.array(*[
-        F.when(compile_condition(rule["condition"], compat),
-               F.struct(F.lit(rule["id"]).alias("rule_id"), F.lit(rule["priority"]).alias("priority")))
-        for rule in rules
-    ]))
-    return rule_context(df).select(id_column, F.inline(fired))
+    fired = ", ".join(
+        f"if({compile_condition(r['condition'], compat)}, "
+        f"named_struct('rule_id', {quote(r['id'])}, 'priority', {r['priority']}), null)" for r in rules)
+    return rule_context(df).selectExpr(id_column, f"inline(array_compact(array({fired})))")
 
 
 def rules_flag(df: DataFrame, rules: Sequence[dict] | None = None) -> DataFrame:
     """Add only the boolean rules_flag: does the rule table BLOCK or SANITIZE?"""
     rules = load_rules() if rules is None else sorted(rules, key=lambda r: r["priority"])
-    action = F.when(F.lit(False), F.lit(""))
-    for rule in rules:
-        action = action.when(compile_condition(rule["condition"]), F.lit(rule["action"]))
-    staged = rule_context(df)
-    return drop_context(staged.withColumn("rules_flag", is_flagged(action.otherwise("ALLOW"))))
+    cases = " ".join(f"WHEN {compile_condition(r['condition'])} THEN {quote(r['action'])}" for r in rules)
+    action = f"CASE {cases} ELSE 'ALLOW' END"
+    return rule_context(df).selectExpr(*df.columns, f"{is_flagged(action)} AS rules_flag")
 
 
-def _constraint(value: Column, kind: str, field: str, constraint: Any, compat: bool) -> Column:
+def _constraint(value: str, kind: str, field: str, constraint: Any, compat: bool) -> str:
+    present = f"{value} IS NOT NULL"
     if isinstance(constraint, dict):
-        known = {op: v for op, v in constraint.items() if op in _COMPARE}
         if compat:
-            first, bound = next(iter(constraint.items()))
-            return _compare(value, kind, field, first, bound) if first in known else value.isNotNull()
-        if len(known) < len(constraint):
-            raise ValueError(f"unknown operator for {field}: {sorted(set(constraint) - set(known))}")
-        result = F.lit(True)
-        for op, bound in known.items():
-            result = result & _compare(value, kind, field, op, bound)
-        return result
+            op, bound = next(iter(constraint.items()))
+            return _compare(value, kind, field, op, bound) if op in _OPERATORS else present
+        unknown = sorted(set(constraint) - set(_OPERATORS))
+        if unknown:
+            raise ValueError(f"unknown operator for {field}: {unknown}")
+        return " AND ".join(_compare(value, kind, field, op, bound) for op, bound in constraint.items()) or present
     if isinstance(constraint, bool):
-        truth = F.length(value) > 0 if kind == "text" else value.cast("boolean")
-        return truth == F.lit(constraint)
+        truth = f"length({value}) > 0" if kind == "text" else f"boolean({value})"
+        return f"({truth}) = {str(constraint).lower()}"
     if isinstance(constraint, (int, float)):
-        return F.lit(False) if kind == "text" else value.cast("double") == F.lit(float(constraint))
+        return "false" if kind == "text" else f"double({value}) = {num(constraint)}"
     if compat:
-        return value.isNotNull()
+        return present
     raise ValueError(f"condition on {field} must be a map, a flag or a number, not {constraint!r}")
 
 
-def _compare(value: Column, kind: str, field: str, op: str, bound: Any) -> Column:
-    if op in ("gt", "gte", "lt", "lte") and (kind == "text") != isinstance(bound, str):
+def _compare(value: str, kind: str, field: str, op: str, bound: Any) -> str:
+    bounds = list(bound) if op == "in" else [bound]
+    if kind == "text":
+        comparable = [b for b in bounds if isinstance(b, str)]
+    else:
+        comparable = [b for b in bounds if isinstance(b, (int, float))]
+        value = f"double({value})"
+    if op in ("in", "eq"):  # values of another kind are just not equal
+        texts = listed(comparable) if kind == "text" else ", ".join(num(b) for b in comparable)
+        return f"{value} IN ({texts})" if comparable else "false"
+    if not comparable:
         raise ValueError(f"{op} on {field} cannot compare with {bound!r}")
-    if kind == "flag":
-        value = value.cast("double")
-    return _COMPARE[op](value, bound)
+    return f"{value} {_OPERATORS[op]} {quote(bound) if kind == 'text' else num(bound)}"

@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import SPLITS
-from docguard.functions.numbers import ratio, rounded
+from docguard.functions.numbers import quote, ratio, rounded
 from docguard.functions.signals import group_key, split_name
 from docguard.operators.ranked import value_at_rank
 
 PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
 
 
+def aggregates(*expressions: str) -> list[Column]:
+    return [F.expr(e) for e in expressions]
+
+
 def normalise_split(df: DataFrame) -> DataFrame:
     """corrected_split becomes split; names trimmed, lower case, 'validation' as 'val'."""
     if "corrected_split" in df.columns and "split" not in df.columns:
         df = df.withColumnRenamed("corrected_split", "split")
-    return df.withColumn("split", split_name(F.col("split")))
+    return df.withColumn("split", F.expr(split_name("split")))
 
 
 def with_group_key(df: DataFrame, id_column: str = "sample_id") -> DataFrame:
-    return df.withColumn("group_key", group_key(F.col(id_column)))
+    return df.withColumn("group_key", F.expr(group_key(id_column)))
 
 
 def group_split(df: DataFrame, key: str = "group_key", seed: str = "42", test_share: float = 0.10,
@@ -31,67 +35,69 @@ def group_split(df: DataFrame, key: str = "group_key", seed: str = "42", test_sh
     The two hashes that bound test and val are found over the distinct groups; the rows
     are only compared with them, so no row moves and a huge group is no special case.
     """
-    def hashed() -> Column:
-        return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-
-    n_test = F.ceil(F.col("n_total") * F.lit(test_share))
-    n_val = F.ceil((F.col("n_total") - n_test) * F.lit(val_share))
-    groups = df.groupBy(F.col(key)).agg(F.lit(1)).select(hashed().alias("_hash"))
-    bounds = value_at_rank(groups, "_hash", {"test": n_test, "val": n_test + n_val})
-    bound = bounds.select(F.struct("test", "val")).scalar()
-    chosen = (F.when(hashed() <= F.col("_bound.test"), "test")
-              .when(hashed() <= F.col("_bound.val"), "val")
-              .otherwise("train"))
-    return df.withColumn("_bound", bound).withColumn(out, chosen).drop("_bound")
+    hashed = f"md5(concat({quote(seed + ':')}, string({key})))"
+    n_test = f"ceil(n_total * {test_share}D)"
+    n_val = f"ceil((n_total - {n_test}) * {val_share}D)"
+    groups = df.select(key).distinct().selectExpr(f"{hashed} AS _hash")
+    bounds = value_at_rank(groups, "_hash", {"test": n_test, "val": f"{n_test} + {n_val}"})
+    bound = bounds.selectExpr("named_struct('test', test, 'val', val)").scalar()
+    chosen = f"CASE WHEN {hashed} <= _bound.test THEN 'test' WHEN {hashed} <= _bound.val THEN 'val' ELSE 'train' END"
+    return df.withColumn("_bound", bound).withColumn(out, F.expr(chosen)).drop("_bound")
 
 
 def group_sizes(df: DataFrame, key: str = "group_key") -> DataFrame:
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(
-        F.count(F.lit(1)).alias("n_groups"), F.min("n").alias("min_size"),
-        F.max("n").alias("max_size"), F.avg("n").alias("mean_size"),
-    )
+    sizes = df.groupBy(key).agg(F.expr("count(1) AS n"))
+    return sizes.agg(*aggregates("count(1) AS n_groups", "min(n) AS min_size", "max(n) AS max_size",
+                                 "avg(n) AS mean_size"))
+
+
+def _spread(df: DataFrame, split_column: str, key: str) -> DataFrame:
+    """First and last split per group: more than one distinct value is first < last."""
+    return df.groupBy(key).agg(*aggregates(f"min({split_column}) AS first", f"max({split_column}) AS last"))
 
 
 def group_leakage(df: DataFrame, split_column: str, key: str = "group_key") -> DataFrame:
     """Groups with members in more than one split: count and percentage."""
-    # more than one distinct value is min < max: plain hash aggregation, no expand
-    spread = df.groupBy(key).agg(F.min(split_column).alias("a"), F.max(split_column).alias("b"))
-    return spread.agg(
-        F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("a") < F.col("b")).alias("leaked_groups"),
-    ).withColumn("leaked_pct", ratio(F.col("leaked_groups"), F.col("n_groups")) * 100)
+    counted = _spread(df, split_column, key).agg(*aggregates(
+        "count(1) AS n_groups", "count_if(first < last) AS leaked_groups"))
+    return counted.selectExpr("*", f"{ratio('leaked_groups', 'n_groups')} * 100 AS leaked_pct")
+
+
+def leaking_groups(df: DataFrame, split_column: str, key: str) -> Column:
+    return _spread(df, split_column, key).agg(F.expr("count_if(first < last)")).scalar()
+
+
+def unique_count(df: DataFrame, id_column: str) -> Column:
+    return df.select(id_column).distinct().agg(F.expr("count(1)")).scalar()
 
 
 def duplicate_ids(df: DataFrame, id_column: str = "sample_id") -> DataFrame:
     """Ids that occur more than once, with their counts."""
-    return df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return df.groupBy(id_column).agg(F.expr("count(1) AS n")).filter("n > 1")
 
 
 def split_overlap(df: DataFrame, id_column: str = "sample_id") -> DataFrame:
     """Per pair of splits the number of ids in both: one shuffle, no self-join."""
-    held = df.groupBy(id_column).agg(*[F.max(F.col("split") == s).alias(s) for s in SPLITS])
-    counts = held.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in PAIRS])
-    rows = F.array(*[
-        F.struct(F.lit(f"{a}-{b}").alias("pair"), F.col(f"{a}_{b}").alias("n_overlap")) for a, b in PAIRS
-    ])
-    return counts.select(F.inline(rows))
+    held = df.groupBy(id_column).agg(*aggregates(*[f"max(split = '{s}') AS {s}" for s in SPLITS]))
+    counts = held.agg(*aggregates(*[f"count_if({a} AND {b}) AS {a}_{b}" for a, b in PAIRS]))
+    rows = ", ".join(f"'{a}-{b}', {a}_{b}" for a, b in PAIRS)
+    return counts.selectExpr(f"stack({len(PAIRS)}, {rows}) AS (pair, n_overlap)")
 
 
 def class_balance(df: DataFrame, split_column: str = "split", label: str = "label") -> DataFrame:
     """Per split: size, benign, malicious, benign ratio, and whether it is near one half."""
-    return df.groupBy(F.col(split_column).alias("split")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(label) == "benign").alias("benign"),
-        F.count_if(F.col(label) == "malicious").alias("malicious"),
-    ).withColumn("benign_ratio", ratio(F.col("benign"), F.col("n"))) \
-     .withColumn("balanced", F.abs(F.col("benign_ratio") - 0.50) < 0.01)
+    sizes = df.groupBy(F.col(split_column).alias("split")).agg(*aggregates(
+        "count(1) AS n", f"count_if({label} = 'benign') AS benign", f"count_if({label} = 'malicious') AS malicious"))
+    return sizes.selectExpr("*", f"{ratio('benign', 'n')} AS benign_ratio",
+                            f"abs({ratio('benign', 'n')} - 0.50D) < 0.01D AS balanced")
 
 
 def split_proportions(df: DataFrame, split_column: str = "split") -> DataFrame:
     """Percentage of the rows per split."""
-    sizes = df.groupBy(F.col(split_column).alias("split")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return sizes.withColumn("pct", rounded(ratio(F.col("n"), total) * 100, 2))
+    sizes = df.groupBy(F.col(split_column).alias("split")).agg(F.expr("count(1) AS n"))
+    total = df.agg(F.expr("count(1)")).scalar()
+    part = f"({ratio('n', '_total')} * 100)"
+    return sizes.withColumn("_total", total).selectExpr("split", "n", f"{rounded(part, 2)} AS pct")
 
 
 def id_intersect(left: DataFrame, right: DataFrame, id_column: str = "sample_id") -> DataFrame:
@@ -104,51 +110,36 @@ def id_except(left: DataFrame, right: DataFrame, id_column: str = "sample_id") -
 
 def flag_membership(df: DataFrame, ids: DataFrame, flag: str, id_column: str = "sample_id") -> DataFrame:
     """1 where the id occurs in ids, else 0."""
-    known = ids.select(id_column).distinct().withColumn("_known", F.lit(1))
-    return df.join(known, id_column, "left").withColumn(flag, F.coalesce("_known", F.lit(0))).drop("_known")
+    known = ids.select(id_column).distinct().selectExpr(id_column, "1 AS _known")
+    joined = df.join(known, id_column, "left")
+    return joined.withColumn(flag, F.expr("coalesce(_known, 0)")).drop("_known")
 
 
 def original_split(df: DataFrame, sources: dict[str, DataFrame], id_column: str = "sample_id") -> DataFrame:
     """Which source holds the id; a later source wins, 'unknown' if none does."""
     tagged = None
     for place, (name, source) in enumerate(sources.items()):
-        part = source.select(id_column, F.struct(F.lit(place).alias("place"), F.lit(name).alias("name")).alias("s"))
+        part = source.selectExpr(id_column, f"named_struct('place', {place}, 'name', {quote(name)}) AS s")
         tagged = part if tagged is None else tagged.unionByName(part)
-    last = tagged.groupBy(id_column).agg(F.max("s").alias("_s"))
+    last = tagged.groupBy(id_column).agg(F.expr("max(s) AS _s"))
     joined = df.join(last, id_column, "left")
-    return joined.withColumn("original_split", F.coalesce("_s.name", F.lit("unknown"))).drop("_s")
+    return joined.withColumn("original_split", F.expr("coalesce(_s.name, 'unknown')")).drop("_s")
 
 
 def verification_report(df: DataFrame, split_column: str = "corrected_split", key: str = "group_key",
                         id_column: str = "sample_id", label: str = "label") -> DataFrame:
     """The checks as ordered (ordinal, check_name, value) rows."""
-    groups = df.groupBy(key).agg(F.min(split_column).alias("a"), F.max(split_column).alias("b"))
-    leaked = groups.agg(F.count_if(F.col("a") < F.col("b"))).scalar()
-    unique = df.select(id_column).distinct().agg(F.count(F.lit(1))).scalar()
-    split = F.col(split_column)
-    sizes = [F.count(F.lit(1)).alias("total")]
+    sizes = ["count(1) AS total"]
     for s in SPLITS:
-        sizes += [
-            F.count_if(split == s).alias(f"{s}_total"),
-            F.count_if((split == s) & (F.col(label) == "benign")).alias(f"{s}_benign"),
-            F.count_if((split == s) & (F.col(label) == "malicious")).alias(f"{s}_malicious"),
-        ]
-    one = df.agg(*sizes).withColumn("leaked", leaked).withColumn("unique", unique)
-    checks: list[tuple[str, Column]] = [
-        ("group_leakage_count", F.col("leaked")),
-        ("total_rows", F.col("total")),
-        ("unique_sample_ids", F.col("unique")),
-    ]
+        here = f"{split_column} = '{s}'"
+        sizes += [f"count_if({here}) AS {s}_total", f"count_if({here} AND {label} = 'benign') AS {s}_benign",
+                  f"count_if({here} AND {label} = 'malicious') AS {s}_malicious"]
+    one = df.agg(*aggregates(*sizes)).withColumns({
+        "leaked": leaking_groups(df, split_column, key), "uniques": unique_count(df, id_column)})
+    checks = [("group_leakage_count", "leaked"), ("total_rows", "total"), ("unique_sample_ids", "uniques")]
     for s in SPLITS:
-        checks += [
-            (f"{s}_benign_ratio", rounded(ratio(F.col(f"{s}_benign"), F.col(f"{s}_total")), 4)),
-            (f"{s}_total", F.col(f"{s}_total")),
-            (f"{s}_benign", F.col(f"{s}_benign")),
-            (f"{s}_malicious", F.col(f"{s}_malicious")),
-        ]
-    checks += [(f"{s}_pct", rounded(ratio(F.col(f"{s}_total"), F.col("total")) * 100, 2)) for s in SPLITS]
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("ordinal"), F.lit(name).alias("check_name"), value.cast("double").alias("value"))
-        for i, (name, value) in enumerate(checks)
-    ])
-    return one.select(F.inline(rows))
+        checks += [(f"{s}_benign_ratio", rounded(ratio(f"{s}_benign", f"{s}_total"), 4)), (f"{s}_total", f"{s}_total"),
+                   (f"{s}_benign", f"{s}_benign"), (f"{s}_malicious", f"{s}_malicious")]
+    checks += [(f"{s}_pct", rounded(f"({ratio(f'{s}_total', 'total')} * 100)", 2)) for s in SPLITS]
+    rows = ", ".join(f"{i + 1}, {quote(name)}, double({value})" for i, (name, value) in enumerate(checks))
+    return one.selectExpr(f"stack({len(checks)}, {rows}) AS (ordinal, check_name, value)")

@@ -9,70 +9,61 @@ from pyspark.sql import functions as F
 
 from docguard.fixed_values import HEURISTIC_PHRASES, IMPERATIVE_VERBS, INJECTION_PHRASES
 from docguard.functions import text as T
-from docguard.functions.layout import drop_footer
+from docguard.functions.layout import boxes_text, drop_footer
 from docguard.functions.numbers import rounded
 from docguard.functions.signals import confidence, label_code
+from docguard.operators.features import replaced
 
 INFERENCE_ORDER = ("ocr_text", "text", "prompt")
 TRAINING_ORDER = ("text", "ocr_text", "prompt")
 
-Scorer = Callable[[Column], Column]
+# From a text column to its score: an SQL expression, or a Column for a UDF backend.
+Scorer = Callable[[str], str | Column]
 
 
 def pick_text(df: DataFrame, order: Sequence[str] = INFERENCE_ORDER, out: str = "picked_text") -> DataFrame:
     """The first of the columns that exists, with NULL as ''."""
-    present = next((c for c in order if c in df.columns), None)
+    columns = df.columns
+    present = next((c for c in order if c in columns), None)
     if present is None:
         raise ValueError(f"no text column: need one of {', '.join(order)}")
-    return df.withColumn(out, F.coalesce(F.col(present), F.lit("")))
+    return df.withColumn(out, F.expr(f"coalesce({present}, '')"))
 
 
 def token_length(df: DataFrame, text: str = "text") -> DataFrame:
-    counted = df.withColumn("word_count", T.word_count(F.col(text)))
-    return counted.withColumn("approx_tokens", T.approx_tokens(F.col("word_count")))
+    counted = df.withColumn("word_count", F.expr(T.word_count(text)))
+    return counted.withColumn("approx_tokens", F.expr(T.approx_tokens("word_count")))
 
 
 def prepare_text_label(df: DataFrame, truncate: bool = True,
                        order: Sequence[str] = INFERENCE_ORDER) -> DataFrame:
     """(text, label) pairs for training."""
-    picked = pick_text(df, order)
-    text = T.smart_truncate(F.col("picked_text")) if truncate else F.col("picked_text")
-    return picked.select("sample_id", text.alias("text"), label_code(F.col("label"), True).alias("label"))
+    text = T.smart_truncate("picked_text") if truncate else "picked_text"
+    return pick_text(df, order).selectExpr("sample_id", f"{text} AS text", f"{label_code('label', True)} AS label")
 
 
 def with_keyword_density(df: DataFrame, text: str = "text",
                          phrases: Sequence[str] = tuple(INJECTION_PHRASES)) -> DataFrame:
-    return df.withColumns({
-        "keyword_density": T.keyword_density(F.col(text), phrases),
-        "total_words": T.word_count(F.col(text)),
-    })
+    return replaced(df, {"keyword_density": T.keyword_density(text, phrases), "total_words": T.word_count(text)})
 
 
 def heuristic_scores(df: DataFrame, text: str = "text", phrases: Sequence[str] = tuple(HEURISTIC_PHRASES),
                      verbs: Sequence[str] = tuple(IMPERATIVE_VERBS)) -> DataFrame:
     """Model-free prompt score from phrase density and leading imperatives, 4 decimals."""
-    staged = df.withColumn("_words", T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumns({
-        "_n": F.size("_words"),
-        "_hits": T.substring_hits(F.col(text), phrases),
-        "_imperatives": T.imperative_count(F.col("_words"), verbs),
-    })
-    staged = staged.withColumn("_density", T.heuristic_density(F.col("_hits"), F.col("_n")))
-    staged = staged.withColumn("_prompt", T.heuristic_prompt(F.col("_density"), F.col("_imperatives")))
-
-    def unless_blank(value: Column) -> Column:
-        return F.when(F.col("_n") == 0, 0.0).otherwise(rounded(value, 4))
-
-    scored = staged.withColumns({
-        "prompt_score": unless_blank(F.col("_prompt")),
-        "keyword_density": unless_blank(F.col("_density")),
-        "vision_score": F.lit(0.0),
-        "risk_score": unless_blank(F.col("_prompt")),
-    })
-    return scored.drop("_words", "_n", "_hits", "_imperatives", "_density", "_prompt")
-
-
-def phrase_scorer(phrases: Sequence[str]) -> Scorer:
-    """A column scorer without a model: the keyword density of a text."""
+    lowered = f"lower(coalesce({text}, ''))"
+    columns = df.columns
+    staged = df.selectExpr("*", f"{T.tokens(lowered)} AS _words", f"{T.substring_hits(text, phrases)} AS _hits")
+    staged = staged.selectExpr(*columns, "_hits", "size(_words) AS _n",
+                               f"{T.imperative_count('_words', verbs)} AS _imperatives")
+    staged = staged.withColumn("_density", F.expr(T.heuristic_density("_hits", "_n")))
+    staged = staged.withColumn("_prompt", F.expr(T.heuristic_prompt("_density", "_imperatives")))
+    prompt, density = (f"if(_n = 0, 0.0D, {rounded(c, 4)})" for c in ("_prompt", "_density"))
+    return replaced(staged, {"prompt_score": prompt, "keyword_density": density, "vision_score": "0.0D",
+                             "risk_score": prompt}).drop("_n", "_hits", "_imperatives", "_density", "_prompt")
+
+
+def phrase_scorer(phrases: Sequence[str]) -> Callable[[str], str]:
+    """A scorer without a model: the keyword density of a text."""
     return lambda text: T.keyword_density(text, phrases)
 
 
@@ -82,42 +73,46 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
 
     All windows of a text start in one task, so the shuffle carries one partial row per text.
     """
-    exploded = df.select(id_column, F.inline(T.text_windows(F.coalesce(F.col(text), F.lit("")), size, stride)))
-    scored = exploded.select(id_column, "start", scorer(F.col("text")).alias("score"))
-    early = F.min(F.when(F.col("score") > stop_above, F.struct("start", "score")))["score"]
+    known = f"coalesce({text}, '')"
+    windows = df.selectExpr(id_column, f"inline({T.text_windows(known, size, stride)}) AS (start, window_text)")
+    score = scorer("window_text")
+    scored = windows.select(id_column, "start", (F.expr(score) if isinstance(score, str) else score).alias("score"))
+    early = f"min(if(score > {stop_above}D, named_struct('start', start, 'score', score), null)).score"
     return scored.groupBy(id_column).agg(
-        F.coalesce(early, F.max("score")).alias("malicious_probability"),
-        F.count(F.lit(1)).alias("n_windows"),
-    )
+        F.expr(f"coalesce({early}, max(score)) AS malicious_probability"), F.expr("count(1) AS n_windows"))
+
+
+def windowed_score(text: str, scorer: Callable[[str], str], size: int = 510, stride: int = 256,
+                   stop_above: float = 0.99) -> str:
+    """The windowed score inside one row, as an expression: no explode, no shuffle, fit for streams.
+
+    UDF scorers cannot run inside a row; they go through sliding_window_score.
+    """
+    scores = f"transform({T.text_windows(text, size, stride)}, piece -> {scorer('piece.text')})"
+    early = f"try_element_at(filter({scores}, score -> score > {stop_above}D), 1)"
+    in_windows = f"coalesce({early}, array_max({scores}))"
+    return f"if({T.word_count(text)} <= {size}, {scorer(text)}, {in_windows})"
 
 
 def score_text(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text: str = "text") -> DataFrame:
     """Direct scoring of texts that fit, windowed scoring of the others, and the strategy used."""
     scores = sliding_window_score(df, scorer, id_column, text)
-    strategy = F.when(F.col("n_windows") > 1, "sliding_window").otherwise("direct")
-    return scores.withColumn("inference_strategy", strategy)
+    return scores.selectExpr("*", "if(n_windows > 1, 'sliding_window', 'direct') AS inference_strategy")
 
 
 def prediction_record(df: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The full record of one prediction per row; needs malicious_probability."""
-    p = F.col("malicious_probability")
-    return df.select(
-        "sample_id",
-        T.preview(F.col(text)).alias("text_preview"),
-        p,
-        (p >= threshold).cast("int").alias("predicted_label"),
-        confidence(p).alias("confidence"),
-        F.lit("unknown").alias("predicted_attack_family"),
-        T.inference_strategy(F.col(text)).alias("inference_strategy"),
-    )
+    return df.selectExpr(
+        "sample_id", f"{T.preview(text)} AS text_preview", "malicious_probability",
+        f"int(malicious_probability >= {threshold}D) AS predicted_label",
+        f"{confidence('malicious_probability')} AS confidence", "'unknown' AS predicted_attack_family",
+        f"{T.inference_strategy(text)} AS inference_strategy")
 
 
 def sanitize(df: DataFrame, phrases: Sequence[str] = tuple(INJECTION_PHRASES), text: str = "text",
              boxes: str | None = None, height: str | None = None) -> DataFrame:
     """Add sanitized_text for SANITIZE rows as their sanitization_action says; others keep the text."""
-    action = F.col("sanitization_action")
-    result = F.when(action == "redact_injection_spans", T.redact_phrases(F.col(text), phrases))
+    cases = f"WHEN 'redact_injection_spans' THEN {T.redact_phrases(text, phrases)}"
     if boxes is not None:
-        kept = F.transform(drop_footer(F.col(boxes), F.col(height)), lambda b: b["text"])
-        result = result.when(action == "redact_footer_region", F.array_join(kept, " "))
-    return df.withColumn("sanitized_text", result.otherwise(F.col(text)))
+        cases += f" WHEN 'redact_footer_region' THEN {boxes_text(drop_footer(boxes, height))}"
+    return df.selectExpr("*", f"CASE sanitization_action {cases} ELSE {text} END AS sanitized_text")

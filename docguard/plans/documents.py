@@ -8,85 +8,55 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from docguard.fixed_values import INJECTION_PHRASES
-from docguard.functions.layout import hidden_text_detected
-from docguard.functions.signals import risk_level, severity_code
-from docguard.functions.text import text_windows
+from docguard.functions.layout import boxes_text, hidden_text_detected
+from docguard.functions.signals import has_path, risk_level, severity_code
 from docguard.operators.decisions import decide_batch, fail_safe
-from docguard.operators.features import engineer_features
+from docguard.operators.features import engineer_features, replaced
 from docguard.operators.layouts import vision_features
 from docguard.operators.model import RiskModel, risk_probability
+from docguard.operators.texts import windowed_score
 
-VISION_SIGNALS = ["ocr_confidence", "tiny_text_count", "footer_text_density", "watermark_score",
-                  "hidden_text_score", "keyword_density", "total_boxes", "total_words"]
+# What a document without an image has instead of vision signals.
+NO_IMAGE = {
+    "ocr_confidence": "0.0D", "tiny_text_count": "0", "footer_text_density": "0.0D", "watermark_score": "0.0D",
+    "hidden_text_score": "0.0D", "keyword_density": "0.0D", "total_boxes": "0", "total_words": "0",
+    "vision_score": "0.0D", "error": "null",
+}
 
 
-def windowed_score(text: Column, scorer: Callable[[Column], Column], size: int = 510, stride: int = 256,
-                   stop_above: float = 0.99) -> Column:
-    """The windowed score inside one row: the first score above the stop value, else the maximum.
-
-    The scorer must be a column expression; UDF scorers go through sliding_window_score.
-    """
-    windows = text_windows(text, size, stride)
-    scores = F.transform(windows, lambda w: scorer(w["text"]))
-    early = F.try_element_at(F.filter(scores, lambda s: s > stop_above), F.lit(1))
-    return F.coalesce(early, F.array_max(scores))
-
-
-def decide_documents(docs: DataFrame, scorer: Callable[[Column], Column], rules: Sequence[dict] | None = None,
+def decide_documents(docs: DataFrame, scorer: Callable[[str], str], rules: Sequence[dict] | None = None,
                      model: RiskModel | None = None, phrases: Sequence[str] = tuple(INJECTION_PHRASES),
-                     at: Column | None = None) -> DataFrame:
+                     at: str = "current_timestamp()") -> DataFrame:
     """docs: sample_id, text, image_path, severity, and the box and layer columns of vision_features.
 
     A document without an image has no vision signal.  Without text the text of its boxes is
     scored, and without any text the score is 0.5.  Without a model the risk is the larger
     of both scores.
     """
-    record = F.struct(*[F.col(c) for c in ("text", "severity")]).alias("_doc")
-    has_image = F.length(F.trim(F.coalesce(F.col("image_path"), F.lit("")))) > 0
-    box_text = F.array_join(F.transform("boxes", lambda b: b["text"]), " ")
-    kept = docs.withColumns({"_doc": record, "_has_image": has_image, "_box_text": box_text})
-    seen = _with_vision(kept, phrases)
-    text = F.when(F.col("_doc.text").isNotNull(), F.col("_doc.text")) \
-            .when(F.col("_has_image") & (F.col("ocr_confidence") > 0), F.col("_box_text"))
-    seen = seen.withColumn("_text", text)
-    empty = F.coalesce(F.length("_text") == 0, F.lit(True))
-    scored = seen.withColumns({
-        "prompt_score": F.when(empty, 0.5).otherwise(windowed_score(F.col("_text"), scorer)),
-        "severity": F.col("_doc.severity"),
-    })
-    scored = _with_risk(scored, model)
-    scored = scored.withColumns({
-        "prompt_error": F.lit(None).cast("string"),
-        "hidden_text_detected": hidden_text_detected(F.col("hidden_text_score")),
-    })
-    return decide_batch(fail_safe(scored), rules, at)
-
-
-def _with_vision(docs: DataFrame, phrases: Sequence[str]) -> DataFrame:
-    """Add the vision record; documents without an image get zeros and no error."""
-    seen = vision_features(docs, phrases, keep=["_doc", "_has_image", "_box_text"])
-    blank = ~F.col("_has_image")
-    zeros = {c: F.when(blank, F.lit(0).cast(seen.schema[c].dataType)).otherwise(F.col(c))
-             for c in [*VISION_SIGNALS, "vision_score"]}
-    return seen.withColumns({**zeros, "vision_error": F.when(~blank, F.col("error"))}).drop("error")
+    seen = vision_features(docs, phrases, keep=["text", "severity", "boxes"])
+    seen = replaced(seen, {name: f"if({has_path('image_path')}, {name}, {value})" for name, value in NO_IMAGE.items()})
+    read = f"{has_path('image_path')} AND ocr_confidence > 0"
+    seen = replaced(seen, {"text": f"coalesce(text, if({read}, {boxes_text('boxes')}, null), '')"}).drop("boxes")
+    scored = replaced(seen, {
+        "prompt_score": f"if(text = '', 0.5D, {windowed_score('text', scorer)})",
+        "prompt_error": "cast(null as string)",
+        "vision_error": "error",
+        "hidden_text_detected": hidden_text_detected("hidden_text_score"),
+    }).drop("error", "text")
+    return decide_batch(fail_safe(_with_risk(scored, model)), rules, at)
 
 
 def _with_risk(scored: DataFrame, model: RiskModel | None) -> DataFrame:
     if model is None:
-        return scored.withColumns({
-            "risk_score": F.lit(None).cast("double"), "risk_level": F.lit(None).cast("string"),
-            "risk_error": F.lit("no risk model"),
-        })
-    features = engineer_features(scored.withColumn("malicious_probability", F.col("prompt_score")))
-    features = features.withColumns({
-        "ocr_confidence": F.when(F.col("_has_image"), F.col("ocr_confidence")).otherwise(0.5),
-        "severity_enc": severity_code(F.col("severity")),
-    })
-    risk = features.withColumn("risk_score", risk_probability(model))
-    return risk.withColumns({
-        "risk_level": risk_level(F.col("risk_score")), "risk_error": F.lit(None).cast("string"),
-    })
+        return replaced(scored, {"risk_score": "double(null)", "risk_level": "string(null)",
+                                 "risk_error": "'no risk model'"})
+    features = engineer_features(replaced(scored, {
+        "malicious_probability": "prompt_score",
+        "ocr_confidence": f"if({has_path('image_path')}, ocr_confidence, 0.5D)",
+        "severity_enc": severity_code("severity"),
+    }))
+    risk = replaced(features, {"risk_score": risk_probability(model), "risk_error": "cast(null as string)"})
+    return replaced(risk, {"risk_level": risk_level("risk_score")})

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from docguard.fixed_values import NINE_FEATURES
 from docguard.operators.decisions import decide_batch
@@ -24,14 +23,14 @@ def tune_rules(validation: DataFrame, rules: Sequence[dict], truth: str = "label
 
 def evaluate_matrix(features: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
                     rules: Sequence[dict] | None = None, audit_path: str | None = None,
-                    at: Column | None = None) -> tuple[RiskModel, DataFrame, DataFrame]:
+                    at: str = "current_timestamp()") -> tuple[RiskModel, DataFrame, DataFrame]:
     """Returns the model, the decisions on the test rows and the ablation table."""
     rules = load_rules() if rules is None else rules
-    model, _ = fit_risk(features.filter(F.col("split") == "train"), columns, label)
+    model, _ = fit_risk(features.filter("split = 'train'"), columns, label)
     risk = written(score_risk(features, model).select("sample_id", "risk_score", "risk_level"), "risk_scores")
     joined = written(join_risk(features, risk), "scored_features")
-    tuned = tune_rules(joined.filter(F.col("split") == "val"), rules, label)
-    test = joined.filter(F.col("split") == "test")
+    tuned = tune_rules(joined.filter("split = 'val'"), rules, label)
+    test = joined.filter("split = 'test'")
     decided = written(evaluate_rules(test, tuned), "decisions")
     if audit_path is not None:
         append_audit(decide_batch(test, tuned, at), audit_path, fresh=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docguard.functions.signals import file_name
+from docguard.functions.signals import file_name, has_path
+from docguard.operators.splits import aggregates
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,23 +20,22 @@ def resolve_images(df: DataFrame, files: DataFrame) -> DataFrame:
 
     Where several files share a name, the first in path order stands in.
     """
-    full = files.select(F.col("path").alias("_full")).distinct()
-    named = files.groupBy(file_name(F.col("path")).alias("_name")).agg(F.min("path").alias("_by_name"))
-    joined = df.join(full, F.col("image_path") == F.col("_full"), "left") \
-               .join(named, file_name(F.col("image_path")) == F.col("_name"), "left")
-    return joined.withColumn("resolved_path", F.coalesce("_full", "_by_name")).drop("_full", "_name", "_by_name")
+    full = files.selectExpr("path AS _full").distinct()
+    named = files.groupBy(F.expr(f"{file_name('path')} AS _name")).agg(F.expr("min(path) AS _by_name"))
+    joined = df.join(full, F.expr("image_path = _full"), "left") \
+               .join(named, F.expr(f"{file_name('image_path')} = _name"), "left")
+    return joined.withColumn("resolved_path", F.expr("coalesce(_full, _by_name)")).drop("_full", "_name", "_by_name")
 
 
 def image_inventory(resolved: DataFrame) -> DataFrame:
     """How many rows have a path, a file, or no file for their path."""
-    path = F.col("image_path").isNotNull() & (F.length(F.trim("image_path")) > 0)
-    found = F.col("resolved_path").isNotNull()
-    return resolved.agg(
-        F.count_if(path).alias("image_backed"), F.count_if(path & found).alias("found"),
-        F.count_if(path & ~found).alias("missing"))
+    path = has_path("image_path")
+    return resolved.agg(*aggregates(
+        f"count_if({path}) AS image_backed", f"count_if({path} AND resolved_path IS NOT NULL) AS found",
+        f"count_if({path} AND resolved_path IS NULL) AS missing"))
 
 
 def missing_examples(resolved: DataFrame, n: int = 5) -> DataFrame:
     """The first few paths without a file."""
-    path = F.length(F.trim("image_path")) > 0
-    return resolved.filter(path & F.col("resolved_path").isNull()).select("image_path").orderBy("image_path").limit(n)
+    lost = resolved.filter(f"{has_path('image_path')} AND resolved_path IS NULL")
+    return lost.select("image_path").orderBy("image_path").limit(n)
