@@ -91,8 +91,8 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _nested_boxes() -> str:
     """The same boxes as one array inside the document's row: no explode."""
-    lines, key = "split(text, '\\n')", "concat_ws(':', doc_id, pos)"
-    y0 = _y0("pos", f"size({lines})")
+    lines, key = "_lines", "concat_ws(':', doc_id, pos)"
+    y0 = _y0("pos", "_n_lines")
     box = (f"named_struct('pos', pos, 'text', line, 'confidence', {uniform(key, 'c')}, "
            f"'y0', {y0}, 'y1', {y0} + 60.0D * {uniform(key, 'h')})")
     return f"filter(transform({lines}, (line, pos) -> {box}), b -> trim(b.text) <> '')"
@@ -110,8 +110,10 @@ def layers(df: DataFrame) -> DataFrame:
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as page images: nested boxes, layers, path, and an error where it cannot be read."""
     error = f"if(image_path IS NOT NULL AND {u('err')} < 0.1D, 'cannot read image', null)"
-    return documents(spark, folder).selectExpr("*", *LAYERS, f"{_nested_boxes()} AS boxes",
-                                               f"{num(PAGE_HEIGHT)} AS height", f"{error} AS error")
+    docs = documents(spark, folder)
+    lined = docs.selectExpr("*", "split(text, '\\n') AS _lines").selectExpr("*", "size(_lines) AS _n_lines")
+    return lined.selectExpr(*docs.columns, *LAYERS, f"{_nested_boxes()} AS boxes", f"{num(PAGE_HEIGHT)} AS height",
+                            f"{error} AS error")
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

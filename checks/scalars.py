@@ -64,8 +64,8 @@ _TRUNCATED = """CASE WHEN len(w) <= 512 THEN text ELSE
 @check("smart_truncate", f"""SELECT doc_id, md5({_TRUNCATED}) AS digest, length({_TRUNCATED})::int AS n_chars
     FROM (SELECT doc_id, text, {sql_tokens('text')} AS w FROM documents)""")
 def smart_truncate(spark, d):
-    cut = table(spark, d, "documents").selectExpr("doc_id", f"{T.smart_truncate('text')} AS t")
-    return cut.selectExpr("doc_id", "md5(t) AS digest", "length(t) AS n_chars")
+    cut = X.truncate_texts(table(spark, d, "documents"))
+    return cut.selectExpr("doc_id", "md5(text) AS digest", "length(text) AS n_chars")
 
 
 _HIT_LIST = "array_to_string(list_filter([" + ", ".join(

@@ -12,8 +12,8 @@ from docguard.functions.numbers import clip, listed, num, quote, ratio
 
 # Unicode white space, plus the four separators Python's split() also breaks at.
 _SPACE = quote(r"(?U)[\s\x1C-\x1F]+")
-_EDGES = quote(r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$")
-_VISIBLE = quote(r"(?U)[^\s\x1C-\x1F]")
+_BLANKS = quote(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -22,12 +22,12 @@ def tokens(text: str) -> str:
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, {_EDGES}, '')"
+    return f"btrim({text}, {_BLANKS})"
 
 
 def is_blank(text: str) -> str:
     """True for NULL and for text that holds white space only."""
-    return f"(NOT coalesce({text}, '') rlike {_VISIBLE})"
+    return f"(coalesce(length({strip(text)}), 0) = 0)"
 
 
 def word_count(text: str) -> str:
@@ -39,21 +39,23 @@ def approx_tokens(words: str) -> str:
     return f"int(floor({words} * 1.3D))"
 
 
-def smart_truncate(text: str, max_tokens: int = 512, head: int = 128, tail: int = 128) -> str:
-    """Keep head, middle and tail of a long text; a short one stays as it is."""
-    words = tokens(text)
+def smart_truncate(text: str, words: str, max_tokens: int = 512, head: int = 128, tail: int = 128) -> str:
+    """Keep head, middle and tail of a long text; a short one stays as it is.
+
+    words is a column with the tokens of the text: used often, it must be computed once.
+    """
     middle = max_tokens - head - tail
     start = f"greatest({head}, size({words}) div 2 - {middle // 2})"
     kept = f"concat(slice({words}, 1, {head}), slice({words}, int({start}) + 1, {middle}), slice({words}, -{tail}, {tail}))"
     return f"if(size({words}) <= {max_tokens}, {text}, array_join({kept}, ' '))"
 
 
-def text_windows(text: str, size: int = 510, stride: int = 256) -> str:
+def text_windows(text: str, words: str, size: int = 510, stride: int = 256) -> str:
     """array<struct<start, text>>: one window for a text that fits, else overlapping ones.
 
-    The window texts are cut here, so that an exploded row carries its window only.
+    words is a column with the tokens of the text.  The window texts are cut here, so that
+    an exploded row carries its window only.
     """
-    words = tokens(text)
     starts = f"sequence(0, greatest(size({words}) - 1, 0), {stride})"
     piece = f"array_join(slice({words}, s + 1, {size}), ' ')"
     cut = f"transform({starts}, s -> named_struct('start', s, 'text', {piece}))"

@@ -77,8 +77,10 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 
 
 def _score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
-    known = df.selectExpr(*by, f"{score} AS score", f"{truth} AS truth").filter("score IS NOT NULL")
-    return known.groupBy(*by, "score").agg(*aggregates("count_if(truth = 1) AS pos", "count_if(truth = 0) AS neg"))
+    """Positives and negatives per distinct score; rows without a score count as neither."""
+    known = df.selectExpr(*by, f"{score} AS score", f"{truth} AS truth")
+    return known.groupBy(*by, "score").agg(*aggregates(
+        "count_if(truth = 1 AND score IS NOT NULL) AS pos", "count_if(truth = 0 AND score IS NOT NULL) AS neg"))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +95,7 @@ def roc_curve(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) ->
     """(threshold, fpr, tpr) for every distinct score; the point (0, 0) is implied."""
     ranked = running_totals(_score_counts(df, truth, score, by), "score", ["pos", "neg"], by)
     return ranked.selectExpr(*by, "score AS threshold", f"{ratio('neg_total - neg_before', 'neg_total')} AS fpr",
-                             f"{ratio('pos_total - pos_before', 'pos_total')} AS tpr")
+                             f"{ratio('pos_total - pos_before', 'pos_total')} AS tpr").filter("threshold IS NOT NULL")
 
 
 def brier(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:

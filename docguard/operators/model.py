@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
@@ -68,7 +69,8 @@ def fold_of(id_column: str, seed: str = "42") -> str:
 
 
 def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
-             grid: Sequence[float] = tuple(REGULARISATION_GRID), seed: str = "42") -> tuple[RiskModel, list[tuple]]:
+             grid: Sequence[float] = tuple(REGULARISATION_GRID), seed: str = "42",
+             parallelism: int = 6) -> tuple[RiskModel, list[tuple]]:
     """Choose C by three-fold macro F1, calibrate each fold's model on its held-out rows.
 
     Returns the model and the (C, mean macro F1) table of the search.
@@ -81,8 +83,8 @@ def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), la
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {(r["fold"], r["y"]): r["n"] for r in
-                 prepared.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        candidates = [_fit_grid(prepared, sizes, fold, grid) for fold in range(FOLDS)]
+                 prepared.groupBy("fold", "y").agg(F.expr("count(1) AS n")).collect()}
+        candidates = _fit_all(prepared, sizes, grid, parallelism)
         scores = [_held_out_f1(prepared, z, fold, candidates[fold]) for fold in range(FOLDS)]
         mean_f1 = [sum(s[i] for s in scores) / FOLDS for i in range(len(grid))]
         best = max(range(len(grid)), key=lambda i: mean_f1[i])
@@ -92,17 +94,25 @@ def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), la
     return RiskModel(list(columns), means, scales, grid[best], folds), list(zip(grid, mean_f1))
 
 
-def _fit_grid(prepared: DataFrame, sizes: dict, fold: int, grid: Sequence[float]) -> list[FoldModel]:
-    """One model per C on the rows outside the fold, classes weighted to equal shares."""
-    n = {y: sum(c for (f, label), c in sizes.items() if f != fold and label == y) for y in (0.0, 1.0)}
+def _fit_all(prepared: DataFrame, sizes: dict, grid: Sequence[float], parallelism: int) -> list[list[FoldModel]]:
+    """One model per fold and C; independent fits run side by side, as in CrossValidator."""
+    fit = inheritable_thread_target(prepared.sparkSession)(
+        lambda place: _fit_one(prepared, sizes, place // len(grid), grid[place % len(grid)]))
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(fit, range(FOLDS * len(grid)), chunksize=1)
+    return [models[f * len(grid):(f + 1) * len(grid)] for f in range(FOLDS)]
+
+
+def _fit_one(prepared: DataFrame, sizes: dict, fold: int, c: float) -> FoldModel:
+    """Fit on the rows outside the fold, classes weighted to equal shares."""
+    n = {y: sum(size for (f, label), size in sizes.items() if f != fold and label == y) for y in (0.0, 1.0)}
     total = n[0.0] + n[1.0]
     weight = f"if(y = 1.0D, {num(total / (2.0 * max(1, n[1.0])))}, {num(total / (2.0 * max(1, n[0.0])))})"
     outside = prepared.filter(f"fold <> {fold}").select("x", "y", F.expr(f"{weight} AS w"))
-    regression = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", elasticNetParam=0.0,
-                                    standardization=False, maxIter=100, tol=1e-6)
     # C weighs the summed loss, regParam the mean loss; the weights sum to the row count
-    fitted = regression.fit(outside, [{regression.regParam: 1.0 / (c * total)} for c in grid])
-    return [FoldModel([float(v) for v in m.coefficients], float(m.intercept)) for m in fitted]
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * total),
+                                elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(outside)
+    return FoldModel([float(v) for v in fitted.coefficients], float(fitted.intercept))
 
 
 def _margin(terms: Sequence[str], model: FoldModel) -> str:

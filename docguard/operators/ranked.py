@@ -20,10 +20,10 @@ RANGES = 255  # cut points between ranges, also the number of rows behind them
 def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add <s>_before (sum over smaller values) and <s>_total for every s in sums.
 
-    counts holds one row per (by, value); by and value are not NULL.
+    counts holds one row per (by, value); by is not NULL, a NULL value comes first.
     """
     keys = [*by, "_range"]
-    ranged = counts.withColumn("_cuts", _cut_points(counts, value, by)).selectExpr(
+    ranged = counts.withColumn("_cuts", _cut_points(counts, value)).selectExpr(
         *counts.columns, f"size(filter(_cuts, cut -> cut < {value})) AS _range")
     totals = ranged.groupBy(*keys).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
     group = f"PARTITION BY {', '.join(by) or '1'}"
@@ -71,11 +71,12 @@ def value_at_rank(values: DataFrame, value: str, ranks: dict[str, str]) -> DataF
                         for name, rank in ranks.items()])
 
 
-def _cut_points(counts: DataFrame, value: str, by: Sequence[str]) -> Column:
+def _cut_points(counts: DataFrame, value: str) -> Column:
     """Sorted cut points between the ranges, drawn by hash.
 
     The draw is the same whenever it runs, so a recomputed task agrees with the others;
-    how well the ranges are balanced never changes the result.
+    how well the ranges are balanced never changes the result.  All columns take part in the
+    order, so this reads the very aggregation that the totals read, and Spark runs it once.
     """
-    drawn = counts.orderBy(F.xxhash64(value, *by), value).limit(RANGES)
+    drawn = counts.orderBy(F.xxhash64(value), *counts.columns).limit(RANGES)
     return drawn.agg(F.expr(f"array_sort(collect_list({value}))")).scalar()

@@ -147,16 +147,14 @@ def evaluate_rules(df: DataFrame, rules: Sequence[dict] | None = None, compat: b
     staged = rule_context(df).selectExpr("*", f"{failed} AS _failed", *_context_texts(rules))
     staged = staged.selectExpr("*", f"{_first_rule(rules, compat, '_failed')} AS _rule")
 
-    def pick(values: Sequence[str], allow: str, fail: str) -> str:
-        cases = " ".join(f"WHEN {i} THEN {value}" for i, value in enumerate(values))
-        return f"CASE _rule WHEN -1 THEN {fail} {cases} ELSE {allow} END"
-
     def constant(rule_key: str, result_key: str) -> str:
-        return pick([quote(r.get(rule_key)) for r in rules], quote(DEFAULT_ALLOW[result_key]),
-                    quote(FAIL_SAFE_BLOCK[result_key]))
+        """Looked up by place, so that a filter pushed below this column carries the CASE once."""
+        values = [FAIL_SAFE_BLOCK[result_key], *[r.get(rule_key) for r in rules], DEFAULT_ALLOW[result_key]]
+        return f"element_at(array({', '.join(quote(v) for v in values)}), _rule + 2)"
 
+    cases = " ".join(f"WHEN {i} THEN {render(r['reason_template'])}" for i, r in enumerate(rules))
     blocked = "concat('Governance agent failed (', _failed, '). Blocking as failsafe.')"
-    reason = pick([render(r["reason_template"]) for r in rules], quote(DEFAULT_ALLOW["reason"]), blocked)
+    reason = f"CASE _rule WHEN -1 THEN {blocked} {cases} ELSE {quote(DEFAULT_ALLOW['reason'])} END"
     return staged.selectExpr(
         *df.columns,
         f"{constant('action', 'decision')} AS decision", f"{constant('id', 'rule_id')} AS rule_id",

@@ -17,6 +17,8 @@ from docguard.operators.features import replaced
 INFERENCE_ORDER = ("ocr_text", "text", "prompt")
 TRAINING_ORDER = ("text", "ocr_text", "prompt")
 
+EMPTY = "''"
+
 # From a text column to its score: an SQL expression, or a Column for a UDF backend.
 Scorer = Callable[[str], str | Column]
 
@@ -38,8 +40,16 @@ def token_length(df: DataFrame, text: str = "text") -> DataFrame:
 def prepare_text_label(df: DataFrame, truncate: bool = True,
                        order: Sequence[str] = INFERENCE_ORDER) -> DataFrame:
     """(text, label) pairs for training."""
-    text = T.smart_truncate("picked_text") if truncate else "picked_text"
-    return pick_text(df, order).selectExpr("sample_id", f"{text} AS text", f"{label_code('label', True)} AS label")
+    picked = pick_text(df, order)
+    if truncate:
+        picked = truncate_texts(picked, "picked_text")
+    return picked.selectExpr("sample_id", "picked_text AS text", f"{label_code('label', True)} AS label")
+
+
+def truncate_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Long texts cut to head, middle and tail."""
+    worded = df.selectExpr("*", f"{T.tokens(text)} AS _words")
+    return replaced(worded, {text: T.smart_truncate(text, "_words")}).drop("_words")
 
 
 def with_keyword_density(df: DataFrame, text: str = "text",
@@ -73,8 +83,8 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
 
     All windows of a text start in one task, so the shuffle carries one partial row per text.
     """
-    known = f"coalesce({text}, '')"
-    windows = df.selectExpr(id_column, f"inline({T.text_windows(known, size, stride)}) AS (start, window_text)")
+    worded = df.selectExpr(id_column, f"coalesce({text}, '') AS _text", f"{T.tokens(f'coalesce({text}, {EMPTY})')} AS _words")
+    windows = worded.selectExpr(id_column, f"inline({T.text_windows('_text', '_words', size, stride)}) AS (start, window_text)")
     score = scorer("window_text")
     scored = windows.select(id_column, "start", (F.expr(score) if isinstance(score, str) else score).alias("score"))
     early = f"min(if(score > {stop_above}D, named_struct('start', start, 'score', score), null)).score"
@@ -82,16 +92,22 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
         F.expr(f"coalesce({early}, max(score)) AS malicious_probability"), F.expr("count(1) AS n_windows"))
 
 
-def windowed_score(text: str, scorer: Callable[[str], str], size: int = 510, stride: int = 256,
-                   stop_above: float = 0.99) -> str:
-    """The windowed score inside one row, as an expression: no explode, no shuffle, fit for streams.
+def windowed_score(df: DataFrame, scorer: Callable[[str], str], text: str = "text", out: str = "prompt_score",
+                   size: int = 510, stride: int = 256, stop_above: float = 0.99) -> DataFrame:
+    """The windowed score inside each row: no explode, no shuffle, fit for streams.
 
     UDF scorers cannot run inside a row; they go through sliding_window_score.
     """
-    scores = f"transform({T.text_windows(text, size, stride)}, piece -> {scorer('piece.text')})"
-    early = f"try_element_at(filter({scores}, score -> score > {stop_above}D), 1)"
-    in_windows = f"coalesce({early}, array_max({scores}))"
-    return f"if({T.word_count(text)} <= {size}, {scorer(text)}, {in_windows})"
+    columns = df.columns
+    worded = df.selectExpr("*", f"{T.tokens(text)} AS _words")
+    piece = f"array_join(slice(_words, s + 1, {size}), ' ')"
+    starts = f"sequence(0, size(_words) - 1, {stride})"
+    # a text that fits is scored by generated code, only the pieces of long ones one by one
+    cut = worded.selectExpr(*columns, f"if(size(_words) > {size}, transform({starts}, s -> {piece}), null) AS _pieces")
+    scored = cut.selectExpr(*columns, f"if(_pieces IS NULL, array({scorer(text)}), "
+                                      f"transform(_pieces, piece -> {scorer('piece')})) AS _scores")
+    early = f"try_element_at(filter(_scores, score -> score > {stop_above}D), 1)"
+    return replaced(scored, {out: f"coalesce({early}, array_max(_scores))"}).drop("_scores")
 
 
 def score_text(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text: str = "text") -> DataFrame:

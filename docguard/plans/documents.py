@@ -40,8 +40,9 @@ def decide_documents(docs: DataFrame, scorer: Callable[[str], str], rules: Seque
     seen = replaced(seen, {name: f"if({has_path('image_path')}, {name}, {value})" for name, value in NO_IMAGE.items()})
     read = f"{has_path('image_path')} AND ocr_confidence > 0"
     seen = replaced(seen, {"text": f"coalesce(text, if({read}, {boxes_text('boxes')}, null), '')"}).drop("boxes")
+    seen = windowed_score(seen, scorer)
     scored = replaced(seen, {
-        "prompt_score": f"if(text = '', 0.5D, {windowed_score('text', scorer)})",
+        "prompt_score": "if(text = '', 0.5D, prompt_score)",
         "prompt_error": "cast(null as string)",
         "vision_error": "error",
         "hidden_text_detected": hidden_text_detected("hidden_text_score"),
