@@ -80,7 +80,11 @@ def keyword_hits(text: str, phrases: Sequence[str]) -> str:
 
 def keyword_density(text: str, phrases: Sequence[str]) -> str:
     """Half a point per phrase found, at most 1.0; 0.0 for a text without words."""
-    lowered = f"lower(coalesce({text}, ''))"
+    return density_of_lowered(f"lower(coalesce({text}, ''))", phrases)
+
+
+def density_of_lowered(lowered: str, phrases: Sequence[str]) -> str:
+    """The keyword density of a text that is in lower case already."""
     hits = " + ".join(f"int({has_phrase(lowered, p)})" for p in phrases)
     return f"least(1.0D, 0.5D * ({hits}))"
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 from docguard.fixed_values import INJECTION_PHRASES
 from docguard.functions import layout as L
-from docguard.functions.numbers import share
-from docguard.functions.text import keyword_density, strip, word_count
+from docguard.functions.numbers import ratio, share
+from docguard.functions.text import density_of_lowered, strip, tokens, word_count
+from docguard.operators.features import replaced
 from docguard.operators.splits import aggregates
 
+ARRAY_TEXT = "array_join(_new, ' ')"
+
 VISION_COLUMNS = [
     "sample_id", "image_path", "ocr_confidence", "tiny_text_count", "footer_text_density",
     "watermark_score", "hidden_text_score", "keyword_density", "total_boxes", "total_words",
@@ -50,27 +53,30 @@ def vision_features(docs: DataFrame, phrases: Sequence[str] = tuple(INJECTION_PH
     docs: sample_id, image_path, boxes (array of text, confidence, y0, y1 in reading order),
     height, high_contrast and near_white (text layers), error (NULL where the image was read).
     """
-    carried = ["sample_id", "image_path", "error", "boxes", "height", "near_white",
-               *[k for k in keep if k not in ("sample_id", "image_path", "error", "boxes")]]
-    staged = docs.selectExpr(*carried, f"coalesce({L.boxes_text('boxes')}, '') AS _normal",
-                             f"{L.word_set('high_contrast')} AS _contrast")
-    staged = staged.selectExpr(*carried, "_normal", "_contrast",
-                               f"array_sort(array_except(_contrast, {L.word_set('_normal')})) AS _new")
-    text = L.combine_layers("_normal", "array_join(_new, ' ')", strip("near_white"))
-    staged = staged.selectExpr(*carried, "size(_new) AS _n_new", "size(_contrast) AS _n_contrast", f"{text} AS _text")
+    kept = ["sample_id", "image_path", "error", *[k for k in keep if k not in ("sample_id", "image_path", "error")]]
+    carried = [*kept, *[c for c in ("boxes", "height", "near_white") if c not in kept]]
+    # every text is put in lower case and cut into words once, then referred to by name
+    staged = docs.selectExpr(*carried, f"lower(coalesce({L.boxes_text('boxes')}, '')) AS _normal",
+                             f"{L.word_set('high_contrast')} AS _contrast", f"lower({strip('near_white')}) AS _hidden")
+    staged = staged.selectExpr("*", f"{tokens('_normal')} AS _words")
+    staged = staged.selectExpr("*", "array_sort(array_except(_contrast, _words)) AS _new")
+    staged = staged.selectExpr(
+        *carried, f"{L.combine_layers('_normal', ARRAY_TEXT, '_hidden')} AS _text",
+        "size(_new) AS _n_new", "size(_contrast) AS _n_contrast",
+        f"size(_words) + size(_new) + {word_count('_hidden')} AS _n_words")
     values = {
         "ocr_confidence": L.boxes_confidence("boxes"),
         "tiny_text_count": f"coalesce({L.boxes_tiny('boxes', 'height')}, 0)",
         "footer_text_density": L.boxes_footer_density("boxes", "height"),
-        "watermark_score": "coalesce(try_divide(double(_n_new), double(_n_contrast)), 0.0D)",
+        "watermark_score": ratio("_n_new", "_n_contrast"),
         "hidden_text_score": L.hidden_text_score("near_white"),
-        "keyword_density": keyword_density("_text", phrases),
+        "keyword_density": density_of_lowered("_text", phrases),
         "total_boxes": "coalesce(size(boxes), 0)",
-        "total_words": word_count("_text"),
+        "total_words": "_n_words",
     }
+    staged = staged.selectExpr(*kept, *[f"{value} AS {name}" for name, value in values.items()])
     zero = {name: "0" if name.startswith("t") else "0.0D" for name in values}
-    kept = ["sample_id", "image_path", "error", *[k for k in keep if k not in ("sample_id", "image_path", "error")]]
-    staged = staged.selectExpr(*kept, *[f"if(error IS NOT NULL, {zero[n]}, {v}) AS {n}" for n, v in values.items()])
+    staged = replaced(staged, {name: f"if(error IS NOT NULL, {zero[name]}, {name})" for name in values})
     scored = staged.selectExpr("*", f"if(error IS NOT NULL, 0.5D, {L.vision_score()}) AS vision_score")
     return scored.select(*VISION_COLUMNS, *[k for k in keep if k not in VISION_COLUMNS])
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from docguard.functions.numbers import num, quote
 
-RANGES = 255  # cut points between ranges, also the number of rows behind them
+RANGES = 255  # cut points between ranges, one less than the number of ranges
+STEP = 16  # every so manieth cut point is a coarse one
 
 
 def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -23,8 +24,13 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
     counts holds one row per (by, value); by is not NULL, a NULL value comes first.
     """
     keys = [*by, "_range"]
-    ranged = counts.withColumn("_cuts", _cut_points(counts, value)).selectExpr(
-        *counts.columns, f"size(filter(_cuts, cut -> cut < {value})) AS _range")
+    columns = counts.columns
+    # coarse cuts first, then the fine ones between two of them
+    coarse = f"size(filter(_cuts.coarse, cut -> cut < {value}))"
+    fine = f"size(filter(slice(_cuts.fine, {STEP} * _coarse + 1, {STEP}), cut -> cut < {value}))"
+    placed = counts.withColumn("_cuts", _cut_points(counts, value)).selectExpr("*", f"{coarse} AS _coarse")
+    # never NULL: else a filter on it would be inferred from the join and evaluated per input row
+    ranged = placed.selectExpr(*columns, f"coalesce({STEP} * _coarse + {fine}, 0) AS _range")
     totals = ranged.groupBy(*keys).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
     group = f"PARTITION BY {', '.join(by) or '1'}"
     earlier = "ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -33,7 +39,7 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
         *[f"sum({s}) OVER ({group}) AS {s}_total" for s in sums])
     inside = f"PARTITION BY {', '.join(keys)} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return ranged.join(offsets, keys).selectExpr(
-        *counts.columns, *[f"_{s}_offset + coalesce(sum({s}) OVER ({inside}), 0) AS {s}_before" for s in sums],
+        *columns, *[f"_{s}_offset + coalesce(sum({s}) OVER ({inside}), 0) AS {s}_before" for s in sums],
         *[f"{s}_total" for s in sums])
 
 
@@ -79,4 +85,6 @@ def _cut_points(counts: DataFrame, value: str) -> Column:
     order, so this reads the very aggregation that the totals read, and Spark runs it once.
     """
     drawn = counts.orderBy(F.xxhash64(value), *counts.columns).limit(RANGES)
-    return drawn.agg(F.expr(f"array_sort(collect_list({value}))")).scalar()
+    cuts = f"array_sort(collect_list({value}))"
+    return drawn.agg(F.expr(f"{cuts} AS fine")).selectExpr(
+        f"named_struct('fine', fine, 'coarse', filter(fine, (cut, i) -> i % {STEP} = {STEP - 1}))").scalar()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,24 @@ from docguard.operators.features import replaced
 INFERENCE_ORDER = ("ocr_text", "text", "prompt")
 TRAINING_ORDER = ("text", "ocr_text", "prompt")
 
-EMPTY = "''"
 
-# From a text column to its score: an SQL expression, or a Column for a UDF backend.
-Scorer = Callable[[str], str | Column]
+
+@dataclass(frozen=True)
+class TextScorer:
+    """A scorer made of SQL expressions.
+
+    prepare is applied to a whole text once, before it is cut into windows; score then runs
+    on every window.
+    """
+    score: Callable[[str], str]
+    prepare: Callable[[str], str] = staticmethod(lambda text: text)
+
+    def __call__(self, text: str) -> str:
+        return self.score(self.prepare(text))
+
+
+# A UDF backend maps a column name to a Column.
+Scorer = TextScorer | Callable[[str], Column]
 
 
 def pick_text(df: DataFrame, order: Sequence[str] = INFERENCE_ORDER, out: str = "picked_text") -> DataFrame:
@@ -72,9 +87,9 @@ def heuristic_scores(df: DataFrame, text: str = "text", phrases: Sequence[str] =
                              "risk_score": prompt}).drop("_n", "_hits", "_imperatives", "_density", "_prompt")
 
 
-def phrase_scorer(phrases: Sequence[str]) -> Callable[[str], str]:
+def phrase_scorer(phrases: Sequence[str]) -> TextScorer:
     """A scorer without a model: the keyword density of a text."""
-    return lambda text: T.keyword_density(text, phrases)
+    return TextScorer(lambda text: T.density_of_lowered(text, phrases), lambda text: f"lower({text})")
 
 
 def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text: str = "text",
@@ -83,31 +98,37 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
 
     All windows of a text start in one task, so the shuffle carries one partial row per text.
     """
-    worded = df.selectExpr(id_column, f"coalesce({text}, '') AS _text", f"{T.tokens(f'coalesce({text}, {EMPTY})')} AS _words")
+    known = f"coalesce({text}, '')"
+    plain = isinstance(scorer, TextScorer)
+    prepared = df.selectExpr(id_column, f"{scorer.prepare(known) if plain else known} AS _text")
+    worded = prepared.selectExpr("*", f"{T.tokens('_text')} AS _words")
     windows = worded.selectExpr(id_column, f"inline({T.text_windows('_text', '_words', size, stride)}) AS (start, window_text)")
-    score = scorer("window_text")
-    scored = windows.select(id_column, "start", (F.expr(score) if isinstance(score, str) else score).alias("score"))
+    score = F.expr(scorer.score("window_text")) if plain else scorer("window_text")
+    scored = windows.select(id_column, "start", score.alias("score"))
     early = f"min(if(score > {stop_above}D, named_struct('start', start, 'score', score), null)).score"
     return scored.groupBy(id_column).agg(
         F.expr(f"coalesce({early}, max(score)) AS malicious_probability"), F.expr("count(1) AS n_windows"))
 
 
-def windowed_score(df: DataFrame, scorer: Callable[[str], str], text: str = "text", out: str = "prompt_score",
+def windowed_score(df: DataFrame, scorer: TextScorer, text: str = "text", out: str = "prompt_score",
                    size: int = 510, stride: int = 256, stop_above: float = 0.99) -> DataFrame:
     """The windowed score inside each row: no explode, no shuffle, fit for streams.
 
     UDF scorers cannot run inside a row; they go through sliding_window_score.
     """
     columns = df.columns
-    worded = df.selectExpr("*", f"{T.tokens(text)} AS _words")
+    prepared = df.selectExpr("*", f"{scorer.prepare(text)} AS _text")
+    worded = prepared.selectExpr("*", f"{T.tokens('_text')} AS _words")
     piece = f"array_join(slice(_words, s + 1, {size}), ' ')"
     starts = f"sequence(0, size(_words) - 1, {stride})"
     # a text that fits is scored by generated code, only the pieces of long ones one by one
-    cut = worded.selectExpr(*columns, f"if(size(_words) > {size}, transform({starts}, s -> {piece}), null) AS _pieces")
-    scored = cut.selectExpr(*columns, f"if(_pieces IS NULL, array({scorer(text)}), "
-                                      f"transform(_pieces, piece -> {scorer('piece')})) AS _scores")
+    cut = worded.selectExpr(*columns, f"if(size(_words) > {size}, transform({starts}, s -> {piece}), null) AS _pieces",
+                            f"if(size(_words) > {size}, '', _text) AS _text")
+    scored = cut.selectExpr(*columns, f"{scorer.score('_text')} AS _whole",
+                            f"transform(_pieces, piece -> {scorer.score('piece')}) AS _scores")
     early = f"try_element_at(filter(_scores, score -> score > {stop_above}D), 1)"
-    return replaced(scored, {out: f"coalesce({early}, array_max(_scores))"}).drop("_scores")
+    return replaced(scored, {
+        out: f"if(_scores IS NULL, _whole, coalesce({early}, array_max(_scores)))"}).drop("_scores", "_whole")
 
 
 def score_text(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ own row.  The same function therefore serves batches and streams.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -17,7 +17,7 @@ from docguard.operators.decisions import decide_batch, fail_safe
 from docguard.operators.features import engineer_features, replaced
 from docguard.operators.layouts import vision_features
 from docguard.operators.model import RiskModel, risk_probability
-from docguard.operators.texts import windowed_score
+from docguard.operators.texts import TextScorer, windowed_score
 
 # What a document without an image has instead of vision signals.
 NO_IMAGE = {
@@ -27,7 +27,7 @@ NO_IMAGE = {
 }
 
 
-def decide_documents(docs: DataFrame, scorer: Callable[[str], str], rules: Sequence[dict] | None = None,
+def decide_documents(docs: DataFrame, scorer: TextScorer, rules: Sequence[dict] | None = None,
                      model: RiskModel | None = None, phrases: Sequence[str] = tuple(INJECTION_PHRASES),
                      at: str = "current_timestamp()") -> DataFrame:
     """docs: sample_id, text, image_path, severity, and the box and layer columns of vision_features.
