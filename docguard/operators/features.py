@@ -33,13 +33,12 @@ def unique_rows(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """The same rows; a key that occurs twice fails the job instead of fanning out a join.
 
     The check groups by the join key, so the join that follows needs no shuffle of its own.
+    It sits in every value, and where no value is read there is still one row per key.
     """
     rest = [c for c in df.columns if c != key]
-    grouped = df.groupBy(key).agg(F.expr("count(1) AS _n"), *[F.first(c).alias(c) for c in rest])
+    grouped = df.groupBy(key).agg(F.expr("count(1) AS _n"), *[F.expr(f"first({c}) AS {c}") for c in rest])
     twice = f"raise_error(concat('duplicate {key}: ', string({key})))"
-    kind = df.schema[key].dataType.simpleString()
-    # the guard sits in the key itself, so no optimisation drops it
-    return grouped.selectExpr(f"if(_n = 1, {key}, cast({twice} as {kind})) AS {key}", *rest)
+    return grouped.selectExpr(key, *[f"if(_n = 1, {c}, {twice}) AS {c}" for c in rest])
 
 
 def fuse_sources(labels: DataFrame, predictions: DataFrame, vision: DataFrame,

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from docguard.functions.numbers import num, quote
 
-RANGES = 255  # cut points between ranges, one less than the number of ranges
-STEP = 16  # every so manieth cut point is a coarse one
+RANGES = 1023  # cut points between ranges, one less than the number of ranges
+STEP = 32  # one coarse cut point for so many fine ones
 
 
 def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

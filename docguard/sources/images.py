@@ -15,15 +15,18 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length")
 
 
-def resolve_images(df: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_images(df: DataFrame, files: DataFrame, id_column: str = "sample_id") -> DataFrame:
     """Add resolved_path: the file of the full path, else the one of the same name, else NULL.
 
-    Where several files share a name, the first in path order stands in.
+    Where several files share a name, the first in path order stands in.  Rows without a
+    path would all meet in one task; they join on keys of their own that match no file.
     """
+    spread = f"concat('//', xxhash64({id_column}))"
+    path_key = f"if({has_path('image_path')}, image_path, {spread})"
+    name_key = f"if({has_path('image_path')}, {file_name('image_path')}, {spread})"
     full = files.selectExpr("path AS _full").distinct()
     named = files.groupBy(F.expr(f"{file_name('path')} AS _name")).agg(F.expr("min(path) AS _by_name"))
-    joined = df.join(full, F.expr("image_path = _full"), "left") \
-               .join(named, F.expr(f"{file_name('image_path')} = _name"), "left")
+    joined = df.join(full, F.expr(f"{path_key} = _full"), "left").join(named, F.expr(f"{name_key} = _name"), "left")
     return joined.withColumn("resolved_path", F.expr("coalesce(_full, _by_name)")).drop("_full", "_name", "_by_name")
 
 

@@ -84,7 +84,7 @@ def resume(todo: DataFrame, done_path: str, key: str, process: Callable[[DataFra
            force: bool = False) -> DataFrame:
     """Process the rows whose key is not in the stored result yet, append them, return all."""
     spark = todo.sparkSession
-    started = exists(spark, done_path) and not force
+    started = exists(spark, done_path + "/_SUCCESS") and not force
     rest = todo
     if started:
         rest = todo.join(spark.read.parquet(done_path).select(key), key, "left_anti")
