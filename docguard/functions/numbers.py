@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from decimal import Decimal
 
 
 def quote(text: str | None) -> str:
@@ -39,10 +38,11 @@ def _scaled_half_even(x: str, digits: int) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    """Text of x with a fixed number of decimals ('%.3f')."""
-    unit = f"{Decimal(1).scaleb(-digits):f}"
-    scaled = f"cast({_scaled_half_even(x, digits)} as decimal(20,0)) * {unit}"
-    return f"concat(if({x} < 0, '-', ''), string({scaled}))"
+    """Text of x with a fixed number of decimals ('%.3f'), half-even on the exact binary value.
+
+    format_number rounds so; format_string and round do not.
+    """
+    return f"format_number({x}, '0{'.' * bool(digits)}{'0' * digits}')"
 
 
 def percent(x: str, digits: int) -> str:

@@ -35,6 +35,10 @@ CONTEXT = {
 }
 _TYPES = {"number": "double", "flag": "boolean", "text": "string"}
 _OPERATORS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "in": "IN"}
+# result -> key of the rule it comes from
+_RESULTS = {"decision": "action", "rule_id": "id", "rule_name": "name", "severity": "severity",
+            "policy_ref": "policy_ref", "sanitization_action": "sanitization_action"}
+EMPTY = "''"
 _PLACEHOLDER = re.compile(r"\{(\w+)(?::\.(\d+)([f%]))?\}")
 
 
@@ -104,31 +108,38 @@ def compile_condition(condition: dict[str, Any], compat: bool = False) -> str:
     return f"coalesce({' AND '.join(tests) or 'true'}, false)"
 
 
-def render(template: str) -> str:
-    """A reason template with {x}, {x:.3f} and {x:.1%} as one string expression over ctx_text_* columns."""
-    parts, at = [], 0
-    for match in _PLACEHOLDER.finditer(template):
-        parts += [quote(template[at:match.start()]), _text_name(*match.groups())]
-        at = match.end()
-    return f"concat({', '.join([*parts, quote(template[at:])])})"
+def render(templates: Sequence[str], looked_up: str) -> tuple[list[dict[str, str]], str, str]:
+    """Reason templates with {x}, {x:.3f} and {x:.1%}, as three parts.
 
-
-def _text_name(field: str, digits: str | None, style: str | None) -> str:
-    return f"ctx_text_{field}_{digits or 0}{'p' if style == '%' else 'f' if style else 's'}"
-
-
-def _context_texts(rules: Sequence[dict]) -> list[str]:
-    """One expression per formatted value that any template uses: each is formatted once."""
-    texts = {}
-    for rule in rules:
-        for field, digits, style in _PLACEHOLDER.findall(rule["reason_template"]):
+    The constants of each template (its literals, and the numbers of the values between
+    them), the array of formatted values, and the text from both.  looked_up is the column
+    that holds the constants of the template that applies.  This keeps the generated code
+    small enough for the JIT compiler, and formats every value once.
+    """
+    literals, fields, texts = [], [], {}
+    for template in templates:
+        parts = _PLACEHOLDER.split(template)  # literal, (field, digits, style), literal, ...
+        literals.append(parts[0::4])
+        names = []
+        for field, digits, style in zip(parts[1::4], parts[2::4], parts[3::4]):
+            name = f"_text_{field}_{digits or ''}{'p' if style == '%' else ''}"
             value = f"ctx_{field}"
             if digits:
-                text = f"coalesce({(fixed if style == 'f' else percent)(value, int(digits))}, 'nan')"
+                texts[name] = f"coalesce({(fixed if style == 'f' else percent)(value, int(digits))}, 'nan')"
             else:
-                text = f"coalesce(string({value}), 'None')"
-            texts[_text_name(field, digits, style)] = text
-    return [f"{text} AS {name}" for name, text in texts.items()]
+                texts[name] = f"coalesce(string({value}), 'None')"
+            names.append(name)
+        fields.append(names)
+    order = list(texts)
+    constants, pieces = [{} for _ in templates], []
+    for k in range(max(len(x) for x in literals)):
+        for i, row in enumerate(constants):
+            row[f"literal{k}"] = quote(literals[i][k] if k < len(literals[i]) else "")
+            row[f"value{k}"] = str(order.index(fields[i][k]) + 2 if k < len(fields[i]) else 1)
+        pieces.append(f"{looked_up}.literal{k}")
+        if any(row[f"value{k}"] != "1" for row in constants):
+            pieces.append(f"element_at(_texts, {looked_up}.value{k})")
+    return constants, f"array({', '.join([EMPTY, *texts.values()])})", f"concat({', '.join(pieces)})"
 
 
 def _first_rule(rules: Sequence[dict], compat: bool, failed: str) -> str:
@@ -144,23 +155,23 @@ def evaluate_rules(df: DataFrame, rules: Sequence[dict] | None = None, compat: b
     failed is an error text: rows where it is not NULL are blocked as fail-safe.
     """
     rules = load_rules() if rules is None else sorted(rules, key=lambda r: r["priority"])
-    staged = rule_context(df).selectExpr("*", f"{failed} AS _failed", *_context_texts(rules))
-    staged = staged.selectExpr("*", f"{_first_rule(rules, compat, '_failed')} AS _rule")
-
-    def constant(rule_key: str, result_key: str) -> str:
-        """Looked up by place, so that a filter pushed below this column carries the CASE once."""
-        values = [FAIL_SAFE_BLOCK[result_key], *[r.get(rule_key) for r in rules], DEFAULT_ALLOW[result_key]]
-        return f"element_at(array({', '.join(quote(v) for v in values)}), _rule + 2)"
-
-    cases = " ".join(f"WHEN {i} THEN {render(r['reason_template'])}" for i, r in enumerate(rules))
-    blocked = "concat('Governance agent failed (', _failed, '). Blocking as failsafe.')"
-    reason = f"CASE _rule WHEN -1 THEN {blocked} {cases} ELSE {quote(DEFAULT_ALLOW['reason'])} END"
+    ends = [FAIL_SAFE_BLOCK, DEFAULT_ALLOW]
+    templates = ["Governance agent failed ({failed}). Blocking as failsafe.",
+                 *[r["reason_template"] for r in rules], DEFAULT_ALLOW["reason"]]
+    constants, texts, reason = render(templates, "_found")
+    for result, key in _RESULTS.items():
+        values = [ends[0][result], *[r.get(key) for r in rules], ends[1][result]]
+        for row, value in zip(constants, values):
+            row[result] = quote(value)
+    table = ", ".join(f"named_struct({', '.join(f'{quote(k)}, {v}' for k, v in row.items())})" for row in constants)
+    columns = df.columns
+    staged = rule_context(df).selectExpr("*", f"{failed} AS ctx_failed")
+    # looked up by place: a filter pushed below a result carries the CASE once
+    found = f"element_at(array({table}), {_first_rule(rules, compat, 'ctx_failed')} + 2)"
+    staged = staged.selectExpr(*columns, f"{texts} AS _texts", f"{found} AS _found")
     return staged.selectExpr(
-        *df.columns,
-        f"{constant('action', 'decision')} AS decision", f"{constant('id', 'rule_id')} AS rule_id",
-        f"{constant('name', 'rule_name')} AS rule_name", f"{constant('severity', 'severity')} AS rule_severity",
-        f"{constant('policy_ref', 'policy_ref')} AS policy_ref", f"{reason} AS reason",
-        f"{constant('sanitization_action', 'sanitization_action')} AS sanitization_action")
+        *columns, "_found.decision", "_found.rule_id", "_found.rule_name", "_found.severity AS rule_severity",
+        "_found.policy_ref", f"{reason} AS reason", "_found.sanitization_action")
 
 
 def rule_hits(df: DataFrame, rules: Sequence[dict] | None = None, id_column: str = "sample_id",
