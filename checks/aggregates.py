@@ -193,12 +193,16 @@ def ocr_run_summary(spark, d):
         f"if(n_chars < 300, 0.0D, {u('s11')}) AS ocr_confidence", "if(image_path = '', 'no file', null) AS error"))
 
 
-_WINDOWS = f"""SELECT doc_id, start, {sql_density('chunk')} AS score FROM (
+def windowed_sql(score: str) -> str:
+    """Windowed score per document, from the score of a chunk in SQL."""
+    return f"""SELECT doc_id::varchar AS sample_id, coalesce(arg_min(score, start) FILTER (score > 0.99), max(score)) AS malicious_probability,
+    count(*) AS n_windows FROM (SELECT doc_id, start, {score} AS score FROM (
     SELECT doc_id, start, CASE WHEN n <= 510 THEN text ELSE array_to_string(w[start+1:start+510], ' ') END AS chunk
     FROM (SELECT doc_id, text, w, n, unnest(CASE WHEN n <= 510 THEN [0] ELSE range(0, n, 256) END) AS start
-          FROM (SELECT doc_id, text, w, len(w) AS n FROM (SELECT doc_id, text, {sql_tokens('text')} AS w FROM documents))))"""
-WINDOWED = f"""SELECT doc_id::varchar AS sample_id, coalesce(arg_min(score, start) FILTER (score > 0.99), max(score)) AS malicious_probability,
-    count(*) AS n_windows FROM ({_WINDOWS}) GROUP BY doc_id"""
+          FROM (SELECT doc_id, text, w, len(w) AS n FROM (SELECT doc_id, text, {sql_tokens('text')} AS w FROM documents))))) GROUP BY doc_id"""
+
+
+WINDOWED = windowed_sql(sql_density("chunk"))
 
 
 @check("sliding_window_score", WINDOWED)

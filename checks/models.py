@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.aggregates import WINDOWED
-from checks.inputs import SPLIT, TEST_PHRASES, decision_sql, documents, labelled, pages, signals, sql_density, table, u, with_
+from checks.aggregates import WINDOWED, windowed_sql
+from checks.inputs import SPLIT, TEST_PHRASES, decision_sql, documents, labelled, pages, signals, sql_density, sql_tokens, table, u, with_
 from checks.registry import check
+from checks.scalars import heuristic_sql
 from checks.sources import AUDIT_SQL, audit_rows
-from docguard.fixed_values import NINE_FEATURES
+from docguard.fixed_values import HEURISTIC_PHRASES, IMPERATIVE_VERBS, NINE_FEATURES
 from docguard.functions import registry
 from docguard.operators import metrics as M
 from docguard.operators import model as MO
 from docguard.operators import texts as X
 from docguard.operators.features import fill_defaults
 from docguard.operators.layouts import vision_features
-from docguard.plans.documents import decide_documents
+from docguard.plans.documents import analyze_texts, decide_documents
 from docguard.plans.evaluation import evaluate_matrix
 from docguard.session import new_path, written
 
@@ -144,6 +145,27 @@ def decide_documents_query(spark, d):
     return _decide(pages(spark, d)).select(*_DOCUMENT_COLUMNS)
 
 
+_ANALYSED = with_(h=heuristic_sql(HEURISTIC_PHRASES + TEST_PHRASES, IMPERATIVE_VERBS), ctx="""
+    SELECT doc_id, risk_score, 0.0::double AS vision_score, false AS hidden_text_detected, keyword_density, 0.0::double AS footer_density,
+        0.0::double AS watermark_score, prompt_score, 'unknown' AS attack_family, 'medium' AS severity FROM h""")
+
+
+@check("analyze_texts", _ANALYSED + f"""SELECT doc_id::varchar AS sample_id, decision, risk_score, prompt_score, keyword_density,
+    greatest(prompt_score, 1-prompt_score) AS confidence, rule_id, reason FROM ({decision_sql('ctx')})""", rounded=["confidence"])
+def analyze_texts_query(spark, d):
+    docs = table(spark, d, "documents").selectExpr("string(doc_id) AS sample_id", "text")
+    return analyze_texts(docs, HEURISTIC_PHRASES + TEST_PHRASES).select(
+        "sample_id", "decision", "risk_score", "prompt_score", "keyword_density", "confidence", "rule_id", "reason")
+
+
+@check("heuristic_windows", windowed_sql(f"""(SELECT least(1.0::double, least(1.0::double, hits::double/greatest(1.0::double, n/10.0::double))*0.6::double
+    + (verbs/5.0::double)*0.4::double) FROM (SELECT {' + '.join(f"contains(lower(chunk), '{p}')::int" for p in TEST_PHRASES)} AS hits,
+    len({sql_tokens('chunk')}) AS n,
+    len(list_filter(({sql_tokens('lower(chunk)')})[1:20], lambda x: x IN ('the', 'la'))) AS verbs))"""), rounded=["malicious_probability"])
+def heuristic_windows(spark, d):
+    return X.sliding_window_score(documents(spark, d), X.heuristic_scorer(TEST_PHRASES, ["the", "la"]))
+
+
 @check("decide_documents_model")
 def decide_documents_model(spark, d):
     _, model, _ = fitted(spark, d)
@@ -180,29 +202,36 @@ def stream_decision_counts(spark, d):
 # --- scoring backends ----------------------------------------------------------------------
 
 
-def _load_counter():
-    """A stand-in for a model: loaded once per task, scores a batch of texts."""
-    import re
-    words = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"]
-    patterns = [re.compile(rf"\b{w}\b") for w in words]
+def _counter():
+    """A stand-in for a model; a nested function travels to the workers by value."""
+    words = list(TEST_PHRASES)
+
+    def load():
+        import re
+        pattern = re.compile(r"\b(?:" + "|".join(words) + r")\b")
+
+        def score(texts):
+            if texts.str.len().max() > 100000:
+                raise ValueError("text too long")
+            return texts.str.lower().map(lambda t: min(1.0, 0.5 * len(set(pattern.findall(t)))))
+
+        return score
 
-    def score(texts):
-        if texts.str.len().max() > 100000:
-            raise ValueError("text too long")
-        return texts.str.lower().map(lambda t: min(1.0, 0.5 * sum(1 for p in patterns if p.search(t))))
+    return load
 
-    return score
 
+def _missing():
+    def load():
+        raise RuntimeError("no such model file")
 
-def _load_nothing():
-    raise RuntimeError("no such model file")
+    return load
 
 
 @check("backend_registry", f"""SELECT doc_id, CASE WHEN length(text) > 100000 THEN NULL ELSE {sql_density('text')} END AS score,
     CASE WHEN length(text) > 100000 THEN 'text too long' END AS error, 'no such model file' AS broken FROM documents""")
 def backend_registry(spark, d):
-    registry.register("counter", _load_counter)
-    registry.register("broken", _load_nothing)
+    registry.register("counter", _counter())
+    registry.register("broken", _missing())
     docs = table(spark, d, "documents")
     scored = docs.select("doc_id", registry.scorer("counter")("text").alias("r"),
                          registry.scorer("broken")("text").alias("b"))
@@ -211,6 +240,6 @@ def backend_registry(spark, d):
 
 @check("scorer_udf", WINDOWED)
 def scorer_udf(spark, d):
-    registry.register("counter", _load_counter)
+    registry.register("counter", _counter())
     backend = registry.scorer("counter")
     return X.sliding_window_score(documents(spark, d), lambda text: backend(text)["score"])

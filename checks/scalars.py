@@ -90,7 +90,7 @@ def keyword_density_default(spark, d):
     return table(spark, d, "pages").selectExpr("page_id", f"{T.keyword_density('html', INJECTION_PHRASES)} AS keyword_density")
 
 
-def _heuristic_sql(phrases, verbs):
+def heuristic_sql(phrases, verbs):
     hits = " + ".join(f"contains(lower(text), '{p}')::int" for p in phrases)
     listed = ", ".join(f"'{v}'" for v in verbs)
     return f"""SELECT doc_id, printf('%.4f', p)::double AS prompt_score, printf('%.4f', density)::double AS keyword_density,
@@ -101,7 +101,7 @@ def _heuristic_sql(phrases, verbs):
         FROM (SELECT doc_id, text, {sql_tokens('lower(text)')} AS w FROM documents))))"""
 
 
-@check("heuristic_score", _heuristic_sql(HEURISTIC_PHRASES + TEST_PHRASES, IMPERATIVE_VERBS + ["the", "and", "idiot", "la"]))
+@check("heuristic_score", heuristic_sql(HEURISTIC_PHRASES + TEST_PHRASES, IMPERATIVE_VERBS + ["the", "and", "idiot", "la"]))
 def heuristic_score(spark, d):
     scored = X.heuristic_scores(table(spark, d, "documents"), phrases=HEURISTIC_PHRASES + TEST_PHRASES,
                                 verbs=IMPERATIVE_VERBS + ["the", "and", "idiot", "la"])

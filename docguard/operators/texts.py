@@ -92,6 +92,16 @@ def phrase_scorer(phrases: Sequence[str]) -> TextScorer:
     return TextScorer(lambda text: T.density_of_lowered(text, phrases), lambda text: f"lower({text})")
 
 
+def heuristic_scorer(phrases: Sequence[str] = tuple(HEURISTIC_PHRASES),
+                     verbs: Sequence[str] = tuple(IMPERATIVE_VERBS)) -> TextScorer:
+    """The heuristic prompt score as a scorer of single texts or windows."""
+    def score(text: str) -> str:
+        density = T.heuristic_density(T.substring_hits(text, phrases), f"size({T.tokens(text)})")
+        return T.heuristic_prompt(density, T.imperative_count(T.tokens(text), verbs))
+
+    return TextScorer(score, lambda text: f"lower({text})")
+
+
 def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text: str = "text",
                          size: int = 510, stride: int = 256, stop_above: float = 0.99) -> DataFrame:
     """Score long texts window by window: the first score above the stop value, else the maximum.

@@ -10,14 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from docguard.fixed_values import INJECTION_PHRASES
+from docguard.fixed_values import HEURISTIC_PHRASES, INJECTION_PHRASES
 from docguard.functions.layout import boxes_text, hidden_text_detected
-from docguard.functions.signals import has_path, risk_level, severity_code
+from docguard.functions.signals import confidence, has_path, risk_level, severity_code
 from docguard.operators.decisions import decide_batch, fail_safe
 from docguard.operators.features import engineer_features, replaced
 from docguard.operators.layouts import vision_features
 from docguard.operators.model import RiskModel, risk_probability
-from docguard.operators.texts import TextScorer, windowed_score
+from docguard.operators.rules import evaluate_rules
+from docguard.operators.texts import TextScorer, heuristic_scores, windowed_score
 
 # What a document without an image has instead of vision signals.
 NO_IMAGE = {
@@ -50,6 +51,13 @@ def decide_documents(docs: DataFrame, scorer: TextScorer, rules: Sequence[dict]
     return decide_batch(fail_safe(_with_risk(scored, model)), rules, at)
 
 
+def analyze_texts(docs: DataFrame, phrases: Sequence[str] = tuple(HEURISTIC_PHRASES),
+                  rules: Sequence[dict] | None = None) -> DataFrame:
+    """Texts to decisions without any model: heuristic scores, then the rules."""
+    scored = heuristic_scores(docs, phrases=phrases)
+    return evaluate_rules(replaced(scored, {"confidence": confidence("prompt_score")}), rules)
+
+
 def _with_risk(scored: DataFrame, model: RiskModel | None) -> DataFrame:
     if model is None:
         return replaced(scored, {"risk_score": "double(null)", "risk_level": "string(null)",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docguard.functions.signals import file_name, has_path
 from docguard.operators.splits import aggregates
+from docguard.session import written
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,12 +21,15 @@ def resolve_images(df: DataFrame, files: DataFrame, id_column: str = "sample_id"
 
     Where several files share a name, the first in path order stands in.  Rows without a
     path would all meet in one task; they join on keys of their own that match no file.
+    The listing is taken once and kept in written tables: both joins are then plain ones,
+    in which Spark splits the partition of a path that very many rows share.
     """
     spread = f"concat('//', xxhash64({id_column}))"
     path_key = f"if({has_path('image_path')}, image_path, {spread})"
     name_key = f"if({has_path('image_path')}, {file_name('image_path')}, {spread})"
-    full = files.selectExpr("path AS _full").distinct()
-    named = files.groupBy(F.expr(f"{file_name('path')} AS _name")).agg(F.expr("min(path) AS _by_name"))
+    full = written(files.selectExpr("path AS _full").distinct(), "image_files")
+    names = full.groupBy(F.expr(f"{file_name('_full')} AS _name")).agg(F.expr("min(_full) AS _by_name"))
+    named = written(names, "image_names")
     joined = df.join(full, F.expr(f"{path_key} = _full"), "left").join(named, F.expr(f"{name_key} = _name"), "left")
     return joined.withColumn("resolved_path", F.expr("coalesce(_full, _by_name)")).drop("_full", "_name", "_by_name")
 

@@ -182,3 +182,40 @@ def test_fitted_model_learns_and_survives_saving(spark):
     path = new_path(spark, "model")
     model.save_model(spark, fitted, path)
     assert model.load_model(spark, path) == fitted
+
+
+def test_images_resolve_by_path_then_by_name(spark):
+    from docguard.sources import images
+    rows = [("1", "/a/x.png"), ("2", "/old/y.png"), ("3", ""), ("4", None), ("5", "/old/z.png")] + [
+        (f"hot{i}", "/old/y.png") for i in range(50)] + [(f"none{i}", "") for i in range(50)]
+    files = spark.createDataFrame([("/a/x.png",), ("/b/x.png",), ("/c/y.png",), ("/b/y.png",)], "path string")
+    resolved = images.resolve_images(spark.createDataFrame(rows, "sample_id string, image_path string"), files)
+    got = {r["sample_id"]: r["resolved_path"] for r in resolved.collect()}
+    assert len(got) == len(rows)
+    assert (got["1"], got["2"], got["3"], got["4"], got["5"], got["hot7"]) == ("/a/x.png", "/b/y.png", None, None, None, "/b/y.png")
+    assert images.image_inventory(resolved).first().asDict() == {"image_backed": 53, "found": 52, "missing": 1}
+
+
+def test_image_listing_reads_no_contents(spark, tmp_path):
+    from docguard.sources import images
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(b"12345")
+    listed = images.list_images(spark, str(tmp_path))
+    assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in listed.collect()) == [("a.png", 5), ("b.png", 5)]
+
+
+def test_no_filter_is_inferred_below_the_aggregation(spark):
+    df = spark.range(100).selectExpr("id % 2 AS y", "double(id) / 100 AS s")
+    plan = metrics.roc_auc(df, "y", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(size" not in plan and "isnotnull(coalesce" not in plan
+
+
+def test_reason_rendering_fits_one_compiled_method(spark):
+    import re
+    from docguard.operators.rules import evaluate_rules
+    path = new_path(spark, "signals")
+    spark.range(10).selectExpr("0.5D AS risk_score", "0.1D AS vision_score", "0.2D AS keyword_density",
+                               "0.7D AS malicious_probability", "'x' AS attack_family").write.parquet(path)
+    plan = evaluate_rules(spark.read.parquet(path))._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
