@@ -40,9 +40,13 @@ def _scaled_half_even(x: str, digits: int) -> str:
 def fixed(x: str, digits: int) -> str:
     """Text of x with a fixed number of decimals ('%.3f'), half-even on the exact binary value.
 
-    format_number rounds so; format_string and round do not.
+    format_number rounds so; format_string and round do not.  Only half of the last place
+    itself it always rounds down, also where the binary value lies above the half.
     """
-    return f"format_number({x}, '0{'.' * bool(digits)}{'0' * digits}')"
+    half = float(f"5e-{digits + 1}")
+    goes_up = float(f"{half:.{digits}f}") > 0
+    value = f"if(abs({x}) = {num(half)}, {x} * 2.0D, {x})" if goes_up else x
+    return f"format_number({value}, '0{'.' * bool(digits)}{'0' * digits}')"
 
 
 def percent(x: str, digits: int) -> str:

@@ -17,7 +17,7 @@ def value(spark, expression, **columns):
 
 def test_fixed_rounds_as_the_binary_value(spark):
     draw = random.Random(7)
-    values = [0.1235, 0.8125, 0.0005, 0.5, 0.0, 1.0, 0.9995, 2.6745, 123.4565] + [
+    values = [0.1235, 0.8125, 0.0005, 0.00051, 0.0006, 0.0009, 0.00049, 0.0015, 0.0025, 0.005, 0.05, 0.0504, 0.5, 0.0, 1.0, 0.9995, 2.6745, 123.4565] + [
         round(draw.random(), 4) for _ in range(300)] + [draw.random() for _ in range(300)]
     values += [-v for v in values[:20]]
     df = spark.createDataFrame([(v,) for v in values], "x double")
