@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def durable_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, shared by all executors.
 
-    Only where the session names none (tests, a laptop) is a local one set.
+    Only on a local master (tests, a laptop) may the session name none; a local one is set then.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="docguard-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -38,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Path test through the Hadoop file system of that path."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
