@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docguard.llm import quality_rules, reply_trees
+from docguard.llm import pieces, quality_rules, reply_trees, warc
 from docguard.llm.common import Query, table
 from docguard.llm.mixing import Mix, mix_sources
 
@@ -42,3 +42,13 @@ def op9(spark, folder):
     own = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, {said} AS text UNION ALL SELECT -1L, 1L, 'assistant', {said}")
     nodes = reply_trees.chained(rows.unionByName(own), "conv_id", "turn", "role", "text")
     return reply_trees.digests(reply_trees.format_trees(nodes))
+
+
+@query("op7_warc", warc.ORACLE_ROWS)
+def op7(spark, folder):
+    return warc.archived(table(spark, folder, "pages"))
+
+
+@query("op6_pieces")
+def op6(spark, folder):
+    return pieces.encoding_digests(table(spark, folder, "documents"))
