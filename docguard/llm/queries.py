@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docguard.llm import pieces, quality_rules, reply_trees, warc
+from docguard.llm import language, pieces, quality_rules, reply_trees, toxicity, warc
 from docguard.llm.common import Query, table
 from docguard.llm.mixing import Mix, mix_sources
 
@@ -52,3 +52,21 @@ def op7(spark, folder):
 @query("op6_pieces")
 def op6(spark, folder):
     return pieces.encoding_digests(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op5_language")
+def op5(spark, folder):
+    rows = language.document_evidence(table(spark, folder, "documents"))
+    return language.identify_languages(rows).withColumnRenamed("id", "doc_id")
+
+
+@query("language_of_pages")
+def language_of_pages(spark, folder):
+    rows = language.page_evidence(table(spark, folder, "pages"))
+    return language.identify_languages(rows).withColumnRenamed("id", "page_id")
