@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docguard.llm import language, pieces, quality_rules, reply_trees, toxicity, warc
 from docguard.llm.common import Query, table
+from docguard.llm.embedding_dedup import near_duplicate_vectors
 from docguard.llm.mixing import Mix, mix_sources
 
 QUERIES: dict[str, Query] = {}
@@ -70,3 +71,8 @@ def op5(spark, folder):
 def language_of_pages(spark, folder):
     rows = language.page_evidence(table(spark, folder, "pages"))
     return language.identify_languages(rows).withColumnRenamed("id", "page_id")
+
+
+@query("op2_embedding_dedup")
+def op2(spark, folder):
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
