@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docguard.llm import language, pieces, quality_rules, reply_trees, toxicity, warc
+from docguard.llm import jaccard_join, language, pieces, quality_rules, reply_trees, toxicity, warc
 from docguard.llm.common import Query, table
 from docguard.llm.embedding_dedup import near_duplicate_vectors
 from docguard.llm.mixing import Mix, mix_sources
@@ -76,3 +76,8 @@ def language_of_pages(spark, folder):
 @query("op2_embedding_dedup")
 def op2(spark, folder):
     return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op4_jaccard_join")
+def op4(spark, folder):
+    return jaccard_join.shingle_join(table(spark, folder, "documents"))

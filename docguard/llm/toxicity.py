@@ -101,15 +101,24 @@ def train(texts: list[str | None], toxic: list[int], settings: Settings = Settin
     import pyarrow as pa
 
     rng = np.random.default_rng(settings.seed)
-    data, offsets = text_bytes(pa.array([t or "" for t in texts], pa.large_string()))
-    data = lowered(data)
-    starts, ends, rows = words_of(data, offsets)
-    first, number = distinct_words(data, starts, ends)
-    bucket, owner = ngrams(data, starts[first], ends[first], settings)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    grams = np.searchsorted(owner, np.arange(len(first) + 1))
-    bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+    index: dict[int, int] = {}
+    numbers, bounds, buckets, counts = [], [0], [], []
+    for at in range(0, len(texts), 100):  # word numbers and n-grams, so many texts at a time
+        data, offsets = text_bytes(pa.array([t or "" for t in texts[at:at + 100]], pa.large_string()))
+        data = lowered(data)
+        starts, ends, rows = words_of(data, offsets)
+        hashes = slice_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        before = len(index)
+        ids = np.array([index.setdefault(h, len(index)) for h in kinds.tolist()], np.int64)
+        new = first[ids >= before]
+        bucket, owner = ngrams(data, starts[new], ends[new], settings)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(new)))
+        numbers.append(ids[number.reshape(-1)].astype(np.int32) if len(ids) else np.zeros(0, np.int32))
+        bounds += (bounds[-1] + np.searchsorted(rows, np.arange(1, len(offsets)))).tolist()
+    number, bucket, bounds = np.concatenate(numbers), np.concatenate(buckets), np.array(bounds)
+    grams = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     y = np.array(toxic, np.float64)
     # presence of each bucket in the texts of a class
     seen = np.zeros((2, settings.buckets))
