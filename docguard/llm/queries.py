@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docguard.llm import jaccard_join, language, pieces, quality_rules, reply_trees, toxicity, warc
+from docguard.llm import jaccard_join, language, pieces, quality_rules, reply_trees, substring_dedup, toxicity, warc
 from docguard.llm.common import Query, table
 from docguard.llm.embedding_dedup import near_duplicate_vectors
 from docguard.llm.mixing import Mix, mix_sources
@@ -81,3 +81,8 @@ def op2(spark, folder):
 @query("op4_jaccard_join")
 def op4(spark, folder):
     return jaccard_join.shingle_join(table(spark, folder, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, folder):
+    return substring_dedup.substring_digests(table(spark, folder, "documents"))
