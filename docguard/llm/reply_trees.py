@@ -25,7 +25,7 @@ def unescaped(text: str) -> str:
 def chained(rows: DataFrame, tree: str, turn: str, role: str, text: str) -> DataFrame:
     """Linear conversations as trees: the rows of one by turn, each a reply to the row before it.
 
-    Rows that share a turn follow each other by role and text; repeated rows stay. A null tree is a tree of its own.
+    Rows that share a turn follow each other by role and text; repeated rows stay. Rows without a tree form one.
     """
     ordered = rows.selectExpr(f"`{tree}` AS tree", f"`{turn}` AS turn", f"coalesce(`{role}`, '') AS role",
                               f"coalesce(`{text}`, '') AS text")
@@ -68,7 +68,8 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     null scores 0. An empty table gives no rows; a conversation is the one value that a path becomes, however long.
     """
     hand = Handoff(nodes.sparkSession, "reply-trees")
-    kept = hand.write(nodes.selectExpr("tree", "bigint(node) AS node", "bigint(parent) AS parent",
+    key = "coalesce(concat('=', string(tree)), 'null') AS tree"  # rows without a tree form one
+    kept = hand.write(nodes.selectExpr("tree AS own", key, "bigint(node) AS node", "bigint(parent) AS parent",
                                        "coalesce(role, '') AS role", "coalesce(text, '') AS text",
                                        "coalesce(double(score), 0D) AS score"), "nodes")
     paths = root_to_leaf_paths(kept, hand)
@@ -77,9 +78,9 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
         "tree", "leaf", "row_number() OVER (PARTITION BY tree ORDER BY score DESC, leaf) AS rank").filter(f"rank <= {branches}")
     turn = f"concat('{OPEN}', replace({escaped('role')}, '\\n', '\\\\n'), '\\n', {escaped('text')}, '{CLOSE}\\n')"
     lines = paths.join(ranked, ["tree", "leaf"]).join(kept, ["tree", "node"]).selectExpr(
-        "tree", "leaf", "rank", f"struct(-up AS at, {turn} AS line) AS turn")
-    return lines.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns")).selectExpr(
-        "tree", "leaf", "rank", "array_join(transform(turns, t -> t.line), '') AS formatted")
+        "tree", "own", "leaf", "rank", f"struct(-up AS at, {turn} AS line) AS turn")
+    return lines.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.first("own").alias("own")).selectExpr(
+        "own AS tree", "leaf", "rank", "array_join(transform(turns, t -> t.line), '') AS formatted")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -1,0 +1,485 @@
+"""Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from docguard.llm import (
+    embedding_dedup, jaccard_join, language, mixing, pieces, quality_rules, reply_trees, substring_dedup, toxicity, warc,
+)
+
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30000))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, shingle string, part int, `chunk` int, id string"
+
+
+def made(rows, spark, schema=DOCS):
+    """Rows of (doc_id, text, lang, source) with further columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, lang, src, 1, 2, "s", 3, 4, "z") for i, t, lang, src in rows], schema)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [prose(rng.randint(30, 120)) for _ in range(25)]
+    shared = prose(40)
+    out = list(base)
+    for t in base[:8]:
+        w = t.split()
+        for k in range(1, 3):
+            v = list(w)
+            for at in rng.sample(range(len(v)), k):
+                v[at] = rng.choice(words)
+            out.append(" ".join(v))
+    out += [f"{prose(15)} {shared} {prose(15)}" for _ in range(30)]
+    out += [base[3], base[3], base[3].upper(), None, "", "   \n\t", "one", "one two", "ONE two", "ab " * 200, LONG, LONG + " end",
+            "é" * 60, "x" * 49, "x" * 50, "x" * 51, "日本語" * 40, "a\x00b " * 30, f"{prose(60)}\n" * 3]
+    rows = [(i, t, "en" if i % 3 else "fr", f"src{i % 4}") for i, t in enumerate(out)]
+    rows += [(7, base[9], None, None), (7, base[9], None, None), (None, base[5], "en", None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+# --- 4: shingle join ---------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return set() if not w else {tuple(w)} if len(w) < 4 else {tuple(w[i:i + 4]) for i in range(len(w) - 3)}
+
+
+def components(n, linked):
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    return [top(i) for i in range(n)]
+
+
+def expected_join(rows):
+    sets = [shingles(t) for _, t, *_ in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
+              and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    comp = components(len(rows), linked)
+    ids = [r[0] for r in rows]
+    least = {c: min((ids[i] for i in range(len(rows)) if comp[i] == c and ids[i] is not None), default=None) for c in comp}
+    return Counter((ids[i], len(sets[i]), least[comp[i]] if sets[i] else ids[i]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(hot=2, chunk=3000, block=4)])
+def test_shingle_join(spark, texts, settings):
+    got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(texts, spark), settings).collect())
+    assert got == expected_join(texts)
+
+
+def test_long_list_of_sets_that_differ(spark):
+    """Members of a long list are compared even if its first block links none of them."""
+    rng = random.Random(1)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(common + [f"u{i // 2}_{k}" for k in range(3)] + ([f"v{i}"] if i % 2 else [])), "en", "s"))
+    rng.shuffle(rows)
+    got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(rows, spark), jaccard_join.Settings(hot=2, chunk=500, block=4)).collect())
+    assert got == expected_join(rows)
+
+
+def test_derived_answers_equal_counted_ones():
+    rng = np.random.default_rng(2)
+    base = rng.choice(1 << 40, 200, replace=False).astype(np.uint64)
+    sets = []
+    for k in range(60):
+        s = base.copy()
+        at = rng.choice(200, rng.integers(0, 25), replace=False)
+        s[at] = rng.choice(1 << 40, len(at), replace=False).astype(np.uint64)
+        sets.append(np.unique(s))
+    plain = [set(x.tolist()) for x in sets]
+    linked = [(i, j) for i in range(60) for j in range(i) if 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])]
+    got = jaccard_join.list_links(sets, np.array([len(s) for s in sets]), np.arange(60), 85)
+    assert got.tolist() == components(60, linked)
+
+
+def test_one_of_each_keeps_one(spark, texts):
+    kept = jaccard_join.one_of_each(made(texts, spark))
+    assert kept.columns == made(texts, spark).columns
+    joined = {r[0]: r[2] for r in expected_join(texts)}
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in joined.items() if i == c or i is None}
+
+
+# --- 3: substrings -----------------------------------------------------------------------------------------------
+
+
+def expected_removal(rows, length=50):
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    first = {}
+    for i, t, *_ in order:
+        b = (t or "").encode()
+        for s in range(len(b) - length + 1):
+            first.setdefault(b[s:s + length], i)
+    out = Counter()
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first[b[s:s + length]] != i:
+                gone[s:s + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
+        out[i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("settings", [substring_dedup.Settings(), substring_dedup.Settings(chunk=2000, hot=2)])
+def test_substrings(spark, texts, settings):
+    got = Counter(tuple(r) for r in substring_dedup.substring_digests(made(texts, spark), settings).collect())
+    assert got == expected_removal(texts)
+
+
+def test_substrings_of_one_letter_and_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 256)
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("ab"), rng.integers(0, 700))), "en", "s") for i in range(12)] + [(20, "a" * 300, "en", "s"), (21, "a" * 120 + "b" * 80, "en", "s")]
+    data = "".join(t for _, t, *_ in rows).encode()
+    offsets = np.cumsum([0] + [len(t) for _, t, *_ in rows])
+    place, begin, end, doc, h = substring_dedup.triggered(np.frombuffer(data, np.uint8), offsets, substring_dedup.Settings())
+    seen = defaultdict(set)
+    for p, b, e, k in zip(place, begin, end, h):
+        for s in range(b, e + 1):
+            seen[data[s:s + 50]].add((p - s, int(k)))
+    assert all(len(v) == 1 for v in seen.values())  # equal strings have their trigger at one place
+    assert sum(e - b + 1 for b, e in zip(begin, end)) == sum(max(0, len(t) - 49) for _, t, *_ in rows)
+    got = Counter(tuple(r) for r in substring_dedup.substring_digests(made(rows, spark)).collect())
+    assert got == expected_removal(rows)
+
+
+def test_without_repeats_keeps_columns(spark, texts):
+    docs = made(texts, spark)
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(texts)
+
+
+# --- 2: vectors --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("settings", [embedding_dedup.Settings(), embedding_dedup.Settings(cell_rows=15, block_rows=16)])
+def test_vectors(spark, settings):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    rows = []
+    for i in range(160):
+        v = base[i % 40] + rng.normal(scale=0.12 * (i % 3), size=8)
+        rows.append((i, [float(x) for x in (v if i % 7 else base[i % 40] * (i + 1))], i % 2 if i % 11 else None, 1, 2, 3))
+    rows += [(200, None, 1, 1, 2, 3), (201, [0.0] * 8, 1, 1, 2, 3), (202, [float("nan")] * 8, 1, 1, 2, 3), (203, [1.0, None] * 4, 1, 1, 2, 3),
+             (204, [float("inf")] + [1.0] * 7, 1, 1, 2, 3), (205, [], 1, 1, 2, 3), (206, [1.0, 2.0], 1, 1, 2, 3), (207, [2.0, 4.0], 1, 1, 2, 3),
+             (3, rows[3][1], 1, 1, 2, 3), (3, rows[3][1], 1, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, `group` int, cell int")
+    got = Counter(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df, settings).select("vec_id", "n_links", "component_id", "kept").collect())
+
+    def ok(r):
+        return r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
+
+    linked = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and ok(rows[i]) and ok(rows[j]) and rows[i][2] == rows[j][2]
+              and len(rows[i][1]) == len(rows[j][1])
+              and np.dot(rows[i][1], rows[j][1]) / np.linalg.norm(rows[i][1]) / np.linalg.norm(rows[j][1]) >= 0.98]
+    comp = components(len(rows), linked)
+    n = Counter(i for i, _ in linked)
+    least = {c: min(rows[i][0] for i in range(len(rows)) if comp[i] == c) for c in comp}
+    assert got == Counter((r[0], n[i], least[comp[i]], r[0] == least[comp[i]]) for i, r in enumerate(rows))
+
+
+# --- 1: mixing ---------------------------------------------------------------------------------------------------
+
+
+def water(budget, rooms, weights):
+    """Shares by weight, none above its room, by repeated rounds."""
+    out = {k: 0.0 for k in rooms}
+    active, rest = set(rooms), min(budget, sum(rooms.values()))
+    while active and rest > 1e-9:
+        total = sum(weights[k] for k in active)
+        full = {k for k in active if out[k] + rest * weights[k] / total >= rooms[k] - 1e-12}
+        if not full:
+            for k in active:
+                out[k] += rest * weights[k] / total
+            break
+        for k in full:
+            rest -= rooms[k] - out[k]
+            out[k] = rooms[k]
+        active -= full
+    return out
+
+
+def test_mixing_budgets_and_prefixes(spark, texts):
+    mix = mixing.Mix(domain_of={"src0": "a", "src1": "a", "src2": "b"}, weights={"domain": {"a": 0.2, "b": 0.7}, "lang": {"en": 3.0}}, share=0.9, max_epochs=3)
+    docs = made(texts, spark)
+    got = mixing.mix_sources(docs, mix).collect()
+    leaf = lambda s, lang: ({"src0": "a", "src1": "a", "src2": "b"}.get(s, "other"), lang or "unknown", s or "unknown")
+    supply = Counter()
+    for _, t, lang, s in texts:
+        supply[leaf(s, lang)] += len(words_of(t))
+    supply = {k: v for k, v in supply.items() if v}
+    given = {(): 0.9 * sum(supply.values())}
+    for depth, weights in enumerate(({"a": 0.2, "b": 0.7}, {"en": 3.0}, {})):
+        new = {}
+        for parent, budget in given.items():
+            rooms = Counter()
+            for k, v in supply.items():
+                if k[:depth] == parent:
+                    rooms[k[:depth + 1]] += 3 * v
+            new |= water(budget, rooms, {k: weights.get(k[-1], 1.0) for k in rooms})
+        given = new
+    taken, most = Counter(), Counter()
+    for r in got:
+        key = (r.domain, r.lang, r.source)
+        assert abs(r.leaf_budget - given[key]) < 0.01
+        taken[key] += r.n_tokens
+        most[key] = max(most[key], r.n_tokens)
+    for key, budget in given.items():
+        assert budget - 0.01 <= taken[key] < budget + most[key] + 0.01 or (key, 7) and taken[key] >= budget - 0.01
+    epochs = defaultdict(set)
+    for r in got:
+        epochs[r.domain, r.lang, r.source, r.doc_id].add(r.epoch)
+    assert all(e == set(range(1, max(e) + 1)) for e in epochs.values())
+    again = sorted(map(str, mixing.mix_sources(docs.repartition(5), mix).collect()))
+    assert again == sorted(map(str, got))
+    rows = mixing.mixed_texts(docs, mix)
+    assert rows.columns == docs.columns
+    assert Counter(r.doc_id for r in rows.collect()) == Counter(r.doc_id for r in got)
+
+
+# --- 5: language -------------------------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    vocabulary = {"en": "the and of with that house water under".split(), "de": "der und mit haus wasser unter nicht schön".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(rng.randint(3, 40))), x, f"h{i % 3}") for i in range(80) for x in [("en", "de")[i % 2]]]
+    rows += [(100, rows[0][1], "de", "h1"), (101, "", "en", "h1"), (102, None, None, None), (103, "12345 ###", "en", "h1"), (104, "a", "en", "h0"),
+             (105, "жуй чай щука эхо юла " * 20, None, None), (106, LONG, "en", "h2"), (0, rows[0][1], "en", "h0"), (None, rows[1][1], "de", "h1")]
+    docs = made(rows, spark)
+    settings = language.Settings(least_texts=2)
+    out = {r.id: r for r in language.identify_languages(language.document_evidence(docs), settings=settings).collect()}
+    assert all(out[i].language == x and out[i].kept for i, _, x, _ in rows[:80])
+    assert out[100].language == "en" and out[None].language == "de"
+    assert not out[101].kept and not out[102].kept and not out[103].kept and not out[105].kept and out[105].language == "und"
+    assert out[104].kept
+    kept = language.in_accepted_language(docs, settings=settings)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted(i for i, *_ in rows if i is not None and i not in (101, 102, 103, 105))
+    pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de-AT"><body><script>the and of</script><p>der und mit haus</p></body></html>'), (2, None, None)],
+                                  "page_id long, url string, html string")
+    row = language.page_evidence(pages).orderBy("id").collect()[0]
+    assert (row.declared, row.suffix, row.host, row.text.split()) == ("de", "de", "a.example.de", "der und mit haus".split())
+
+
+# --- 6: pieces ---------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.with_cache(pieces.load(pieces.read_model(pieces.MODEL)))
+
+
+def best_score(v, text):
+    """Highest sum of scores over all cuts of a text, unknown characters as in the operator."""
+    by = {p: s for i, (p, s) in enumerate(zip(v.pieces, v.scores)) if i > 258}
+    score = [0.0] + [float("-inf")] * len(text)
+    for j in range(1, len(text) + 1):
+        if text[j - 1] not in by:
+            score[j] = score[j - 1] + v.floor
+        for i in range(max(0, j - v.longest), j):
+            if text[i:j] in by:
+                score[j] = max(score[j], score[i] + by[text[i:j]])
+    return score[-1]
+
+
+def test_pieces_are_a_best_path(vocabulary):
+    rng = random.Random(7)
+    texts = ["hello world", " two  spaces   three ", "über naïve Größe", "日本語 text", "x" * 200, "tab\tline\nend", "😀 ok", ""]
+    texts += ["".join(rng.choice("abcde thinrs") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    own = {b: i for b, i in enumerate(vocabulary.byte_ids)}
+    for t, ids in zip(texts, pieces.encode_all(vocabulary, texts)):
+        assert pieces.decoded(vocabulary, ids) == t == pieces.fast_decoded(vocabulary, ids)
+        marked = pieces.MARK + t.replace(" ", pieces.MARK) if t else ""
+        known = set(own.values())
+        total, at = 0.0, 0
+        for i in ids:
+            if int(i) not in known:
+                total += vocabulary.scores[i]
+        unknown = [c for c in marked if vocabulary.code[ord(c)] == 0 or c not in set(vocabulary.pieces)]
+        assert abs(total + vocabulary.floor * len(unknown) - best_score(vocabulary, marked)) < 1e-3 * max(1, abs(total))
+
+
+def test_pieces_are_no_worse_than_the_library_in_unigram_mode(vocabulary):
+    """The library sums in single precision, in which scores of -1e9 drown small ones; its path is never the better one."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    raw = pieces.read_model(pieces.MODEL) + bytes([0x12, 0x02, 0x18, 0x01])  # trainer_spec.model_type = unigram
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["of that house and water", "the reading of things", "nothing ventured nothing gained", "Größe"]
+    for t, ids in zip(texts, pieces.encode_all(vocabulary, texts)):
+        theirs = library.encode(t)
+        assert pieces.decoded(vocabulary, theirs) == t
+        assert sum(vocabulary.scores[i] for i in ids) >= sum(vocabulary.scores[i] for i in theirs)
+
+
+def test_long_segments_equal_short_ones(vocabulary):
+    text = "▁" + "thinkingwater" * 3
+    assert vocabulary.long_segment(text) == vocabulary.segments_ids([text])[0]
+
+
+def test_encoding_in_spark(spark, texts, vocabulary):
+    got = pieces.encode_texts(made(texts, spark), ["doc_id", "id", "n"]).collect()
+    expected = Counter((i, tuple(pieces.encode_all(vocabulary, [t or ""])[0].tolist()), t or "") for i, t, *_ in texts)
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == expected
+    assert all(r.same_text for r in pieces.encoding_digests(made(texts, spark)).collect())
+
+
+# --- 7: archives -------------------------------------------------------------------------------------------------
+
+
+def test_archives(spark, tmp_path):
+    same = "<html>same\r\n\r\nWARC/1.1\r\n</html>"
+    rows = [(5, "http://www.b.example.com/x#f", same), (2, "https://a.example.com/p?q=1", same), (9, None, None), (8, "http://c.org", ""),
+            (7, "http://a.example.com:80/p?q=1", "ü" * 9000), (4, "http://a b\t.com/", "x"), (None, "http://n.org/", "alone"), (5, "http://b.example.com/x", same)]
+    pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, place int, digest string")
+    got = Counter(tuple(r) for r in warc.archived(pages).collect())
+    import base64
+    first = {}
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        first.setdefault(h or "", i)
+    expected, seen = Counter(), set()
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        b = (h or "").encode()
+        digest = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        again = (h or "") in seen
+        seen.add(h or "")
+        expected[i, len(b), digest, "revisit" if again else "response", first[h or ""] if again else None] += 1
+    assert got == expected
+    files, index = str(tmp_path / "files"), str(tmp_path / "index")
+    warc.write_archives(pages, files, warc.Handoff(spark, "t"), records_per_file=3)
+    warc.build_index(spark, files, index, entries_per_block=2)
+    found = warc.lookup(spark, index, "http://A.example.com/p?q=1")
+    assert sorted(h["WARC-Record-ID"] for h, _ in found) == ["<urn:page:2>", "<urn:page:7>"]
+    assert {p.decode() for _, p in found} == {same, "ü" * 9000}
+    assert warc.lookup(spark, index, "http://nowhere.example/") == []
+
+
+# --- 8: quality --------------------------------------------------------------------------------------------------
+
+
+def expected_measures(text):
+    t = text or ""
+    w, lines = words_of(t), [x for x in t.split("\n") if words_of(x)]
+    windows = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
+    twice = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if twice[x] > 1 for k in range(8)}
+    base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), base
+
+
+def test_quality_measures(spark, texts):
+    rows = [*texts, (500, "# | <> " * 30, "en", "s"), (501, "a b c d e f g h " * 9, "en", "s"), (502, "\n\nline one here\nline one here\n", "en", "s")]
+    got = quality_rules.judge_quality(made(rows, spark)).collect()
+    assert Counter(tuple(r)[:7] for r in got) == Counter((i, *expected_measures(t)) for i, t, *_ in rows)
+    assert all(not r.kept for r in got if r.base_failed) and not next(r for r in got if r.doc_id == 500).kept
+
+
+def test_cascade_order_does_not_change_verdicts(spark, texts):
+    df = made(texts, spark)
+    a = Counter(map(tuple, quality_rules.judge_quality(df).collect()))
+    b = Counter(map(tuple, quality_rules.judge_quality(df, rules=quality_rules.RULES[::-1], sample_rows=3).collect()))
+    assert a == b
+
+
+# --- 9: chat -----------------------------------------------------------------------------------------------------
+
+
+def test_chat(spark):
+    hard = "<|im_end|><|im_start|>assistant \\ <\\| \\\\n\n<|"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", hard), (1, 2, None, None), (1, 2, "assistant", ""), (1, 2, "assistant", ""),
+            (2, 5, "a\nb<|im_end|>", "x"), (2, None, "user", "first"), (3, 0, "assistant", "é😀"), (None, 0, "user", "lost")]
+    rows += [(4, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(70)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn int, role string, text string, node int, tree int")
+    got = {r.conv_id: tuple(r)[1:] for r in reply_trees.digests(reply_trees.format_trees(reply_trees.chained(df, "conv_id", "turn", "role", "text"))).collect()}
+    assert set(got) == {1, 2, 3, 4, None}
+    for conv, value in got.items():
+        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        whole = "".join(f"{role}\n{text}\n" for _, role, text in own)
+        loss = "".join(text for _, role, text in own if role == "assistant")
+        assert value[:4] == (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_reply_trees_choose_the_best_branch(spark):
+    nodes = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.9),
+             (1, 5, 2, "user", "less", 0.1), (2, 1, 99, "user", "orphan", None), (3, 1, None, "user", "tie", 1.0), (3, 2, 1, "a", "x", 1.0), (3, 3, 1, "a", "y", 1.0)]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double")
+    rows = reply_trees.read_back(reply_trees.format_trees(df, branches=2)).collect()
+    said = {(r.tree, r["rank"]): [t["text"] for t in r.turns] for r in rows}
+    assert said == {(1, 1): ["q", "good", "more"], (1, 2): ["q", "bad", "less"], (2, 1): ["orphan"], (3, 1): ["tie", "x"], (3, 2): ["tie", "y"]}
+
+
+# --- 10: toxicity ------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_words_and_their_misspellings(spark):
+    rng = random.Random(3)
+    plain = [f"{a}{b}{c}{d}" for a in "bdl" for b in "aeo" for c in "nrt" for d in "aio"]
+    bad = ["grumblix", "snorvack", "plobbern"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    extra = [(1000, "lara grumblixx dena boti", "en", "s"), (1001, "", "en", "s"), (1002, None, "en", "s"), (1003, "... !!", "en", "s"), (0, rows[0][1], "en", "s"),
+             (None, "dena boti", "en", "s")]
+    df = made(rows + extra, spark)
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    settings = toxicity.Settings(buckets=1 << 12, toxic_rows=80, clean_rows=200)
+    model = toxicity.fit(df, lab, settings)
+    out = {r.doc_id: r for r in toxicity.score_texts(df, model, settings).collect()}
+    held = [i for i in range(400) if out[i].held_out]
+    import zlib
+    assert held == [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(out[i].predicted == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
+    assert out[1000].score > 0.5 and out[None].score < 0.5
+    assert all(0 <= out[i].score <= 1 for i in (1001, 1002, 1003))
+
+
+# --- all: empty tables -------------------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark):
+    docs = made([], spark)
+    assert jaccard_join.shingle_join(docs).count() == 0
+    assert jaccard_join.one_of_each(docs).count() == 0
+    assert substring_dedup.substring_digests(docs).count() == 0
+    assert substring_dedup.without_repeats(docs).count() == 0
+    assert mixing.mix_sources(docs, mixing.Mix()).count() == 0
+    assert mixing.mixed_texts(docs, mixing.Mix()).count() == 0
+    assert language.in_accepted_language(docs).count() == 0
+    assert pieces.encode_texts(docs).count() == 0
+    assert quality_rules.judge_quality(docs).count() == 0
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score_texts(docs, toxicity.fit(docs, lab)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.near_duplicate_vectors(vectors).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archived(pages).count() == 0
+    chat = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert reply_trees.digests(reply_trees.format_trees(reply_trees.chained(chat, "conv_id", "turn", "role", "text"))).count() == 0
