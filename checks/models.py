@@ -62,7 +62,7 @@ def standardise(spark, d):
 @check("fit_risk_model")
 def fit_risk_model(spark, d):
     stored, _, search = fitted(spark, d)
-    return stored.sparkSession.createDataFrame(search, "c double, mean_f1_macro double")
+    return stored.sparkSession.createDataFrame(search, "c double, mean_f1_macro double, iterations int, converged boolean")
 
 
 @check("platt_calibrate")
@@ -202,8 +202,8 @@ def stream_decision_counts(spark, d):
 # --- scoring backends ----------------------------------------------------------------------
 
 
-def _counter():
-    """A stand-in for a model; a nested function travels to the workers by value."""
+def _counter(marker: str | None = None):
+    """A stand-in for a model that fails on texts with a marker phrase; a nested function travels by value."""
     words = list(TEST_PHRASES)
 
     def load():
@@ -211,8 +211,8 @@ def _counter():
         pattern = re.compile(r"\b(?:" + "|".join(words) + r")\b")
 
         def score(texts):
-            if texts.str.len().max() > 100000:
-                raise ValueError("text too long")
+            if marker and texts.str.contains(marker, regex=False).any():
+                raise ValueError("cannot score this text")
             return texts.str.lower().map(lambda t: min(1.0, 0.5 * len(set(pattern.findall(t)))))
 
         return score
@@ -227,13 +227,13 @@ def _missing():
     return load
 
 
-@check("backend_registry", f"""SELECT doc_id, CASE WHEN length(text) > 100000 THEN NULL ELSE {sql_density('text')} END AS score,
-    CASE WHEN length(text) > 100000 THEN 'text too long' END AS error, 'no such model file' AS broken FROM documents""")
+@check("backend_registry", f"""SELECT doc_id, CASE WHEN contains(text, 'clown') THEN NULL ELSE {sql_density('text')} END AS score,
+    CASE WHEN contains(text, 'clown') THEN 'cannot score this text' END AS error, 'no such model file' AS broken FROM documents""")
 def backend_registry(spark, d):
-    registry.register("counter", _counter())
+    registry.register("marked", _counter("clown"))
     registry.register("broken", _missing())
     docs = table(spark, d, "documents")
-    scored = docs.select("doc_id", registry.scorer("counter")("text").alias("r"),
+    scored = docs.select("doc_id", registry.scorer("marked")("text").alias("r"),
                          registry.scorer("broken")("text").alias("b"))
     return scored.selectExpr("doc_id", "r.score", "r.error", "b.error AS broken")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docguard.fixed_values import VISION_WEIGHTS
-from docguard.functions.numbers import clip, num, ratio
+from docguard.functions.numbers import clip, nan_to_null, num, ratio
 from docguard.functions.text import strip, tokens
 
 
@@ -39,7 +39,7 @@ def hidden_text_score(near_white: str) -> str:
 
 
 def hidden_text_detected(score: str) -> str:
-    return f"coalesce({score} >= 0.5D, false)"
+    return f"coalesce({nan_to_null(score)} >= 0.5D, false)"
 
 
 def combine_layers(normal: str, watermark: str, hidden: str) -> str:

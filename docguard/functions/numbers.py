@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 
@@ -13,7 +14,9 @@ def quote(text: str | None) -> str:
 
 
 def num(x: float) -> str:
-    """A double literal."""
+    """A double literal; a number that is not finite has none."""
+    if not math.isfinite(x):
+        raise ValueError(f"{x!r} cannot stand in an expression")
     return f"({float(x)!r}D)" if x < 0 else f"{float(x)!r}D"
 
 
@@ -55,8 +58,12 @@ def percent(x: str, digits: int) -> str:
 
 
 def rounded(x: str, digits: int) -> str:
-    """x rounded half-even on its binary value, as a double."""
-    return f"(double({_scaled_half_even(x, digits)}) / {num(10 ** digits)} * if({x} < 0, -1.0D, 1.0D))"
+    """x rounded half-even on its binary value, as a double; NaN becomes NULL.
+
+    From 2**53 / 10**digits on a double has no such digits and stays as it is.
+    """
+    value = f"(double({_scaled_half_even(x, digits)}) / {num(10 ** digits)} * if({x} < 0, -1.0D, 1.0D))"
+    return f"if({x} IS NULL OR isnan({x}), null, if(abs({x}) >= {num(2 ** 53 / 10 ** digits)}, double({x}), {value}))"
 
 
 def ratio(a: str, b: str, empty: str = "0.0D") -> str:
@@ -74,7 +81,8 @@ def nan_to_null(x: str) -> str:
 
 
 def clip(x: str, low: float = 0.0, high: float = 1.0) -> str:
-    return f"greatest({num(low)}, least({num(high)}, {x}))"
+    """x within bounds; NULL and NaN are NULL, and the caller chooses what stands for them."""
+    return f"if({x} IS NULL OR isnan({x}), null, greatest({num(low)}, least({num(high)}, {x})))"
 
 
 def uniform(key: str, tag: str) -> str:

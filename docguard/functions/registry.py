@@ -1,11 +1,12 @@
 """Named scoring backends as iterator pandas UDFs.
 
-A backend is loaded once per task, sees whole Arrow batches, and never fails the job:
+A backend is loaded once per worker process, sees whole Arrow batches, and never fails the job:
 each row comes back as struct<score, error>.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +19,14 @@ RESULT_TYPE = "score double, error string"
 Loader = Callable[[], Callable[[pd.Series], pd.Series]]
 
 _BACKENDS: dict[str, Loader] = {}
+_LOADED: dict[str, object] = {}  # in a worker process: what load() has returned, by scorer
+
+
+def loaded(key: str, load: Loader):
+    """The scoring function, loaded once per worker process and scorer."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
 
 
 def register(name: str, load: Loader) -> None:
@@ -32,12 +41,17 @@ def scorer(name: str) -> Callable[[str], Column]:
     """The registered backend as a function from column name to struct<score, error>."""
     if name not in _BACKENDS:
         raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
-    load = _BACKENDS[name]
+    load, key = _BACKENDS[name], f"{name}-{uuid.uuid4().hex}"
 
     def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score, broken = None, None
         try:
-            score = load()
+            try:
+                from docguard.functions import registry as kept
+            except ImportError:  # the package is not on the workers: load once per task
+                score = load()
+            else:
+                score = kept.loaded(key, load)
         except Exception as problem:  # a backend that cannot load marks its rows
             broken = str(problem)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docguard.fixed_values import LABEL_CODES, RISK_LEVELS, SEVERITY_CODES
 from docguard.functions.numbers import num, quote
+from docguard.functions.text import strip
 
 
 def label_code(label: str, strict: bool) -> str:
@@ -16,7 +17,8 @@ def label_code(label: str, strict: bool) -> str:
 
 
 def split_name(split: str) -> str:
-    return f"if(lower(trim({split})) = 'validation', 'val', lower(trim({split})))"
+    plain = f"lower({strip(split)})"
+    return f"if({plain} = 'validation', 'val', {plain})"
 
 
 def group_key(sample_id: str) -> str:
@@ -52,9 +54,15 @@ def is_flagged(decision: str) -> str:
     return f"({decision} IN ('BLOCK', 'SANITIZE'))"
 
 
-def audit_id(sample_id: str) -> str:
-    """Eight hex digits that depend on the id only, so a retried task writes the same id."""
-    return f"upper(substring(md5({sample_id}), 1, 8))"
+def audit_id(sample_id: str, width: int = 8, at: str | None = None) -> str:
+    """Hex digits that depend on the id only, so a retried task writes the same id.
+
+    Eight digits are what other tools expect; they collide from some ten thousand rows on.  More digits and the
+    time of the decision make ids unique, also where a document is decided twice.
+    """
+    named = sample_id if at is None else f"concat_ws('@', {sample_id}, string({at}))"
+    return f"upper(substring(sha2({named}, 256), 1, {width}))" if width > 32 or at is not None else \
+        f"upper(substring(md5({sample_id}), 1, {width}))"
 
 
 def file_name(path: str) -> str:
@@ -62,4 +70,4 @@ def file_name(path: str) -> str:
 
 
 def has_path(path: str) -> str:
-    return f"(trim(coalesce({path}, '')) <> '')"
+    return f"({strip(f"coalesce({path}, '')")} <> '')"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import AGENT_VERSION, ALLOWED_CONTENT_TYPES, DECISION_BADGES, MAX_FILE_BYTES
-from docguard.functions.numbers import listed, quote, rounded
+from docguard.functions.numbers import listed, nan_to_null, quote, rounded
 from docguard.functions.signals import audit_id, confidence
 from docguard.functions.text import is_blank
 from docguard.operators.features import replaced
@@ -28,11 +28,12 @@ def iso_utc(at: str) -> str:
     return f"concat(date_format({at}, 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS'), '+00:00')"
 
 
-def audit_fields(df: DataFrame, at: str = "current_timestamp()", deterministic: bool = True) -> DataFrame:
+def audit_fields(df: DataFrame, at: str = "current_timestamp()", deterministic: bool = True,
+                 id_digits: int = 8, id_with_time: bool = False) -> DataFrame:
     """Audit id, sample id (the audit id where missing), UTC timestamp, agent version."""
     sample = "string(sample_id)" if "sample_id" in df.columns else "string(null)"
     random = "upper(substring(uuid(), 1, 8))"
-    identity = f"coalesce({audit_id(sample)}, {random})" if deterministic else random
+    identity = f"coalesce({audit_id(sample, id_digits, at if id_with_time else None)}, {random})" if deterministic else random
     staged = replaced(df, {"sample_id": sample, "audit_log_id": identity, "timestamp": iso_utc(at),
                            "agent_version": quote(AGENT_VERSION)})
     return replaced(staged, {"sample_id": "coalesce(sample_id, audit_log_id)"})
@@ -47,8 +48,9 @@ def decide_batch(df: DataFrame, rules: Sequence[dict] | None = None, at: str = "
     columns = df.columns
 
     def known(name: str, default: str, kind: str) -> str:
-        """The column where present and not NULL, else the default."""
-        return f"coalesce({kind}({name}), {default})" if name in columns else f"{kind}({default})"
+        """The column where present and neither NULL nor NaN, else the default."""
+        value = nan_to_null(f"double({name})") if kind == "double" else f"{kind}({name})"
+        return f"coalesce({value}, {default})" if name in columns else f"{kind}({default})"
 
     prompt = known("prompt_score", known("malicious_probability", "0.5D", "double"), "double")
     staged = replaced(audit_fields(df, at, deterministic), {

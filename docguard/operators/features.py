@@ -25,7 +25,8 @@ def encode_label(df: DataFrame, strict: bool = True, out: str = "label_int") ->
 
 
 def join_labels_splits(labels: DataFrame, splits: DataFrame) -> DataFrame:
-    joined = labels.join(splits.select("sample_id", "split"), "sample_id")
+    """Labels with their split; an id that stands in the splits twice, or in two of them, fails the job."""
+    joined = labels.join(unique_rows(splits.select("sample_id", "split")), "sample_id")
     return joined.select("sample_id", "label", "split", "attack_family")
 
 
@@ -63,7 +64,7 @@ def fill_defaults(df: DataFrame, layout: str = "fourteen") -> DataFrame:
 
 def engineer_features(df: DataFrame) -> DataFrame:
     """Cross signals of prompt and vision score."""
-    prompt, vision = "coalesce(malicious_probability, 0.0D)", "coalesce(vision_score, 0.0D)"
+    prompt, vision = (f"coalesce({nan_to_null(f'double({c})')}, 0.0D)" for c in ("malicious_probability", "vision_score"))
     return replaced(df, {
         "prompt_vision_agreement": agreement(prompt, vision),
         "max_signal": f"greatest({prompt}, {vision})",

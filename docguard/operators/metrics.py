@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import DECISIONS
-from docguard.functions.numbers import num, quote, ratio, share
+from docguard.functions.numbers import nan_to_null, num, quote, ratio, share
 from docguard.functions.signals import is_flagged
 from docguard.operators.ranked import exact_quantiles, running_totals
 from docguard.operators.rules import rules_flag
@@ -37,8 +37,17 @@ def _counts(truth: str, flagged: str, suffix: str = "") -> list[str]:
             f"count_if({truth} = 1 AND NOT {flagged}) AS fn{suffix}", f"count_if({truth} = 1 AND {flagged}) AS tp{suffix}"]
 
 
-def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*aggregates(*_counts(truth, f"({predicted} = 1)")))
+def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (),
+                     unscored: str = "error") -> DataFrame:
+    """Counts of both classes.  A row with a truth but no prediction fails the job; with
+    unscored="count" such rows are counted as n_unscored instead."""
+    lost = f"count_if({truth} IS NOT NULL AND {predicted} IS NULL)"
+    counted = df.groupBy(*by).agg(*aggregates(*_counts(truth, f"({predicted} = 1)"), f"{lost} AS n_unscored"))
+    if unscored == "count":
+        return counted
+    failed = "raise_error(concat(string(n_unscored), ' rows have no prediction'))"
+    checked = [f"if(n_unscored = 0, {c}, {failed}) AS {c}" for c in ("tn", "fp", "fn", "tp")]
+    return counted.selectExpr(*by, *checked)
 
 
 def metric_expressions() -> dict[str, str]:
@@ -77,8 +86,8 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 
 
 def _score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives per distinct score; rows without a score count as neither."""
-    known = df.selectExpr(*by, f"{score} AS score", f"{truth} AS truth")
+    """Positives and negatives per distinct score; rows without a score, or with NaN, count as neither."""
+    known = df.selectExpr(*by, f"{nan_to_null(f'double({score})')} AS score", f"{truth} AS truth")
     return known.groupBy(*by, "score").agg(*aggregates(
         "count_if(truth = 1 AND score IS NOT NULL) AS pos", "count_if(truth = 0 AND score IS NOT NULL) AS neg"))
 
@@ -103,7 +112,9 @@ def brier(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Data
 
 
 def calibration_curve(df: DataFrame, truth: str, score: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins on [0, 1]; a score on an inner edge belongs to the lower bin."""
+    """Equal-width bins on [0, 1]; a score on an inner edge belongs to the lower bin, no score and NaN to none."""
+    df = df.withColumn("_known", F.expr(nan_to_null(f"double({score})"))).filter("_known IS NOT NULL")
+    score = "_known"
     place = f"greatest(0, least({bins - 1}, int(ceil({score} * {bins})) - 1)) AS bin"
     placed = df.selectExpr(*by, place, f"{score} AS _score", f"{truth} AS _truth")
     return placed.groupBy(*by, "bin").agg(*aggregates(
@@ -187,9 +198,13 @@ def threshold_sweep(df: DataFrame, rules: Sequence[dict] | None = None, truth: s
     The rules are evaluated once.  Rows are counted by how many thresholds their risk
     reaches, and everything per threshold is computed from those few counts.
     """
-    grid = f"array({', '.join(num(t) for t in sorted(thresholds or sweep_thresholds()))})"
-    marked = rules_flag(df, rules).selectExpr(
-        f"size(filter({grid}, t -> t <= risk_score)) AS reached", "rules_flag", f"{truth} AS truth")
+    values = [num(t) for t in sorted(thresholds or sweep_thresholds())]
+    grid = f"array({', '.join(values)})"
+    risk = nan_to_null("double(risk_score)")
+    # a generated chain of comparisons; an unknown risk reaches no threshold
+    reached = " + ".join(f"int(_risk >= {t})" for t in values)
+    marked = rules_flag(df, rules).selectExpr(f"{risk} AS _risk", "rules_flag", f"{truth} AS truth").selectExpr(
+        f"coalesce({reached}, 0) AS reached", "rules_flag", "truth")
     cells = marked.groupBy("reached", "rules_flag", "truth").agg(F.expr("count(1) AS n"))
     spread = cells.selectExpr("truth", "n", "rules_flag", "reached", f"posexplode({grid}) AS (place, threshold)") \
                   .selectExpr("threshold", "truth", "n", "rules_flag OR reached > place AS flag")

@@ -22,6 +22,7 @@ from docguard.fixed_values import NINE_FEATURES, REGULARISATION_GRID
 from docguard.functions.numbers import clip, num, quote
 from docguard.functions.signals import is_high_risk, risk_level
 from docguard.operators.features import feature_map, replaced
+from docguard.operators.ranked import value_at_rank
 from docguard.operators.splits import aggregates
 
 FOLDS = 3
@@ -34,6 +35,7 @@ class FoldModel:
     intercept: float
     slope: float = 1.0
     offset: float = 0.0
+    iterations: int = 0
 
 
 @dataclass(frozen=True)
@@ -63,56 +65,79 @@ def standardised(df: DataFrame, columns: Sequence[str], means: Sequence[float],
     return replaced(df, dict(zip(columns, scaled(columns, means, scales))))
 
 
-def fold_of(id_column: str, seed: str = "42") -> str:
-    """Fold of a row from the hash of its id: no order over the rows is needed."""
-    return f"int(pmod(xxhash64(concat({quote(seed + ':')}, string({id_column}))), {FOLDS}))"
+def fold_hash(id_column: str, seed: str = "42") -> str:
+    return f"xxhash64(concat({quote(seed + ':')}, string({id_column})))"
+
+
+def with_folds(df: DataFrame, label: str, id_column: str = "sample_id", seed: str = "42") -> DataFrame:
+    """Add fold, stratified: each class in the order of its ids' hashes is cut into parts of equal size.
+
+    Only the cut points are looked up, by rank; no row moves.  Rows that share an id share a fold.
+    """
+    hashed = df.withColumn("_hash", F.expr(fold_hash(id_column, seed)))
+    classes = [r[0] for r in hashed.select(label).distinct().limit(100).collect()]
+    ranks = {f"cut{i}": f"int(ceil(n_total * {i}D / {FOLDS}D))" for i in range(1, FOLDS)}
+    cases = []
+    for value in classes:
+        own = hashed.filter(F.col(label).eqNullSafe(F.lit(value)))
+        row = value_at_rank(own, "_hash", ranks).first()
+        cuts = [row[name] for name in ranks]
+        above = " + ".join(f"int(_hash > {c}L)" if c is not None else "0" for c in cuts)
+        cases.append(f"WHEN {label} <=> {quote(value) if isinstance(value, str) else 'null' if value is None else value} THEN {above}")
+    return hashed.withColumn("fold", F.expr(f"CASE {' '.join(cases)} END" if cases else "0")).drop("_hash")
 
 
 def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
              grid: Sequence[float] = tuple(REGULARISATION_GRID), seed: str = "42",
-             parallelism: int = 6) -> tuple[RiskModel, list[tuple]]:
+             parallelism: int = 6, most_iterations: int = 1000) -> tuple[RiskModel, list[tuple]]:
     """Choose C by three-fold macro F1, calibrate each fold's model on its held-out rows.
 
-    Returns the model and the (C, mean macro F1) table of the search.
+    Returns the model and the table of the search: C, mean macro F1, the most iterations that a fold's fit took, and
+    whether all of them ended before `most_iterations`.
     """
     means, scales = standardise(train, columns)
     z = [f"z{i}" for i in range(len(columns))]
-    rows = train.selectExpr(f"double({label}) AS y", f"{fold_of('sample_id', seed)} AS fold",
-                            *[f"{c} AS {name}" for name, c in zip(z, scaled(columns, means, scales))])
+    rows = with_folds(train, label, "sample_id", seed).selectExpr(f"double({label}) AS y", "fold", *[f"{c} AS {name}" for name, c in zip(z, scaled(columns, means, scales))])
     prepared = VectorAssembler(inputCols=z, outputCol="x").transform(rows)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {(r["fold"], r["y"]): r["n"] for r in
                  prepared.groupBy("fold", "y").agg(F.expr("count(1) AS n")).collect()}
-        candidates = _fit_all(prepared, sizes, grid, parallelism)
+        candidates = _fit_all(prepared, sizes, grid, parallelism, most_iterations)
         scores = [_held_out_f1(prepared, z, fold, candidates[fold]) for fold in range(FOLDS)]
         mean_f1 = [sum(s[i] for s in scores) / FOLDS for i in range(len(grid))]
         best = max(range(len(grid)), key=lambda i: mean_f1[i])
         folds = [_calibrated(prepared, z, sizes, fold, candidates[fold][best]) for fold in range(FOLDS)]
     finally:
         prepared.unpersist()
-    return RiskModel(list(columns), means, scales, grid[best], folds), list(zip(grid, mean_f1))
+    taken = [max(fold[i].iterations for fold in candidates) for i in range(len(grid))]
+    return RiskModel(list(columns), means, scales, grid[best], folds), [
+        (c, f1, n, n < most_iterations) for c, f1, n in zip(grid, mean_f1, taken)]
 
 
-def _fit_all(prepared: DataFrame, sizes: dict, grid: Sequence[float], parallelism: int) -> list[list[FoldModel]]:
+def _fit_all(prepared: DataFrame, sizes: dict, grid: Sequence[float], parallelism: int,
+             most_iterations: int) -> list[list[FoldModel]]:
     """One model per fold and C; independent fits run side by side, as in CrossValidator."""
     fit = inheritable_thread_target(prepared.sparkSession)(
-        lambda place: _fit_one(prepared, sizes, place // len(grid), grid[place % len(grid)]))
+        lambda place: _fit_one(prepared, sizes, place // len(grid), grid[place % len(grid)], most_iterations))
     with ThreadPool(parallelism) as pool:
         models = pool.map(fit, range(FOLDS * len(grid)), chunksize=1)
     return [models[f * len(grid):(f + 1) * len(grid)] for f in range(FOLDS)]
 
 
-def _fit_one(prepared: DataFrame, sizes: dict, fold: int, c: float) -> FoldModel:
+def _fit_one(prepared: DataFrame, sizes: dict, fold: int, c: float, most_iterations: int) -> FoldModel:
     """Fit on the rows outside the fold, classes weighted to equal shares."""
     n = {y: sum(size for (f, label), size in sizes.items() if f != fold and label == y) for y in (0.0, 1.0)}
+    if not n[0.0] or not n[1.0]:
+        raise ValueError(f"the rows outside fold {fold} are all of one class; too few rows to fit {FOLDS} folds")
     total = n[0.0] + n[1.0]
     weight = f"if(y = 1.0D, {num(total / (2.0 * max(1, n[1.0])))}, {num(total / (2.0 * max(1, n[0.0])))})"
     outside = prepared.filter(f"fold <> {fold}").select("x", "y", F.expr(f"{weight} AS w"))
     # C weighs the summed loss, regParam the mean loss; the weights sum to the row count
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * total),
-                                elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(outside)
-    return FoldModel([float(v) for v in fitted.coefficients], float(fitted.intercept))
+                                elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-6).fit(outside)
+    return FoldModel([float(v) for v in fitted.coefficients], float(fitted.intercept),
+                     iterations=fitted.summary.totalIterations)
 
 
 def _margin(terms: Sequence[str], model: FoldModel) -> str:
@@ -146,7 +171,7 @@ def _calibrated(prepared: DataFrame, z: Sequence[str], sizes: dict, fold: int, m
         f"{_margin(z, model)} AS margin", f"if(y = 1.0D, {high}, {low}) AS t")
     soft = margins.selectExpr("margin", "stack(2, 1.0D, t, 0.0D, 1.0D - t) AS (y, w)")
     assembled = VectorAssembler(inputCols=["margin"], outputCol="x").transform(soft)
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=100, tol=1e-8).fit(assembled)
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=1000, tol=1e-8).fit(assembled)
     return FoldModel(model.coefficients, model.intercept, float(fitted.coefficients[0]), float(fitted.intercept))
 
 
@@ -197,13 +222,14 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
     return RiskModel(list(row["columns"]), list(row["means"]), list(row["scales"]), row["c"], folds)
 
 
-def fit_text_model(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16) -> PipelineModel:
+def fit_text_model(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16,
+                   most_iterations: int = 1000) -> PipelineModel:
     """A bag-of-words text classifier: hashed term counts, IDF, logistic regression."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, regParam=0.01, maxIter=30,
+        LogisticRegression(featuresCol="_features", labelCol=label, regParam=0.01, maxIter=most_iterations,
                            probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction"),
     ]).fit(df)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docguard.fixed_values import SPLITS
-from docguard.functions.numbers import listed, quote, ratio, rounded, share
+from docguard.functions.numbers import listed, nan_to_null, quote, ratio, rounded, share
 from docguard.operators.features import replaced
 from docguard.operators.ranked import exact_quantiles
 from docguard.operators.splits import aggregates
@@ -17,14 +17,14 @@ from docguard.operators.splits import aggregates
 
 def _per_column(df: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
     """One global aggregate over all columns, laid out as one row per column; {x} is the column."""
-    wide = df.agg(*aggregates(*[f"{e.format(x=f'double({c})')} AS {f}_{i}"
+    wide = df.agg(*aggregates(*[f"{e.format(x=nan_to_null(f'double({c})'))} AS {f}_{i}"
                                 for i, c in enumerate(columns) for f, e in fields.items()]))
     rows = ", ".join(f"{quote(c)}, " + ", ".join(f"{f}_{i}" for f in fields) for i, c in enumerate(columns))
     return wide.selectExpr(f"stack({len(columns)}, {rows}) AS (feature, {', '.join(fields)})")
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean, std, min, max, zeros and share of non-zeros per feature: one global aggregate."""
+    """Mean, std, min, max, zeros and share of non-zeros per feature: one global aggregate that skips NaN."""
     plain = _per_column(df, columns, {
         "mean": "avg({x})", "std": "stddev_samp({x})", "min": "min({x})", "max": "max({x})",
         "zeros": "count_if({x} = 0)", "nonzero_pct": ratio("count_if({x} <> 0)", "count(1)") + " * 100",

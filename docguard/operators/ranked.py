@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docguard.functions.numbers import num, quote
+from docguard.functions.numbers import nan_to_null, num, quote
 
-RANGES = 1023  # cut points between ranges, one less than the number of ranges
+RANGES = 1023  # cut points between ranges at least; four for each shuffle partition where that is more
 STEP = 32  # one coarse cut point for so many fine ones
 
 
@@ -44,8 +44,8 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, n) over the non-NULL values of several numeric columns."""
-    pairs = ", ".join(f"{quote(c)}, double({c})" for c in columns)
+    """(feature, value, n) over the values, neither NULL nor NaN, of several numeric columns."""
+    pairs = ", ".join(f"{quote(c)}, {nan_to_null(f'double({c})')}" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").filter("value IS NOT NULL")
     return long.groupBy("feature", "value").agg(F.expr("count(1) AS n"))
 
@@ -84,7 +84,8 @@ def _cut_points(counts: DataFrame, value: str) -> Column:
     how well the ranges are balanced never changes the result.  All columns take part in the
     order, so this reads the very aggregation that the totals read, and Spark runs it once.
     """
-    drawn = counts.orderBy(F.xxhash64(value), *counts.columns).limit(RANGES)
+    ranges = max(RANGES, 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)
+    drawn = counts.orderBy(F.xxhash64(value), *counts.columns).limit(ranges)
     cuts = f"array_sort(collect_list({value}))"
     return drawn.agg(F.expr(f"{cuts} AS fine")).selectExpr(
         f"named_struct('fine', fine, 'coarse', filter(fine, (cut, i) -> i % {STEP} = {STEP - 1}))").scalar()

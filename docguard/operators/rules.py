@@ -87,7 +87,7 @@ def rule_context(df: DataFrame) -> DataFrame:
         elif kind == "number":
             value = nan_to_null(f"double({present})")
         elif kind == "flag":
-            value = present if present == candidates[0] else f"{present} >= 0.5D"
+            value = present if present == candidates[0] else f"{nan_to_null(f'double({present})')} >= 0.5D"
         else:
             value = f"lower({strip(present)})"
         added.append(f"coalesce({_TYPES[kind]}({value}), {default}) AS ctx_{field}")

@@ -106,18 +106,20 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
                          size: int = 510, stride: int = 256, stop_above: float = 0.99) -> DataFrame:
     """Score long texts window by window: the first score above the stop value, else the maximum.
 
+    One row per row of df; rows that share an id stay rows of their own.
+
     All windows of a text start in one task, so the shuffle carries one partial row per text.
     """
     known = f"coalesce({text}, '')"
     plain = isinstance(scorer, TextScorer)
-    prepared = df.selectExpr(id_column, f"{scorer.prepare(known) if plain else known} AS _text")
+    prepared = df.selectExpr(id_column, f"{scorer.prepare(known) if plain else known} AS _text", "monotonically_increasing_id() AS _row")
     worded = prepared.selectExpr("*", f"{T.tokens('_text')} AS _words")
-    windows = worded.selectExpr(id_column, f"inline({T.text_windows('_text', '_words', size, stride)}) AS (start, window_text)")
+    windows = worded.selectExpr(id_column, "_row", f"inline({T.text_windows('_text', '_words', size, stride)}) AS (start, window_text)")
     score = F.expr(scorer.score("window_text")) if plain else scorer("window_text")
-    scored = windows.select(id_column, "start", score.alias("score"))
+    scored = windows.select(id_column, "_row", "start", score.alias("score"))
     early = f"min(if(score > {stop_above}D, named_struct('start', start, 'score', score), null)).score"
-    return scored.groupBy(id_column).agg(
-        F.expr(f"coalesce({early}, max(score)) AS malicious_probability"), F.expr("count(1) AS n_windows"))
+    return scored.groupBy("_row", id_column).agg(
+        F.expr(f"coalesce({early}, max(score)) AS malicious_probability"), F.expr("count(1) AS n_windows")).drop("_row")
 
 
 def windowed_score(df: DataFrame, scorer: TextScorer, text: str = "text", out: str = "prompt_score",

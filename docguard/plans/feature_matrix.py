@@ -9,6 +9,7 @@ from docguard.operators.features import engineer_features, fuse_sources, join_la
 from docguard.operators.profile import feature_matrix_summary
 from docguard.operators.quality import enforce, validate_feature_matrix
 from docguard.operators.splits import normalise_split
+from docguard.session import new_path, removed
 from docguard.sources.tables import write_parquet, write_record
 
 
@@ -20,10 +21,14 @@ def feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame,
 
 def build_feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame, vision: DataFrame,
                          matrix_path: str, summary_path: str) -> DataFrame:
-    """Write the matrix by split, check what was written, write its summary, return it."""
+    """Check the new matrix, then replace the stored one by it, by split; write its summary, return it."""
     spark = labels.sparkSession
-    write_parquet(feature_matrix(labels, splits, predictions, vision), matrix_path, ["split"])
+    path = new_path(spark, "feature-matrix")
+    feature_matrix(labels, splits, predictions, vision).write.parquet(path)
+    fresh = spark.read.parquet(path)
+    enforce(validate_feature_matrix(fresh))
+    write_parquet(fresh, matrix_path, ["split"])
+    removed(spark, path)
     stored = spark.read.parquet(matrix_path)
-    enforce(validate_feature_matrix(stored))
     write_record(feature_matrix_summary(stored, FOURTEEN_FEATURES), summary_path)
     return stored

@@ -53,6 +53,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds data files, at any depth; markers and files in progress are none."""
+    if not exists(spark, path):
+        return False
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop_path, True)
+    while files.hasNext():
+        parts = files.next().getPath().toString().removeprefix(hadoop_path.toString()).strip("/").split("/")
+        if not any(p.startswith(("_", ".")) for p in parts):
+            return True
+    return False
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()

@@ -16,6 +16,13 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length")
 
 
+def plain_path(path: str) -> str:
+    """A path as other tables write it: without the scheme of a local file, and without percent-encoding."""
+    bare = f"regexp_replace({path}, '^file:(//)?/', '/')"
+    encoded = f"{path} LIKE 'file:%' AND {bare} RLIKE '%[0-9A-Fa-f]{{2}}'"
+    return f"if({encoded}, url_decode(replace({bare}, '+', '%2B')), {bare})"
+
+
 def resolve_images(df: DataFrame, files: DataFrame, id_column: str = "sample_id") -> DataFrame:
     """Add resolved_path: the file of the full path, else the one of the same name, else NULL.
 
@@ -25,9 +32,9 @@ def resolve_images(df: DataFrame, files: DataFrame, id_column: str = "sample_id"
     in which Spark splits the partition of a path that very many rows share.
     """
     spread = f"concat('//', xxhash64({id_column}))"
-    path_key = f"if({has_path('image_path')}, image_path, {spread})"
+    path_key = f"if({has_path('image_path')}, {plain_path('image_path')}, {spread})"
     name_key = f"if({has_path('image_path')}, {file_name('image_path')}, {spread})"
-    full = written(files.selectExpr("path AS _full").distinct(), "image_files")
+    full = written(files.selectExpr(f"{plain_path('path')} AS _full").distinct(), "image_files")
     names = full.groupBy(F.expr(f"{file_name('_full')} AS _name")).agg(F.expr("min(_full) AS _by_name"))
     named = written(names, "image_names")
     joined = df.join(full, F.expr(f"{path_key} = _full"), "left").join(named, F.expr(f"{name_key} = _name"), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docguard.operators.splits import normalise_split
-from docguard.session import exists
+from docguard.session import exists, has_data
 from docguard.sources import schemas
 
 # split name -> name of its original table
@@ -32,9 +32,21 @@ def union_splits(parts: Sequence[DataFrame]) -> DataFrame:
     return union
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
-    """CSV with header.  Values with line breaks need multi_line, which makes a file one task."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"')
+# What stands for NULL in a CSV file, so that it differs from the empty text.
+CSV_NULL = "\\N"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True, null: str = CSV_NULL,
+             empty_is_null: bool = False) -> DataFrame:
+    """CSV with header, as write_csv writes it: blanks, line breaks, quotes, '' and NULL come back.
+
+    Values with line breaks need multi_line, by which a file is one task; write_csv writes many files.  Where it is
+    known that no value has one, multi_line=False lets Spark split files.  Files of other tools leave NULL empty:
+    empty_is_null=True reads them so.
+    """
+    return spark.read.schema(schema).csv(
+        path, header=True, multiLine=multi_line, escape='"', nullValue="" if empty_is_null else null, emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_cols(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -47,7 +59,7 @@ def load_splits(spark: SparkSession, corrected_path: str, folder: str) -> DataFr
     original = read_splits(spark, folder)
     if not exists(spark, corrected_path):
         return original
-    corrected = normalise_split(read_csv(spark, corrected_path, schemas.CORRECTED_SPLITS))
+    corrected = normalise_split(read_csv(spark, corrected_path, schemas.CORRECTED_SPLITS, empty_is_null=True))
     return original.drop("split").join(corrected, "sample_id")
 
 
@@ -59,8 +71,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", null: str = CSV_NULL) -> None:
+    """CSV with header in which every value is kept; see read_csv."""
+    df.write.mode(mode).csv(path, header=True, escape='"', quoteAll=False, nullValue=null, emptyValue='""',
+                            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_audit(df: DataFrame, path: str, fresh: bool = False) -> None:
@@ -75,7 +89,7 @@ def write_record(one: DataFrame, path: str) -> None:
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The stored result if there is one, else compute and store it."""
-    if force or not exists(spark, path + "/_SUCCESS"):
+    if force or not has_data(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -84,7 +98,7 @@ def resume(todo: DataFrame, done_path: str, key: str, process: Callable[[DataFra
            force: bool = False) -> DataFrame:
     """Process the rows whose key is not in the stored result yet, append them, return all."""
     spark = todo.sparkSession
-    started = exists(spark, done_path + "/_SUCCESS") and not force
+    started = has_data(spark, done_path) and not force
     rest = todo
     if started:
         rest = todo.join(spark.read.parquet(done_path).select(key), key, "left_anti")
