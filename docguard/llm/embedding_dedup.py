@@ -15,10 +15,10 @@ from docguard.llm.components import connected_components, roots
 
 @dataclass(frozen=True)
 class Settings:
-    """Threshold, size of the sample that k-means is fitted on, vectors per cell aimed at, and rows of a block."""
+    """Threshold, size of the sample that k-means is fitted on, vectors of a label per cell aimed at, and rows of a block."""
     least_cosine: float = 0.98
     sample_rows: int = 20_000
-    cell_rows: int = 1_000
+    cell_rows: int = 4_096
     most_cells: int = 4_096
     block_rows: int = 1_024
     rounds: int = 8
@@ -39,7 +39,7 @@ def fit_cells(rows: DataFrame, n_rows: int, settings: Settings) -> np.ndarray:
     sample = rows.orderBy(F.expr(f"xxhash64({settings.seed}, node)"), "node").limit(settings.sample_rows).select("vector").collect()
     x = np.array([r["vector"] for r in sample], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    k = int(min(settings.most_cells, max(1, n_rows // settings.cell_rows), max(1, len(x) // 8)))
+    k = int(min(settings.most_cells, max(1, -(-n_rows // settings.cell_rows)), max(1, len(x) // 8)))
     rng = np.random.default_rng(settings.seed)
     centers = x[rng.choice(len(x), k, replace=False)]
     for _ in range(settings.rounds):
@@ -54,14 +54,14 @@ def fit_cells(rows: DataFrame, n_rows: int, settings: Settings) -> np.ndarray:
 
 
 def assigned(rows: DataFrame, centers: np.ndarray, settings: Settings) -> DataFrame:
-    """(group, node, weight, vector, cell, home): each vector in its home cell, and as a guest in the cells near it.
+    """(group, node, weight, vector, cell, home, visits): each vector in its home cell, and as a guest in cells near it.
 
-    Two unit vectors with the least cosine are at most `reach` apart. If x is at home in cell p and y in q, y is at
-    most `reach` behind the plane between p and q; so y is a guest wherever it is that near to the plane. A pair in
-    two cells meets in the cell of one of them, and every pair at home in a cell meets there.
+    Two unit vectors with the least cosine are at most `reach` apart. If x is at home in cell p and y in q, the plane
+    between the two centers lies between x and y, so one of them is at most half of `reach` from it: that one is a
+    guest in the other's cell. So each such pair meets, once or twice, and pairs at home in one cell meet there.
     """
     shared = rows.sparkSession.sparkContext.broadcast(centers)
-    reach = math.sqrt(2 - 2 * settings.least_cosine) + 1e-9
+    reach = math.sqrt(2 - 2 * settings.least_cosine) / 2 + 1e-9
 
     def run(batches):
         import pyarrow as pa
@@ -82,14 +82,18 @@ def assigned(rows: DataFrame, centers: np.ndarray, settings: Settings) -> DataFr
                 best = near[np.arange(len(part)), home]
                 row, cell = np.nonzero(best[:, None] - near <= reach * apart[home] + 1e-9)
                 take = pa.array(row + at)
+                counts = np.bincount(row, minlength=len(part))
+                ends = np.cumsum(counts)
+                own = np.repeat(ends[row] - counts[row] - np.concatenate([[0], np.cumsum(counts[row])[:-1]]), counts[row]) + np.arange(counts[row].sum())
+                visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[row])]).astype(np.int32)), pa.array(cell[own].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).take(take) for i in range(3)),
                      pa.FixedSizeListArray.from_arrays(pa.array(part[row].reshape(-1)), width).cast(pa.list_(pa.float64())),
-                     pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)],
-                    ["group", "node", "weight", "vector", "cell", "home"])
+                     pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), visits],
+                    ["group", "node", "weight", "vector", "cell", "home", "visits"])
 
     return rows.select("group", "node", "weight", "vector").mapInArrow(
-        run, "group string, node long, weight long, vector array<double>, cell int, home boolean")
+        run, "group string, node long, weight long, vector array<double>, cell int, home int, visits array<int>")
 
 
 def compared(members: DataFrame, settings: Settings) -> DataFrame:
@@ -103,7 +107,7 @@ def compared(members: DataFrame, settings: Settings) -> DataFrame:
     dealt = members.join(small(sizes), ["group", "cell"]).selectExpr("*", f"int(pmod(xxhash64({settings.seed}, node), blocks)) AS block")
     paired = dealt.selectExpr(
         "*", "explode(transform(sequence(0, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))) AS pair").selectExpr(
-        "group", "cell", "pair.low AS low", "pair.high AS high", "block", "node", "weight", "vector", "home")
+        "group", "cell", "pair.low AS low", "pair.high AS high", "block", "node", "weight", "vector", "home", "visits")
     least = settings.least_cosine
 
     def products(table):
@@ -112,18 +116,27 @@ def compared(members: DataFrame, settings: Settings) -> DataFrame:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
         block, home = table.column("block").to_numpy(), table.column("home").to_numpy()
+        here = home == table.column("cell")[0].as_py()
         x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+        # whether a row visits the home of another
+        homes, at_home = np.unique(home, return_inverse=True)
+        visits = table.column("visits").combine_chunks()
+        visitor = np.repeat(np.arange(len(node)), np.diff(visits.offsets.to_numpy()))
+        visited = visits.flatten().to_numpy()
+        known = np.isin(visited, homes)
+        visiting = np.zeros((len(node), len(homes)), bool)
+        visiting[visitor[known], np.searchsorted(homes, visited[known])] = True
         first = np.flatnonzero(block == low)
         second = first if low == high else np.flatnonzero(block == high)
         links, a, b = np.zeros(len(node), np.int64), [], []
         for at in range(0, len(first), 1024):
             rows = first[at:at + 1024]
-            near = (x[rows] @ x[second].T >= least) & (home[rows][:, None] | home[second][None, :])
+            near = (x[rows] @ x[second].T >= least) & (here[rows][:, None] | here[second][None, :])
             near &= node[rows][:, None] != node[second][None, :]
-            # a pair of a home and a guest meets again in the guest's own cell, so here it counts for the one at home
-            links[rows] += np.where(home[rows], near @ weight[second], 0)
+            # a guest counts a pair here only if the other does not visit the guest's home, where the pair meets again
+            links[rows] += (near & (here[rows][:, None] | ~visiting[second][:, at_home[rows]].T)) @ weight[second]
             if low != high:
-                links[second] += np.where(home[second], near.T @ weight[rows], 0)
+                links[second] += (near & (here[second][None, :] | ~visiting[rows][:, at_home[second]])).T @ weight[rows]
             i, j = np.nonzero(near)
             own = np.arange(len(node))
             if len(i):
@@ -161,7 +174,8 @@ def near_duplicate_vectors(rows: DataFrame, settings: Settings = Settings(), id_
     distinct = keyed.filter("ok").groupBy("group", "print", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
     # two nodes may not share a number, which rows with one id could give them
     nodes = hand.write(distinct.selectExpr("group", "print", "vector", "node AS least_id", "weight", "monotonically_increasing_id() AS node"), "nodes")
-    centers = fit_cells(nodes, nodes.count(), settings)
+    largest = nodes.groupBy("group").count().agg(F.max("count")).first()[0]
+    centers = fit_cells(nodes, largest, settings)
     members = hand.write(assigned(nodes, centers, settings), "members")
     found = hand.write(compared(members, settings), "found")
     hand.drop("members")
