@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,72 @@ def available() -> list[str]:
     return sorted(_BACKENDS)
 
 
+def _batch_scorer(load: Loader, key: str):
+    """Scores and errors of a list of texts: as one batch, or one by one where that fails."""
+    state = {}
+
+    def run(texts: list[str]) -> list[tuple]:
+        if "score" not in state and "broken" not in state:
+            try:
+                try:
+                    from docguard.functions import registry as kept
+                except ImportError:
+                    state["score"] = load()
+                else:
+                    state["score"] = kept.loaded(key, load)
+            except Exception as problem:
+                state["broken"] = str(problem)
+        if "broken" in state:
+            return [(None, state["broken"])] * len(texts)
+        try:
+            return [(float(x), None) for x in pd.Series(state["score"](pd.Series(texts, dtype=object)))]
+        except Exception:
+            found = []
+            for text in texts:
+                try:
+                    found.append((float(pd.Series(state["score"](pd.Series([text], dtype=object))).iloc[0]), None))
+                except Exception as problem:
+                    found.append((None, str(problem)))
+            return found
+
+    return run
+
+
+@dataclass(frozen=True)
+class WindowScorer:
+    """A backend for texts cut into windows: a column of arrays to struct<score, error>, inside the row."""
+    score: Callable[[str], Column]
+
+
+def window_scorer(name: str, stop_above: float = 0.99) -> WindowScorer:
+    """The registered backend over arrays of windows: the first score above the stop value, else the largest.
+
+    All windows of a batch of rows are scored together.  A window that fails gives its row the error and no score.
+    """
+    if name not in _BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
+    load, key = _BACKENDS[name], f"{name}-{uuid.uuid4().hex}"
+    make = _batch_scorer
+
+    def score_rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = make(load, key)
+        for arrays in batches:
+            windows = [list(a) if a is not None else [] for a in arrays]
+            flat = iter(run([w for row in windows for w in row]))
+            rows = []
+            for row in windows:
+                found = [next(flat) for _ in row]
+                error = next((e for _, e in found if e is not None), None)
+                scores = [s for s, _ in found]
+                early = None if error else next((s for s in scores if s > stop_above), None)
+                rows.append((None if error or not scores else early if early is not None else max(scores), error))
+            yield pd.DataFrame(rows, columns=["score", "error"])
+
+    score_rows.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    backend = F.pandas_udf(score_rows, RESULT_TYPE)
+    return WindowScorer(lambda windows: backend(F.col(windows)))
+
+
 def scorer(name: str) -> Callable[[str], Column]:
     """The registered backend as a function from column name to struct<score, error>."""
     if name not in _BACKENDS:

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from docguard.fixed_values import HEURISTIC_PHRASES, INJECTION_PHRASES
 from docguard.functions.layout import boxes_text, hidden_text_detected
+from docguard.functions.registry import WindowScorer
 from docguard.functions.signals import confidence, has_path, risk_level, severity_code
+from docguard.functions.text import text_windows, tokens
 from docguard.operators.decisions import decide_batch, fail_safe
 from docguard.operators.features import engineer_features, replaced
 from docguard.operators.layouts import vision_features
-from docguard.operators.model import RiskModel, risk_probability
+from docguard.operators.model import RiskModel, risk_probability, text_probability
 from docguard.operators.rules import evaluate_rules
 from docguard.operators.texts import TextScorer, heuristic_scores, windowed_score
 
@@ -28,29 +31,44 @@ NO_IMAGE = {
 }
 
 
-def decide_documents(docs: DataFrame, scorer: TextScorer, rules: Sequence[dict] | None = None,
+def decide_documents(docs: DataFrame, scorer: TextScorer | WindowScorer | PipelineModel, rules: Sequence[dict] | None = None,
                      model: RiskModel | None = None, phrases: Sequence[str] = tuple(INJECTION_PHRASES),
-                     at: str = "current_timestamp()") -> DataFrame:
+                     at: str = "current_timestamp()", keep_family: bool = False) -> DataFrame:
     """docs: sample_id, text, image_path, severity, and the box and layer columns of vision_features.
 
     A document without an image has no vision signal.  Without text the text of its boxes is
     scored, and without any text the score is 0.5.  Without a model the risk is the larger
-    of both scores.
+    of both scores.  A backend that fails on a text leaves its error in prompt_error, and 0.5 as the score.
+    attack_family is carried where docs have it and keep_family is set.
     """
-    seen = vision_features(docs, phrases, keep=["text", "severity", "boxes"])
+    family = ["attack_family"] if keep_family and "attack_family" in docs.columns else []
+    seen = vision_features(docs, phrases, keep=["text", "severity", "boxes", *family])
     seen = replaced(seen, {name: f"if({has_path('image_path')}, {name}, {value})" for name, value in NO_IMAGE.items()})
     read = f"{has_path('image_path')} AND ocr_confidence > 0"
     seen = replaced(seen, {"text": f"coalesce(text, if({read}, {boxes_text('boxes')}, null), '')"}).drop("boxes")
-    seen = windowed_score(seen, scorer)
+    seen = prompt_scores(seen, scorer)
     scored = replaced(seen, {
         "prompt_score": "if(text = '', 0.5D, prompt_score)",
-        "prompt_error": "cast(null as string)",
+        "prompt_error": "if(text = '', null, prompt_error)",
         "vision_error": "error",
         "hidden_text_detected": hidden_text_detected("hidden_text_score"),
     }).drop("error", "text")
     return decide_batch(fail_safe(_with_risk(scored, model)), rules, at)
 
 
+def prompt_scores(df: DataFrame, scorer: TextScorer | WindowScorer | PipelineModel) -> DataFrame:
+    """Add prompt_score and prompt_error, inside each row, by expressions, a registered backend or a fitted text model."""
+    if isinstance(scorer, TextScorer):
+        return replaced(windowed_score(df, scorer), {"prompt_error": "cast(null as string)"})
+    if isinstance(scorer, PipelineModel):
+        scored = text_probability(df, scorer)
+        return replaced(scored, {"prompt_score": "malicious_probability", "prompt_error": "cast(null as string)"}).drop("malicious_probability")
+    windows = f"transform({text_windows('text', '_words', 510, 256)}, w -> w.text)"
+    cut = df.selectExpr("*", f"{tokens('text')} AS _words").selectExpr("*", f"{windows} AS _windows")
+    scored = cut.withColumn("_scored", scorer.score("_windows"))
+    return replaced(scored, {"prompt_score": "_scored.score", "prompt_error": "_scored.error"}).drop("_words", "_windows", "_scored")
+
+
 def analyze_texts(docs: DataFrame, phrases: Sequence[str] = tuple(HEURISTIC_PHRASES),
                   rules: Sequence[dict] | None = None) -> DataFrame:
     """Texts to decisions without any model: heuristic scores, then the rules."""
