@@ -1,8 +1,9 @@
 """Exact similarity join of documents on word shingles by Jaccard, with skips in the index and derived answers.
 
-A document is the set of its shingles' 64-bit hashes. Sets are ordered by one order of all shingles, frequent ones
-last; two sets that link share a shingle among their first (1 - threshold) x size + 1. Lists of the sets by such a
-shingle are the index. Equal lists are worked off once, long ones in blocks, and within a list the overlaps of a set
+A document is the set of its shingles' 64-bit hashes. The shingles that only one document has are found first, by
+packed 32-bit keys; they come first in the one order of all shingles, the frequent ones last. Two sets that link share a shingle among
+their first (1 - threshold) x size + 1. Lists of the sets by such a shingle are the index. Equal lists are worked off
+once, lists that sets chain together as one as long as they are of moderate size, long ones in blocks, and within a list the overlaps of a set
 are derived from those of a similar set that is done: only the shingles in which the two differ are looked up.
 """
 
@@ -14,19 +15,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, lowered, mixed, slabs, slice_hashes, small, text_bytes, word_spans
-from docguard.llm.components import connected_components, roots
+from docguard.llm.common import Handoff, lowered, mixed, slice_hashes, small, word_spans
+from docguard.llm.components import connected_components
+from docguard.llm.substring_dedup import (
+    LAST, bucketed, chunked, content, dealt, drop_tables, key_rows, known_keys, shared_keys,
+)
+from docguard.llm.substring_dedup import Settings as Parsing
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle length, threshold in percent, when a shingle counts as frequent, how many of these are ordered last, and
-    the members of a block of a long list."""
+    """Shingle length, threshold in percent, from how many chunks' copies on a shingle is ordered last, bytes of a chunk,
+    the members of a block of a long list, and up to which members and shingles lists chained together are one."""
     words: int = 4
     percent: int = 85
-    frequent: int = 48
-    most_frequent: int = 65_536
+    hot: int = 64
+    chunk: int = 2 << 20
     block: int = 256
+    chain: int = 1024
+    chain_shingles: int = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -70,72 +77,92 @@ def ragged(bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
 
 
-def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Sorted hashes of the shingles that many documents hold, as far as their first shingles by hash show.
-
-    Any choice gives the same links; a good one keeps lists short. All documents are counted, and only the
-    `most_frequent` most frequent come to the driver.
-    """
-    words, percent = settings.words, settings.percent
+def shingle_keys(chunks: DataFrame, n_buckets: int, settings: Settings) -> DataFrame:
+    """(bucket, chunk, keys): each chunk's distinct shingle keys, twice if two of its documents have it."""
+    words = settings.words
 
     def run(batches):
         import pyarrow as pa
 
-        for part in slabs(batches):
-            values, bounds = shingle_sets(*text_bytes(part.column(0)), words)
-            counts = np.minimum(np.diff(bounds), prefix_sizes(np.diff(bounds), percent) * 3 // 2)
-            yield pa.RecordBatch.from_arrays([pa.array(values[ragged(bounds, counts)].view(np.int64))], ["shingle"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values, bounds = shingle_sets(*content(batch.column(2)[i].as_py(), batch.column(1)[i].values.to_numpy()), words)
+                if not len(values):
+                    continue
+                bucket, key = dealt(values, n_buckets)
+                buckets, parts = key_rows(bucket, key, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
+                    ["bucket", "chunk", "keys"])
 
-    counted = docs.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(f"count > {settings.frequent}")
-    top = counted.orderBy(F.desc("count"), "shingle").limit(settings.most_frequent).collect()
-    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+    return chunks.select("chunk", "sizes", "packed").mapInArrow(run, "bucket int, chunk long, keys binary")
 
 
-def measured_sets(docs: DataFrame, frequent: np.ndarray, settings: Settings, whole: bool = False) -> DataFrame:
-    """(doc_id, n, print_a, print_b, shingles) of each document: the first shingles in the order, or all of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def measured_sets(chunks: DataFrame, side: DataFrame, n_buckets: int, settings: Settings) -> DataFrame:
+    """(doc_id, n, print_a, print_b, first, shared) of each document.
+
+    The order of all shingles: those of one document, those of several, those of many, each by hash. `first` holds
+    the several-document ones among the first that decide; without one the document links with no other set. Only
+    then `shared` holds all that other documents have, which is all that any intersection can hold.
+    """
     words, percent = settings.words, settings.percent
 
     def run(batches):
         import pyarrow as pa
 
-        last = shared.value
-        for part in slabs(batches):
-            values, bounds = shingle_sets(*text_bytes(part.column(1)), words)
-            sizes = np.diff(bounds)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            prints = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
-            if len(last):
-                at = np.minimum(np.searchsorted(last, values), len(last) - 1)
-                values = values[np.lexsort((values, last[at] == values, np.repeat(np.arange(len(sizes)), sizes)))]
-            counts = sizes if whole else prefix_sizes(sizes, percent)
-            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
-                                           pa.array(values[ragged(bounds, counts)].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), out],
-                                             ["doc_id", "n", "print_a", "print_b", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_a long, print_b long, shingles array<long>")
-
-
-def list_links(sets: list[np.ndarray], known: np.ndarray, percent: int):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column(1)[i].values
+                values, bounds = shingle_sets(*content(batch.column(3)[i].as_py(), batch.column(2)[i].values.to_numpy()), words)
+                sizes = np.diff(bounds)
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(salt)))])
+                        for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                prints = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+                known, hot = known_keys(batch.column(4)[i].as_py())
+                grade = np.zeros(len(values), np.int8)
+                if len(known):
+                    bucket, key = dealt(values, n_buckets)
+                    both = bucket.astype(np.uint64) << np.uint64(32) | key
+                    at = np.minimum(np.searchsorted(known, both), len(known) - 1)
+                    grade = np.where(known[at] == both, 1 + hot[at], 0).astype(np.int8)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((values, grade, owner))
+                values, grade = values[order], grade[order]
+                leading = np.zeros(len(values), bool)
+                leading[ragged(bounds, prefix_sizes(sizes, percent))] = True
+                leading &= grade > 0
+                n_first = np.bincount(owner[leading], minlength=len(sizes))
+                kept = (grade > 0) & (n_first > 0)[owner]
+                lists = []
+                for mask in (leading, kept):
+                    counts = np.bincount(owner[mask], minlength=len(sizes))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
+                                                          pa.array(values[mask].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), *lists],
+                                                 ["doc_id", "n", "print_a", "print_b", "first", "shared"])
+
+    joined = chunks.select("chunk", "ids", "sizes", "packed").join(side, "chunk", "left").select("chunk", "ids", "sizes", "packed", "side")
+    return joined.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, first array<long>, shared array<long>")
+
+
+def list_links(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, percent: int):
     """Component (number of its first member) of each set of one list; `known` gives those found so far.
 
-    Sets stand by size. The overlaps of a set with all others come from an index of the list's shingles. They are
+    `sets` hold the shingles that other documents have too, `sizes` count all. Sets stand by size. The overlaps of a set with all others come from an index of the list's shingles. They are
     counted anew for the first set and for one unlike all done so far; else they are derived from the most similar one
     done: minus the lists of what only that one holds, plus the lists of what only the new one holds. A set is skipped
     if it is in one component with all sets it could link with by size.
     """
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
+    m, held_sizes = len(sets), np.array([len(s) for s in sets])
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         linked = known[0] == known[1] or 100 * both >= percent * (sizes.sum() - both)
         return np.array([0, 0 if linked else 1])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     token = token.reshape(-1)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    bounds = np.concatenate([[0], np.cumsum(held_sizes)])
     order = np.argsort(token, kind="stable")
-    holder = np.repeat(np.arange(m), sizes)[order]
+    holder = np.repeat(np.arange(m), held_sizes)[order]
     lists = np.searchsorted(token[order], np.arange(token.max() + 2)) if len(token) else np.zeros(1, np.int64)
 
     def held(tokens):
@@ -154,7 +181,7 @@ def list_links(sets: list[np.ndarray], known: np.ndarray, percent: int):
         if not open_.any():
             continue
         base = max(done, key=lambda d: answers[d][i], default=None)
-        if base is not None and 4 * answers[base][i] >= 3 * max(sizes[i], sizes[base]):
+        if base is not None and 4 * answers[base][i] >= 3 * max(held_sizes[i], held_sizes[base]):
             mine, theirs = own[i], own[base]
             overlap = answers[base] - held(np.setdiff1d(theirs, mine, assume_unique=True)) + held(np.setdiff1d(mine, theirs, assume_unique=True))
         else:
@@ -179,21 +206,21 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings) -> DataF
         import pyarrow as pa
 
         def links(group):
-            sids, known, sets = zip(*group)
-            first = list_links(list(sets), np.array(known), percent)
+            sids, known, sizes, sets = zip(*group)
+            first = list_links(list(sets), np.array(sizes), np.array(known), percent)
             return [(sids[k], sids[f]) for k, f in enumerate(first) if f != k]
 
         out, group, at = [], [], None
         for batch in batches:
-            bounds = batch.column(n_keys + 2).offsets.to_numpy()
-            values = batch.column(n_keys + 2).values.to_numpy()
+            bounds = batch.column(n_keys + 3).offsets.to_numpy()
+            values = batch.column(n_keys + 3).values.to_numpy()
             key_rows = zip(*(batch.column(k).to_pylist() for k in range(n_keys)))
             for k, key in enumerate(key_rows):
                 if key != at:
                     if len(group) > 1:
                         out += links(group)
                     group, at = [], key
-                group.append((batch.column(n_keys)[k].as_py(), batch.column(n_keys + 1)[k].as_py(), values[bounds[k]:bounds[k + 1]].copy()))
+                group.append((batch.column(n_keys)[k].as_py(), batch.column(n_keys + 1)[k].as_py(), batch.column(n_keys + 2)[k].as_py(), values[bounds[k]:bounds[k + 1]].copy()))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -202,39 +229,50 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings) -> DataF
             a, b = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = members.select(*keys, "sid", "known", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = members.select(*keys, "sid", "known", "n", "shingles").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[DataFrame, DataFrame]:
     """Documents as (doc_id, n, print_a, print_b), and sets as (n, print_a, print_b, component) with the component's least doc_id."""
-    frequent = frequent_shingles(docs, settings)
-    by_doc = hand.write(measured_sets(docs, frequent, settings), "documents")
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, name = bucketed(docs.sparkSession, chunked(docs, Parsing(chunk=settings.chunk), "doc_id", "text"), "chunk")
+    keys_of = hand.write(shared_keys(shingle_keys(chunks, n_buckets, settings), Parsing(hot=settings.hot)), "keys")
+    side = keys_of.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("side"))
+    by_doc = hand.write(measured_sets(chunks, side, n_buckets, settings).withColumn(
+        "doc_id", F.expr(f"nullif(doc_id, {LAST}L)")), "documents")
+    drop_tables(docs.sparkSession, name)
+    hand.drop("keys")
     keys = ["n", "print_a", "print_b"]
-    grouped = by_doc.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"))
-    sets = hand.write(grouped.selectExpr(*keys, "doc_id", "shingles", "monotonically_increasing_id() AS sid"), "sets")
-    postings = sets.selectExpr("sid", "explode(shingles) AS shingle")
+    grouped = by_doc.filter("size(first) > 0").groupBy(*keys).agg(F.first("first").alias("first"), F.first("shared").alias("shingles"))
+    sets = hand.write(grouped.selectExpr(*keys, "first", "shingles", "monotonically_increasing_id() AS sid"), "sets")
+    postings = sets.selectExpr("sid", "explode(first) AS shingle")
     shared = postings.groupBy("shingle").count().filter("count > 1").select("shingle")
     postings = hand.write(postings.join(shared, "shingle"), "postings")
     # lists with the same members are one list
     lists = postings.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("f"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
-    chosen = lists.groupBy("f", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "f")
+        F.count(F.lit(1)).alias("f"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"),
+        F.min("sid").alias("low"))
+    chosen = lists.groupBy("f", "x", "y", "low").agg(F.min("shingle").alias("shingle")).select("shingle", "f", "low")
     members = hand.write(postings.join(chosen, "shingle"), "members")
     hand.drop("postings")
-    wanted = hand.write(members.select("sid").distinct().join(sets.drop("shingles"), "sid"), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    whole = measured_sets(texts, frequent, settings, whole=True).join(small(wanted.select("sid", *keys, "doc_id")), ["doc_id", *keys])
-    whole = hand.write(whole.groupBy("sid").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n")), "whole")
+    whole = sets.select("sid", "n", "shingles")
+    # sets that lists chain together: a chain of moderate size is worked off as one list, to which each set goes once
+    chains = hand.write(connected_components(members.selectExpr("sid AS a", "low AS b"), hand), "chains").withColumnRenamed("node", "sid")
+    sizes = chains.join(sets.select("sid", "n"), "sid").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    sizes = sizes.selectExpr("component", f"members <= {settings.chain} AND total <= {settings.chain_shingles} AS moderate")
+    chains = hand.write(chains.join(sizes, "component"), "sized")
+    together = chains.filter("moderate").join(whole, "sid").selectExpr("component", "sid", "sid AS known", "n", "shingles")
+    chained_links = hand.write(work_lists(together, ["component"], settings), "links0")
+    members = hand.write(members.drop("low").join(chains.filter("NOT moderate").select("sid"), "sid"), "long")
     # first round: short lists as they are; long ones in blocks that share the list's least set
     block = settings.block
     least = members.filter(f"f > {block}").groupBy("shingle").agg(F.min("sid").alias("sid"), F.first("f").alias("f"))
     parts = f"int(ceil(f / {block}D))"
     blocks = members.selectExpr("shingle", f"int(pmod(xxhash64(sid, 7), {parts})) AS part", "sid").unionByName(
         least.selectExpr("shingle", f"explode(sequence(0, {parts} - 1)) AS part", "sid")).distinct()
-    first = blocks.join(whole, "sid").selectExpr("shingle", "part", "sid", "sid AS known", "shingles")
-    links = hand.write(work_lists(first, ["shingle", "part"], settings), "links1")
+    first = blocks.join(whole, "sid").selectExpr("shingle", "part", "sid", "sid AS known", "n", "shingles")
+    links = hand.write(work_lists(first, ["shingle", "part"], settings).unionByName(chained_links), "links1")
     found = hand.write(connected_components(links, hand), "components1")
     # second round: what remains apart in a long list meets block by block, by bands of size
     long = members.filter(f"f > {block}").join(found.withColumnRenamed("node", "sid"), "sid", "left").selectExpr(
@@ -242,20 +280,24 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     apart = long.groupBy("shingle").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("shingle")
     band = f"int(floor(ln(n) / ln({100 / settings.percent}D)))"
     placed = long.join(apart, "shingle").join(whole, "sid").selectExpr(
-        "shingle", "sid", "known", "shingles", f"{band} AS band", f"{parts} AS parts", f"int(pmod(xxhash64(sid, 7), {parts})) AS part")
+        "shingle", "sid", "known", "n", "shingles", f"{band} AS band", f"{parts} AS parts", f"int(pmod(xxhash64(sid, 7), {parts})) AS part")
     others = """flatten(transform(sequence(0, parts - 1), o -> array(
         named_struct('bands', 2 * band, 'low', least(part, o), 'high', greatest(part, o)),
         named_struct('bands', 2 * band + 1, 'low', part, 'high', o), named_struct('bands', 2 * band - 1, 'low', o, 'high', part))))"""
-    second = placed.selectExpr("shingle", "sid", "known", "shingles", f"explode({others}) AS at").selectExpr(
-        "shingle", "at.bands AS bands", "at.low AS low", "at.high AS high", "sid", "known", "shingles")
+    second = placed.selectExpr("shingle", "sid", "known", "n", "shingles", f"explode({others}) AS at").selectExpr(
+        "shingle", "at.bands AS bands", "at.low AS low", "at.high AS high", "sid", "known", "n", "shingles")
     more = hand.write(work_lists(second, ["shingle", "bands", "low", "high"], settings), "links2")
-    hand.drop("whole", "members")
+    hand.drop("members", "long")
     everything = links.unionByName(more)
     groups = found if more.isEmpty() else hand.write(connected_components(everything, hand), "components2")
-    joined = hand.write(sets.drop("shingles").join(groups.withColumnRenamed("node", "sid"), "sid", "left").selectExpr(
-        *keys, "doc_id", "coalesce(component, sid) AS group"), "grouped")
-    smallest = joined.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return by_doc.drop("shingles"), joined.join(smallest, "group").select(*keys, "component_id")
+    # all documents by their sets; sets in no component are their own
+    named = sets.select(*keys, "sid").join(groups.withColumnRenamed("node", "sid"), "sid")
+    placed = by_doc.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("least")).join(
+        named.select(*keys, "component"), keys, "left")
+    placed = hand.write(placed, "placed")
+    smallest = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    result = placed.join(smallest, "component", "left").selectExpr(*keys, "coalesce(component_id, least) AS component_id")
+    return by_doc.select("doc_id", *keys), result
 
 
 def shingle_join(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +318,7 @@ def shingle_join(docs: DataFrame, settings: Settings = Settings(), id_column: st
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that have the smallest id of their component, in all columns.
 
-    Of rows that share that id one stays, unless they have no component: rows without a set all stay.
+    Rows that share that id all stay, and so do rows without an id: nothing tells them apart.
     """
     joined = shingle_join(docs.select("doc_id", "text"), settings)
     gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
@@ -289,9 +331,9 @@ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [
         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' '))) END AS grams FROM w),
 n AS (SELECT doc_id, len(grams)::bigint AS n_shingles FROM s),
 g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b
-    WHERE 100 * both >= 85 * (x.n_shingles + y.n_shingles - both)),
+    WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
 """
 ORACLE = "WITH RECURSIVE " + ORACLE.strip().removeprefix("WITH ") + """
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)

@@ -78,7 +78,7 @@ def op2(spark, folder):
     return near_duplicate_vectors(table(spark, folder, "embeddings"))
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", jaccard_join.ORACLE)
 def op4(spark, folder):
     return jaccard_join.shingle_join(table(spark, folder, "documents"))
 

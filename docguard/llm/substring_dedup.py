@@ -28,10 +28,11 @@ BLOCK = 1 << 22
 TABLES: list[str] = []
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Drop the chunk tables of results that are written or no longer wanted."""
-    while TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
+def drop_tables(spark: SparkSession, *names: str) -> None:
+    """Drop these, or all, chunk tables of results that are written or no longer wanted."""
+    for name in names or tuple(TABLES):
+        TABLES.remove(name)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,48 @@ def opened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as deflated planes of the bytes of their differences."""
+    steps = np.diff(keys, prepend=np.uint32(0))
+    return packed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def opened_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(opened(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
+def key_rows(bucket: np.ndarray, key: np.ndarray, owner: np.ndarray):
+    """(bucket, packed keys): the distinct keys of a chunk by bucket, twice if two of its documents have it."""
+    order = np.lexsort((owner, key, bucket))
+    b, k, o = bucket[order], key[order], owner[order]
+    new = np.ones(len(b), bool)
+    new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
+    other = ~new
+    other[1:] &= o[1:] != o[:-1]
+    run_number = np.cumsum(new)
+    second = np.zeros(len(b), bool)  # the first further document of a key
+    where = np.flatnonzero(other)
+    if len(where):
+        second[where[np.concatenate([[True], run_number[where][1:] != run_number[where][:-1]])]] = True
+    keep = new | second
+    b, k = b[keep], k[keep]
+    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+    return b[edges[:-1]].astype(np.int32), [packed_keys(k[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+
+
+def known_keys(side) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (bucket, key) pairs as one number, and which are hot, from the rows of shared_keys for a chunk."""
+    known, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for part in side or []:
+        k = opened_keys(part["keys"])
+        known.append(np.uint64(part["bucket"]) << np.uint64(32) | k.astype(np.uint64))
+        hot.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(k)).astype(bool))
+    known, hot = np.concatenate(known), np.concatenate(hot)
+    order = np.argsort(known)
+    return known[order], hot[order]
+
+
 def chunked(docs: DataFrame, settings: Settings, id_column: str, text: str) -> DataFrame:
     """(chunk, ids, sizes, packed, rest): runs of rows of about a chunk's size; rest holds the rows' other columns."""
     others = [c for c in docs.columns if c not in (id_column, text)]
@@ -164,23 +207,9 @@ def trigger_keys(chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
                     continue
                 bucket, key = dealt(h, n)
                 owner = ids[doc]
-                order = np.lexsort((owner, key, bucket))
-                b, k, o = bucket[order], key[order], owner[order]
-                new = np.ones(len(b), bool)
-                new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
-                other = ~new
-                other[1:] &= o[1:] != o[:-1]
-                run_number = np.cumsum(new)
-                second = np.zeros(len(b), bool)  # the first further document of a key
-                where = np.flatnonzero(other)
-                if len(where):
-                    second[where[np.concatenate([[True], run_number[where][1:] != run_number[where][:-1]])]] = True
-                keep = new | second
-                b, k = b[keep], k[keep]
-                edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-                parts = [k[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+                buckets, parts = key_rows(bucket, key, owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b[edges[:-1]].astype(np.int32)), pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
+                    [pa.array(buckets), pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
                     ["bucket", "chunk", "keys"])
 
     return chunks.select("chunk", "ids", "sizes", "packed").mapInArrow(run, "bucket int, chunk long, keys binary")
@@ -192,7 +221,7 @@ def shared_keys(keys: DataFrame, settings: Settings) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
+        parts = [opened_keys(x.as_py()) for x in table.column("keys")]
         key = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         order = np.argsort(key, kind="stable")
@@ -210,7 +239,7 @@ def shared_keys(keys: DataFrame, settings: Settings) -> DataFrame:
         some = [i for i in range(len(parts)) if edges[i + 1] > edges[i]]
         chunk, bucket = table.column("chunk").to_numpy(), table.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array(chunk[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()),
-                         "keys": pa.array([k[edges[i]:edges[i + 1]].tobytes() for i in some], pa.binary()),
+                         "keys": pa.array([packed_keys(k[edges[i]:edges[i + 1]]) for i in some], pa.binary()),
                          "hot": pa.array([np.packbits(hot[edges[i]:edges[i + 1]]).tobytes() for i in some], pa.binary())})
 
     return keys.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, keys binary, hot binary")
@@ -225,14 +254,7 @@ class Chunk:
         place, first, last, doc, h = triggered(self.data, self.offsets, settings)
         bucket, key = dealt(h, n)
         both = bucket.astype(np.uint64) << np.uint64(32) | key
-        known, hot = [], []
-        for part in side or []:
-            k = np.frombuffer(part["keys"], np.uint32)
-            known.append(np.uint64(part["bucket"]) << np.uint64(32) | k.astype(np.uint64))
-            hot.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(k)).astype(bool))
-        known, hot = (np.concatenate(known), np.concatenate(hot)) if known else (np.zeros(0, np.uint64), np.zeros(0, bool))
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
+        known, hot = known_keys(side)
         at = np.minimum(np.searchsorted(known, both), max(0, len(known) - 1))
         shared = known[at] == both if len(known) else np.zeros(len(both), bool)
         is_hot = shared & hot[at] if len(known) else shared
@@ -423,7 +445,7 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
     spark = docs.sparkSession
     hand = Handoff(spark, "substrings")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, _ = bucketed(spark, chunked(docs, settings, id_column, text), "chunk")
+    chunks, name = bucketed(spark, chunked(docs, settings, id_column, text), "chunk")
     keys = hand.write(shared_keys(trigger_keys(chunks, n, settings), settings), "keys")
     side = keys.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("side"))
 

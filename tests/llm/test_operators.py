@@ -81,7 +81,7 @@ def expected_join(rows):
     return Counter((ids[i], len(sets[i]), least[comp[i]] if sets[i] else ids[i]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(hot=2, chunk=3000, block=4)])
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(hot=2, chunk=3000, block=4, chain=1), jaccard_join.Settings(hot=2, chunk=3000, block=4, chain=12)])
 def test_shingle_join(spark, texts, settings):
     got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(texts, spark), settings).collect())
     assert got == expected_join(texts)
@@ -95,7 +95,7 @@ def test_long_list_of_sets_that_differ(spark):
     for i in range(40):
         rows.append((i, " ".join(common + [f"u{i // 2}_{k}" for k in range(3)] + ([f"v{i}"] if i % 2 else [])), "en", "s"))
     rng.shuffle(rows)
-    got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(rows, spark), jaccard_join.Settings(hot=2, chunk=500, block=4)).collect())
+    got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(rows, spark), jaccard_join.Settings(hot=2, chunk=500, block=4, chain=3)).collect())
     assert got == expected_join(rows)
 
 
