@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from docguard.llm.common import Handoff
 
 
-def connected_components(links: DataFrame, hand: Handoff, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of links (a, b): the smallest node that is reachable.
+def connected_components(links: DataFrame, out: Handoff, step: str, most_rounds: int = 60) -> DataFrame:
+    """(node, component) for each node of links (a, b): the smallest node that is reachable; written as a step of `out`.
 
     In each round every node points to the smallest node next to it, pointers are followed twice, and the links are
     drawn anew between what the nodes point to. At least half of the nodes that still have links go in a round, so the
     rounds grow with the logarithm of the number of nodes. All steps are grouped minima and joins that Spark can
     split; nothing but the number of links left comes to the driver. Nulls and links of a node to itself are dropped.
     """
+    hand = Handoff(links.sparkSession, f"{out.name}-{step}")
     current = hand.write(links.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links0")
     maps = []
     for k in range(most_rounds):
@@ -25,8 +26,7 @@ def connected_components(links: DataFrame, hand: Handoff, most_rounds: int = 60)
         to = hand.write(both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up"), f"up{k}")
         for hop in range(2):
             above = to.selectExpr("node AS up", "up AS over")
-            step = f"hop{k}-{hop}"
-            to = hand.write(to.join(above, "up").selectExpr("node", "over AS up"), step)
+            to = hand.write(to.join(above, "up").selectExpr("node", "over AS up"), f"hop{k}-{hop}")
             hand.drop(f"up{k}" if hop == 0 else f"hop{k}-0")
         maps.append(to)
         ends = to.selectExpr("node AS a", "up AS x")
@@ -35,13 +35,13 @@ def connected_components(links: DataFrame, hand: Handoff, most_rounds: int = 60)
         hand.drop(f"links{k}")
     else:
         raise RuntimeError("links are left after the last round")
-    if not maps:
-        return current.selectExpr("a AS node", "b AS component")
-    result = maps[0].selectExpr("node", "up AS component")
+    result = maps[0].selectExpr("node", "up AS component") if maps else current.selectExpr("a AS node", "b AS component")
     for to in maps[1:]:
         result = result.join(to.selectExpr("node AS component", "up"), "component", "left").selectExpr(
             "node", "coalesce(up, component) AS component")
-    return result
+    written = out.write(result, step)
+    hand.drop()
+    return written
 
 
 def roots(n: int, a, b):

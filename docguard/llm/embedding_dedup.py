@@ -179,10 +179,11 @@ def near_duplicate_vectors(rows: DataFrame, settings: Settings = Settings(), id_
     members = hand.write(assigned(nodes, centers, settings), "members")
     found = hand.write(compared(members, settings), "found")
     hand.drop("members")
-    groups = connected_components(found.selectExpr("node AS a", "root AS b"), hand)
+    groups = connected_components(found.selectExpr("node AS a", "root AS b"), hand, "components")
     joined = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(groups, "node", "left").selectExpr(
         "group", "vector", "print", "node", "least_id", "weight", "coalesce(links, 0L) AS links", "coalesce(component, node) AS component")
     joined = hand.write(joined, "joined")
+    hand.drop("nodes", "found", "components")
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_node = joined.join(least, "component").selectExpr("group", "print", "vector", "links + weight - 1 AS n_links", "component_id")
     linked = keyed.filter("ok").join(by_node, ["group", "print", "vector"])

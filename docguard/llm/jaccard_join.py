@@ -258,7 +258,7 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     hand.drop("postings")
     whole = sets.select("sid", "n", "shingles")
     # sets that lists chain together: a chain of moderate size is worked off as one list, to which each set goes once
-    chains = hand.write(connected_components(members.selectExpr("sid AS a", "low AS b"), hand), "chains").withColumnRenamed("node", "sid")
+    chains = connected_components(members.selectExpr("sid AS a", "low AS b"), hand, "chains").withColumnRenamed("node", "sid")
     sizes = chains.join(sets.select("sid", "n"), "sid").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     sizes = sizes.selectExpr("component", f"members <= {settings.chain} AND total <= {settings.chain_shingles} AS moderate")
     chains = hand.write(chains.join(sizes, "component"), "sized")
@@ -273,7 +273,7 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
         least.selectExpr("shingle", f"explode(sequence(0, {parts} - 1)) AS part", "sid")).distinct()
     first = blocks.join(whole, "sid").selectExpr("shingle", "part", "sid", "sid AS known", "n", "shingles")
     links = hand.write(work_lists(first, ["shingle", "part"], settings).unionByName(chained_links), "links1")
-    found = hand.write(connected_components(links, hand), "components1")
+    found = connected_components(links, hand, "components1")
     # second round: what remains apart in a long list meets block by block, by bands of size
     long = members.filter(f"f > {block}").join(found.withColumnRenamed("node", "sid"), "sid", "left").selectExpr(
         "shingle", "f", "sid", "coalesce(component, sid) AS known")
@@ -289,12 +289,13 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     more = hand.write(work_lists(second, ["shingle", "bands", "low", "high"], settings), "links2")
     hand.drop("members", "long")
     everything = links.unionByName(more)
-    groups = found if more.isEmpty() else hand.write(connected_components(everything, hand), "components2")
+    groups = found if more.isEmpty() else connected_components(everything, hand, "components2")
     # all documents by their sets; sets in no component are their own
     named = sets.select(*keys, "sid").join(groups.withColumnRenamed("node", "sid"), "sid")
     placed = by_doc.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("least")).join(
         named.select(*keys, "component"), keys, "left")
     placed = hand.write(placed, "placed")
+    hand.drop(*(step for step in tuple(hand.paths) if step not in ("documents", "placed")))
     smallest = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
     result = placed.join(smallest, "component", "left").selectExpr(*keys, "coalesce(component_id, least) AS component_id")
     return by_doc.select("doc_id", *keys), result
