@@ -175,3 +175,30 @@ def decide_documents_backend(spark, d):
     registry.register("marked", _counter("clown"))
     decided = decide_documents(pages(spark, d), registry.window_scorer("marked"), phrases=TEST_PHRASES)
     return decided.select("sample_id", "decision", "risk_score", "prompt_score", "vision_score", "governance_rule_triggered", "prompt_error")
+
+
+# --- a model of given numbers: scores of all documents in plain arithmetic --------------------------------------
+
+_FIXED = MO.RiskModel(["malicious_probability", "vision_score", "keyword_density"], [0.5, 0.4, 0.3], [0.3, 0.25, 0.2], 1.0,
+                      [MO.FoldModel([1.5, -0.75, 0.5], 0.25, 1.1, -0.2), MO.FoldModel([1.25, 0.5, 0.0], -0.5, 0.9, 0.1)])
+_PROBABILITY = "(" + " + ".join(
+    f"1.0::double/(1.0::double + exp(-({f.slope}::double*({f.intercept}::double + "
+    + " + ".join(f"{w}::double*(coalesce({c}, 0.0::double) - {m}::double)/{s}::double" for w, c, m, s in zip(f.coefficients, _FIXED.columns, _FIXED.means, _FIXED.scales))
+    + f") + {f.offset}::double)))" for f in _FIXED.folds) + f")/{len(_FIXED.folds)}"
+_RISK = f"SELECT * REPLACE ({_PROBABILITY} AS risk_score) FROM gaps"
+
+
+@check("score_risk_fixed", with_("sig", **_GAPS, risk=_RISK) + """SELECT sample_id, risk_score, CASE WHEN risk_score < 0.35::double THEN 'LOW' WHEN risk_score < 0.65::double THEN 'MEDIUM'
+    WHEN risk_score < 0.80::double THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level, risk_score >= 0.65::double AS is_high_risk FROM risk""", rounded=["risk_score"])
+def score_risk_fixed(spark, d):
+    rows = FE.replaced(with_gaps(spark, d), {c: f"if(isnan({c}), null, {c})" for c in _FIXED.columns}).drop("risk_score")
+    return MO.score_risk(rows, _FIXED).select("sample_id", "risk_score", "risk_level", "is_high_risk")
+
+
+@check("evaluate_risk_fixed", with_("sig", **_GAPS, risk=_RISK) + f"""SELECT c.*, {METRICS_SQL}, {auc_sql('risk_score', 'risk')} AS roc_auc,
+    (SELECT avg(power(risk_score-label, 2)) FROM risk) AS brier FROM (SELECT count(*) FILTER (label = 0 AND risk_score < 0.5) AS tn,
+    count(*) FILTER (label = 0 AND risk_score >= 0.5) AS fp, count(*) FILTER (label = 1 AND risk_score < 0.5) AS fn,
+    count(*) FILTER (label = 1 AND risk_score >= 0.5) AS tp FROM risk) c""", rounded=[*METRICS, "roc_auc", "brier"], digits=5)
+def evaluate_risk_fixed(spark, d):
+    rows = FE.replaced(with_gaps(spark, d), {c: f"if(isnan({c}), null, {c})" for c in _FIXED.columns}).drop("risk_score")
+    return M.evaluate_risk(FE.replaced(MO.score_risk(rows, _FIXED), {"split": "'all'"})).drop("split")
