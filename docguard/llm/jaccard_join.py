@@ -99,7 +99,7 @@ def shingle_keys(chunks: DataFrame, n_buckets: int, settings: Settings) -> DataF
 
 
 def measured_sets(chunks: DataFrame, side: DataFrame, n_buckets: int, settings: Settings) -> DataFrame:
-    """(doc_id, n, print_a, print_b, first, shared) of each document.
+    """(doc_id, n, print_a, print_b, n_hot, first, shared) of each document.
 
     The order of all shingles: those of one document, those of several, those of many, each by hash. `first` holds
     the several-document ones among the first that decide; without one the document links with no other set. Only
@@ -138,11 +138,12 @@ def measured_sets(chunks: DataFrame, side: DataFrame, n_buckets: int, settings:
                     counts = np.bincount(owner[mask], minlength=len(sizes))
                     lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
                                                           pa.array(values[mask].view(np.int64))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), *lists],
-                                                 ["doc_id", "n", "print_a", "print_b", "first", "shared"])
+                n_hot = np.bincount(owner[leading & (grade > 1)], minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(n_hot), *lists],
+                                                 ["doc_id", "n", "print_a", "print_b", "n_hot", "first", "shared"])
 
     joined = chunks.select("chunk", "ids", "sizes", "packed").join(side, "chunk", "left").select("chunk", "ids", "sizes", "packed", "side")
-    return joined.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, first array<long>, shared array<long>")
+    return joined.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, n_hot long, first array<long>, shared array<long>")
 
 
 def list_links(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, percent: int):
@@ -197,8 +198,48 @@ def list_links(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, per
     return first[back.reshape(-1)]
 
 
-def work_lists(members: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """(a, b): for each list, links from every member to the first of its component in the list."""
+def possible_links(firsts: list[np.ndarray], hots: list[int], sizes: np.ndarray, percent: int):
+    """Component (number of its first member) of each set of one list by what the first shingles alone allow.
+
+    `firsts` hold the several-document shingles among the first that decide, in the order (`hots` say how many of
+    them, at the end, are frequent ones). Up to the lesser of two sets' last ones, both are known in full: what one has there
+    and the other has not is lost for their intersection, single-document shingles too. A pair that has lost more
+    than its sizes allow cannot link.
+    """
+    m = len(firsts)
+    rank_of = np.concatenate(firsts).astype(np.uint64)
+    grade = np.concatenate([np.arange(len(f)) >= len(f) - h for f, h in zip(firsts, hots)])
+    order = np.lexsort((rank_of, grade))
+    r, g = rank_of[order], grade[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+    rank = np.empty(len(r), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    lengths = np.array([len(f) for f in firsts])
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    own = [rank[bounds[i]:bounds[i + 1]] for i in range(m)]
+    single = prefix_sizes(sizes, percent) - lengths
+    label = np.arange(m)
+    for i in range(m):
+        for j in range(i + 1, m):
+            if label[i] == label[j] or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+                continue
+            least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))  # the intersection that a link needs
+            top = min(own[i][-1], own[j][-1])
+            a, b = own[i][:np.searchsorted(own[i], top, side="right")], own[j][:np.searchsorted(own[j], top, side="right")]
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if single[i] + len(a) - common <= sizes[i] - least and single[j] + len(b) - common <= sizes[j] - least:
+                label[label == label[j]] = label[i]
+    _, first, back = np.unique(label, return_index=True, return_inverse=True)
+    return first[back.reshape(-1)]
+
+
+def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible: bool = False) -> DataFrame:
+    """(a, b): for each list, links from every member to the first of its component in the list.
+
+    With `possible`, shingles are the first ones only, `known` counts the frequent ones among them, and links are
+    those that cannot be ruled out.
+    """
     percent = settings.percent
     n_keys = len(keys)
 
@@ -207,7 +248,10 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings) -> DataF
 
         def links(group):
             sids, known, sizes, sets = zip(*group)
-            first = list_links(list(sets), np.array(sizes), np.array(known), percent)
+            if possible:
+                first = possible_links(list(sets), list(known), np.array(sizes), percent)
+            else:
+                first = list_links(list(sets), np.array(sizes), np.array(known), percent)
             return [(sids[k], sids[f]) for k, f in enumerate(first) if f != k]
 
         out, group, at = [], [], None
@@ -244,8 +288,8 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     drop_tables(docs.sparkSession, name)
     hand.drop("keys")
     keys = ["n", "print_a", "print_b"]
-    grouped = by_doc.filter("size(first) > 0").groupBy(*keys).agg(F.first("first").alias("first"), F.first("shared").alias("shingles"))
-    sets = hand.write(grouped.selectExpr(*keys, "first", "shingles", "monotonically_increasing_id() AS sid"), "sets")
+    grouped = by_doc.filter("size(first) > 0").groupBy(*keys).agg(F.first("first").alias("first"), F.first("n_hot").alias("n_hot"), F.first("shared").alias("shingles"))
+    sets = hand.write(grouped.selectExpr(*keys, "first", "n_hot", "shingles", "monotonically_increasing_id() AS sid"), "sets")
     postings = sets.selectExpr("sid", "explode(first) AS shingle")
     shared = postings.groupBy("shingle").count().filter("count > 1").select("shingle")
     postings = hand.write(postings.join(shared, "shingle"), "postings")
@@ -257,13 +301,18 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     members = hand.write(postings.join(chosen, "shingle"), "members")
     hand.drop("postings")
     whole = sets.select("sid", "n", "shingles")
-    # sets that lists chain together: a chain of moderate size is worked off as one list, to which each set goes once
-    chains = connected_components(members.selectExpr("sid AS a", "low AS b"), hand, "chains").withColumnRenamed("node", "sid")
+    # sets that may link, as far as their first shingles tell, chain together: a chain of moderate size is worked off as one list, to which each set goes once
+    narrow = members.filter(f"f <= {settings.block}").join(sets.select("sid", "n", "n_hot", "first"), "sid").selectExpr(
+        "shingle", "sid", "n_hot AS known", "n", "first AS shingles")
+    may_link = work_lists(narrow, ["shingle"], settings, possible=True)
+    edges = hand.write(may_link.unionByName(members.filter(f"f > {settings.block}").selectExpr("sid AS a", "low AS b")), "edges")
+    chains = connected_components(edges, hand, "chains").withColumnRenamed("node", "sid")
     sizes = chains.join(sets.select("sid", "n"), "sid").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     sizes = sizes.selectExpr("component", f"members <= {settings.chain} AND total <= {settings.chain_shingles} AS moderate")
     chains = hand.write(chains.join(sizes, "component"), "sized")
     together = chains.filter("moderate").join(whole, "sid").selectExpr("component", "sid", "sid AS known", "n", "shingles")
     chained_links = hand.write(work_lists(together, ["component"], settings), "links0")
+    # what is left: lists of sets in longer chains, of which only the sets of one chain can link
     members = hand.write(members.drop("low").join(chains.filter("NOT moderate").select("sid"), "sid"), "long")
     # first round: short lists as they are; long ones in blocks that share the list's least set
     block = settings.block
