@@ -123,7 +123,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray | None =
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def slabs(batches, size: int = 4 << 20):
+def slabs(batches, size: int = 1 << 20):
     """Cut Arrow batches by bytes, so that working arrays stay within the cache and memory."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
