@@ -14,7 +14,7 @@ from docguard.llm.queries import MIX
 from docguard.llm.mixing import mix_sources
 
 sys.path.insert(0, os.path.dirname(__file__))
-from test_operators import expected_join, expected_removal  # noqa: E402
+from test_text_operators import expected_join, expected_removal  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
