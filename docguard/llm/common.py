@@ -40,9 +40,10 @@ class Handoff:
         removed(self.spark, *(self.paths.pop(s) for s in steps or list(self.paths)))
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The side with a broadcast hint if a count proves that it is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    rows = min(rows, BROADCAST_ROWS)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -286,6 +286,32 @@ def test_language(spark):
     assert (row.declared, row.suffix, row.host, row.text.split()) == ("de", "de", "a.example.de", "der und mit haus".split())
 
 
+def test_every_declared_language_counts(spark):
+    """More languages than 64, some of one row; a table of fewer than five rows; text of no declared language stays out."""
+    rng = random.Random(5)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ", "αβγδεζηθικλμνξοπρστυφχψω"]
+    rows, n = [], 0
+    for k in range(90):
+        letters = alphabets[k % 3]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(40)]
+        for _ in range(1 + k % 4 if k >= 70 else 6):
+            rows.append((n, " ".join(rng.choice(words) for _ in range(rng.randint(15, 40))), f"l{k:02}", f"h{n % 7}"))
+            n += 1
+        if k in (3, 40, 69):  # none declared: the text tells
+            rows.append((1000 + k, " ".join(rng.choice(words) for _ in range(30)), None, None))
+    rows += [(2000, "日本語の文章はここにあります " * 10, None, None), (2001, "mmm", "rare", None), (2002, "x", "once", None)]
+    settings = language.Settings(languages=7, numbers=200)
+    out = {r.id: r for r in language.identify_languages(language.document_evidence(made(rows, spark)), settings=settings).collect()}
+    assert all(out[i].language == x and out[i].kept for i, _, x, _ in rows if i < 1000)
+    assert all(out[1000 + k].language == f"l{k:02}" and out[1000 + k].kept for k in (3, 40, 69))
+    assert out[2000].language == "und" and not out[2000].kept
+    assert out[2001].language == "rare" and out[2002].language == "once"
+    few = [(1, "the house under that water and this", "en", "a"), (2, "дом стоит под водой", "ru", "a"), (3, "das Haus steht nicht unter Wasser", "de", None)]
+    out = language.identify_languages(language.document_evidence(made(few, spark))).collect()
+    assert {(r.id, r.language, r.kept) for r in out} == {(1, "en", True), (2, "ru", True), (3, "de", True)}
+    assert language.in_accepted_language(made(few, spark)).count() == 3
+
+
 # --- 6: pieces ---------------------------------------------------------------------------------------------------
 
 
