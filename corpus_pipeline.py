@@ -11,14 +11,18 @@ from docguard.llm.mixing import mixed_texts
 from docguard.llm.queries import MIX
 
 
+#: Near copies: shingles of five words, at least 80 percent of both texts' in common.
+NEAR = jaccard_join.Settings(words=5, percent=80)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; those that the fused evidence does not place in one go."""
     return language.in_accepted_language(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles the one with the smallest id."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group of documents linked by five-word shingles (Jaccard of 0.8 or more) the one with the smallest id."""
+    return jaccard_join.one_of_each(docs, NEAR)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

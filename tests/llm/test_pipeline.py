@@ -14,7 +14,7 @@ from docguard.llm.queries import MIX
 from docguard.llm.mixing import mix_sources
 
 sys.path.insert(0, os.path.dirname(__file__))
-from test_text_operators import expected_join, expected_removal  # noqa: E402
+from test_text_operators import components, expected_join, expected_removal, made, words_of  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -62,6 +62,33 @@ def test_stages(spark, folder, tmp_path):
         (i, tuple(pieces.encode_all(vocabulary, [t])[0].tolist())) for i, t, *_ in rows_of(d))
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark, tmp_path):
+    """The stage against all pairs; one changed word amid 49 leaves 40 of 50 shingles in common, which is enough, and 48 do not."""
+    rng = random.Random(3)
+    rows = []
+    for n in (20, 44, 48, 49, 50, 60, 90):
+        base = [f"w{n}x{i}" for i in range(n)]
+        rows.append((len(rows), " ".join(base), "en", "s"))
+        for k in (1, 1, 1, 2, 3):
+            other = list(base)
+            for at in [n // 2] if rows[-1][1] == " ".join(base) else rng.sample(range(n), k):
+                other[at] = f"new{len(rows)}"
+            rows.append((len(rows), " ".join(other), "en", "s"))
+    rows += [(len(rows), "one two three four", "en", "s"), (len(rows) + 1, "One two three four", "en", "s"), (len(rows) + 2, "", "en", "s")]
+    sets = []
+    for _, t, *_ in rows:
+        w = words_of(t.lower())
+        sets.append(set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i:i + 5]) for i in range(len(w) - 4)})
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    comp = components(len(rows), linked)
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    kept = sorted(r.doc_id for r in stage(spark, made(rows, spark), str(tmp_path)).collect())
+    assert kept == sorted(set(comp))
+    at = {len(words_of(t)): i for i, t, *_ in reversed(rows)}
+    assert at[49] + 1 not in kept and at[48] + 1 in kept
+    assert kept != sorted(i for i, _, least in expected_join(rows).elements() if i == least)
+
+
 def test_run_is_its_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.count() > 60
