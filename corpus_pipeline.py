@@ -36,8 +36,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text, with id, language and source."""
-    return pieces.encode_texts(docs, ["doc_id", "lang", "source"], decode=False)
+    """Token ids of each whole text, what they decode to and whether that is the text again, with id, language and source."""
+    return pieces.encode_texts(docs, ["doc_id", "lang", "source"], same=True)
 
 
 STAGES = [
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each result written and read again."""
+    """All stages over the documents of a folder, each result written and read again; the tokens are returned, their decoded texts stay written."""
     hand = Handoff(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
@@ -62,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             hand.drop(before)
         before = name
-    return docs
+    return docs.drop("decoded", "same_text")

@@ -89,6 +89,13 @@ def test_near_copies_by_five_words_and_four_fifths(spark, tmp_path):
     assert kept != sorted(i for i, _, least in expected_join(rows).elements() if i == least)
 
 
+def test_tokens_come_with_what_they_decode_to(spark, tmp_path):
+    texts = ["Two words,  two blanks", "日本語 über 😀", "", None, f"a{pieces.MARK}b"]
+    out = dict(corpus_pipeline.STAGES)["pieces"](spark, made([(i, t, "en", "s") for i, t in enumerate(texts)], spark), str(tmp_path))
+    got = {r.doc_id: (r.decoded, r.same_text) for r in out.collect()}
+    assert got == {0: (texts[0], True), 1: (texts[1], True), 2: ("", True), 3: ("", True), 4: ("a b", False)}
+
+
 def test_run_is_its_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.count() > 60
