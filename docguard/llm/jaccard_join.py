@@ -1,10 +1,10 @@
-"""Exact similarity join of documents on word shingles by Jaccard, with skips in the index and derived answers.
+"""Exact similarity join of documents on word shingles by Jaccard, with pairs ruled out by first shingles and derived answers.
 
 A document is the set of its shingles' 64-bit hashes. The shingles that only one document has are found first, by
 packed 32-bit keys; they come first in the one order of all shingles, the frequent ones last. Two sets that link share a shingle among
 their first (1 - threshold) x size + 1. Lists of the sets by such a shingle are the index. Equal lists are worked off
 once, lists that sets chain together as one as long as they are of moderate size, long ones in blocks, and within a list the overlaps of a set
-are derived from those of a similar set that is done: only the shingles in which the two differ are looked up.
+are derived from those of a similar set that is done: only the shingles in which the two differ are looked up. Lists are not skipped in blocks by position.
 """
 
 from __future__ import annotations
