@@ -22,10 +22,11 @@ from docguard.fixed_values import NINE_FEATURES, REGULARISATION_GRID
 from docguard.functions.numbers import clip, num, quote
 from docguard.functions.signals import is_high_risk, risk_level
 from docguard.operators.features import feature_map, replaced
-from docguard.operators.ranked import value_at_rank
 from docguard.operators.splits import aggregates
 
 FOLDS = 3
+#: Cut points of so many classes at most are broadcast.
+BROADCAST_CLASSES = 100_000
 
 
 @dataclass(frozen=True)
@@ -72,19 +73,28 @@ def fold_hash(id_column: str, seed: str = "42") -> str:
 def with_folds(df: DataFrame, label: str, id_column: str = "sample_id", seed: str = "42") -> DataFrame:
     """Add fold, stratified: each class in the order of its ids' hashes is cut into parts of equal size.
 
-    Only the cut points are looked up, by rank; no row moves.  Rows that share an id share a fold.
+    Only the cut points are looked up, by rank, for all classes at once; rows move only if the classes are too many
+    to be broadcast.  Rows that share an id share a fold.
     """
     hashed = df.withColumn("_hash", F.expr(fold_hash(id_column, seed)))
-    classes = [r[0] for r in hashed.select(label).distinct().limit(100).collect()]
-    ranks = {f"cut{i}": f"int(ceil(n_total * {i}D / {FOLDS}D))" for i in range(1, FOLDS)}
-    cases = []
-    for value in classes:
-        own = hashed.filter(F.col(label).eqNullSafe(F.lit(value)))
-        row = value_at_rank(own, "_hash", ranks).first()
-        cuts = [row[name] for name in ranks]
-        above = " + ".join(f"int(_hash > {c}L)" if c is not None else "0" for c in cuts)
-        cases.append(f"WHEN {label} <=> {quote(value) if isinstance(value, str) else 'null' if value is None else value} THEN {above}")
-    return hashed.withColumn("fold", F.expr(f"CASE {' '.join(cases)} END" if cases else "0")).drop("_hash")
+    # ranges of the hash hold equal shares of a class; a rank is looked up inside the range that it falls into
+    hashes = hashed.selectExpr(f"{label} AS _class", "_hash", "shiftright(_hash, 50) AS _range").distinct()
+    counts = hashes.groupBy("_class", "_range").agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "*", "sum(n) OVER (PARTITION BY _class ORDER BY _range) AS upto", "sum(n) OVER (PARTITION BY _class) AS n_total")
+    ranks = ", ".join(f"struct({i} AS cut, bigint(ceil(n_total * {i}D / {FOLDS}D)) AS rank)" for i in range(1, FOLDS))
+    wanted = counts.selectExpr("_class", "_range", "upto - n AS n_before", "upto", f"explode(array({ranks})) AS at").filter(
+        "at.rank > n_before AND at.rank <= upto").groupBy("_class", "_range").agg(
+        F.collect_list(F.expr("struct(at.cut AS cut, at.rank - n_before AS place)")).alias("wanted"))
+    same = F.col("h._class").eqNullSafe(F.col("w._class")) & (F.col("h._range") == F.col("w._range"))
+    placed = hashes.alias("h").join(wanted.alias("w"), same).selectExpr(
+        "h._class AS _class", "_hash", "wanted", "row_number() OVER (PARTITION BY h._class, h._range ORDER BY _hash) AS place")
+    found = placed.selectExpr("_class", "_hash", "explode(filter(wanted, x -> x.place = place)) AS at")
+    cuts = found.groupBy("_class").agg(*[F.expr(f"max(if(at.cut = {i}, _hash, NULL)) AS _cut{i}") for i in range(1, FOLDS)])
+    if cuts.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
+    above = " + ".join(f"int(_hash > _cut{i})" for i in range(1, FOLDS))
+    return hashed.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left").withColumn("fold", F.expr(above)).drop(
+        "_hash", "_class", *[f"_cut{i}" for i in range(1, FOLDS)])
 
 
 def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",

@@ -122,3 +122,17 @@ def test_backends_in_rows_report_errors(spark):
     assert rows["1"] == (0.003, None) and rows["2"] == (None, "bad text") and rows["3"][0] == 1.019
     registry.register("absent", lambda: 1 / 0)
     assert prompt_scores(df, registry.window_scorer("absent")).first()["prompt_error"] == "division by zero"
+
+
+def test_folds_of_more_than_a_hundred_classes(spark):
+    """No class is left without folds, each is cut evenly, and the cuts are at the ranks of its hashes."""
+    rows = [(f"s{k}_{i}", None if k == 0 else k) for k in range(130) for i in range(3 + k % 7)]
+    df = spark.createDataFrame(rows, "sample_id string, label int")
+    got = MO.with_folds(df, "label").withColumn("h", F.expr(MO.fold_hash("sample_id"))).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"sample_id", "label", "fold", "h"}
+    classes = {}
+    for r in got:
+        classes.setdefault(r.label, []).append((r.h, r.fold))
+    for members in classes.values():
+        n = len(members)
+        assert [fold for _, fold in sorted(members)] == [sum(p > -(-n * i // 3) for i in (1, 2)) for p in range(1, n + 1)]
