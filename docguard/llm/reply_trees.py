@@ -38,7 +38,8 @@ def root_to_leaf_paths(nodes: DataFrame, hand: Handoff) -> DataFrame:
     """(tree, leaf, node, up) for each node on the way from a leaf up to its root; up counts the steps from the leaf.
 
     Each round joins the table of jumps with itself, so a path of n nodes takes log2(n) rounds. A node whose parent
-    is not there is a root. Nodes on a ring have no leaf below a root and are an error of the input: it is raised.
+    is not there is a root. Nodes on a ring have no leaf below a root and are an error of the input: it is raised,
+    as a jump of as many steps as the largest tree has nodes is left.
     """
     links = nodes.select("tree", "node", "parent")
     known = links.selectExpr("tree", "node AS parent")
@@ -56,6 +57,10 @@ def root_to_leaf_paths(nodes: DataFrame, hand: Handoff) -> DataFrame:
             jumps = hand.write(onward.join(jumps, ["tree", "node"]).selectExpr("tree", "below AS node", "above"), f"jumps{k + 1}")
             hand.drop(f"jumps{k}")
         hand.drop(f"paths{k}")
+    if rounds:  # jumps of as many steps as a tree has nodes
+        jumps = jumps.selectExpr("tree", "node AS below", "above AS node").join(jumps, ["tree", "node"])
+    if not jumps.isEmpty():
+        raise ValueError("nodes of a tree form a ring")
     return paths
 
 

@@ -458,6 +458,13 @@ def test_reply_trees_choose_the_best_branch(spark):
     assert said == {(1, 1): ["q", "good", "more"], (1, 2): ["q", "bad", "less"], (2, 1): ["orphan"], (3, 1): ["tie", "x"], (3, 2): ["tie", "y"]}
 
 
+@pytest.mark.parametrize("links", [[(1, 1)], [(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (4, 1)]])
+def test_rings_fail(spark, links):
+    nodes = spark.createDataFrame([("t", n, p, "user", "x", 0.0) for n, p in links], "tree string, node long, parent long, role string, text string, score double")
+    with pytest.raises(ValueError, match="ring"):
+        reply_trees.format_trees(nodes)
+
+
 # --- 10: toxicity ------------------------------------------------------------------------------------------------
 
 
