@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docguard.llm import jaccard_join, language, pieces, quality_rules, reply_trees, substring_dedup, toxicity, warc
+from docguard.llm import (
+    filter_audit, jaccard_join, language, pieces, quality_rules, reply_trees, substring_dedup, toxicity, warc,
+)
 from docguard.llm.common import Query, table
 from docguard.llm.embedding_dedup import near_duplicate_vectors
 from docguard.llm.mixing import Mix, mix_sources
@@ -86,3 +88,8 @@ def op4(spark, folder):
 @query("op3_substring_dedup")
 def op3(spark, folder):
     return substring_dedup.substring_digests(table(spark, folder, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark, folder):
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
