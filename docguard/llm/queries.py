@@ -8,6 +8,7 @@ from docguard.llm import (
 from docguard.llm.common import Query, table
 from docguard.llm.embedding_dedup import near_duplicate_vectors
 from docguard.llm.mixing import Mix, mix_sources
+from docguard.llm.whitening import whiten
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,8 @@ def op3(spark, folder):
 @query("op11_filter_audit", filter_audit.ORACLE)
 def op11(spark, folder):
     return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whiten(table(spark, folder, "embeddings"))
