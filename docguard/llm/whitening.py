@@ -32,7 +32,8 @@ def integer_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
     own = df.selectExpr(f"bigint(`{id_column}`) AS id", f"CAST(`{vector}` AS array<double>) AS c")
     bad = "exists(c, e -> e IS NULL OR isnan(e) OR abs(e) = double('infinity'))"
     return own.filter("c IS NOT NULL AND size(c) > 0").filter(f"NOT ({bad})").selectExpr(
-        "id", f"transform(c, e -> floor({SCALE}D * e) + {SHIFT}L) AS x")
+        # guarded once more: Spark may compute x before it filters
+        "id", f"transform(c, e -> if(isnan(e) OR abs(e) = double('infinity'), NULL, floor({SCALE}D * e) + {SHIFT}L)) AS x")
 
 
 def _rows(batch, dims: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def whiten(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     variance; a direction in which the vectors do not differ cannot be whitened and is no component, so fewer than
     `most` may come back, and none for a single vector. Repeated rows and ties count and get rows of their own; rows
     with a null id are kept. An empty table gives no rows; other columns are ignored. deviation is exact; the job fails
-    if it does not fit a long.
+    if it, or an x, does not fit a long.
     """
     spark, hand = df.sparkSession, Handoff(df.sparkSession, "whitening")
     schema = f"`{id_column}` bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
