@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docguard.llm import (
-    filter_audit, jaccard_join, language, pieces, quality_rules, reply_trees, substring_dedup, toxicity, warc,
+    filter_audit, jaccard_join, language, pieces, private_data, quality_rules, reply_trees, substring_dedup, toxicity, warc,
 )
 from docguard.llm.common import Query, table
 from docguard.llm.embedding_dedup import near_duplicate_vectors
@@ -99,3 +99,8 @@ def op11(spark, folder):
 @query("op12_whitening")
 def op12(spark, folder):
     return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_private_data")
+def op13(spark, folder):
+    return private_data.find_private_data(table(spark, folder, "documents"))
