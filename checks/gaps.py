@@ -14,6 +14,7 @@ from checks.scalars import _ENGINEERED, VISION_SCORE_SQL
 from docguard.fixed_values import INJECTION_PHRASES
 from docguard.functions import layout as L
 from docguard.functions import registry
+from docguard.functions import signals as S
 from docguard.functions import text as T
 from docguard.operators import decisions as D
 from docguard.operators import features as FE
@@ -202,3 +203,83 @@ def score_risk_fixed(spark, d):
 def evaluate_risk_fixed(spark, d):
     rows = FE.replaced(with_gaps(spark, d), {c: f"if(isnan({c}), null, {c})" for c in _FIXED.columns}).drop("risk_score")
     return M.evaluate_risk(FE.replaced(MO.score_risk(rows, _FIXED), {"split": "'all'"})).drop("split")
+
+
+# --- evaluation of rows without scores ---------------------------------------------------------------------------
+
+def _judged_sql(source: str, test: str) -> str:
+    """Confusion counts with the rows that a test cannot judge."""
+    return f"""SELECT count(*) FILTER (label = 0 AND NOT ({test})) AS tn, count(*) FILTER (label = 0 AND ({test})) AS fp,
+    count(*) FILTER (label = 1 AND NOT ({test})) AS fn, count(*) FILTER (label = 1 AND ({test})) AS tp,
+    count(*) FILTER (label IS NOT NULL AND ({test}) IS NULL) AS n_unscored FROM {source}"""
+
+
+_BOTH = "CASE WHEN malicious_probability IS NOT NULL AND vision_score IS NOT NULL THEN greatest(malicious_probability, vision_score) END"
+_LOST = "CASE WHEN doc_id % 41 = 0 THEN NULL ELSE decision END AS decision"
+_DECIDED = f"SELECT g.* REPLACE (attack_family AS attack_family), {_LOST} FROM gaps g JOIN (SELECT sample_id AS s, decision FROM ({decision_sql('known')})) ON s = sample_id"
+_JUDGED = dict(gaps=_GAPS["gaps"], known=_CONTEXT, judged=_DECIDED)
+_FIVE = [("C1: Prompt Agent Only", "malicious_probability >= 0.5", "malicious_probability"), ("C2: Vision Agent Only", "vision_score >= 0.35::double", "vision_score"),
+         ("C3: Prompt + Vision (max)", f"{_BOTH} >= 0.5", _BOTH), ("C4: Risk Model Fusion", "risk_score >= 0.5", "risk_score"),
+         ("C5: Full Framework", "decision IN ('BLOCK', 'SANITIZE')", "risk_score")]
+
+
+def _judged(spark, d):
+    rows = with_gaps(spark, d)
+    decided = evaluate_rules(rows).selectExpr("sample_id", "if(bigint(sample_id) % 41 = 0, null, decision) AS decision")
+    return rows.join(decided, "sample_id")
+
+
+@check("gaps_evaluate_risk", with_("sig", **_GAPS) + " UNION ALL ".join(
+    f"""SELECT '{s}' AS split, c.*, {METRICS_SQL}, {auc_sql('risk_score', f"(SELECT * FROM gaps WHERE split = '{s}' AND risk_score IS NOT NULL)")} AS roc_auc,
+    (SELECT avg(power(risk_score-label, 2)) FROM gaps WHERE split = '{s}') AS brier
+    FROM ({_judged_sql(f"gaps WHERE split = '{s}'", 'risk_score >= 0.5')}) c""" for s in ("train", "val", "test")), rounded=[*METRICS, "roc_auc", "brier"])
+def gaps_evaluate_risk(spark, d):
+    return M.evaluate_risk(with_gaps(spark, d), unscored="count")
+
+
+@check("gaps_ablation", with_("sig", **_JUDGED) + " UNION ALL ".join(
+    f"""SELECT '{name}' AS config, c.*, {METRICS_SQL}, {auc_sql(score, f'(SELECT * FROM judged WHERE ({score}) IS NOT NULL)')} AS roc_auc, fn::double/greatest(1, tp+fn) > 0.05 AS fnr_above_limit
+    FROM ({_judged_sql('judged', test)}) c""" for name, test, score in _FIVE), rounded=[*METRICS, "roc_auc"])
+def gaps_ablation(spark, d):
+    return M.ablation(_judged(spark, d), unscored="count")
+
+
+@check("gaps_family_detection", with_("sig", **_JUDGED) + "SELECT attack_family, " + ", ".join(
+    f"avg(({test})::int::double) AS c{i + 1}" for i, (_, test, _) in enumerate(_FIVE)) + ", count(*) AS n, count(*) FILTER ("
+       + " OR ".join(f"({test}) IS NULL" for _, test, _ in _FIVE) + ") AS n_unscored FROM judged WHERE label = 1 GROUP BY 1", rounded=["c1", "c2", "c3", "c4", "c5"])
+def gaps_family_detection(spark, d):
+    return M.family_detection(_judged(spark, d), unscored="count")
+
+
+@check("gaps_governance_eval", with_("sig", **_JUDGED) + f"""SELECT *, fn::double/greatest(1, tp+fn) AS fnr, fp::double/greatest(1, tn+fp) AS fpr
+    FROM ({_judged_sql('judged', "decision IN ('BLOCK', 'SANITIZE')")})""", rounded=["fnr", "fpr"])
+def gaps_governance_eval(spark, d):
+    return M.governance_eval(_judged(spark, d), unscored="count")
+
+
+@check("gaps_brier", with_("sig", **_GAPS) + """SELECT split, avg(power(risk_score-label, 2)) AS brier, count(*) FILTER (label IS NOT NULL AND risk_score IS NULL) AS n_unscored
+    FROM gaps GROUP BY 1""", rounded=["brier"])
+def gaps_brier(spark, d):
+    return M.brier(with_gaps(spark, d), "label", "risk_score", ["split"], unscored="count")
+
+
+@check("gaps_prediction_record", with_("sig", **_GAPS) + """SELECT sample_id, malicious_probability, (malicious_probability >= 0.5)::int AS predicted_label,
+    CASE WHEN malicious_probability IS NOT NULL THEN greatest(malicious_probability, 1-malicious_probability) END AS confidence, risk_score >= 0.65::double AS is_high_risk FROM gaps""")
+def gaps_prediction_record(spark, d):
+    rows = with_gaps(spark, d).withColumn("text", F.lit("a text"))
+    risk = rows.selectExpr("sample_id", f"{S.is_high_risk('risk_score')} AS is_high_risk")
+    return X.prediction_record(rows).select("sample_id", "malicious_probability", "predicted_label", "confidence").join(risk, "sample_id")
+
+
+_CORRELATED = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, {f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0::double END" if a == b else f"corr({a}, {b})"} AS r FROM gaps"""
+                                 for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])
+
+
+@check("gaps_correlation_matrix", with_("sig", **_GAPS) + _CORRELATED, rounded=["r"])
+def gaps_correlation_matrix(spark, d):
+    return P.correlation_matrix(with_gaps(spark, d), COLUMNS)
+
+
+@check("correlation_matrix_blocked", with_("sig", **_GAPS) + _CORRELATED, rounded=["r"])
+def correlation_matrix_blocked(spark, d):
+    return P.correlation_matrix(with_gaps(spark, d), COLUMNS, narrow=0)

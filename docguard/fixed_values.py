@@ -234,3 +234,29 @@ DEFAULT_RULES = [
         "sanitization_action": "redact_injection_spans",
     },
 ]
+
+# --- columns and configurations ---------------------------------------------------
+
+AUDIT_COLUMNS = [
+    "audit_log_id", "sample_id", "timestamp", "decision", "risk_score", "risk_level", "prompt_score",
+    "vision_score", "confidence", "governance_rule_triggered", "reason", "sanitization_action", "policy_ref",
+    "attack_family_predicted", "vision_ms", "prompt_ms", "risk_ms", "governance_ms", "total_ms",
+    "vision_error", "prompt_error", "agent_version",
+]
+LATENCIES = ["vision_ms", "prompt_ms", "risk_ms", "governance_ms", "total_ms"]
+
+VISION_REQUIRED = [
+    "sample_id", "ocr_confidence", "tiny_text_count", "footer_text_density",
+    "watermark_score", "hidden_text_score", "keyword_density", "vision_score",
+]
+VISION_DOUBLES = ["ocr_confidence", "footer_text_density", "watermark_score", "hidden_text_score",
+                  "keyword_density", "vision_score"]
+
+# Configuration of the ablation: the signal that ranks rows and the least value that flags one (None: the decision does).
+ABLATION = {
+    "C1: Prompt Agent Only": ("prompt", 0.5),
+    "C2: Vision Agent Only": ("vision", 0.35),
+    "C3: Prompt + Vision (max)": ("max", 0.5),
+    "C4: Risk Model Fusion": ("risk", 0.5),
+    "C5: Full Framework": ("risk", None),
+}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docguard.fixed_values import LABEL_CODES, RISK_LEVELS, SEVERITY_CODES
-from docguard.functions.numbers import num, quote
+from docguard.functions.numbers import nan_to_null, num, quote
 from docguard.functions.text import strip
 
 
@@ -33,7 +33,8 @@ def risk_level(score: str) -> str:
 
 
 def is_high_risk(score: str) -> str:
-    return f"({score} >= 0.65D)"
+    """NULL and NaN are no high risk and no low one: NULL."""
+    return f"({nan_to_null(score)} >= 0.65D)"
 
 
 def severity_code(severity: str) -> str:

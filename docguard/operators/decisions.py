@@ -7,21 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.fixed_values import AGENT_VERSION, ALLOWED_CONTENT_TYPES, DECISION_BADGES, MAX_FILE_BYTES
+from docguard.fixed_values import AGENT_VERSION, ALLOWED_CONTENT_TYPES, AUDIT_COLUMNS, DECISION_BADGES, LATENCIES, MAX_FILE_BYTES
 from docguard.functions.numbers import listed, nan_to_null, quote, rounded
 from docguard.functions.signals import audit_id, confidence
 from docguard.functions.text import is_blank
 from docguard.operators.features import replaced
 from docguard.operators.rules import evaluate_rules
 
-AUDIT_COLUMNS = [
-    "audit_log_id", "sample_id", "timestamp", "decision", "risk_score", "risk_level", "prompt_score",
-    "vision_score", "confidence", "governance_rule_triggered", "reason", "sanitization_action", "policy_ref",
-    "attack_family_predicted", "vision_ms", "prompt_ms", "risk_ms", "governance_ms", "total_ms",
-    "vision_error", "prompt_error", "agent_version",
-]
-LATENCIES = ["vision_ms", "prompt_ms", "risk_ms", "governance_ms", "total_ms"]
-
 
 def iso_utc(at: str) -> str:
     """ISO-8601 text of a timestamp with six decimals and the UTC offset."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.fixed_values import DECISIONS
+from docguard.fixed_values import ABLATION, DECISIONS
 from docguard.functions.numbers import nan_to_null, num, quote, ratio, share
 from docguard.functions.signals import is_flagged
 from docguard.operators.ranked import exact_quantiles, running_totals
@@ -16,20 +16,17 @@ from docguard.operators.splits import aggregates
 
 FNR_LIMIT = 0.05
 
+_PROMPT, _VISION, _RISK = (nan_to_null(f"double({c})") for c in ("malicious_probability", "vision_score", "risk_score"))
+# NaN is unknown, and so is the larger of two scores of which one is
 SIGNALS = {
-    "prompt": "malicious_probability",
-    "vision": "vision_score",
-    "max": "greatest(malicious_probability, vision_score)",
-    "risk": "risk_score",
+    "prompt": _PROMPT,
+    "vision": _VISION,
+    "max": f"if({_PROMPT} IS NULL OR {_VISION} IS NULL, null, greatest({_PROMPT}, {_VISION}))",
+    "risk": _RISK,
 }
 # configuration -> (signal that ranks it, test that flags a row)
-CONFIGURATIONS = {
-    "C1: Prompt Agent Only": ("prompt", f"{SIGNALS['prompt']} >= 0.5D"),
-    "C2: Vision Agent Only": ("vision", f"{SIGNALS['vision']} >= 0.35D"),
-    "C3: Prompt + Vision (max)": ("max", f"{SIGNALS['max']} >= 0.5D"),
-    "C4: Risk Model Fusion": ("risk", f"{SIGNALS['risk']} >= 0.5D"),
-    "C5: Full Framework": ("risk", is_flagged("decision")),
-}
+CONFIGURATIONS = {name: (signal, is_flagged("decision") if least is None else f"{SIGNALS[signal]} >= {num(least)}")
+                  for name, (signal, least) in ABLATION.items()}
 
 
 def _counts(truth: str, flagged: str, suffix: str = "") -> list[str]:
@@ -37,17 +34,27 @@ def _counts(truth: str, flagged: str, suffix: str = "") -> list[str]:
             f"count_if({truth} = 1 AND NOT {flagged}) AS fn{suffix}", f"count_if({truth} = 1 AND {flagged}) AS tp{suffix}"]
 
 
+def _unscored(truth: str, flagged: str, suffix: str = "") -> str:
+    return f"count_if({truth} IS NOT NULL AND {flagged} IS NULL) AS n_unscored{suffix}"
+
+
+def _settled(counted: DataFrame, unscored: str, lost: str = "n_unscored") -> DataFrame:
+    """Counts with the number of rows without a prediction; unless these are counted, any such row is an error."""
+    if unscored == "count":
+        return counted
+    if unscored != "error":
+        raise ValueError(f"unscored is 'error' or 'count', not {unscored!r}")
+    failed = f"raise_error(concat(string({lost}), ' rows have no prediction'))"
+    # every column carries the check, so no choice of columns drops it
+    return counted.selectExpr(*[f"if({lost} = 0, `{c}`, {failed}) AS `{c}`" for c in counted.columns if c != lost])
+
+
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (),
                      unscored: str = "error") -> DataFrame:
     """Counts of both classes.  A row with a truth but no prediction fails the job; with
     unscored="count" such rows are counted as n_unscored instead."""
-    lost = f"count_if({truth} IS NOT NULL AND {predicted} IS NULL)"
-    counted = df.groupBy(*by).agg(*aggregates(*_counts(truth, f"({predicted} = 1)"), f"{lost} AS n_unscored"))
-    if unscored == "count":
-        return counted
-    failed = "raise_error(concat(string(n_unscored), ' rows have no prediction'))"
-    checked = [f"if(n_unscored = 0, {c}, {failed}) AS {c}" for c in ("tn", "fp", "fn", "tp")]
-    return counted.selectExpr(*by, *checked)
+    flagged = f"({predicted} = 1)"
+    return _settled(df.groupBy(*by).agg(*aggregates(*_counts(truth, flagged), _unscored(truth, flagged))), unscored)
 
 
 def metric_expressions() -> dict[str, str]:
@@ -107,8 +114,15 @@ def roc_curve(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) ->
                              f"{ratio('pos_total - pos_before', 'pos_total')} AS tpr").filter("threshold IS NOT NULL")
 
 
-def brier(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.expr(f"avg(({score} - {truth}) * ({score} - {truth})) AS brier"))
+def _brier(truth: str, score: str) -> str:
+    known = nan_to_null(f"double({score})")
+    return f"avg(({known} - {truth}) * ({known} - {truth})) AS brier"
+
+
+def brier(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), unscored: str = "error") -> DataFrame:
+    """Mean squared distance of score and truth; NULL and NaN are no scores (see confusion_matrix)."""
+    lost = _unscored(truth, nan_to_null(f"double({score})"))
+    return _settled(df.groupBy(*by).agg(*aggregates(_brier(truth, score), lost)), unscored)
 
 
 def calibration_curve(df: DataFrame, truth: str, score: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
@@ -121,34 +135,44 @@ def calibration_curve(df: DataFrame, truth: str, score: str, bins: int = 10, by:
         "avg(_score) AS mean_score", f"{share('_truth = 1')} AS positive_share", "count(1) AS n"))
 
 
-def evaluate_risk(df: DataFrame, truth: str = "label", score: str = "risk_score", by: str = "split") -> DataFrame:
-    """Metrics at 0.5, AUC and Brier score per split."""
-    counts = df.groupBy(by).agg(*aggregates(
-        *_counts(truth, f"({score} >= 0.5D)"), f"avg(({score} - {truth}) * ({score} - {truth})) AS brier"))
-    return with_metrics(counts).join(roc_auc(df, truth, score, [by]), by)
+def evaluate_risk(df: DataFrame, truth: str = "label", score: str = "risk_score", by: str = "split",
+                  unscored: str = "error") -> DataFrame:
+    """Metrics at 0.5, AUC and Brier score per split; NULL and NaN are no scores (see confusion_matrix)."""
+    flagged = f"({nan_to_null(f'double({score})')} >= 0.5D)"
+    counts = df.groupBy(by).agg(*aggregates(*_counts(truth, flagged), _brier(truth, score), _unscored(truth, flagged)))
+    return with_metrics(_settled(counts, unscored)).join(roc_auc(df, truth, score, [by]), by)
 
 
-def ablation(df: DataFrame, truth: str = "label") -> DataFrame:
+def ablation(df: DataFrame, truth: str = "label", unscored: str = "error") -> DataFrame:
     """The five configurations, one row each: metrics, AUC and whether FNR is above its limit.
 
-    One pass counts all five confusion matrices; only the AUC needs the scores in order.
+    One pass counts all five confusion matrices; only the AUC needs the scores in order.  A row that a configuration
+    cannot judge fails the job, or is counted as that configuration's n_unscored (see confusion_matrix).
     """
-    counts = [c for i, (_, test) in enumerate(CONFIGURATIONS.values()) for c in _counts(truth, f"({test})", str(i))]
-    rows = ", ".join(f"{quote(name)}, {quote(signal)}, tn{i}, fp{i}, fn{i}, tp{i}"
+    counts = [c for i, (_, test) in enumerate(CONFIGURATIONS.values())
+              for c in [*_counts(truth, f"({test})", str(i)), _unscored(truth, f"({test})", str(i))]]
+    rows = ", ".join(f"{quote(name)}, {quote(signal)}, tn{i}, fp{i}, fn{i}, tp{i}, n_unscored{i}"
                      for i, (name, (signal, _)) in enumerate(CONFIGURATIONS.items()))
-    table = df.agg(*aggregates(*counts)).selectExpr(
-        f"stack({len(CONFIGURATIONS)}, {rows}) AS (config, signal, tn, fp, fn, tp)")
+    table = _settled(df.agg(*aggregates(*counts)).selectExpr(
+        f"stack({len(CONFIGURATIONS)}, {rows}) AS (config, signal, tn, fp, fn, tp, n_unscored)"), unscored)
     scores = ", ".join(f"{quote(name)}, {score}" for name, score in SIGNALS.items())
     long = df.selectExpr(f"{truth} AS truth", f"stack({len(SIGNALS)}, {scores}) AS (signal, score)")
     joined = with_metrics(table).join(roc_auc(long, "truth", "score", ["signal"]), "signal")
     return joined.withColumn("fnr_above_limit", F.col("fnr") > FNR_LIMIT).drop("signal")
 
 
-def family_detection(df: DataFrame, truth: str = "label") -> DataFrame:
-    """Malicious rows: share flagged per family under each configuration."""
-    flags = [f"{share(test)} AS c{i + 1}" for i, (_, test) in enumerate(CONFIGURATIONS.values())]
+def family_detection(df: DataFrame, truth: str = "label", unscored: str = "error") -> DataFrame:
+    """Malicious rows: share flagged per family under each configuration.
+
+    With unscored="count" shares are of the rows that a configuration judges, and n_unscored counts the rows that at
+    least one of them cannot.
+    """
+    tests = [test for _, test in CONFIGURATIONS.values()]
+    flags = [f"{share(test)} AS c{i + 1}" for i, test in enumerate(tests)]
+    lost = f"count_if({' OR '.join(f'({test}) IS NULL' for test in tests)}) AS n_unscored"
     malicious = df.filter(f"{truth} = 1")
-    return malicious.groupBy("attack_family").agg(*aggregates(*flags, "count(1) AS n")).orderBy(F.desc("c5"))
+    counted = malicious.groupBy("attack_family").agg(*aggregates(*flags, "count(1) AS n", lost))
+    return _settled(counted, unscored).orderBy(F.desc("c5"))
 
 
 def decision_counts(df: DataFrame) -> DataFrame:
@@ -174,9 +198,11 @@ def decision_by_label(df: DataFrame, truth: str = "label") -> DataFrame:
     return df.groupBy(F.col(truth).alias("label")).agg(*aggregates(*_PER_DECISION))
 
 
-def governance_eval(df: DataFrame, truth: str = "label") -> DataFrame:
-    """Decisions as predictions: confusion, FNR and FPR."""
-    return with_metrics(df.agg(*aggregates(*_counts(truth, is_flagged("decision")))), ["fnr", "fpr"])
+def governance_eval(df: DataFrame, truth: str = "label", unscored: str = "error") -> DataFrame:
+    """Decisions as predictions: confusion, FNR and FPR; a row without a decision has no prediction."""
+    flagged = is_flagged("decision")
+    counted = df.agg(*aggregates(*_counts(truth, flagged), _unscored(truth, flagged)))
+    return with_metrics(_settled(counted, unscored), ["fnr", "fpr"])
 
 
 def latency_stats(df: DataFrame, column: str = "total_ms") -> DataFrame:

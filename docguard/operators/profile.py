@@ -54,18 +54,74 @@ def signal_summary(df: DataFrame) -> DataFrame:
     return plain.join(exact_quantiles(df, ["vision_score"], {"median": 0.5}), "feature").drop("feature")
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all pairs in one pass; NULL where a column is constant."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    wide = df.agg(*aggregates(
-        *[f"stddev_pop({c}) AS s{i}" for i, c in enumerate(columns)],
-        *[f"covar_pop({columns[i]}, {columns[j]}) AS c{i}_{j}" for i, j in pairs if i != j]))
+#: Pairs of so many columns at most are single aggregates of one plan; more columns are worked off as matrices.
+NARROW = 16
+
 
-    def r(i: int, j: int) -> str:
-        return f"if(s{i} > 0, 1.0D, null)" if i == j else f"try_divide(c{i}_{j}, s{i} * s{j})"
+def correlation_matrix(df: DataFrame, columns: Sequence[str], narrow: int = NARROW) -> DataFrame:
+    """Pearson correlation (a, b, r) of all pairs a <= b over the rows where both are known; NaN counts as NULL.
 
-    rows = ", ".join(f"{quote(columns[i])}, {quote(columns[j])}, {r(i, j)}" for i, j in pairs)
-    return wide.selectExpr(f"stack({len(pairs)}, {rows}) AS (a, b, r)")
+    NULL where a column is constant over these rows.  Both ways to compute give the same numbers: few columns are
+    aggregates in generated code, many are blocked products of matrices per Arrow batch.
+    """
+    known = df.selectExpr(*[f"{nan_to_null(f'double(`{c}`)')} AS c{i}" for i, c in enumerate(columns)])
+    if len(columns) > narrow:
+        return _gram_correlations(known, columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    # deviations are those of the rows where the other column is known, too
+    wide = known.agg(*aggregates(*[
+        f"named_struct('xy', covar_pop(c{i}, c{j}), 'xx', var_pop(if(c{j} IS NULL, null, c{i})), "
+        f"'yy', var_pop(if(c{i} IS NULL, null, c{j}))) AS p{i}_{j}" for i, j in pairs]))
+    rows = ", ".join(f"{quote(columns[i])}, {quote(columns[j])}, p{i}_{j}" for i, j in pairs)
+    r = "if(a = b, if(p.xx > 0, 1.0D, null), try_divide(p.xy, sqrt(p.xx) * sqrt(p.yy)))"
+    return wide.selectExpr(f"stack({len(pairs)}, {rows}) AS (a, b, p)").selectExpr("a", "b", f"{r} AS r")
+
+
+def _gram_correlations(known: DataFrame, columns: Sequence[str], block: int = 64) -> DataFrame:
+    """Correlations from sums of products over pairs of column blocks.
+
+    A task adds up, for each pair of blocks, five matrices of at most block x block numbers: rows known in both, sums and
+    squares of either side over these rows, and products.  Values are shifted by their columns' means first, so large
+    offsets cancel nothing.  A task's state is k x k numbers whatever its rows; the shuffle merges one row per
+    column pair and task.
+    """
+    k = len(columns)
+    means = known.agg(*aggregates(*[f"coalesce(avg(c{i}), 0.0D) AS c{i}" for i in range(k)])).first()
+    shift = [float(means[i]) for i in range(k)]
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cuts = [(at, min(k, at + block)) for at in range(0, k, block)]
+        held = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns], 1)
+                there = ~np.isnan(x)
+                x = np.where(there, x - np.array(shift), 0.0)
+                w, xx = there.astype(float), x * x
+                for a, (i, i2) in enumerate(cuts):
+                    for b, (j, j2) in enumerate(cuts[a:], a):
+                        part = np.stack([w[:, i:i2].T @ w[:, j:j2], x[:, i:i2].T @ w[:, j:j2], w[:, i:i2].T @ x[:, j:j2],
+                                         xx[:, i:i2].T @ w[:, j:j2], w[:, i:i2].T @ xx[:, j:j2], x[:, i:i2].T @ x[:, j:j2]])
+                        held[a, b] = held[a, b] + part if (a, b) in held else part
+        for (a, b), part in held.items():
+            at = np.indices(part.shape[1:])
+            left, right = cuts[a][0] + at[0].ravel(), cuts[b][0] + at[1].ravel()
+            keep = left <= right
+            yield pa.record_batch([pa.array(left[keep].astype(np.int32)), pa.array(right[keep].astype(np.int32)),
+                                   *[pa.array(p.ravel()[keep]) for p in part]], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = known.mapInArrow(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    total = parts.groupBy("i", "j").agg(*aggregates(*[f"sum({c}) AS {c}" for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    spread = total.selectExpr("i", "j", "n", "n * xy - x * y AS cxy", "n * xx - x * x AS cxx", "n * yy - y * y AS cyy", "xx", "yy")
+    # what is left of a constant column is rounding
+    flat = "n < 2 OR cxx <= 1e-13D * n * xx OR cyy <= 1e-13D * n * yy"
+    names = f"array({listed(columns)})"
+    return spread.selectExpr(f"{names}[i] AS a", f"{names}[j] AS b",
+                             f"if({flat}, null, if(i = j, 1.0D, try_divide(cxy, sqrt(cxx) * sqrt(cyy)))) AS r")
 
 
 def top_families(df: DataFrame, k: int = 15) -> DataFrame:

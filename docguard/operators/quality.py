@@ -8,17 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docguard.fixed_values import FOURTEEN_FEATURES, SPLITS
+from docguard.fixed_values import FOURTEEN_FEATURES, SPLITS, VISION_DOUBLES, VISION_REQUIRED
 from docguard.functions.numbers import listed, quote, ratio
 from docguard.operators.splits import PAIRS, aggregates, leaking_groups, split_overlap, unique_count
 
-VISION_REQUIRED = [
-    "sample_id", "ocr_confidence", "tiny_text_count", "footer_text_density",
-    "watermark_score", "hidden_text_score", "keyword_density", "vision_score",
-]
-VISION_DOUBLES = ["ocr_confidence", "footer_text_density", "watermark_score", "hidden_text_score",
-                  "keyword_density", "vision_score"]
-
 
 class QualityError(AssertionError):
     """A quality gate did not pass."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docguard.fixed_values import HEURISTIC_PHRASES, IMPERATIVE_VERBS, INJECTION_PHRASES
 from docguard.functions import text as T
 from docguard.functions.layout import boxes_text, drop_footer
-from docguard.functions.numbers import rounded
+from docguard.functions.numbers import nan_to_null, rounded
 from docguard.functions.signals import confidence, label_code
 from docguard.operators.features import replaced
 
@@ -150,11 +150,13 @@ def score_text(df: DataFrame, scorer: Scorer, id_column: str = "sample_id", text
 
 
 def prediction_record(df: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The full record of one prediction per row; needs malicious_probability."""
+    """The full record of one prediction per row; needs malicious_probability.  NaN is NULL, and without a
+    probability there is neither a label nor a confidence."""
+    known = nan_to_null("double(malicious_probability)")
     return df.selectExpr(
-        "sample_id", f"{T.preview(text)} AS text_preview", "malicious_probability",
-        f"int(malicious_probability >= {threshold}D) AS predicted_label",
-        f"{confidence('malicious_probability')} AS confidence", "'unknown' AS predicted_attack_family",
+        "sample_id", f"{T.preview(text)} AS text_preview", f"{known} AS malicious_probability",
+        f"int({known} >= {threshold}D) AS predicted_label",
+        f"if({known} IS NULL, null, {confidence(known)}) AS confidence", "'unknown' AS predicted_attack_family",
         f"{T.inference_strategy(text)} AS inference_strategy")
 
 

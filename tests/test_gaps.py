@@ -10,6 +10,7 @@ from docguard.functions import registry
 from docguard.functions.numbers import clip, num, rounded
 from docguard.functions.signals import audit_id, split_name
 from docguard.operators import metrics as M
+from docguard.operators import profile as P
 from docguard.operators import model as MO
 from docguard.operators.features import join_labels_splits
 from docguard.plans.documents import prompt_scores
@@ -136,3 +137,47 @@ def test_folds_of_more_than_a_hundred_classes(spark):
     for members in classes.values():
         n = len(members)
         assert [fold for _, fold in sorted(members)] == [sum(p > -(-n * i // 3) for i in (1, 2)) for p in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("measure", [
+    lambda df, **k: M.evaluate_risk(df, **k), lambda df, **k: M.brier(df, "label", "risk_score", **k), lambda df, **k: M.ablation(df, **k),
+    lambda df, **k: M.family_detection(df, **k), lambda df, **k: M.governance_eval(df, **k)])
+def test_unscored_rows_fail_or_are_counted(spark, measure):
+    nan = float("nan")
+    rows = [(0, nan, .1, nan, "ALLOW", "f", "all"), (1, .9, .2, .9, "BLOCK", "f", "all"), (0, .1, nan, .1, "ALLOW", "f", "all"), (1, None, .9, None, None, "f", "all")]
+    df = spark.createDataFrame(rows, "label int, malicious_probability double, vision_score double, risk_score double, decision string, attack_family string, split string")
+    with pytest.raises(Exception, match="have no prediction"):
+        measure(df).collect()
+    got = [r.asDict() for r in measure(df, unscored="count").collect()]
+    assert all(r["n_unscored"] in (1, 2, 3) for r in got)
+    for r in got:
+        assert r.get("fp", 0) == 0 and r.get("brier", 0) == r.get("brier", 0)
+        if "tn" in r:
+            assert r["tn"] + r["fp"] + r["fn"] + r["tp"] + r["n_unscored"] == 4
+    with pytest.raises(ValueError):
+        measure(df, unscored="ignore")
+
+
+def test_correlation_of_incomplete_pairs(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (100.0, None), (nan, 7.0)], "x double, y double")
+    for narrow in (16, 0):
+        got = {(r.a, r.b): r.r for r in P.correlation_matrix(df, ["x", "y"], narrow=narrow).collect()}
+        assert got["x", "y"] == pytest.approx(1.0) and got["x", "x"] == got["y", "y"] == 1.0
+
+
+def test_correlations_of_500_columns(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 500)) @ (np.eye(500) + rng.standard_normal((500, 500)) / 20) + 1e7
+    x[rng.random(x.shape) < .05] = np.nan
+    x[:, 7] = 3.0
+    names = [f"c {i}" for i in range(500)]
+    got = P.correlation_matrix(spark.createDataFrame(pd.DataFrame(x, columns=names)), names).toPandas()
+    assert len(got) == 500 * 501 // 2
+    want = pd.DataFrame(x - 1e7, columns=names).corr()  # exact: pandas itself loses digits to the offset
+    at = {n: i for i, n in enumerate(names)}
+    mine = got.r.to_numpy(float)
+    other = want.to_numpy()[got.a.map(at), got.b.map(at)]
+    assert np.array_equal(np.isnan(mine), np.isnan(other)) and np.nanmax(np.abs(mine - other)) < 1e-9
