@@ -13,6 +13,7 @@ from docguard.fixed_values import HEURISTIC_PHRASES, IMPERATIVE_VERBS, NINE_FEAT
 from docguard.functions import registry
 from docguard.operators import metrics as M
 from docguard.operators import model as MO
+from docguard.operators import newton as N
 from docguard.operators import texts as X
 from docguard.operators.features import fill_defaults
 from docguard.operators.layouts import vision_features
@@ -65,6 +66,85 @@ def fit_risk_model(spark, d):
     return stored.sparkSession.createDataFrame(search, "c double, mean_f1_macro double, iterations int, converged boolean")
 
 
+def _newton_sql(source: str, x: list[str], y: str, weight: str, penalty: str, steps: int = 14) -> str:
+    """CTEs n0, n1, ...: Newton steps for the weights of x (an intercept last) per row of n0 (key, penalty), unrolled."""
+    p = len(x) + 1
+    terms = [*x, "1.0::double"]
+    b = [f"b{i}" for i in range(p)]
+    parts = [f"n0 AS (SELECT k, {', '.join(f'0.0::double AS {c}' for c in b)} FROM keys)"]
+    z = " + ".join(f"n.{c}*{t}" for c, t in zip(b, terms))
+    for s in range(steps):
+        ridge = [f"{penalty}" if i < p - 1 else "0.0::double" for i in range(p)]
+        sums = ", ".join([f"sum({weight}*(q-{y})*{t}) + {r}*any_value({c}) AS g{i}" for i, (t, r, c) in enumerate(zip(terms, ridge, b))]
+                         + [f"sum({weight}*q*(1-q)*{terms[i]}*{terms[j]}){f' + {ridge[i]}' if i == j else ''} AS h{i}{j}" for i in range(p) for j in range(i, p)])
+        h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+
+        def det(m: list[list[str]]) -> str:
+            if len(m) == 1:
+                return m[0][0]
+            return "(" + " ".join(f"{'+-'[j % 2]} {m[0][j]}*{det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+        full = [[h(i, j) for j in range(p)] for i in range(p)]
+        moved = [f"b{i} - {det([[f'g{r}' if c == i else full[r][c] for c in range(p)] for r in range(p)])}/{det(full)} AS b{i}" for i in range(p)]
+        parts.append(f"""n{s + 1} AS (SELECT k, {', '.join(moved)} FROM (SELECT k, {', '.join(f'any_value({c}) AS {c}' for c in b)}, {sums}
+            FROM (SELECT n.*, r.* EXCLUDE (k), 1/(1+exp(-({z}))) AS q FROM n{s} n JOIN {source} r USING (k)) GROUP BY k))""")
+    return ", ".join(parts)
+
+
+_NEWTON_ROWS = "SELECT label::double AS y, risk_score + 0.5::double*label AS u, vision_score AS v FROM sig"
+
+
+@check("logistic_newton", with_("sig", keys="SELECT unnest([1, 100]) AS k", rows_of=f"SELECT k, r.* FROM keys, ({_NEWTON_ROWS}) r") + ", "
+       + _newton_sql("rows_of", ["u", "v"], "y", "CASE WHEN y = 1 THEN 1.5::double ELSE 0.75::double END", "k::double")
+       + " SELECT k::double AS penalty, b0 AS u, b1 AS v, b2 AS intercept FROM n14", rounded=["u", "v", "intercept"])
+def logistic_newton(spark, d):
+    rows = signals(spark, d).selectExpr("double(label) AS y", "risk_score + 0.5D * label AS u", "vision_score AS v")
+    fits = N.fit_logistic(rows, ["u", "v"], [N.Problem(None, 0.75, 1.5, float(k)) for k in (1, 100)])
+    return spark.createDataFrame([(float(k), *f.weights) for k, f in zip((1, 100), fits)], "penalty double, u double, v double, intercept double")
+
+
+_SOFT = "CASE WHEN y = 1 THEN (pos+1.0::double)/(pos+2.0::double) ELSE 1.0::double/(neg+2.0::double) END"
+
+
+@check("platt_newton", with_("sig", rows_of=f"""SELECT k, m, {_SOFT} AS t FROM (SELECT (doc_id % 3)::int AS k, label AS y, 2.0::double*(risk_score + 0.5::double*label)
+    - vision_score - 0.1::double*(doc_id % 3) AS m, count(*) FILTER (label = 1) OVER (PARTITION BY doc_id % 3) AS pos,
+    count(*) FILTER (label = 0) OVER (PARTITION BY doc_id % 3) AS neg FROM sig)""", keys="SELECT DISTINCT k FROM rows_of") + ", "
+       + _newton_sql("rows_of", ["m"], "t", "1.0::double", "0.0::double") + " SELECT k AS fold, b0 AS slope, b1 AS offset_ FROM n14", rounded=["slope", "offset_"])
+def platt_newton(spark, d):
+    rows = signals(spark, d).selectExpr("double(label) AS y", "int(bigint(sample_id) % 3) AS fold", "risk_score + 0.5D * label AS u", "vision_score AS v")
+    sizes = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.expr("count(1) AS n")).collect()}
+    targets = [N.soft_targets(sizes.get((fold, 1.0), 0), sizes.get((fold, 0.0), 0)) for fold in range(3)]
+    fits = N.fit_sigmoids(rows, ["u", "v"], [[2.0, -1.0, -0.1 * fold] for fold in range(3)], targets)
+    return spark.createDataFrame([(k, *f.weights) for k, f in enumerate(fits)], "fold int, slope double, offset_ double")
+
+
+@check("risk_model_conditions", f"""SELECT fold, term, true AS holds FROM (SELECT unnest([0, 1, 2])::int AS fold),
+    (SELECT unnest([{', '.join(f"'{c}'" for c in NINE_FEATURES)}, 'intercept', 'platt_slope', 'platt_offset']) AS term)""")
+def risk_model_conditions(spark, d):
+    """Of each fold's fit, in Spark SQL over all rows: the gradient vanishes, and so do both of the calibration's."""
+    stored, model, _ = fitted(spark, d)
+    train = stored.filter("split = 'train' AND label IS NOT NULL")
+    z = MO.scaled(NINE_FEATURES, model.means, model.scales)
+    rows = MO.with_folds(train, "label").selectExpr("double(label) AS y", "fold", *[f"{e} AS z{i}" for i, e in enumerate(z)], "1.0D AS z9")
+    sizes = "count(1) OVER (PARTITION BY fold, y)"
+    sized = rows.selectExpr("*", f"{sizes} AS own", "count(1) OVER (PARTITION BY y) AS same", "count(1) OVER (PARTITION BY fold) AS here", "count(1) OVER (PARTITION BY 1) AS n")
+    out = None
+    for k, fold in enumerate(model.folds):
+        margin = " + ".join(f"({w!r}D) * z{i}" for i, w in enumerate([*fold.coefficients, fold.intercept]))
+        # rows outside the fold: of this class, of all; inside it: of this class
+        marked = sized.selectExpr("*", f"max(if(fold = {k}, own, 0)) OVER (PARTITION BY y) AS mine", f"max(if(fold = {k}, here, 0)) OVER (PARTITION BY 1) AS held",
+                                  f"{margin} AS m").selectExpr("*", "(n - held) / (2D * (same - mine)) AS w", "1D / (1D + exp(-m)) AS p",
+                                  f"1D / (1D + exp(-(({fold.slope!r}D) * m + ({fold.offset!r}D)))) AS q", "if(y = 1D, (mine + 1D) / (mine + 2D), 1D / (mine + 2D)) AS t")
+        slopes = [f"abs(sum(if(fold <> {k}, w * (p - y) * z{i}, 0D)) + ({(c / model.c)!r}D)) / count(1)"
+                  for i, c in enumerate([*fold.coefficients, 0.0])]
+        slopes += [f"abs(sum(if(fold = {k}, (q - t) * m, 0D))) / count(1)", f"abs(sum(if(fold = {k}, q - t, 0D))) / count(1)"]
+        terms = [*NINE_FEATURES, "intercept", "platt_slope", "platt_offset"]
+        part = marked.agg(*[F.expr(f"{e} <= 1e-8D AS c{i}") for i, e in enumerate(slopes)]).selectExpr(
+            f"{k} AS fold", f"stack({len(terms)}, " + ", ".join(f"'{t}', c{i}" for i, t in enumerate(terms)) + ") AS (term, holds)")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @check("platt_calibrate")
 def platt_calibrate(spark, d):
     stored, model, _ = fitted(spark, d)
@@ -109,8 +189,8 @@ def text_model(spark, d):
 
 @check("evaluate_matrix")
 def evaluate_matrix_query(spark, d):
-    stored, _, _ = fitted(spark, d)
-    _, _, table_of_five = evaluate_matrix(stored.filter("label IS NOT NULL"))
+    stored, model, _ = fitted(spark, d)
+    _, _, table_of_five = evaluate_matrix(stored.filter("label IS NOT NULL"), model=model)
     return table_of_five
 
 

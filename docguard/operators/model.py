@@ -1,19 +1,18 @@
 """The calibrated logistic risk model, and the pluggable text model.
 
-Fitting runs on pyspark.ml; a fitted risk model is a few dozen numbers, and scoring is a
-plain column expression over the feature columns.
+The risk model is fitted by Newton steps over sums of all rows (newton.py), the text model by pyspark.ml; a fitted
+risk model is a few dozen numbers, and scoring is a plain column expression over the feature columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from docguard.fixed_values import NINE_FEATURES, REGULARISATION_GRID
 from docguard.functions.numbers import clip, num, quote
 from docguard.functions.signals import is_high_risk, risk_level
 from docguard.operators.features import feature_map, replaced
+from docguard.operators.newton import Problem, fit_logistic, fit_sigmoids, held_out_counts, soft_targets
 from docguard.operators.splits import aggregates
 
 FOLDS = 3
@@ -99,55 +99,50 @@ def with_folds(df: DataFrame, label: str, id_column: str = "sample_id", seed: st
 
 def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
              grid: Sequence[float] = tuple(REGULARISATION_GRID), seed: str = "42",
-             parallelism: int = 6, most_iterations: int = 1000) -> tuple[RiskModel, list[tuple]]:
+             most_iterations: int = 100) -> tuple[RiskModel, list[tuple]]:
     """Choose C by three-fold macro F1, calibrate each fold's model on its held-out rows.
 
-    Returns the model and the table of the search: C, mean macro F1, the most iterations that a fold's fit took, and
-    whether all of them ended before `most_iterations`.
+    All folds and all C are fitted side by side: each Newton step is one job (see newton.py), and so are the held-out
+    counts of all of them and each step of the three calibrations.  Returns the model and the table of the search: C,
+    mean macro F1, the most steps that a fold's fit took, and whether all of them converged within `most_iterations`.
     """
     means, scales = standardise(train, columns)
     z = [f"z{i}" for i in range(len(columns))]
-    rows = with_folds(train, label, "sample_id", seed).selectExpr(f"double({label}) AS y", "fold", *[f"{c} AS {name}" for name, c in zip(z, scaled(columns, means, scales))])
-    prepared = VectorAssembler(inputCols=z, outputCol="x").transform(rows)
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_folds(train, label, "sample_id", seed).selectExpr(
+        f"double({label}) AS y", "int(fold) AS fold", *[f"{c} AS {name}" for name, c in zip(z, scaled(columns, means, scales))])
+    prepared = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {(r["fold"], r["y"]): r["n"] for r in
                  prepared.groupBy("fold", "y").agg(F.expr("count(1) AS n")).collect()}
-        candidates = _fit_all(prepared, sizes, grid, parallelism, most_iterations)
-        scores = [_held_out_f1(prepared, z, fold, candidates[fold]) for fold in range(FOLDS)]
-        mean_f1 = [sum(s[i] for s in scores) / FOLDS for i in range(len(grid))]
+        candidates = [(fold, c) for fold in range(FOLDS) for c in grid]
+        weights = [_class_weights(sizes, fold) for fold in range(FOLDS)]
+        fits = fit_logistic(prepared, z, [Problem(fold, weights[fold][0.0], weights[fold][1.0], 1.0 / c) for fold, c in candidates],
+                            most_iterations)
+        counted = held_out_counts(prepared, z, [f.weights for f in fits], [fold for fold, _ in candidates])
+        f1 = [(_f1(tp, errors) + _f1(tn, errors)) / 2 for tp, tn, errors in counted]
+        mean_f1 = [sum(f1[fold * len(grid) + i] for fold in range(FOLDS)) / FOLDS for i in range(len(grid))]
         best = max(range(len(grid)), key=lambda i: mean_f1[i])
-        folds = [_calibrated(prepared, z, sizes, fold, candidates[fold][best]) for fold in range(FOLDS)]
+        chosen = [fits[fold * len(grid) + best] for fold in range(FOLDS)]
+        targets = [soft_targets(sizes.get((fold, 1.0), 0), sizes.get((fold, 0.0), 0)) for fold in range(FOLDS)]
+        sigmoids = fit_sigmoids(prepared, z, [f.weights for f in chosen], targets)
     finally:
         prepared.unpersist()
-    taken = [max(fold[i].iterations for fold in candidates) for i in range(len(grid))]
+    folds = [FoldModel(f.weights[:-1], f.weights[-1], s.weights[0], s.weights[1], f.steps) for f, s in zip(chosen, sigmoids)]
+    of_c = [[fits[fold * len(grid) + i] for fold in range(FOLDS)] for i in range(len(grid))]
     return RiskModel(list(columns), means, scales, grid[best], folds), [
-        (c, f1, n, n < most_iterations) for c, f1, n in zip(grid, mean_f1, taken)]
+        (c, score, max(f.steps for f in of), all(f.converged for f in of)) for c, score, of in zip(grid, mean_f1, of_c)]
 
 
-def _fit_all(prepared: DataFrame, sizes: dict, grid: Sequence[float], parallelism: int,
-             most_iterations: int) -> list[list[FoldModel]]:
-    """One model per fold and C; independent fits run side by side, as in CrossValidator."""
-    fit = inheritable_thread_target(prepared.sparkSession)(
-        lambda place: _fit_one(prepared, sizes, place // len(grid), grid[place % len(grid)], most_iterations))
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(fit, range(FOLDS * len(grid)), chunksize=1)
-    return [models[f * len(grid):(f + 1) * len(grid)] for f in range(FOLDS)]
-
-
-def _fit_one(prepared: DataFrame, sizes: dict, fold: int, c: float, most_iterations: int) -> FoldModel:
-    """Fit on the rows outside the fold, classes weighted to equal shares."""
+def _class_weights(sizes: dict, fold: int) -> dict[float, float]:
+    """Weights that give both classes equal shares of the rows outside the fold."""
     n = {y: sum(size for (f, label), size in sizes.items() if f != fold and label == y) for y in (0.0, 1.0)}
     if not n[0.0] or not n[1.0]:
         raise ValueError(f"the rows outside fold {fold} are all of one class; too few rows to fit {FOLDS} folds")
-    total = n[0.0] + n[1.0]
-    weight = f"if(y = 1.0D, {num(total / (2.0 * max(1, n[1.0])))}, {num(total / (2.0 * max(1, n[0.0])))})"
-    outside = prepared.filter(f"fold <> {fold}").select("x", "y", F.expr(f"{weight} AS w"))
-    # C weighs the summed loss, regParam the mean loss; the weights sum to the row count
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * total),
-                                elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-6).fit(outside)
-    return FoldModel([float(v) for v in fitted.coefficients], float(fitted.intercept),
-                     iterations=fitted.summary.totalIterations)
+    return {y: (n[0.0] + n[1.0]) / (2.0 * n[y]) for y in n}
+
+
+def _f1(hits: float, errors: float) -> float:
+    return 2.0 * hits / (2.0 * hits + errors) if hits else 0.0
 
 
 def _margin(terms: Sequence[str], model: FoldModel) -> str:
@@ -155,36 +150,6 @@ def _margin(terms: Sequence[str], model: FoldModel) -> str:
     return f"({' + '.join([num(model.intercept), *products])})"
 
 
-def _held_out_f1(prepared: DataFrame, z: Sequence[str], fold: int, models: Sequence[FoldModel]) -> list[float]:
-    """Macro F1 of all candidates on the held-out rows, counted in one pass."""
-    counts = []
-    for i, model in enumerate(models):
-        up = f"{_margin(z, model)} > 0"
-        counts += [f"count_if(y = 1 AND {up}) AS tp{i}", f"count_if(y = 0 AND NOT {up}) AS tn{i}",
-                   f"count_if((y = 1) <> ({up})) AS e{i}"]
-    row = prepared.filter(f"fold = {fold}").agg(*aggregates(*counts)).first()
-
-    def f1(hits: int, errors: int) -> float:
-        return 2.0 * hits / (2.0 * hits + errors) if hits else 0.0
-
-    return [(f1(row[f"tp{i}"], row[f"e{i}"]) + f1(row[f"tn{i}"], row[f"e{i}"])) / 2 for i in range(len(models))]
-
-
-def _calibrated(prepared: DataFrame, z: Sequence[str], sizes: dict, fold: int, model: FoldModel) -> FoldModel:
-    """Sigmoid calibration on the held-out margins with smoothed targets.
-
-    A soft target t is a row of class 1 with weight t and a row of class 0 with weight 1 - t.
-    """
-    positives, negatives = sizes.get((fold, 1.0), 0), sizes.get((fold, 0.0), 0)
-    high, low = num((positives + 1.0) / (positives + 2.0)), num(1.0 / (negatives + 2.0))
-    margins = prepared.filter(f"fold = {fold}").selectExpr(
-        f"{_margin(z, model)} AS margin", f"if(y = 1.0D, {high}, {low}) AS t")
-    soft = margins.selectExpr("margin", "stack(2, 1.0D, t, 0.0D, 1.0D - t) AS (y, w)")
-    assembled = VectorAssembler(inputCols=["margin"], outputCol="x").transform(soft)
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=1000, tol=1e-8).fit(assembled)
-    return FoldModel(model.coefficients, model.intercept, float(fitted.coefficients[0]), float(fitted.intercept))
-
-
 def risk_probability(model: RiskModel) -> str:
     """Mean of the calibrated fold probabilities over raw feature columns; missing counts 0.0."""
     terms = [f"coalesce(double({c}), 0.0D)" for c in model.columns]

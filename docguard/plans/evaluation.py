@@ -23,10 +23,11 @@ def tune_rules(validation: DataFrame, rules: Sequence[dict], truth: str = "label
 
 def evaluate_matrix(features: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), label: str = "label",
                     rules: Sequence[dict] | None = None, audit_path: str | None = None,
-                    at: str = "current_timestamp()") -> tuple[RiskModel, DataFrame, DataFrame]:
-    """Returns the model, the decisions on the test rows and the ablation table."""
+                    at: str = "current_timestamp()", model: RiskModel | None = None) -> tuple[RiskModel, DataFrame, DataFrame]:
+    """Returns the model, the decisions on the test rows and the ablation table; a given model is not fitted again."""
     rules = load_rules() if rules is None else rules
-    model, _ = fit_risk(features.filter("split = 'train'"), columns, label)
+    if model is None:
+        model, _ = fit_risk(features.filter("split = 'train'"), columns, label)
     risk = written(score_risk(features, model).select("sample_id", "risk_score", "risk_level"), "risk_scores")
     joined = written(join_risk(features, risk), "scored_features")
     tuned = tune_rules(joined.filter("split = 'val'"), rules, label)
