@@ -2,7 +2,7 @@
 
 With X the centred rows over the root of their number, alternating products u = Xv - beta u' and v = X'u - alpha v' bring X
 to a bidiagonal matrix whose singular values are the deviations and whose right vectors give the components. Each
-product is one Spark job over the written integer rows. Left vectors are as long as the table and are never stored:
+product is one Spark job over the integer rows, written in blocks. Left vectors are as long as the table and are never stored:
 u_k = X c_k with c_k as wide as a vector, so a pass recomputes the entries of all u_j for its rows, and inner products of
 u_k with the earlier ones come from the rows themselves. Both sides are fully reorthogonalised. The process runs until the
 space is exhausted (as many steps as dimensions, two jobs each), with a fresh direction after a breakdown, so that
@@ -41,11 +41,26 @@ def _rows(batch, dims: int) -> np.ndarray:
     return np.asarray(batch.column("x").flatten(), np.int64).reshape(-1, dims)
 
 
+def packed(vectors: DataFrame, dims: int, size: int = 1 << 21) -> DataFrame:
+    """(x binary): blocks of vectors, each of at most `size` bytes, so that a pass reads bytes and no lists."""
+    def run(batches):
+        import pyarrow as pa
+        rows = max(1, size // (8 * dims))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.record_batch([pa.array([_rows(batch.slice(at, rows), dims).tobytes()], pa.binary())], names=["x"])
+
+    return vectors.select("x").mapInArrow(run, "x binary")
+
+
 class Centred:
-    """The centred table as an operator: n, dims, per-dimension sums, and distributed products with it."""
+    """The centred table as an operator: n, dims, per-dimension sums, and distributed products with it.
+
+    Products run over blocks (see packed), written once by the caller.
+    """
 
-    def __init__(self, vectors: DataFrame, dims: int):
-        self.vectors, self.dims = vectors.select("x"), dims
+    def __init__(self, vectors: DataFrame, dims: int, blocks: DataFrame):
+        self.blocks, self.dims = blocks, dims
         sums = vectors.selectExpr("posexplode(x) AS (d, e)").groupBy("d").agg(F.expr("sum(e) AS s"), F.expr("count(1) AS n"))
         held = {r.d: (r.s, r.n) for r in sums.collect()}
         self.n = held[0][1]
@@ -62,14 +77,14 @@ class Centred:
             import pyarrow as pa
             out = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    x = _rows(batch.slice(at, 4096), dims)
+                for held in batch.column("x"):
+                    x = np.frombuffer(held.as_buffer(), np.int64).reshape(-1, dims)
                     part = per_block(((x - high.astype(np.int64)) - low) / np.sqrt(n))
                     out = part if out is None else out + part
             if out is not None:
                 yield pa.record_batch([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["k", "s"])
 
-        held = self.vectors.mapInArrow(run, "k int, s double").groupBy("k").agg(F.expr("sum(s) AS s")).collect()
+        held = self.blocks.mapInArrow(run, "k int, s double").groupBy("k").agg(F.expr("sum(s) AS s")).collect()
         out = np.zeros(len(held))
         for r in held:
             out[r.k] = r.s
@@ -165,7 +180,7 @@ def whiten(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
         return spark.createDataFrame([], schema)
     dims = lengths.d
     vectors = vectors.filter(f"size(x) = {dims}")
-    table = Centred(vectors, dims)
+    table = Centred(vectors, dims, hand.write(packed(vectors, dims), "blocks"))
     found, variances, trace = components(table)
     used = [k for k in range(min(most, dims)) if variances[k] > (RANK ** 2) * variances[0] and variances[k] > 0]
     if not used:
@@ -178,6 +193,7 @@ def whiten(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     moments = table.total(lambda x: np.concatenate([(w := x @ axes.T).sum(0) / np.sqrt(n), (w.T @ w).ravel()]))
     mean, square = moments[:k], moments[k:].reshape(k, k)
     error = float(np.abs(square - np.outer(mean, mean) - np.eye(k)).max())
+    hand.drop("blocks")
     explained = variances[used] / trace
 
     def run(batches):

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from docguard.llm.whitening import Centred, bidiagonalise, integer_vectors, whiten
+from docguard.llm.whitening import Centred, bidiagonalise, integer_vectors, packed, whiten
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id int, x string, component int, n string"
 
@@ -99,7 +99,8 @@ def test_exact_beyond_doubles(spark):
 def test_bidiagonal_factors(spark, vectors):
     """V is orthonormal and X'X = V B'B V'."""
     ids, x = fit_list(vectors, 12)
-    table = Centred(integer_vectors(made(spark, vectors)).filter("size(x) = 12"), 12)
+    whole = integer_vectors(made(spark, vectors)).filter("size(x) = 12")
+    table = Centred(whole, 12, packed(whole, 12))
     rights, alphas, betas = bidiagonalise(table)
     centred = np.array(x, float) - np.mean(np.array(x, float), 0)
     gram = centred.T @ centred / len(x)
