@@ -36,7 +36,6 @@ class FoldModel:
     intercept: float
     slope: float = 1.0
     offset: float = 0.0
-    iterations: int = 0
 
 
 @dataclass(frozen=True)
@@ -127,7 +126,7 @@ def fit_risk(train: DataFrame, columns: Sequence[str] = tuple(NINE_FEATURES), la
         sigmoids = fit_sigmoids(prepared, z, [f.weights for f in chosen], targets)
     finally:
         prepared.unpersist()
-    folds = [FoldModel(f.weights[:-1], f.weights[-1], s.weights[0], s.weights[1], f.steps) for f, s in zip(chosen, sigmoids)]
+    folds = [FoldModel(f.weights[:-1], f.weights[-1], s.weights[0], s.weights[1]) for f, s in zip(chosen, sigmoids)]
     of_c = [[fits[fold * len(grid) + i] for fold in range(FOLDS)] for i in range(len(grid))]
     return RiskModel(list(columns), means, scales, grid[best], folds), [
         (c, score, max(f.steps for f in of), all(f.converged for f in of)) for c, score, of in zip(grid, mean_f1, of_c)]

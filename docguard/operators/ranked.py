@@ -2,7 +2,8 @@
 
 The input is first aggregated to one row per distinct value, so a value held by a third
 of all rows costs one row.  The distinct values are then cut into ranges; a window runs
-inside each range only, and the few range totals are summed up in front of it.
+inside each range only, and the few range totals are summed up in front of it.  Single
+ranks need less: only the ranges that hold them are ranked, all others are counted.
 """
 
 from __future__ import annotations
@@ -43,38 +44,76 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
         *[f"{s}_total" for s in sums])
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, n) over the values, neither NULL nor NaN, of several numeric columns."""
-    pairs = ", ".join(f"{quote(c)}, {nan_to_null(f'double({c})')}" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").filter("value IS NOT NULL")
-    return long.groupBy("feature", "value").agg(F.expr("count(1) AS n"))
+#: Rank error of the sketch that places the ranges, as one over it; a range reaches four times as far to either side.
+ACCURACY = 4000
+#: Columns with so many values at most are one range.
+FEW = 20_000
+
+
+def selected_counts(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """(feature, value, n, ranked): the values of the ranges that hold the wanted ranks, one row each, ranked = true;
+    of the values between two ranges one row with their number.
+
+    A quantile sketch, whose error is bounded, places the ranges; the counts around them are exact.  What is shuffled
+    and sorted afterwards is a share of the values that does not depend on the data, however many distinct ones there are.
+    """
+    wanted = sorted(set(probabilities))
+    margin = 4.0 / ACCURACY
+    shares = [x for p in wanted for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    wide = df.selectExpr(*[f"{nan_to_null(f'double({c})')} AS c{i}" for i, c in enumerate(columns)])
+    everything = f"array({', '.join(["double('-infinity'), double('infinity')"] * len(wanted))})"
+    sketch = wide.agg(*[F.expr(
+        f"if(count(c{i}) <= {FEW}, {everything}, percentile_approx(c{i}, array({', '.join(num(x) for x in shares)}), {ACCURACY})) AS c{i}")
+        for i in range(len(columns))])
+    edges = sketch.selectExpr(f"named_struct({', '.join(f'{quote(f"c{i}")}, c{i}' for i in range(len(columns)))})").scalar()
+    held = ", ".join(f"{quote(c)}, c{i}, _edges.c{i}" for i, c in enumerate(columns))
+    long = wide.withColumn("_edges", edges).selectExpr(f"stack({len(columns)}, {held}) AS (feature, value, edges)").filter("value IS NOT NULL")
+    inside = " OR ".join(f"value BETWEEN edges[{2 * k}] AND edges[{2 * k + 1}]" for k in range(len(wanted)))
+    before = " + ".join(f"int(value > edges[{2 * k + 1}])" for k in range(len(wanted)))
+    placed = long.selectExpr("feature", "value", f"({inside}) AS ranked", f"{before} AS gap")
+    return placed.groupBy("feature", "ranked", F.expr("if(ranked, -1, gap) AS gap"), F.expr("if(ranked, value, null) AS own")).agg(
+        F.expr("min(value) AS value"), F.expr("count(1) AS n")).select("feature", "value", "n", "ranked")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
-    """One row per column with linearly interpolated exact quantiles, e.g. {"median": .5}."""
-    ranked = running_totals(value_counts(df, columns), "value", ["n"], ["feature"])
+    """One row per column with linearly interpolated exact quantiles, e.g. {"median": .5}.
+
+    Only values near a wanted rank are ranked (selected_counts).  Should the sketch ever miss a rank, the job fails.
+    """
+    ranked = running_totals(selected_counts(df, columns, list(probabilities.values())), "value", ["n"], ["feature"])
 
     def value_at(place: str) -> str:
-        return f"max(if(n_before <= {place} AND {place} < n_before + n, value, null))"
+        found = "if(ranked, value, double(raise_error('the sketch missed a rank')))"
+        return f"max(if(n_before <= {place} AND {place} < n_before + n, {found}, null))"
 
     edges, result = [], []
     for name, p in probabilities.items():
         place = f"({num(p)} * (n_total - 1))"
         edges += [f"{value_at(f'floor({place})')} AS _{name}_low", f"{value_at(f'ceil({place})')} AS _{name}_high"]
-        result.append(f"_{name}_low + (_{name}_high - _{name}_low) * ({place} - floor({place})) AS {name}")
+        between = f"_{name}_low + (_{name}_high - _{name}_low) * ({place} - floor({place}))"
+        result.append(f"if(_{name}_low = _{name}_high, _{name}_low, {between}) AS {name}")
     held = ranked.groupBy("feature").agg(*[F.expr(e) for e in ["max(n_total) AS n_total", *edges]])
     return held.selectExpr("feature", *result)
 
 
-def value_at_rank(values: DataFrame, value: str, ranks: dict[str, str]) -> DataFrame:
-    """One row: the values at the given 1-based ranks (NULL for rank 0) of distinct values.
+def value_at_rank(values: DataFrame, value: str, ranks: dict[str, str], prefix: int = 4) -> DataFrame:
+    """One row: the values at the given 1-based ranks (NULL for rank 0) of distinct texts that spread, such as digests.
 
-    A rank is an expression over the column n_total, the number of values.
+    A rank is an expression over the column n_total, the number of values.  Values are counted per prefix; only those
+    that share a prefix with a wanted one are sorted.
     """
-    one_each = values.select(value).distinct().withColumn("n", F.expr("bigint(1)"))
-    ranked = running_totals(one_each, value, ["n"])
-    return ranked.agg(*[F.expr(f"max(if(n_before + 1 = {rank}, {value}, null)) AS {name}")
-                        for name, rank in ranks.items()])
+    distinct = values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct().selectExpr(
+        "value", f"substring(value, 1, {prefix}) AS part")
+    # at most 16 ** prefix rows of hexadecimal digests
+    counts = distinct.groupBy("part").agg(F.expr("count(1) AS n")).selectExpr(
+        "part", "n", "sum(n) OVER (PARTITION BY 1 ORDER BY part) - n AS n_before", "sum(n) OVER (PARTITION BY 1) AS n_total")
+    wanted = ", ".join(f"named_struct('name', {quote(name)}, 'rank', bigint({rank}))" for name, rank in ranks.items())
+    held = counts.selectExpr("part", "n", "n_before", f"explode(array({wanted})) AS at") \
+        .filter("at.rank > n_before AND at.rank <= n_before + n").selectExpr("part", "at.name AS name", "at.rank - n_before AS place")
+    near = distinct.join(F.broadcast(held.select("part").distinct()), "part")  # a part for each rank at most
+    ordered = near.selectExpr("part", "value", "row_number() OVER (PARTITION BY part ORDER BY value) AS place")
+    found = ordered.join(F.broadcast(held), ["part", "place"])
+    return found.agg(*[F.expr(f"max(if(name = {quote(name)}, value, null)) AS {name}") for name in ranks])
 
 
 def _cut_points(counts: DataFrame, value: str) -> Column:
