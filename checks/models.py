@@ -14,6 +14,7 @@ from docguard.functions import registry
 from docguard.operators import metrics as M
 from docguard.operators import model as MO
 from docguard.operators import newton as N
+from docguard.operators.linear import LinearTextModel, compiled, with_window_scores
 from docguard.operators import texts as X
 from docguard.operators.features import fill_defaults
 from docguard.operators.layouts import vision_features
@@ -187,6 +188,28 @@ def text_model(spark, d):
     return MO.text_probability(docs, model).select("sample_id", "label", "malicious_probability")
 
 
+# a text model of given weights: 256 buckets by the first byte of a token's digest
+_GIVEN = LinearTextModel([((b * 37) % 101) / 500.0 - 0.1 for b in range(256)], -0.75, "conv(substring(md5({t}), 1, 2), 16, 10)")
+_GIVEN_SQL = r"""(SELECT 1.0::double/(1.0::double + exp(-(-0.75::double + coalesce(sum(((b*37) % 101)/500.0::double - 0.1::double), 0.0::double))))
+    FROM (SELECT ('0x' || substr(md5(t), 1, 2))::int AS b FROM (SELECT unnest(regexp_split_to_array(lower(chunk), '[^\p{L}\p{N}_]+')) AS t) WHERE t <> ''))"""
+_GIVEN_WINDOWED = windowed_sql(_GIVEN_SQL)
+
+
+@check("text_model_windows", _GIVEN_WINDOWED, rounded=["malicious_probability"])
+def text_model_windows(spark, d):
+    return X.sliding_window_score(documents(spark, d), _GIVEN)
+
+
+@check("text_model_compiled", "SELECT count(*) AS n, count(*) AS n_equal FROM documents")
+def text_model_compiled(spark, d):
+    """The lookup of a fitted pipeline gives what the pipeline gives, on whole texts."""
+    model = MO.fit_text_model(labelled(spark, d).select("text", "label"), features=1 << 12)
+    docs = documents(spark, d).select("sample_id", "text")
+    plain = MO.text_probability(docs, model).select("sample_id", "malicious_probability")
+    looked = with_window_scores(docs, compiled(model), size=1 << 30).selectExpr("sample_id", "_scores[0] AS score")
+    return plain.join(looked, "sample_id").agg(F.expr("count(1) AS n"), F.expr("count_if(abs(score - malicious_probability) < 1e-9D) AS n_equal"))
+
+
 @check("evaluate_matrix")
 def evaluate_matrix_query(spark, d):
     stored, model, _ = fitted(spark, d)
@@ -196,7 +219,7 @@ def evaluate_matrix_query(spark, d):
 
 # --- documents to decisions ----------------------------------------------------------------
 
-_DOCUMENT_SQL = with_("vision_out", w=WINDOWED, s="""
+_DOCUMENT_CTES = dict(s="""
     SELECT v.doc_id, v.sample_id, v.severity, trim(coalesce(v.image_path, '')) <> '' AS seen, v.error, w.malicious_probability AS prompt_score,
         v.vision_score AS vs, v.hidden_text_score, v.keyword_density AS kd, v.footer_text_density AS fd, v.watermark_score AS wm
     FROM vision_out v JOIN w USING (sample_id)""", ctx="""
@@ -207,8 +230,11 @@ _DOCUMENT_SQL = with_("vision_out", w=WINDOWED, s="""
         'unknown' AS attack_family, severity, CASE WHEN seen THEN error END AS vision_error FROM s""")
 
 
-def _document_sql() -> str:
-    return _DOCUMENT_SQL + f"""SELECT sample_id, decision, risk_score, CASE WHEN risk_score >= 0.65::double THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
+_DOCUMENT_SQL = with_("vision_out", w=WINDOWED, **_DOCUMENT_CTES)
+
+
+def _document_sql(windowed: str = WINDOWED) -> str:
+    return with_("vision_out", w=windowed, **_DOCUMENT_CTES) + f"""SELECT sample_id, decision, risk_score, CASE WHEN risk_score >= 0.65::double THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
         prompt_score, vision_score, greatest(prompt_score, 1-prompt_score) AS confidence, rule_id AS governance_rule_triggered,
         sanitization_action, vision_error FROM ({decision_sql('ctx')})"""
 
@@ -247,6 +273,11 @@ def heuristic_windows(spark, d):
     return X.sliding_window_score(documents(spark, d), X.heuristic_scorer(TEST_PHRASES, ["the", "la"]))
 
 
+@check("decide_documents_text_model", _document_sql(_GIVEN_WINDOWED), rounded=["risk_score", "prompt_score", "vision_score", "confidence"])
+def decide_documents_text_model(spark, d):
+    return decide_documents(pages(spark, d), _GIVEN, phrases=TEST_PHRASES).select(*_DOCUMENT_COLUMNS)
+
+
 @check("decide_documents_model")
 def decide_documents_model(spark, d):
     _, model, _ = fitted(spark, d)

@@ -32,8 +32,9 @@ def audit_fields(df: DataFrame, at: str = "current_timestamp()", deterministic:
 
 
 def decide_batch(df: DataFrame, rules: Sequence[dict] | None = None, at: str = "current_timestamp()",
-                 failed: str = "cast(null as string)", deterministic: bool = True) -> DataFrame:
-    """Rows of signals to the 22-column audit record.
+                 failed: str = "cast(null as string)", deterministic: bool = True,
+                 id_digits: int = 8, id_with_time: bool = False) -> DataFrame:
+    """Rows of signals to the 22-column audit record; ids as in audit_fields.
 
     Latencies of single rows do not exist in a batch; they are 0.0 unless df brings them.
     """
@@ -45,7 +46,7 @@ def decide_batch(df: DataFrame, rules: Sequence[dict] | None = None, at: str = "
         return f"coalesce({value}, {default})" if name in columns else f"{kind}({default})"
 
     prompt = known("prompt_score", known("malicious_probability", "0.5D", "double"), "double")
-    staged = replaced(audit_fields(df, at, deterministic), {
+    staged = replaced(audit_fields(df, at, deterministic, id_digits, id_with_time), {
         "prompt_score": prompt,
         "vision_score": known("vision_score", "0.0D", "double"),
         "attack_family_predicted": known("attack_family", "'unknown'", "string"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, IDF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from docguard.fixed_values import NINE_FEATURES, REGULARISATION_GRID
 from docguard.functions.numbers import clip, num, quote
 from docguard.functions.signals import is_high_risk, risk_level
 from docguard.operators.features import feature_map, replaced
+from docguard.operators.linear import BUCKET, SEPARATOR
 from docguard.operators.newton import Problem, fit_logistic, fit_sigmoids, held_out_counts, soft_targets
 from docguard.operators.splits import aggregates
 
@@ -198,17 +199,29 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
 
 def fit_text_model(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16,
                    most_iterations: int = 1000) -> PipelineModel:
-    """A bag-of-words text classifier: hashed term counts, IDF, logistic regression."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, regParam=0.01, maxIter=most_iterations,
-                           probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction"),
+    """A bag-of-words text classifier: hashed term counts, IDF, logistic regression.
+
+    Tokens are dealt to buckets by the SQL of linear.BUCKET, so that `linear.compiled` can look weights up in any row.
+    """
+    buckets = BUCKET.format(t="t", n=features)
+    counting = Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=SEPARATOR, toLowercase=True),
+        SQLTransformer(statement=f"SELECT *, transform(_tokens, t -> string({buckets})) AS _buckets FROM __THIS__"),
+        CountVectorizerModel.from_vocabulary([str(i) for i in range(features)], "_buckets", "_counts"),
     ]).fit(df)
+    # counted once for both fits
+    counted = counting.transform(df.select(text, label)).select("_counts", label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        idf = IDF(inputCol="_counts", outputCol="_features").fit(counted)
+        regression = LogisticRegression(
+            featuresCol="_features", labelCol=label, regParam=0.01, maxIter=most_iterations,
+            probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction").fit(idf.transform(counted))
+    finally:
+        counted.unpersist()
+    return PipelineModel(stages=[*counting.stages, idf, regression])
 
 
 def text_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add malicious_probability from a fitted text model."""
+    """Add malicious_probability of whole texts from a fitted text model; for windows of long texts see linear.compiled."""
     scored = model.transform(df).withColumn("malicious_probability", vector_to_array("_probability")[1])
-    return scored.drop("_tokens", "_counts", "_features", "_probability", "_raw", "_prediction")
+    return scored.drop("_tokens", "_buckets", "_counts", "_features", "_probability", "_raw", "_prediction")

@@ -14,6 +14,7 @@ from docguard.functions.layout import boxes_text, drop_footer
 from docguard.functions.numbers import nan_to_null, rounded
 from docguard.functions.signals import confidence, label_code
 from docguard.operators.features import replaced
+from docguard.operators.linear import LinearTextModel, windowed_probability, with_window_scores
 
 INFERENCE_ORDER = ("ocr_text", "text", "prompt")
 TRAINING_ORDER = ("text", "ocr_text", "prompt")
@@ -35,7 +36,7 @@ class TextScorer:
 
 
 # A UDF backend maps a column name to a Column.
-Scorer = TextScorer | Callable[[str], Column]
+Scorer = TextScorer | LinearTextModel | Callable[[str], Column]
 
 
 def pick_text(df: DataFrame, order: Sequence[str] = INFERENCE_ORDER, out: str = "picked_text") -> DataFrame:
@@ -108,8 +109,11 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
 
     One row per row of df; rows that share an id stay rows of their own.
 
-    All windows of a text start in one task, so the shuffle carries one partial row per text.
+    All windows of a text start in one task, so the shuffle carries one partial row per text.  A linear model needs none.
     """
+    if isinstance(scorer, LinearTextModel):
+        scored = with_window_scores(df.selectExpr(id_column, f"{text} AS _text"), scorer, "_text", size, stride)
+        return scored.selectExpr(id_column, f"{windowed_probability(stop_above)} AS malicious_probability", "bigint(size(_scores)) AS n_windows")
     known = f"coalesce({text}, '')"
     plain = isinstance(scorer, TextScorer)
     prepared = df.selectExpr(id_column, f"{scorer.prepare(known) if plain else known} AS _text", "monotonically_increasing_id() AS _row")

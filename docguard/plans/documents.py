@@ -19,7 +19,8 @@ from docguard.functions.text import text_windows, tokens
 from docguard.operators.decisions import decide_batch, fail_safe
 from docguard.operators.features import engineer_features, replaced
 from docguard.operators.layouts import vision_features
-from docguard.operators.model import RiskModel, risk_probability, text_probability
+from docguard.operators.linear import LinearTextModel, compiled, windowed_probability, with_window_scores
+from docguard.operators.model import RiskModel, risk_probability
 from docguard.operators.rules import evaluate_rules
 from docguard.operators.texts import TextScorer, heuristic_scores, windowed_score
 
@@ -31,15 +32,20 @@ NO_IMAGE = {
 }
 
 
-def decide_documents(docs: DataFrame, scorer: TextScorer | WindowScorer | PipelineModel, rules: Sequence[dict] | None = None,
+AnyScorer = TextScorer | WindowScorer | LinearTextModel | PipelineModel
+
+
+def decide_documents(docs: DataFrame, scorer: AnyScorer, rules: Sequence[dict] | None = None,
                      model: RiskModel | None = None, phrases: Sequence[str] = tuple(INJECTION_PHRASES),
-                     at: str = "current_timestamp()", keep_family: bool = False) -> DataFrame:
+                     at: str = "current_timestamp()", keep_family: bool = True,
+                     id_digits: int = 8, id_with_time: bool = False) -> DataFrame:
     """docs: sample_id, text, image_path, severity, and the box and layer columns of vision_features.
 
     A document without an image has no vision signal.  Without text the text of its boxes is
     scored, and without any text the score is 0.5.  Without a model the risk is the larger
     of both scores.  A backend that fails on a text leaves its error in prompt_error, and 0.5 as the score.
-    attack_family is carried where docs have it and keep_family is set.
+    attack_family is carried where docs have it, so that the rules on families fire; keep_family=False leaves it out.
+    id_digits and id_with_time widen the audit ids (see audit_fields).
     """
     family = ["attack_family"] if keep_family and "attack_family" in docs.columns else []
     seen = vision_features(docs, phrases, keep=["text", "severity", "boxes", *family])
@@ -53,16 +59,20 @@ def decide_documents(docs: DataFrame, scorer: TextScorer | WindowScorer | Pipeli
         "vision_error": "error",
         "hidden_text_detected": hidden_text_detected("hidden_text_score"),
     }).drop("error", "text")
-    return decide_batch(fail_safe(_with_risk(scored, model)), rules, at)
+    return decide_batch(fail_safe(_with_risk(scored, model)), rules, at, id_digits=id_digits, id_with_time=id_with_time)
+
 
+def prompt_scores(df: DataFrame, scorer: AnyScorer) -> DataFrame:
+    """Add prompt_score and prompt_error, inside each row, by expressions, a registered backend or a fitted text model.
 
-def prompt_scores(df: DataFrame, scorer: TextScorer | WindowScorer | PipelineModel) -> DataFrame:
-    """Add prompt_score and prompt_error, inside each row, by expressions, a registered backend or a fitted text model."""
+    Long texts are scored window by window, whatever the scorer."""
     if isinstance(scorer, TextScorer):
         return replaced(windowed_score(df, scorer), {"prompt_error": "cast(null as string)"})
     if isinstance(scorer, PipelineModel):
-        scored = text_probability(df, scorer)
-        return replaced(scored, {"prompt_score": "malicious_probability", "prompt_error": "cast(null as string)"}).drop("malicious_probability")
+        scorer = compiled(scorer)
+    if isinstance(scorer, LinearTextModel):
+        return replaced(with_window_scores(df, scorer), {
+            "prompt_score": windowed_probability(), "prompt_error": "cast(null as string)"}).drop("_scores")
     windows = f"transform({text_windows('text', '_words', 510, 256)}, w -> w.text)"
     cut = df.selectExpr("*", f"{tokens('text')} AS _words").selectExpr("*", f"{windows} AS _windows")
     scored = cut.withColumn("_scored", scorer.score("_windows"))
