@@ -61,12 +61,16 @@ _BASE = 0x9E3779B97F4A7C15
 _LETTERS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+#: Powers that a worker keeps between tasks; longer runs are made for one call.
+KEPT_POWERS = 1 << 20
+
+
 def _powers(n: int, base: int, name: str) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64, kept and grown by doubling."""
+    """base ** 0 .. base ** n modulo 2 ** 64, grown by doubling; at most KEPT_POWERS of them stay in the worker."""
     have = _POWERS.get(name, np.ones(1, np.uint64))
     while len(have) <= n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _POWERS[name] = have
+    _POWERS[name] = have if len(have) <= KEPT_POWERS else have[:KEPT_POWERS].copy()
     return have
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docguard.llm.common import Handoff, mixed, rolling, slice_hashes, text_bytes
 
 LAST = (1 << 63) - 1  # rows without an id come after all others
-BLOCK = 1 << 22
+BLOCK = 1 << 18  # bytes hashed at once, so that working arrays have a few megabytes
 TABLES: list[str] = []
 
 
@@ -134,7 +134,8 @@ def chunked(docs: DataFrame, settings: Settings, id_column: str, text: str) -> D
                     yield out()
                     number, held, size, at = number + 1, [], 0, i + 1
             if at < batch.num_rows:
-                held.append(batch.slice(at))
+                # a copy: a slice would keep the whole batch alive until the chunk is full
+                held.append(batch.take(pa.array(np.arange(at, batch.num_rows))))
         if held:
             yield out()
 
