@@ -22,7 +22,7 @@ from docguard.operators import metrics as M
 from docguard.operators import model as MO
 from docguard.operators import profile as P
 from docguard.operators import texts as X
-from docguard.operators.rules import evaluate_rules
+from docguard.operators.rules import evaluate_rules, rule_hits
 from docguard.plans.documents import decide_documents
 from docguard.session import new_path
 from docguard.sources import tables
@@ -283,3 +283,45 @@ def gaps_correlation_matrix(spark, d):
 @check("correlation_matrix_blocked", with_("sig", **_GAPS) + _CORRELATED, rounded=["r"])
 def correlation_matrix_blocked(spark, d):
     return P.correlation_matrix(with_gaps(spark, d), COLUMNS, narrow=0)
+
+
+# --- large rule tables -------------------------------------------------------------------------------------------
+
+#: The numeric fields of generated rules: field -> column of the signals.
+_NUMERIC = {"risk_score": "risk_score", "vision_score": "vision_score", "keyword_density": "keyword_density",
+            "footer_density": "footer_density", "watermark_score": "watermark_score", "prompt_score": "prompt_score"}
+
+
+def many_rules(n: int) -> list[dict]:
+    """n rules with bounds of their own on two numbers each, every third with a list of families, in mixed priorities."""
+    fields, out = list(_NUMERIC), []
+    for i in range(n):
+        one, two = fields[i % 6], fields[(i // 6 + 1 + i % 6) % 6]
+        low = (i * 7919 % 10007) / 10007
+        condition = {one: {"gte": low, "lt": low + 0.02}}
+        if two != one:
+            condition[two] = {"gt": (i * 104729 % 9973) / 9973 * 0.9}
+        if i % 3 == 0:
+            condition["attack_family"] = {"in": ["fraud", "jailbreak"] if i % 2 else ["unknown"]}
+        out.append({"id": f"R{i:05d}", "priority": (i * 31) % 65537, "name": f"rule {i}", "action": ("BLOCK", "SANITIZE", "ALLOW")[i % 3], "severity": "high",
+                    "policy_ref": "p", "condition": condition, "reason_template": f"rule {i}"})
+    return out
+
+
+_MANY = """SELECT 'R' || lpad(i::varchar, 5, '0') AS rule_id, (i*31) % 65537 AS priority, ['BLOCK', 'SANITIZE', 'ALLOW'][i % 3 + 1] AS decision, i % 6 AS one,
+    (i//6 + 1 + i % 6) % 6 AS two, (i*7919 % 10007)::double/10007 AS low, (i*104729 % 9973)::double/9973*0.9::double AS above,
+    CASE WHEN i % 3 <> 0 THEN NULL WHEN i % 2 = 1 THEN ['fraud', 'jailbreak'] ELSE ['unknown'] END AS families FROM range(5000) r(i)"""
+_FIRED = f"""SELECT sample_id, rule_id, priority, decision FROM (SELECT *, [{', '.join(_NUMERIC)}] AS v FROM known) k JOIN many m
+    ON v[one + 1] >= low AND v[one + 1] < low + 0.02::double AND (two = one OR v[two + 1] > above) AND (families IS NULL OR list_contains(families, attack_family))"""
+_MANY_CTES = dict(gaps=_GAPS["gaps"], known=_CONTEXT, many=_MANY, fired=_FIRED)
+
+
+@check("evaluate_rules_5000", with_("sig", **_MANY_CTES) + """SELECT k.sample_id, coalesce(f.decision, 'ALLOW') AS decision, f.rule_id FROM known k
+    LEFT JOIN (SELECT sample_id, arg_min(decision, priority) AS decision, arg_min(rule_id, priority) AS rule_id FROM fired GROUP BY 1) f USING (sample_id)""")
+def evaluate_rules_5000(spark, d):
+    return evaluate_rules(with_gaps(spark, d), many_rules(5000)).select("sample_id", "decision", "rule_id")
+
+
+@check("rule_hits_5000", with_("sig", **_MANY_CTES) + "SELECT sample_id, rule_id, priority::int AS priority FROM fired")
+def rule_hits_5000(spark, d):
+    return rule_hits(with_gaps(spark, d), many_rules(5000))

@@ -298,6 +298,21 @@ def stream_decisions(spark, d):
     return spark.read.parquet(sink).select(*_DOCUMENT_COLUMNS)
 
 
+@check("stream_decisions_once", f"SELECT *, upper(md5(sample_id)) AS audit_log_id FROM ({_document_sql()})", rounded=["risk_score", "prompt_score", "vision_score", "confidence"])
+def stream_decisions_once(spark, d):
+    """Documents that arrive in up to three files are decided once; ids have 32 digits."""
+    sink, checkpoint, prepared = new_path(spark, "audit_stream"), new_path(spark, "audit_stream_state"), new_path(spark, "page_rows")
+    rows = pages(spark, d).withColumn("arrived", F.expr("timestamp'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id % 3600)")) \
+        .drop("doc_id", "lang", "source", "n_chars", "toxic")
+    for share in (1, 3, 5):
+        rows.filter(f"bigint(sample_id) % {share} = 0").coalesce(1).write.mode("append").parquet(prepared + "/pages.parquet")
+    schema = spark.read.parquet(prepared + "/pages.parquet").schema
+    for _ in range(2):
+        source = ST.each_once(ST.stream_table(spark, prepared, "pages", schema, files_per_batch=1), "arrived")
+        ST.stream_decisions(source, lambda docs: decide_documents(docs, X.phrase_scorer(TEST_PHRASES), phrases=TEST_PHRASES, id_digits=32), sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink).select(*_DOCUMENT_COLUMNS, "audit_log_id")
+
+
 @check("stream_decision_counts", with_("decided", audit=AUDIT_SQL.replace("e.value AS total_ms", "e.value AS total_ms, e.ts")) + """
     SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, decision, count(*) AS n
     FROM (SELECT date_trunc('hour', ts) AS w, decision FROM audit)

@@ -232,6 +232,41 @@ def audit_lookup(spark, d):
     return D.audit_lookup(audit_log(spark, d), wanted).select("sample_id", "decision", "total_ms")
 
 
+def audit_table(spark, d):
+    path = new_path(spark, "audit_table")
+    tables.append_audit_table(audit_rows(spark, d), path, fresh=True)
+    return path
+
+
+@check("audit_table_lookup", with_("decided", audit=AUDIT_SQL)
+       + "SELECT sample_id, decision, total_ms FROM audit WHERE audit_log_id = upper(substr(md5('7'),1,8))")
+def audit_table_lookup(spark, d):
+    wanted = spark.range(1).selectExpr(audit_id("'7'")).first()[0]
+    return D.audit_lookup(tables.read_audit_table(spark, audit_table(spark, d)), wanted).select("sample_id", "decision", "total_ms")
+
+
+@check("audit_table_recent", with_("decided", audit=AUDIT_SQL) + """
+    SELECT timestamp, sample_id, decision, risk_score, prompt_score, vision_score, governance_rule_triggered, reason
+    FROM audit ORDER BY timestamp DESC, audit_log_id LIMIT 5""")
+def audit_table_recent(spark, d):
+    return D.recent_decisions(tables.newest_audit(spark, audit_table(spark, d)))
+
+
+@check("resume_without_keys", f"""
+    SELECT doc_id, text, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS doc_id, text, lang FROM documents)""")
+def resume_without_keys(spark, d):
+    """Rows without a key are processed once, too."""
+    docs = table(spark, d, "documents").selectExpr("if(doc_id % 3 = 0, null, doc_id) AS doc_id", "text", "lang", "doc_id AS place")
+    path = new_path(spark, "resumed")
+
+    def run(number):
+        return lambda rest: rest.selectExpr("doc_id", "text", f"{number} AS run")
+
+    tables.resume(docs.filter("lang = 'en'"), path, "doc_id", run(1))
+    tables.resume(docs, path, "doc_id", run(2))
+    return tables.resume(docs, path, "doc_id", run(3))
+
+
 @check("latency_stats", with_("decided", audit=AUDIT_SQL) + """
     SELECT avg(total_ms) AS mean, max(total_ms) AS max, quantile_cont(total_ms, 0.95) AS p95,
            quantile_cont(total_ms, 0.99) AS p99 FROM audit""", rounded=["mean", "p95", "p99"])

@@ -1,6 +1,7 @@
 """The prioritised rule table, compiled to one CASE expression.
 
-No UDF and no join: every rule becomes a condition, and the first that holds decides.
+No UDF and no join: every rule becomes a condition, and the first that holds decides.  Only tables of hundreds of rules
+go through an index (rule_index.py).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from docguard.fixed_values import DEFAULT_ALLOW, DEFAULT_RULES, FAIL_SAFE_BLOCK
 from docguard.functions.numbers import fixed, listed, nan_to_null, num, percent, quote
 from docguard.functions.signals import is_flagged
 from docguard.functions.text import strip
+from docguard.operators.rule_index import RuleIndex, placing_udf
 
 RULES_SCHEMA = "id string, name string, priority int, action string, severity string, policy_ref string"
 
@@ -108,7 +110,7 @@ def compile_condition(condition: dict[str, Any], compat: bool = False) -> str:
     return f"coalesce({' AND '.join(tests) or 'true'}, false)"
 
 
-def render(templates: Sequence[str], looked_up: str) -> tuple[list[dict[str, str]], str, str]:
+def render(templates: Sequence[str], looked_up: str) -> tuple[list[dict[str, str | int | None]], str, str]:
     """Reason templates with {x}, {x:.3f} and {x:.1%}, as three parts.
 
     The constants of each template (its literals, and the numbers of the values between
@@ -134,10 +136,10 @@ def render(templates: Sequence[str], looked_up: str) -> tuple[list[dict[str, str
     constants, pieces = [{} for _ in templates], []
     for k in range(max(len(x) for x in literals)):
         for i, row in enumerate(constants):
-            row[f"literal{k}"] = quote(literals[i][k] if k < len(literals[i]) else "")
-            row[f"value{k}"] = str(order.index(fields[i][k]) + 2 if k < len(fields[i]) else 1)
+            row[f"literal{k}"] = literals[i][k] if k < len(literals[i]) else ""
+            row[f"value{k}"] = order.index(fields[i][k]) + 2 if k < len(fields[i]) else 1
         pieces.append(f"{looked_up}.literal{k}")
-        if any(row[f"value{k}"] != "1" for row in constants):
+        if any(row[f"value{k}"] != 1 for row in constants):
             pieces.append(f"element_at(_texts, {looked_up}.value{k})")
     return constants, f"array({', '.join([EMPTY, *texts.values()])})", f"concat({', '.join(pieces)})"
 
@@ -149,10 +151,11 @@ def _first_rule(rules: Sequence[dict], compat: bool, failed: str) -> str:
 
 
 def evaluate_rules(df: DataFrame, rules: Sequence[dict] | None = None, compat: bool = False,
-                   failed: str = "cast(null as string)") -> DataFrame:
+                   failed: str = "cast(null as string)", indexed: bool | None = None) -> DataFrame:
     """Add the decision of the first rule that holds; ALLOW if none does.
 
-    failed is an error text: rows where it is not NULL are blocked as fail-safe.
+    failed is an error text: rows where it is not NULL are blocked as fail-safe.  Tables of more than INDEXED rules are
+    looked up in an index (rule_index.py) instead of one CASE; indexed chooses either way, with equal results.
     """
     rules = load_rules() if rules is None else sorted(rules, key=lambda r: r["priority"])
     ends = [FAIL_SAFE_BLOCK, DEFAULT_ALLOW]
@@ -162,22 +165,51 @@ def evaluate_rules(df: DataFrame, rules: Sequence[dict] | None = None, compat: b
     for result, key in _RESULTS.items():
         values = [ends[0][result], *[r.get(key) for r in rules], ends[1][result]]
         for row, value in zip(constants, values):
-            row[result] = quote(value)
-    table = ", ".join(f"named_struct({', '.join(f'{quote(k)}, {v}' for k, v in row.items())})" for row in constants)
+            row[result] = value
     columns = df.columns
     staged = rule_context(df).selectExpr("*", f"{failed} AS ctx_failed")
-    # looked up by place: a filter pushed below a result carries the CASE once
-    found = f"element_at(array({table}), {_first_rule(rules, compat, 'ctx_failed')} + 2)"
-    staged = staged.selectExpr(*columns, f"{texts} AS _texts", f"{found} AS _found")
+    if len(rules) > INDEXED if indexed is None else indexed:
+        staged = _looked_up(staged, rules, compat, constants).selectExpr(*columns, f"{texts} AS _texts", "_found")
+    else:
+        table = ", ".join("named_struct(" + ", ".join(
+            f"{quote(k)}, {v if isinstance(v, int) else quote(v)}" for k, v in row.items()) + ")" for row in constants)
+        # looked up by place: a filter pushed below a result carries the CASE once
+        found = f"element_at(array({table}), {_first_rule(rules, compat, 'ctx_failed')} + 2)"
+        staged = staged.selectExpr(*columns, f"{texts} AS _texts", f"{found} AS _found")
     return staged.selectExpr(
         *columns, "_found.decision", "_found.rule_id", "_found.rule_name", "_found.severity AS rule_severity",
         "_found.policy_ref", f"{reason} AS reason", "_found.sanitization_action")
 
 
+#: From so many rules on they are looked up in an index.
+INDEXED = 256
+
+
+def _kinds() -> dict[str, str]:
+    return {field: kind for field, (_, _, kind) in CONTEXT.items()}
+
+
+def _looked_up(staged: DataFrame, rules: Sequence[dict], compat: bool, constants: list[dict]) -> DataFrame:
+    """Add _found by the rule index and a join with the table of constants, one row per rule."""
+    spark = staged.sparkSession
+    index = RuleIndex([r["condition"] for r in rules], _kinds(), compat)
+    fields = ", ".join(f"{k}: {'int' if k.startswith('value') else 'string'}" for k in constants[0])
+    table = spark.createDataFrame([(i - 1, tuple(row.values())) for i, row in enumerate(constants)], f"_place int, _found struct<{fields}>")
+    placed = staged.withColumn("_place", placing_udf(spark, index)).withColumn(
+        "_place", F.expr("if(ctx_failed IS NOT NULL, -1, _place)"))
+    # as many rows as there are rules
+    return placed.join(F.broadcast(table), "_place")
+
+
 def rule_hits(df: DataFrame, rules: Sequence[dict] | None = None, id_column: str = "sample_id",
-              compat: bool = False) -> DataFrame:
-    """All rules that hold, as (id, rule_id, priority) rows: a generator, no cross join."""
+              compat: bool = False, indexed: bool | None = None) -> DataFrame:
+    """All rules that hold, as (id, rule_id, priority) rows: a generator, no cross join; indexed as in evaluate_rules."""
     rules = load_rules() if rules is None else rules
+    if len(rules) > INDEXED if indexed is None else indexed:
+        index = RuleIndex([r["condition"] for r in rules], _kinds(), compat)
+        names = df.sparkSession.createDataFrame([(i, r["id"], r["priority"]) for i, r in enumerate(rules)], "_place int, rule_id string, priority int")
+        places = rule_context(df).select(id_column, placing_udf(df.sparkSession, index, every=True).alias("_places"))
+        return places.selectExpr(id_column, "explode(_places) AS _place").join(F.broadcast(names), "_place").select(id_column, "rule_id", "priority")
     fired = ", ".join(
         f"if({compile_condition(r['condition'], compat)}, "
         f"named_struct('rule_id', {quote(r['id'])}, 'priority', {r['priority']}), null)" for r in rules)

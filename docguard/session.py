@@ -69,3 +69,21 @@ def has_data(spark: SparkSession, path: str) -> bool:
 def is_directory(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()
+
+
+def listed_names(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what a folder holds; none if it does not exist."""
+    if not exists(spark, path):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return sorted(f.getPath().getName() for f in found)
+
+
+def moved(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+    """Move the data files of a folder into another, names prefixed; markers stay, and a repeated call goes on."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    system = path_of(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in listed_names(spark, source):
+        if not name.startswith(("_", ".")) and not system.rename(path_of(f"{source}/{name}"), path_of(f"{target}/{prefix}{name}")):
+            raise OSError(f"cannot move {source}/{name} to {target}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docguard.operators.splits import normalise_split
-from docguard.session import exists, has_data
+from docguard.session import exists, has_data, listed_names, moved, removed
 from docguard.sources import schemas
 
 # split name -> name of its original table
@@ -94,13 +94,82 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], for
     return spark.read.parquet(path)
 
 
+#: Files of a ledger per run, and how many keys at most are looked up by value.
+LEDGER_PARTS = 64
+LOOKED_UP = 100
+
+
 def resume(todo: DataFrame, done_path: str, key: str, process: Callable[[DataFrame], DataFrame],
-           force: bool = False) -> DataFrame:
-    """Process the rows whose key is not in the stored result yet, append them, return all."""
-    spark = todo.sparkSession
-    started = has_data(spark, done_path) and not force
-    rest = todo
-    if started:
-        rest = todo.join(spark.read.parquet(done_path).select(key), key, "left_anti")
-    process(rest).write.mode("append" if started else "overwrite").parquet(done_path)
+           force: bool = False, parts: int = LEDGER_PARTS) -> DataFrame:
+    """Process the rows whose key is in no finished run yet, append them, return all.
+
+    Each run first writes the keys it takes on to a ledger, dealt to `parts` by hash, and then its result beside the
+    stored one; the result's success marker makes both count, and its files are moved in.  A run that broke off before
+    is done again as a whole, one that broke off while moving is moved by the next.  A run reads only those parts of the
+    ledger that its own keys fall into, and few keys are looked up through the files' bloom filters.  Rows without a key
+    go by their content.  Files that no run wrote count by their keys.  force starts afresh.
+    """
+    spark, known = todo.sparkSession, [F.col(f"`{c}`") for c in todo.columns]
+    if force:
+        removed(spark, done_path)
+    done = _finished(spark, done_path)
+    for r in done:
+        moved(spark, f"{done_path}/{_ROWS}/{r}", done_path, f"{r}-")
+    named = F.when(F.col(key).isNotNull(), F.concat(F.lit("key:"), F.col(key).cast("string"))).otherwise(
+        F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct(*known)), 256)))
+    marked = todo.withColumn("_key", named)
+    keys = fresh = marked.select("_key", F.expr(f"int(pmod(xxhash64(_key), {parts}))").alias("part"))
+    if done:
+        fresh = fresh.join(ledger_of(spark, done_path, done, keys), "_key", "left_anti")
+    foreign = [f"{done_path}/{name}" for name in listed_names(spark, done_path) if not name.startswith(("run-", "_", "."))]
+    if foreign:
+        earlier = spark.read.parquet(*foreign).select(F.concat(F.lit("key:"), F.col(key).cast("string")).alias("_key"))
+        fresh = fresh.join(earlier, "_key", "left_anti")
+    run = f"run-{max([int(r[4:]) for r in done], default=0) + 1:06d}"
+    write = fresh.distinct().repartition("part").sortWithinPartitions("part", "_key").write.mode("overwrite").partitionBy("part")
+    write.option("parquet.bloom.filter.enabled#_key", "true").parquet(f"{done_path}/{_KEYS}/{run}")
+    taken = spark.read.schema("_key string, part int").parquet(f"{done_path}/{_KEYS}/{run}").select("_key")
+    process(marked.join(taken, "_key", "left_semi").select(*known)).write.mode("overwrite").parquet(f"{done_path}/{_ROWS}/{run}")
+    moved(spark, f"{done_path}/{_ROWS}/{run}", done_path, f"{run}-")
     return spark.read.parquet(done_path)
+
+
+# readers of the folder skip what begins with an underscore
+_ROWS, _KEYS = "_runs/rows", "_runs/keys"
+
+
+def _finished(spark: SparkSession, done_path: str) -> list[str]:
+    """Names of the runs whose results were written whole."""
+    return [r for r in listed_names(spark, f"{done_path}/{_ROWS}") if exists(spark, f"{done_path}/{_ROWS}/{r}/_SUCCESS")]
+
+
+def ledger_of(spark: SparkSession, done_path: str, runs: Sequence[str], keys: DataFrame) -> DataFrame:
+    """(_key) of the finished runs, as far as it may hold the given (_key, part): only their parts are read."""
+    hit = sorted(r["part"] for r in keys.select("part").distinct().collect())  # at most `parts` numbers
+    ledger = union_splits([spark.read.schema("_key string, part int").parquet(f"{done_path}/{_KEYS}/{r}") for r in runs])
+    ledger = ledger.filter(F.col("part").isin(hit))
+    few = keys.select("_key").distinct().limit(LOOKED_UP + 1).collect()
+    if len(few) <= LOOKED_UP:
+        ledger = ledger.filter(F.col("_key").isin([r["_key"] for r in few]))
+    return ledger.select("_key")
+
+
+def append_audit_table(df: DataFrame, path: str, fresh: bool = False, rows_per_group: int | None = None) -> None:
+    """Audit records as a parquet log that can be searched: clustered by time, a bloom filter on the id per row group."""
+    # neighbouring times share files and row groups, whatever the order of arrival
+    clustered = df.repartitionByRange("timestamp").sortWithinPartitions("timestamp")
+    writer = clustered.write.mode("overwrite" if fresh else "append").option("parquet.bloom.filter.enabled#audit_log_id", "true")
+    if rows_per_group is not None:
+        writer = writer.option("parquet.block.row.count.limit", rows_per_group)
+    writer.parquet(path)
+
+
+def read_audit_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.AUDIT).parquet(path)
+
+
+def newest_audit(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The newest n records (ties by id) of a searchable log: times alone give the bound, then only row groups beyond it are read."""
+    log = read_audit_table(spark, path)
+    oldest = log.select("timestamp").orderBy(F.desc("timestamp")).limit(n).agg(F.min("timestamp")).first()[0]
+    return log.filter(F.col("timestamp") >= F.lit(oldest)).orderBy(F.desc("timestamp"), "audit_log_id").limit(n)

@@ -12,15 +12,27 @@ from pyspark.sql.types import StructType
 from docguard.session import is_directory
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """A parquet table as a stream, be it a folder of files or a single file."""
     path = f"{folder}/{name}.parquet"
     reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if is_directory(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def each_once(docs: DataFrame, at: str, late: str = "1 day", key: str = "sample_id", text: str = "text") -> DataFrame:
+    """Each document of a stream once, however many files it arrives in within the delay; the first one stays.
+
+    `at` is the time of a document; keys are forgotten when the watermark passes it by `late`.  Rows without a key are the
+    same if their texts are.
+    """
+    named = F.coalesce(F.concat(F.lit("key:"), F.col(key).cast("string")), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return docs.withColumn("_once", named).withWatermark(at, late).dropDuplicatesWithinWatermark(["_once"]).drop("_once")
+
+
 def stream_decisions(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                      file_format: str = "parquet") -> StreamingQuery:
     """Decide every new document once and append it to the audit log; stops when all is read.
