@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, mixed, rolling, slice_hashes, text_bytes
+from docguard.llm.common import Handoff, mixed, rolling, slice_hashes, small_batches, text_bytes
 
 LAST = (1 << 63) - 1  # rows without an id come after all others
 BLOCK = 1 << 18  # bytes hashed at once, so that working arrays have a few megabytes
@@ -100,6 +100,7 @@ def known_keys(side) -> tuple[np.ndarray, np.ndarray]:
 
 def chunked(docs: DataFrame, settings: Settings, id_column: str, text: str) -> DataFrame:
     """(chunk, ids, sizes, packed, rest): runs of rows of about a chunk's size; rest holds the rows' other columns."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (id_column, text)]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(True).alias("none"))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("rest"))

@@ -57,7 +57,7 @@ def test_stages(spark, folder, tmp_path):
     assert Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in rows_of(c)) == removed
     assert all(r.n_chars == len(r.text) for r in c.collect())
     assert Counter(r[0] for r in rows_of(d)) == Counter(r.doc_id for r in mix_sources(c, MIX).collect())
-    vocabulary = pieces.with_cache(pieces.load(pieces.read_model(pieces.MODEL)))
+    vocabulary = pieces.with_cache(pieces.fitted(d, pieces.MODEL, "doc_id", "text"))
     assert Counter((r.doc_id, tuple(r.ids)) for r in last.collect()) == Counter(
         (i, tuple(pieces.encode_all(vocabulary, [t])[0].tolist())) for i, t, *_ in rows_of(d))
 
