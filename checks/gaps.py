@@ -16,6 +16,7 @@ from docguard.functions import layout as L
 from docguard.functions import registry
 from docguard.functions import signals as S
 from docguard.functions import text as T
+from docguard.functions.phrases import PhraseIndex
 from docguard.operators import decisions as D
 from docguard.operators import features as FE
 from docguard.operators import metrics as M
@@ -325,3 +326,19 @@ def evaluate_rules_5000(spark, d):
 @check("rule_hits_5000", with_("sig", **_MANY_CTES) + "SELECT sample_id, rule_id, priority::int AS priority FROM fired")
 def rule_hits_5000(spark, d):
     return rule_hits(with_gaps(spark, d), many_rules(5000))
+
+
+# --- phrases by index --------------------------------------------------------------------------------------------
+
+#: The phrases of the tests among 20,000 that occur nowhere.
+MANY_PHRASES = [*TEST_PHRASES, *[f"zq{i} qz{i % 977}" for i in range(20000)]]
+
+
+@check("keyword_density_20000", f"SELECT doc_id, {sql_density('text')} AS keyword_density FROM documents")
+def keyword_density_20000(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{PhraseIndex(MANY_PHRASES).density('text')} AS keyword_density")
+
+
+@check("sliding_window_20000_phrases", WINDOWED)
+def sliding_window_20000_phrases(spark, d):
+    return X.sliding_window_score(documents(spark, d), X.indexed_phrase_scorer(MANY_PHRASES))

@@ -15,22 +15,26 @@ from docguard.operators.ranked import exact_quantiles
 from docguard.operators.splits import aggregates
 
 
+def _column_measures(columns: Sequence[str], fields: dict[str, str]) -> list[str]:
+    """Aggregates of all columns, <field>_<i> for the i-th; {x} is the column."""
+    return [f"{e.format(x=nan_to_null(f'double({c})'))} AS {f}_{i}" for i, c in enumerate(columns) for f, e in fields.items()]
+
+
 def _per_column(df: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """One global aggregate over all columns, laid out as one row per column; {x} is the column."""
-    wide = df.agg(*aggregates(*[f"{e.format(x=nan_to_null(f'double({c})'))} AS {f}_{i}"
-                                for i, c in enumerate(columns) for f, e in fields.items()]))
+    """One global aggregate over all columns, laid out as one row per column."""
+    wide = df.agg(*aggregates(*_column_measures(columns, fields)))
     rows = ", ".join(f"{quote(c)}, " + ", ".join(f"{f}_{i}" for f in fields) for i, c in enumerate(columns))
     return wide.selectExpr(f"stack({len(columns)}, {rows}) AS (feature, {', '.join(fields)})")
 
 
+_STATS = {"mean": "avg({x})", "std": "stddev_samp({x})", "min": "min({x})", "max": "max({x})",
+          "zeros": "count_if({x} = 0)", "nonzero_pct": ratio("count_if({x} <> 0)", "count(1)") + " * 100"}
+_STATS_DIGITS = {"mean": 6, "std": 6, "min": 6, "max": 6, "nonzero_pct": 2}
+
+
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, std, min, max, zeros and share of non-zeros per feature: one global aggregate that skips NaN."""
-    plain = _per_column(df, columns, {
-        "mean": "avg({x})", "std": "stddev_samp({x})", "min": "min({x})", "max": "max({x})",
-        "zeros": "count_if({x} = 0)", "nonzero_pct": ratio("count_if({x} <> 0)", "count(1)") + " * 100",
-    })
-    digits = {"mean": 6, "std": 6, "min": 6, "max": 6, "nonzero_pct": 2}
-    return replaced(plain, {c: rounded(c, n) for c, n in digits.items()})
+    return replaced(_per_column(df, columns, _STATS), {c: rounded(c, n) for c, n in _STATS_DIGITS.items()})
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -203,14 +207,27 @@ def run_log(df: DataFrame, options: dict[str, Any]) -> DataFrame:
     return totals.withColumns({name: F.lit(value) for name, value in options.items()})
 
 
+def summary_measures(columns: Sequence[str]) -> list[str]:
+    """The aggregates that feature_matrix_summary is made of, for one pass or for an observation of a write."""
+    return ["count(1) AS total_samples", *[f"count_if(split = '{s}') AS split_{s}" for s in SPLITS],
+            "count_if(label = 0) AS benign", "count_if(label = 1) AS malicious",
+            "count_if(total_boxes > 0) AS samples_with_images", *_column_measures(columns, _STATS)]
+
+
+def summary_record(measured: DataFrame, columns: Sequence[str], total_columns: int) -> DataFrame:
+    """The record of a matrix from one row of its summary_measures."""
+    def stats(i: int, name: str) -> str:
+        values = ", ".join(f"'{f}', {rounded(f'{f}_{i}', _STATS_DIGITS[f]) if f in _STATS_DIGITS else f'{f}_{i}'}" for f in _STATS)
+        return f"named_struct('feature', {quote(name)}, {values})"
+
+    splits = ", ".join(f"'{s}', split_{s}" for s in SPLITS)
+    return measured.selectExpr(
+        "total_samples", f"named_struct({splits}) AS split_counts",
+        "named_struct('benign', benign, 'malicious', malicious) AS label_counts", "samples_with_images",
+        f"array_sort(array({', '.join(stats(i, c) for i, c in enumerate(columns))})) AS feature_stats",
+        f"array({listed(columns)}) AS feature_columns", f"{total_columns} AS total_columns")
+
+
 def feature_matrix_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One record: totals, sizes per split and label, rows with boxes, statistics per feature."""
-    stats = feature_stats(df, columns).agg(F.expr(
-        "array_sort(collect_list(struct(feature, mean, std, min, max, zeros, nonzero_pct)))")).scalar()
-    splits = ", ".join(f"'{s}', count_if(split = '{s}')" for s in SPLITS)
-    totals = df.agg(*aggregates(
-        "count(1) AS total_samples", f"named_struct({splits}) AS split_counts",
-        "named_struct('benign', count_if(label = 0), 'malicious', count_if(label = 1)) AS label_counts",
-        "count_if(total_boxes > 0) AS samples_with_images"))
-    return totals.withColumn("feature_stats", stats).selectExpr(
-        "*", f"array({listed(columns)}) AS feature_columns", f"{len(df.columns)} AS total_columns")
+    """One record: totals, sizes per split and label, rows with boxes, statistics per feature: one pass."""
+    return summary_record(df.agg(*aggregates(*summary_measures(columns))), columns, len(df.columns))

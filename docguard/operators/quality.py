@@ -51,20 +51,23 @@ def validate_splits(df: DataFrame) -> DataFrame:
     return _report(one, [("disjoint_splits", f"{' + '.join(names)} = 0", f"concat({text})")])
 
 
-def validate_feature_matrix(df: DataFrame, columns: Sequence[str] = tuple(FOURTEEN_FEATURES)) -> DataFrame:
-    """Columns, NULLs, unique ids, ranges, labels, splits, and a warning on balance: one pass."""
-    present = df.columns
-    missing = [c for c in [*columns, "sample_id", "label", "split"] if c not in present]
-    if missing:
-        return _report(df.agg(F.expr("count(1) AS n")), [("columns", "false", quote(", ".join(missing)))])
+def matrix_measures(columns: Sequence[str] = tuple(FOURTEEN_FEATURES)) -> list[str]:
+    """The aggregates that the gate of a feature matrix looks at, but for repeated ids."""
     up, down = "count_if(label = 1)", "count_if(label = 0)"
-    one = df.agg(*aggregates(
-        _nulls(columns), _outside("vision_score BETWEEN 0 AND 1", "vision"),
-        _outside("malicious_probability BETWEEN 0 AND 1", "prompt"), _outside("label IN (0, 1)", "labels"),
-        _outside(f"split IN ({listed(SPLITS)})", "splits"),
-        f"{ratio(f'least({up}, {down})', f'greatest({up}, {down})')} AS balance",
-    )).withColumn("duplicates", _duplicates(df, "sample_id"))
-    return _report(one, [
+    return [_nulls(columns), _outside("vision_score BETWEEN 0 AND 1", "vision"),
+            _outside("malicious_probability BETWEEN 0 AND 1", "prompt"), _outside("label IN (0, 1)", "labels"),
+            _outside(f"split IN ({listed(SPLITS)})", "splits"),
+            f"{ratio(f'least({up}, {down})', f'greatest({up}, {down})')} AS balance"]
+
+
+def missing_columns(df: DataFrame, columns: Sequence[str] = tuple(FOURTEEN_FEATURES)) -> list[str]:
+    present = df.columns
+    return [c for c in [*columns, "sample_id", "label", "split"] if c not in present]
+
+
+def matrix_report(measured: DataFrame) -> DataFrame:
+    """The gate's rows from one row of matrix_measures and duplicates."""
+    return _report(measured, [
         ("columns", "true", "''"),
         ("no_null_features", "nulls = 0", "nulls"),
         ("unique_ids", "duplicates = 0", "duplicates"),
@@ -76,6 +79,15 @@ def validate_feature_matrix(df: DataFrame, columns: Sequence[str] = tuple(FOURTE
     ])
 
 
+def validate_feature_matrix(df: DataFrame, columns: Sequence[str] = tuple(FOURTEEN_FEATURES)) -> DataFrame:
+    """Columns, NULLs, unique ids, ranges, labels, splits, and a warning on balance: one pass."""
+    missing = missing_columns(df, columns)
+    if missing:
+        return _report(df.agg(F.expr("count(1) AS n")), [("columns", "false", quote(", ".join(missing)))])
+    one = df.agg(*aggregates(*matrix_measures(columns))).withColumn("duplicates", _duplicates(df, "sample_id"))
+    return matrix_report(one)
+
+
 def validate_vision(df: DataFrame) -> DataFrame:
     """Required columns and types, no NULL, score range, and how many rows were really read."""
     types = {f.name: f.dataType for f in df.schema.fields}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from docguard.fixed_values import FOURTEEN_FEATURES
 from docguard.operators.features import engineer_features, fuse_sources, join_labels_splits, legacy_columns
-from docguard.operators.profile import feature_matrix_summary
-from docguard.operators.quality import enforce, validate_feature_matrix
-from docguard.operators.splits import normalise_split
+from docguard.operators.profile import summary_measures, summary_record
+from docguard.operators.quality import enforce, matrix_measures, matrix_report, missing_columns, validate_feature_matrix
+from docguard.operators.splits import aggregates, normalise_split
 from docguard.session import new_path, removed
 from docguard.sources.tables import write_parquet, write_record
 
@@ -21,14 +21,26 @@ def feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame,
 
 def build_feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame, vision: DataFrame,
                          matrix_path: str, summary_path: str) -> DataFrame:
-    """Check the new matrix, then replace the stored one by it, by split; write its summary, return it."""
+    """Check the new matrix, then replace the stored one by it, by split; write its summary, return it.
+
+    One pass over the sources: the numbers of the gate and of the summary are observed while the matrix is staged, and
+    what is read again is only the staged matrix, to be published.
+    """
     spark = labels.sparkSession
-    path = new_path(spark, "feature-matrix")
-    feature_matrix(labels, splits, predictions, vision).write.parquet(path)
-    fresh = spark.read.parquet(path)
-    enforce(validate_feature_matrix(fresh))
-    write_parquet(fresh, matrix_path, ["split"])
-    removed(spark, path)
-    stored = spark.read.parquet(matrix_path)
-    write_record(feature_matrix_summary(stored, FOURTEEN_FEATURES), summary_path)
-    return stored
+    matrix = feature_matrix(labels, splits, predictions, vision)
+    if missing_columns(matrix):
+        enforce(validate_feature_matrix(matrix))
+    measures = [*matrix_measures(), *summary_measures(FOURTEEN_FEATURES), "count_if(_copy = 2) AS duplicates"]
+    # the joins have brought equal ids together, so numbering them moves no row
+    numbered = matrix.selectExpr("*", "row_number() OVER (PARTITION BY sample_id ORDER BY sample_id) AS _copy")
+    kinds = numbered.agg(*aggregates(*measures)).schema
+    seen, path = Observation("feature matrix"), new_path(spark, "feature-matrix")
+    numbered.observe(seen, *aggregates(*measures)).drop("_copy").write.parquet(path)
+    measured = spark.createDataFrame([tuple(seen.get[name] for name in kinds.names)], kinds)
+    try:
+        enforce(matrix_report(measured))
+        write_parquet(spark.read.parquet(path), matrix_path, ["split"])
+    finally:
+        removed(spark, path)
+    write_record(summary_record(measured, FOURTEEN_FEATURES, len(matrix.columns)), summary_path)
+    return spark.read.parquet(matrix_path)
