@@ -437,9 +437,12 @@ def ranked(payloads: DataFrame, settings: Settings) -> DataFrame:
     return payloads.groupBy("bucket", "kind").applyInArrow(run, "chunk long, bucket int, kind int, masks binary")
 
 
-def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (a struct of the other columns).
 
+    With as_text, kept is a text: a character that was cut in two goes whole. This is done where the bytes are, since a
+    second function behind it would run in workers of its own beside these.
+
     A byte goes if a string of `length` bytes over it also begins in a document with a smaller id; strings are those of
     the input and never cross documents. Null texts are empty; rows without an id come after all others; rows that
     share an id leave each other alone. Short texts lose nothing; an empty table gives no rows.
@@ -484,6 +487,8 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
                 counts = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, first)]
                 left = np.concatenate([[0], np.cumsum(~gone)])[at].astype(np.int32)
                 kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(left.tobytes()), pa.py_buffer(chunk.data[~gone].tobytes())])
+                if as_text:
+                    kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
                 rest = batch.column(4)[i].values
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=ids == LAST), pa.array(np.diff(at)), *(pa.array(c[at[1:]] - c[at[:-1]]) for c in counts), kept, rest],
@@ -491,7 +496,7 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
 
     kind = chunks.schema["rest"].dataType.elementType.simpleString()
     joined = chunks.join(side, "chunk", "left").join(results, "chunk", "left").select("chunk", "ids", "sizes", "packed", "rest", "side", "results")
-    return joined.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {kind}")
+    return joined.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, rest {kind}")
 
 
 def substring_digests(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -510,16 +515,6 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     A text of which nothing is left stays as an empty text.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-
-    def valid(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["id", "text", "rest"])
-
-    rows = cleaned(docs, settings).select("id", "kept", "rest")
-    kind = rows.schema["rest"].dataType.simpleString()
-    texts = rows.mapInArrow(valid, f"id long, text string, rest {kind}")
-    by_name = {"doc_id": F.col("id").alias("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c).alias(c) for c in others}
-    return texts.select(*[by_name[c] for c in docs.columns])
+    rows = cleaned(docs, settings, as_text=True)
+    by_name = {"doc_id": F.col("id").alias("doc_id"), "text": F.col("kept").alias("text")} | {c: F.col("rest").getField(c).alias(c) for c in others}
+    return rows.select(*[by_name[c] for c in docs.columns])
