@@ -8,7 +8,7 @@ from checks.aggregates import (
     _SWEEP, COLUMNS, METRICS, METRICS_SQL, WINDOWED, auc_sql, windowed_sql,
 )
 from checks.inputs import TEST_PHRASES, decision_sql, documents, pages, signals, sql_density, table, vision_rows, with_
-from checks.models import _DOCUMENT_COLUMNS, _DOCUMENT_SQL, _counter
+from checks.models import _DOCUMENT_COLUMNS, _DOCUMENT_CTES, _DOCUMENT_SQL, _counter
 from checks.registry import check
 from checks.scalars import _ENGINEERED, VISION_SCORE_SQL
 from docguard.fixed_values import INJECTION_PHRASES
@@ -342,3 +342,19 @@ def keyword_density_20000(spark, d):
 @check("sliding_window_20000_phrases", WINDOWED)
 def sliding_window_20000_phrases(spark, d):
     return X.sliding_window_score(documents(spark, d), X.indexed_phrase_scorer(MANY_PHRASES))
+
+
+# --- documents to decisions with the model of given numbers ------------------------------------------------------
+
+_AT_PAGE = _PROBABILITY.replace("malicious_probability", "prompt_score").replace("coalesce(keyword_density", "coalesce(CASE WHEN seen THEN kd ELSE 0.0::double END") \
+    .replace("coalesce(vision_score", "coalesce(CASE WHEN seen THEN vs ELSE 0.0::double END")
+_PAGE_CTES = {**_DOCUMENT_CTES, "ctx": _DOCUMENT_CTES["ctx"].replace(
+    "greatest(prompt_score, CASE WHEN seen THEN vs ELSE 0.0::double END) AS risk_score", f"{_AT_PAGE} AS risk_score")}
+
+
+@check("decide_documents_fixed", with_("vision_out", w=WINDOWED, **_PAGE_CTES) + f"""SELECT sample_id, decision, risk_score, CASE WHEN risk_score < 0.35::double THEN 'LOW'
+    WHEN risk_score < 0.65::double THEN 'MEDIUM' WHEN risk_score < 0.80::double THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level,
+    prompt_score, vision_score, greatest(prompt_score, 1-prompt_score) AS confidence, rule_id AS governance_rule_triggered,
+    sanitization_action, vision_error FROM ({decision_sql('ctx')})""", rounded=["risk_score", "prompt_score", "vision_score", "confidence"])
+def decide_documents_fixed(spark, d):
+    return decide_documents(pages(spark, d), X.phrase_scorer(TEST_PHRASES), model=_FIXED, phrases=TEST_PHRASES).select(*_DOCUMENT_COLUMNS)

@@ -19,26 +19,35 @@ RESULT_TYPE = "score double, error string"
 # load() -> score(series of texts) -> series of floats
 Loader = Callable[[], Callable[[pd.Series], pd.Series]]
 
-_BACKENDS: dict[str, Loader] = {}
-_LOADED: dict[str, object] = {}  # in a worker process: what load() has returned, by scorer
+_BACKENDS: dict[str, tuple[Loader, str]] = {}  # loader and number of its registration
+_LOADED: dict[str, tuple[str, object]] = {}  # in a worker process: what load() has returned, by name
 
 
-def loaded(key: str, load: Loader):
-    """The scoring function, loaded once per worker process and scorer."""
-    if key not in _LOADED:
-        _LOADED[key] = load()
-    return _LOADED[key]
+def loaded(name: str, registration: str, load: Loader):
+    """The scoring function, loaded once per worker process and registration; what it replaces is let go."""
+    held = _LOADED.get(name)
+    if held is None or held[0] != registration:
+        _LOADED.pop(name, None)
+        held = _LOADED[name] = (registration, load())
+    return held[1]
 
 
 def register(name: str, load: Loader) -> None:
-    _BACKENDS[name] = load
+    """Make a backend known; a name that is registered again stands for the new one from then on."""
+    _BACKENDS[name] = (load, uuid.uuid4().hex)
+
+
+def _found(name: str) -> tuple[Loader, str]:
+    if name not in _BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
+    return _BACKENDS[name]
 
 
 def available() -> list[str]:
     return sorted(_BACKENDS)
 
 
-def _batch_scorer(load: Loader, key: str):
+def _batch_scorer(load: Loader, name: str, registration: str):
     """Scores and errors of a list of texts: as one batch, or one by one where that fails."""
     state = {}
 
@@ -50,7 +59,7 @@ def _batch_scorer(load: Loader, key: str):
                 except ImportError:
                     state["score"] = load()
                 else:
-                    state["score"] = kept.loaded(key, load)
+                    state["score"] = kept.loaded(name, registration, load)
             except Exception as problem:
                 state["broken"] = str(problem)
         if "broken" in state:
@@ -80,13 +89,11 @@ def window_scorer(name: str, stop_above: float = 0.99) -> WindowScorer:
 
     All windows of a batch of rows are scored together.  A window that fails gives its row the error and no score.
     """
-    if name not in _BACKENDS:
-        raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
-    load, key = _BACKENDS[name], f"{name}-{uuid.uuid4().hex}"
+    load, registration = _found(name)
     make = _batch_scorer
 
     def score_rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        run = make(load, key)
+        run = make(load, name, registration)
         for arrays in batches:
             windows = [list(a) if a is not None else [] for a in arrays]
             flat = iter(run([w for row in windows for w in row]))
@@ -106,9 +113,7 @@ def window_scorer(name: str, stop_above: float = 0.99) -> WindowScorer:
 
 def scorer(name: str) -> Callable[[str], Column]:
     """The registered backend as a function from column name to struct<score, error>."""
-    if name not in _BACKENDS:
-        raise ValueError(f"unknown backend {name!r}; available: {', '.join(available()) or 'none'}")
-    load, key = _BACKENDS[name], f"{name}-{uuid.uuid4().hex}"
+    load, registration = _found(name)
 
     def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score, broken = None, None
@@ -118,7 +123,7 @@ def scorer(name: str) -> Callable[[str], Column]:
             except ImportError:  # the package is not on the workers: load once per task
                 score = load()
             else:
-                score = kept.loaded(key, load)
+                score = kept.loaded(name, registration, load)
         except Exception as problem:  # a backend that cannot load marks its rows
             broken = str(problem)
 

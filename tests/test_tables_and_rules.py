@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.gaps import many_rules
+from docguard.functions import registry
 from docguard.operators import decisions as D
 from docguard.operators.rules import evaluate_rules, rule_hits
-from docguard.session import new_path, removed
+from docguard.session import new_path
 from docguard.sources import tables
 from docguard.streaming import decisions as ST
 
@@ -144,5 +145,30 @@ def test_no_rules_and_no_rows_in_the_index(spark):
     assert evaluate_rules(df.limit(0), many_rules(300)).count() == 0
 
 
-def test_removed_is_silent_about_nothing(spark):
-    removed(spark, new_path(spark, "nothing"))
+def test_a_backend_is_loaded_once_per_registration(spark, tmp_path):
+    marks = str(tmp_path / "loads")
+
+    def backend(value):
+        def load():
+            import pandas as pd
+            with open(marks, "a") as file:
+                file.write(f"{value}\n")
+            return lambda texts: pd.Series([value] * len(texts))
+        return load
+
+    df = spark.createDataFrame([("a",)], "text string").coalesce(1)
+    registry.register("counted", backend(0.25))
+    for _ in range(3):
+        assert df.select(registry.scorer("counted")("text").alias("r")).first().r.score == 0.25
+    registry.register("counted", backend(0.75))
+    assert df.select(registry.scorer("counted")("text").alias("r")).first().r.score == 0.75
+    loads = open(marks).read().split()
+    # tasks may run in several workers, but never more often than there are of them
+    assert loads[-1] == "0.75" and loads.count("0.25") <= 3 and loads.count("0.75") == 1
+
+
+def test_a_worker_keeps_the_last_registration():
+    kept = registry.loaded
+    assert kept("n", "1", lambda: "one") == "one" and kept("n", "1", lambda: 1 / 0) == "one"
+    assert kept("n", "2", lambda: "two") == "two" and kept("n", "1", lambda: "again") == "again"
+    assert [v for k, v in registry._LOADED.items() if k == "n"] == [("1", "again")]
