@@ -437,7 +437,8 @@ def ranked(payloads: DataFrame, settings: Settings) -> DataFrame:
     return payloads.groupBy("bucket", "kind").applyInArrow(run, "chunk long, bucket int, kind int, masks binary")
 
 
-def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text", as_text: bool = False,
+            hand: Handoff | None = None) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (a struct of the other columns).
 
     With as_text, kept is a text: a character that was cut in two goes whole. This is done where the bytes are, since a
@@ -448,7 +449,7 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
     share an id leave each other alone. Short texts lose nothing; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    hand = Handoff(spark, "substrings")
+    hand = Handoff(spark, "substrings") if hand is None else hand
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, name = bucketed(spark, chunked(docs, settings, id_column, text), "chunk")
     keys = hand.write(shared_keys(trigger_keys(chunks, n, settings), settings), "keys")
@@ -501,11 +502,15 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
 
 def substring_digests(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    spark, steps, before = docs.sparkSession, Handoff(docs.sparkSession, "substrings"), set(TABLES)
     own = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    rows = cleaned(own, settings, "id", "text").selectExpr(
+    rows = cleaned(own, settings, "id", "text", hand=steps).selectExpr(
         f"id AS `{id_column}`", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
-    written = Handoff(docs.sparkSession, "substrings").write(rows, "digests")
-    drop_tables(docs.sparkSession)
+    written = Handoff(spark, "substrings").write(rows, "digests")
+    steps.drop()
+    mine = [t for t in TABLES if t not in before]
+    if mine:
+        drop_tables(spark, *mine)
     return written
 
 
