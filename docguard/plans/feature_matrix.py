@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation
 
 from docguard.fixed_values import FOURTEEN_FEATURES
@@ -19,6 +22,23 @@ def feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame,
     return engineer_features(fuse_sources(master, predictions, legacy_columns(vision)))
 
 
+def observed_write(df: DataFrame, measures: Sequence[str], names: Sequence[str], path: str, drop: str) -> tuple:
+    """Write a frame without one column and return the named measures of what was written, from the same job.
+
+    The job runs in a session of its own: MLlib's functions cannot be sent to executors from a session that has observed.
+    """
+    spark, view = df.sparkSession, f"observed_{uuid.uuid4().hex}"
+    own, seen = spark.newSession(), Observation(view)
+    for name in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    df.createGlobalTempView(view)
+    try:
+        own.table(f"global_temp.{view}").observe(seen, *aggregates(*measures)).drop(drop).write.parquet(path)
+    finally:
+        spark.catalog.dropGlobalTempView(view)
+    return tuple(seen.get[name] for name in names)
+
+
 def build_feature_matrix(labels: DataFrame, splits: DataFrame, predictions: DataFrame, vision: DataFrame,
                          matrix_path: str, summary_path: str) -> DataFrame:
     """Check the new matrix, then replace the stored one by it, by split; write its summary, return it.
@@ -34,9 +54,8 @@ def build_feature_matrix(labels: DataFrame, splits: DataFrame, predictions: Data
     # the joins have brought equal ids together, so numbering them moves no row
     numbered = matrix.selectExpr("*", "row_number() OVER (PARTITION BY sample_id ORDER BY sample_id) AS _copy")
     kinds = numbered.agg(*aggregates(*measures)).schema
-    seen, path = Observation("feature matrix"), new_path(spark, "feature-matrix")
-    numbered.observe(seen, *aggregates(*measures)).drop("_copy").write.parquet(path)
-    measured = spark.createDataFrame([tuple(seen.get[name] for name in kinds.names)], kinds)
+    path = new_path(spark, "feature-matrix")
+    measured = spark.createDataFrame([observed_write(numbered, measures, kinds.names, path, drop="_copy")], kinds)
     try:
         enforce(matrix_report(measured))
         write_parquet(spark.read.parquet(path), matrix_path, ["split"])

@@ -12,6 +12,7 @@ from docguard.functions import text as T
 from docguard.functions.phrases import PhraseIndex
 from docguard.operators import texts as X
 from docguard.operators.linear import LinearTextModel, load_text_model, save_text_model, windowed_probability, with_window_scores
+from docguard.operators.model import fit_text_model, text_probability
 from docguard.operators.profile import feature_matrix_summary
 from docguard.operators.quality import QualityError
 from docguard.plans.feature_matrix import build_feature_matrix, feature_matrix
@@ -99,6 +100,9 @@ def test_gates_while_writing_read_the_sources_once(spark):
     path, record = new_path(spark, "matrix"), new_path(spark, "summary")
     stored = build_feature_matrix(labels.withColumn("label", counted("label")), splits, predictions, vision, path, record)
     assert seen.value == 60 and stored.count() == 60
+    # a session that has observed could not run such functions
+    texts = spark.createDataFrame([("a b", 0), ("c d", 1)] * 5, "text string, label int")
+    assert text_probability(texts, fit_text_model(texts, features=16, most_iterations=3)).count() == 10
     summary = feature_matrix_summary(stored, FOURTEEN_FEATURES)
     want = summary.selectExpr("to_json(struct(*)) AS j").first().j
     got = spark.read.schema(summary.schema).json(record).selectExpr("to_json(struct(*)) AS j").first().j
