@@ -177,9 +177,9 @@ def identify_languages(rows: DataFrame, accepted: list[str] | None = None, setti
     under which suffix, and the hosts' priors, each smoothed towards its suffix's and that one's towards the whole.
     Missing evidence counts for nothing. A row is kept if its text has a letter and its best language is
     accepted (any but 'und' unless named) with at least `least_probability`. Texts without a letter, null and empty ones too,
-    are 'und' and not kept; where a text has letters but no trigram, the other evidence decides. Repeated rows get the same answer each; ties go to the language first in order; an empty table gives n
-    small_batches(rows.sparkSession)o rows.
+    are 'und' and not kept; where a text has letters but no trigram, the other evidence decides. Repeated rows get the same answer each; ties go to the language first in order; an empty table gives no rows.
     """
+    small_batches(rows.sparkSession)
     hand = Handoff(rows.sparkSession, "language")
     names, tables = log_tables(count_trigrams(rows, settings), settings)
     n = len(names)
