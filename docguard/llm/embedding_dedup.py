@@ -15,16 +15,22 @@ from docguard.llm.components import connected_components, roots
 
 @dataclass(frozen=True)
 class Settings:
-    """Threshold, size of the sample that k-means is fitted on, vectors of a label per cell aimed at, and rows of a block."""
+    """Threshold, size of the sample that k-means is fitted on, vectors of a label per cell aimed at, rows of a block, and from
+    how many blocks on a cell is cut into rings."""
     least_cosine: float = 0.98
     sample_rows: int = 20_000
     cell_rows: int = 4_096
     most_cells: int = 4_096
-    block_rows: int = 1_024
+    block_rows: int = 4_096
+    ringed_blocks: int = 4
     rounds: int = 8
     seed: int = 3
 
 
+#: More than the blocks of any ring, so that a ring and a part are one number.
+BLOCKS = 1 << 32
+
+
 def usable(vector: str) -> str:
     """SQL: not null, not empty, all components finite, not all zero."""
     return (f"{vector} IS NOT NULL AND size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) "
@@ -54,14 +60,16 @@ def fit_cells(rows: DataFrame, n_rows: int, settings: Settings) -> np.ndarray:
 
 
 def assigned(rows: DataFrame, centers: np.ndarray, settings: Settings) -> DataFrame:
-    """(group, node, weight, vector, cell, home, visits): each vector in its home cell, and as a guest in cells near it.
+    """(group, node, weight, vector, cell, ring, home, visits): each vector in its home cell, and as a guest in cells near it.
 
     Two unit vectors with the least cosine are at most `reach` apart. If x is at home in cell p and y in q, the plane
     between the two centers lies between x and y, so one of them is at most half of `reach` from it: that one is a
     guest in the other's cell. So each such pair meets, once or twice, and pairs at home in one cell meet there.
+    A ring counts the angle to the cell's center in steps of the greatest angle of a link, so links cross one ring at most.
     """
     shared = rows.sparkSession.sparkContext.broadcast(centers)
     reach = math.sqrt(2 - 2 * settings.least_cosine) / 2 + 1e-9
+    step = math.acos(max(-1.0, settings.least_cosine)) + 1e-6
 
     def run(batches):
         import pyarrow as pa
@@ -89,24 +97,34 @@ def assigned(rows: DataFrame, centers: np.ndarray, settings: Settings) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).take(take) for i in range(3)),
                      pa.FixedSizeListArray.from_arrays(pa.array(part[row].reshape(-1)), width).cast(pa.list_(pa.float64())),
-                     pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), visits],
-                    ["group", "node", "weight", "vector", "cell", "home", "visits"])
+                     pa.array(cell.astype(np.int32)), pa.array((np.arccos(np.clip(near[row, cell], -1, 1)) / step).astype(np.int32)),
+                     pa.array(home[row].astype(np.int32)), visits],
+                    ["group", "node", "weight", "vector", "cell", "ring", "home", "visits"])
 
     return rows.select("group", "node", "weight", "vector").mapInArrow(
-        run, "group string, node long, weight long, vector array<double>, cell int, home int, visits array<int>")
+        run, "group string, node long, weight long, vector array<double>, cell int, ring int, home int, visits array<int>")
 
 
 def compared(members: DataFrame, settings: Settings) -> DataFrame:
     """(node, links, root) from the products of each block pair of a cell: links found, and a node of the same component.
 
-    A cell of many vectors is dealt into blocks by a hash, and each pair of blocks is a task of its own. A block pair
-    yields a row per node that has a link, not a row per pair. Pairs of two guests are left to their own cells.
+    A cell of up to `block_rows` vectors is one block, to which each of its vectors goes once. Larger ones are dealt into
+    blocks by a hash, and each pair of blocks is a task of its own; those beyond `ringed_blocks` blocks first into rings, of which
+    only neighbours meet. A block pair yields a row per node that has a link, not a row per pair. Pairs of two guests are left
+    to their own cells.
     """
-    sizes = members.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).selectExpr(
-        "group", "cell", f"int(ceil(n / {settings.block_rows}D)) AS blocks")
-    dealt = members.join(small(sizes), ["group", "cell"]).selectExpr("*", f"int(pmod(xxhash64({settings.seed}, node), blocks)) AS block")
+    rings = members.groupBy("group", "cell", "ring").agg(F.count(F.lit(1)).alias("n"))
+    cells = rings.groupBy("group", "cell").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("ring", "n"))).alias("of")).selectExpr(
+        "group", "cell", f"n > {settings.ringed_blocks * settings.block_rows} AS ringed", "n", "of").selectExpr(
+        "group", "cell", "ringed", f"transform_values(if(ringed, of, map(0, n)), (r, k) -> int(ceil(k / {settings.block_rows}D))) AS parts_of")
+    dealt = members.join(small(cells), ["group", "cell"]).withColumn("ring", F.expr("if(ringed, ring, 0)")).selectExpr(
+        "*", f"int(pmod(xxhash64({settings.seed}, node), parts_of[ring])) AS part").selectExpr("*", f"{BLOCKS}L * ring + part AS block")
+
+    def others(ring: str) -> str:  # the blocks of a ring, if it has any
+        return f"transform(filter(sequence(0, coalesce(try_element_at(parts_of, {ring}), 0)), o -> o < try_element_at(parts_of, {ring})), o -> {BLOCKS}L * ({ring}) + o)"
+
     paired = dealt.selectExpr(
-        "*", "explode(transform(sequence(0, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))) AS pair").selectExpr(
+        "*", f"explode(transform(concat({others('ring')}, {others('ring - 1')}, {others('ring + 1')}), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))) AS pair").selectExpr(
         "group", "cell", "pair.low AS low", "pair.high AS high", "block", "node", "weight", "vector", "home", "visits")
     least = settings.least_cosine
 
@@ -129,8 +147,8 @@ def compared(members: DataFrame, settings: Settings) -> DataFrame:
         first = np.flatnonzero(block == low)
         second = first if low == high else np.flatnonzero(block == high)
         links, a, b = np.zeros(len(node), np.int64), [], []
-        for at in range(0, len(first), 1024):
-            rows = first[at:at + 1024]
+        for at in range(0, len(first), 512):
+            rows = first[at:at + 512]
             near = (x[rows] @ x[second].T >= least) & (here[rows][:, None] | here[second][None, :])
             near &= node[rows][:, None] != node[second][None, :]
             # a guest counts a pair here only if the other does not visit the guest's home, where the pair meets again
