@@ -3,8 +3,12 @@
 A document is the set of its shingles' 64-bit hashes. The shingles that only one document has are found first, by
 packed 32-bit keys; they come first in the one order of all shingles, the frequent ones last. Two sets that link share a shingle among
 their first (1 - threshold) x size + 1. Lists of the sets by such a shingle are the index. Equal lists are worked off
-once, lists that sets chain together as one as long as they are of moderate size, long ones in blocks, and within a list the overlaps of a set
-are derived from those of a similar set that is done: only the shingles in which the two differ are looked up. Lists are not skipped in blocks by position.
+once, lists that sets chain together as one as long as they are of moderate size, and within a list the overlaps of a set
+are derived from those of a similar set that is done: only the shingles in which the two differ are looked up.
+
+Lists are skipped by position. Of two sets that hold the list's shingle, the intersection has at most the lesser number of
+shared shingles before it, itself, and the lesser number after it. Short lists skip pairs by that; long ones are cut into
+blocks of like size and like place, a directory keeps each block's bounds, and only blocks that its bounds let link meet.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from docguard.llm.common import Handoff, lowered, mixed, slice_hashes, small, word_spans
 from docguard.llm.components import connected_components
 from docguard.llm.substring_dedup import (
-    LAST, bucketed, chunked, content, dealt, drop_tables, key_rows, known_keys, shared_keys,
+    LAST, bucketed, chunked, content, dealt, drop_tables, key_buckets, key_rows, known_keys, shared_keys,
 )
 from docguard.llm.substring_dedup import Settings as Parsing
 
@@ -198,13 +202,19 @@ def list_links(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, per
     return first[back.reshape(-1)]
 
 
-def possible_links(firsts: list[np.ndarray], hots: list[int], sizes: np.ndarray, percent: int):
+def by_position(places: np.ndarray, afters: np.ndarray, sizes: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which sets of a list could link with set i by their sizes and by how many shared shingles stand before and after the list's own."""
+    most = np.minimum(places, places[i]) + 1 + np.minimum(afters, afters[i])
+    return (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & ((100 + percent) * most >= percent * (sizes + sizes[i]))
+
+
+def possible_links(firsts: list[np.ndarray], hots: list[int], sizes: np.ndarray, percent: int, shingle: int | None = None):
     """Component (number of its first member) of each set of one list by what the first shingles alone allow.
 
     `firsts` hold the several-document shingles among the first that decide, in the order (`hots` say how many of
     them, at the end, are frequent ones). Up to the lesser of two sets' last ones, both are known in full: what one has there
     and the other has not is lost for their intersection, single-document shingles too. A pair that has lost more
-    than its sizes allow cannot link.
+    than its sizes allow cannot link. Pairs that the place of the list's own `shingle` rules out are skipped before.
     """
     m = len(firsts)
     rank_of = np.concatenate(firsts).astype(np.uint64)
@@ -220,9 +230,11 @@ def possible_links(firsts: list[np.ndarray], hots: list[int], sizes: np.ndarray,
     own = [rank[bounds[i]:bounds[i + 1]] for i in range(m)]
     single = prefix_sizes(sizes, percent) - lengths
     label = np.arange(m)
+    places = np.array([np.flatnonzero(f == shingle)[0] for f in firsts]) if shingle is not None else lengths - 1
+    afters = sizes - single - places - 1 if shingle is not None else sizes
     for i in range(m):
-        for j in range(i + 1, m):
-            if label[i] == label[j] or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+        for j in i + 1 + np.flatnonzero(by_position(places, afters, sizes, i, percent)[i + 1:]):
+            if label[i] == label[j]:
                 continue
             least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))  # the intersection that a link needs
             top = min(own[i][-1], own[j][-1])
@@ -237,7 +249,7 @@ def possible_links(firsts: list[np.ndarray], hots: list[int], sizes: np.ndarray,
 def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible: bool = False) -> DataFrame:
     """(a, b): for each list, links from every member to the first of its component in the list.
 
-    With `possible`, shingles are the first ones only, `known` counts the frequent ones among them, and links are
+    With `possible`, the key is the list's shingle, shingles are the first ones only, `known` counts the frequent ones among them, and links are
     those that cannot be ruled out.
     """
     percent = settings.percent
@@ -246,10 +258,10 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible
     def run(batches):
         import pyarrow as pa
 
-        def links(group):
+        def links(group, key):
             sids, known, sizes, sets = zip(*group)
             if possible:
-                first = possible_links(list(sets), list(known), np.array(sizes), percent)
+                first = possible_links(list(sets), list(known), np.array(sizes), percent, key[0])
             else:
                 first = list_links(list(sets), np.array(sizes), np.array(known), percent)
             return [(sids[k], sids[f]) for k, f in enumerate(first) if f != k]
@@ -262,14 +274,14 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible
             for k, key in enumerate(key_rows):
                 if key != at:
                     if len(group) > 1:
-                        out += links(group)
+                        out += links(group, at)
                     group, at = [], key
                 group.append((batch.column(n_keys)[k].as_py(), batch.column(n_keys + 1)[k].as_py(), batch.column(n_keys + 2)[k].as_py(), values[bounds[k]:bounds[k + 1]].copy()))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 out = []
-        if len(group) > 1 and (out := links(group)):
+        if len(group) > 1 and (out := links(group, at)):
             a, b = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -277,10 +289,58 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible
     return dealt.mapInArrow(run, "a long, b long")
 
 
+#: What names a pair of parts of two blocks of one list.
+PAIR = ["shingle", "size_a", "depth_a", "size_b", "depth_b", "part_a", "part_b"]
+
+
+def in_blocks(long: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Members (shingle, sid, known) of long lists with n, before and after (shared shingles around the list's own) and their block.
+
+    A block holds the sets of a list whose sizes, and whose numbers of shingles after the list's own, are within some four percent.
+    """
+    short = f"n - int(ceil(n * {settings.percent}L / 100D)) + 1 - size(first)"  # shingles of one document, which come first
+    own = long.join(sets.select("sid", "n", "first"), "sid").selectExpr(
+        "shingle", "sid", "known", "n", "array_position(first, shingle) - 1 AS before", f"{short} AS single")
+    return own.selectExpr("*", "n - single - before - 1 AS after").selectExpr(
+        "shingle", "sid", "known", "n", "before", "after", "int(floor(ln(n) * 25)) AS size", "int(floor(ln(after + 1) * 25)) AS depth")
+
+
+def meeting_blocks(located: DataFrame, settings: Settings) -> DataFrame:
+    """The directory of blocks joined with itself: (shingle, size_a, depth_a, size_b, depth_b, parts_a, parts_b) of blocks that may link.
+
+    Two blocks are skipped if no two of their sizes allow a link, if the shared shingles before and after the list's own are too
+    few for one, or if all their sets are in one component already. Block a is not after block b in the order.
+    """
+    percent = settings.percent
+    blocks = located.groupBy("shingle", "size", "depth").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("before").alias("before"),
+        F.max("after").alias("after"), F.min("known").alias("low"), F.max("known").alias("high")).selectExpr(
+        "*", f"int(ceil(members / {settings.block}D)) AS parts")
+    reach = int(np.floor(25 * np.log(100 / percent))) + 1
+    a = blocks.selectExpr(*(f"{c} AS {c}_a" for c in blocks.columns)).selectExpr("*", "shingle_a AS shingle", f"explode(sequence(size_a, size_a + {reach})) AS size_b")
+    b = blocks.selectExpr("shingle", *(f"{c} AS {c}_b" for c in blocks.columns if c != "shingle"))
+    return a.join(b, ["shingle", "size_b"]).filter(
+        f"""(size_a < size_b OR depth_a <= depth_b)
+        AND 100 * least(most_a, most_b) >= {percent} * greatest(least_a, least_b)
+        AND {100 + percent} * (least(before_a, before_b) + 1 + least(after_a, after_b)) >= {percent} * (least_a + least_b)
+        AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)""").select("shingle", "size_a", "depth_a", "size_b", "depth_b", "parts_a", "parts_b")
+
+
+def block_pairs(located: DataFrame, meets: DataFrame) -> DataFrame:
+    """(PAIR, sid, known): each member once for every part of the blocks that its own block meets."""
+    at_a = meets.selectExpr("*", "size_a AS size", "depth_a AS depth", "true AS is_a", "size_a = size_b AND depth_a = depth_b AS same")
+    at_b = meets.filter("size_a <> size_b OR depth_a <> depth_b").selectExpr("*", "size_b AS size", "depth_b AS depth", "false AS is_a", "false AS same")
+    placed = located.select("shingle", "size", "depth", "sid", "known").join(small(at_a.unionByName(at_b)), ["shingle", "size", "depth"]).selectExpr(
+        "*", "int(pmod(xxhash64(sid, 7), if(is_a, parts_a, parts_b))) AS part", "explode(sequence(0, if(is_a, parts_b, parts_a) - 1)) AS other")
+    return placed.selectExpr(
+        "shingle", "size_a", "depth_a", "size_b", "depth_b", "CASE WHEN same THEN least(part, other) WHEN is_a THEN part ELSE other END AS part_a",
+        "CASE WHEN same THEN greatest(part, other) WHEN is_a THEN other ELSE part END AS part_b", "sid", "known")
+
+
 def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[DataFrame, DataFrame]:
     """Documents as (doc_id, n, print_a, print_b), and sets as (n, print_a, print_b, component) with the component's least doc_id."""
-    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks, name = bucketed(docs.sparkSession, chunked(docs, Parsing(chunk=settings.chunk), "doc_id", "text"), "chunk")
+    n_buckets = key_buckets(chunks)
     keys_of = hand.write(shared_keys(shingle_keys(chunks, n_buckets, settings), Parsing(hot=settings.hot)), "keys")
     side = keys_of.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("side"))
     by_doc = hand.write(measured_sets(chunks, side, n_buckets, settings).withColumn(
@@ -323,20 +383,18 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     first = blocks.join(whole, "sid").selectExpr("shingle", "part", "sid", "sid AS known", "n", "shingles")
     links = hand.write(work_lists(first, ["shingle", "part"], settings).unionByName(chained_links), "links1")
     found = connected_components(links, hand, "components1")
-    # second round: what remains apart in a long list meets block by block, by bands of size
+    # second round: what remains apart in a long list meets by blocks of like size and place that can link
     long = members.filter(f"f > {block}").join(found.withColumnRenamed("node", "sid"), "sid", "left").selectExpr(
-        "shingle", "f", "sid", "coalesce(component, sid) AS known")
-    apart = long.groupBy("shingle").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("shingle")
-    band = f"int(floor(ln(n) / ln({100 / settings.percent}D)))"
-    placed = long.join(apart, "shingle").join(whole, "sid").selectExpr(
-        "shingle", "sid", "known", "n", "shingles", f"{band} AS band", f"{parts} AS parts", f"int(pmod(xxhash64(sid, 7), {parts})) AS part")
-    others = """flatten(transform(sequence(0, parts - 1), o -> array(
-        named_struct('bands', 2 * band, 'low', least(part, o), 'high', greatest(part, o)),
-        named_struct('bands', 2 * band + 1, 'low', part, 'high', o), named_struct('bands', 2 * band - 1, 'low', o, 'high', part))))"""
-    second = placed.selectExpr("shingle", "sid", "known", "n", "shingles", f"explode({others}) AS at").selectExpr(
-        "shingle", "at.bands AS bands", "at.low AS low", "at.high AS high", "sid", "known", "n", "shingles")
-    more = hand.write(work_lists(second, ["shingle", "bands", "low", "high"], settings), "links2")
-    hand.drop("members", "long")
+        "shingle", "sid", "coalesce(component, sid) AS known")
+    apart = hand.write(long.groupBy("shingle").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("shingle"), "apart")
+    if apart.isEmpty():
+        more = links.limit(0)
+    else:
+        located = hand.write(in_blocks(long.join(small(apart), "shingle"), sets, settings), "located")
+        meets = hand.write(meeting_blocks(located, settings), "meets")
+        second = block_pairs(located, meets).join(whole, "sid").select(*PAIR, "sid", "known", "n", "shingles")
+        more = hand.write(work_lists(second, PAIR, settings), "links2")
+    hand.drop("members", "long", *(step for step in ("apart", "located", "meets") if step in hand.paths))
     everything = links.unionByName(more)
     groups = found if more.isEmpty() else connected_components(everything, hand, "components2")
     # all documents by their sets; sets in no component are their own

@@ -152,6 +152,20 @@ def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, s
     return spark.table(name), name
 
 
+#: Bytes of text whose keys are dealt to one bucket, which bounds what a group of keys holds.
+BUCKET_BYTES = 1 << 24
+
+
+def key_buckets(chunks: DataFrame) -> int:
+    """To how many buckets the keys of the texts are dealt: as many as shuffle partitions, more where the counted bytes need them.
+
+    Keys are hashes, so a bucket holds those of some BUCKET_BYTES of text whatever the size of the whole, and of a key two for each
+    chunk at most.
+    """
+    total = chunks.agg(F.expr("sum(aggregate(sizes, 0L, (s, x) -> s + x))")).first()[0] or 0
+    return max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
 def triggered(data: np.ndarray, offsets: np.ndarray, settings: Settings):
     """Per run of strings with one trigger: its place, the first and last begin of a string, the document, the trigger's hash."""
     length, k = settings.length, settings.trigger
@@ -450,8 +464,8 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
     """
     spark = docs.sparkSession
     hand = Handoff(spark, "substrings") if hand is None else hand
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, name = bucketed(spark, chunked(docs, settings, id_column, text), "chunk")
+    n = key_buckets(chunks)
     keys = hand.write(shared_keys(trigger_keys(chunks, n, settings), settings), "keys")
     side = keys.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("side"))
 

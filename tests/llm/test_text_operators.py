@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -99,6 +100,49 @@ def test_long_list_of_sets_that_differ(spark):
     assert got == expected_join(rows)
 
 
+def test_blocks_are_skipped_by_size_and_place(spark):
+    """A long list of sets of many sizes and places: the directory drops most pairs of blocks and no link."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        n = 12 + 4 * (i // 2 % 20)
+        own = [f"u{i // 2}_{k}" for k in range(n)]
+        if i % 2:
+            own[rng.randrange(n)] = f"v{i}"
+        rows.append((i, " ".join([*own[:n // 2], "all", "of", "these", "share", *own[n // 2:]]), "en", "s"))
+    settings = jaccard_join.Settings(hot=2, chunk=900, block=4, chain=2, percent=40)
+    got = Counter(tuple(r) for r in jaccard_join.shingle_join(made(rows, spark), settings).collect())
+    sets = [shingles(t) for _, t, *_ in rows]
+    comp = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 40 * len(sets[i] | sets[j])])
+    assert got == Counter((i, len(sets[i]), comp[i]) for i in range(len(rows)))
+    # the directory itself: sizes and places drawn, every pair of members that the bounds allow meets once
+    data = [("t", i, i, n, b, n - 2 - b) for i in range(150) for n in [rng.randint(10, 60)] for b in [rng.randint(0, n // 3)]]
+    data = [(7, sid, known, n, b, a, int(math.log(n) * 25), int(math.log(a + 1) * 25)) for _, sid, known, n, b, a in data]
+    located = spark.createDataFrame(data, "shingle long, sid long, known long, n long, before long, after long, size int, depth int")
+    settings = jaccard_join.Settings(block=3)
+    placed = jaccard_join.block_pairs(located, jaccard_join.meeting_blocks(located, settings)).collect()
+    groups = defaultdict(list)
+    for r in placed:
+        groups[tuple(r[:7])].append(r.sid)
+    assert all(len(g) == len(set(g)) <= 2 * 20 for g in groups.values())
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    allowed = {(x[1], y[1]) for x in data for y in data if x[1] < y[1] and 100 * min(x[3], y[3]) >= 85 * max(x[3], y[3])
+               and 185 * (min(x[4], y[4]) + 1 + min(x[5], y[5])) >= 85 * (x[3] + y[3])}
+    assert allowed <= met and len(met) < 0.5 * 150 * 149 / 2
+
+
+def test_buckets_follow_the_bytes(spark, texts, monkeypatch):
+    """More buckets than shuffle partitions give the same links and cuts."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 20_000)
+    docs = made(texts, spark)
+    total = sum(len((t or "").encode()) for _, t, *_ in texts)
+    chunks = spark.createDataFrame([(1, [total - 5, 5])], "chunk long, sizes array<long>")
+    assert substring_dedup.key_buckets(chunks) == -(-total // 20_000) > 8
+    assert Counter(tuple(r) for r in jaccard_join.shingle_join(docs, jaccard_join.Settings(hot=2, chunk=3000)).collect()) == expected_join(texts)
+    got = substring_dedup.substring_digests(docs).collect()
+    assert Counter(tuple(r) for r in got) == expected_removal(texts)
+
+
 def test_derived_answers_equal_counted_ones():
     rng = np.random.default_rng(2)
     base = rng.choice(1 << 40, 200, replace=False).astype(np.uint64)
@@ -176,7 +220,8 @@ def test_without_repeats_keeps_columns(spark, texts):
 # --- 2: vectors --------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("settings", [embedding_dedup.Settings(), embedding_dedup.Settings(cell_rows=15, block_rows=16)])
+@pytest.mark.parametrize("settings", [embedding_dedup.Settings(), embedding_dedup.Settings(cell_rows=15, block_rows=16),
+                                      embedding_dedup.Settings(cell_rows=80, block_rows=6, ringed_blocks=1)])
 def test_vectors(spark, settings):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))
