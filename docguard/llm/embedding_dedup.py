@@ -188,23 +188,25 @@ def near_duplicate_vectors(rows: DataFrame, settings: Settings = Settings(), id_
         return alone
     padded = f"if(ok, concat(vector, array_repeat(0D, {width} - size(vector))), NULL) AS vector"
     keyed = hand.write(plain.selectExpr("id", "concat(group, ':', size(vector)) AS group", "ok", padded).selectExpr(
-        "*", "if(ok, xxhash64(group, vector), NULL) AS print"), "keyed")
-    distinct = keyed.filter("ok").groupBy("group", "print", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
+        "*", "if(ok, xxhash64(group, vector), NULL) AS print_a", "if(ok, xxhash64(1, vector, group), NULL) AS print_b"), "keyed")
+    # equal vectors are told by 128 bits, so that no vector moves for it but the one that is kept
+    same = ["group", "print_a", "print_b"]
+    distinct = keyed.filter("ok").groupBy(*same).agg(F.first("vector").alias("vector"), F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
     # two nodes may not share a number, which rows with one id could give them
-    nodes = hand.write(distinct.selectExpr("group", "print", "vector", "node AS least_id", "weight", "monotonically_increasing_id() AS node"), "nodes")
+    nodes = hand.write(distinct.selectExpr(*same, "vector", "node AS least_id", "weight", "monotonically_increasing_id() AS node"), "nodes")
     largest = nodes.groupBy("group").count().agg(F.max("count")).first()[0]
     centers = fit_cells(nodes, largest, settings)
     members = hand.write(assigned(nodes, centers, settings), "members")
     found = hand.write(compared(members, settings), "found")
     hand.drop("members")
     groups = connected_components(found.selectExpr("node AS a", "root AS b"), hand, "components")
-    joined = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(groups, "node", "left").selectExpr(
-        "group", "vector", "print", "node", "least_id", "weight", "coalesce(links, 0L) AS links", "coalesce(component, node) AS component")
+    joined = nodes.drop("vector").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(groups, "node", "left").selectExpr(
+        *same, "node", "least_id", "weight", "coalesce(links, 0L) AS links", "coalesce(component, node) AS component")
     joined = hand.write(joined, "joined")
     hand.drop("nodes", "found", "components")
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = joined.join(least, "component").selectExpr("group", "print", "vector", "links + weight - 1 AS n_links", "component_id")
-    linked = keyed.filter("ok").join(by_node, ["group", "print", "vector"])
+    by_node = joined.join(least, "component").selectExpr(*same, "links + weight - 1 AS n_links", "component_id")
+    linked = keyed.filter("ok").select("id", *same).join(by_node, same)
     rest = keyed.filter("NOT ok").selectExpr("id", "0L AS n_links", "id AS component_id")
     return linked.select("id", "n_links", "component_id").unionByName(rest).selectExpr(
         f"id AS `{id_column}`", "n_links", "component_id", "coalesce(id = component_id, true) AS kept")
