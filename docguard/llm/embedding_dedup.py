@@ -205,7 +205,7 @@ def near_duplicate_vectors(rows: DataFrame, settings: Settings = Settings(), id_
     joined = hand.write(joined, "joined")
     hand.drop("nodes", "found", "components")
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = joined.join(least, "component").selectExpr(*same, "links + weight - 1 AS n_links", "component_id")
+    by_node = joined.join(small(least), "component").selectExpr(*same, "links + weight - 1 AS n_links", "component_id")
     linked = keyed.filter("ok").select("id", *same).join(by_node, same)
     rest = keyed.filter("NOT ok").selectExpr("id", "0L AS n_links", "id AS component_id")
     return linked.select("id", "n_links", "component_id").unionByName(rest).selectExpr(

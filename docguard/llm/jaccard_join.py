@@ -404,7 +404,7 @@ def linked_sets(docs: DataFrame, settings: Settings, hand: Handoff) -> tuple[Dat
     placed = hand.write(placed, "placed")
     hand.drop(*(step for step in tuple(hand.paths) if step not in ("documents", "placed")))
     smallest = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
-    result = placed.join(smallest, "component", "left").selectExpr(*keys, "coalesce(component_id, least) AS component_id")
+    result = placed.join(small(smallest), "component", "left").selectExpr(*keys, "coalesce(component_id, least) AS component_id")
     return by_doc.select("doc_id", *keys), result
 
 
