@@ -1,8 +1,8 @@
 """Encoding and decoding with a vocabulary of pieces: Viterbi over a double-array trie of pieces with log scores.
 
 The public vocabulary file was made by merging pairs: its scores are the ranks of merges, no log probabilities. A best path
-needs the latter, so the pieces are counted in what the file's own encoding makes of a bounded sample of the texts, and a
-piece scores the logarithm of its smoothed share. Pieces, their ids and the byte fallback stay those of the file.
+needs the latter, so the pieces are counted in what the file's own encoding makes of all the texts, and a piece scores the
+logarithm of its smoothed share. Pieces, their ids and the byte fallback stay those of the file.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the least piece
 KEPT_BYTES = 24 << 20  # of segments and ids in a worker's cache; it starts anew beyond
-FIT_DOCUMENTS = 2_000  # texts whose pieces are counted, those with the smallest hashes of their ids
+COUNTED_BYTES = 16 << 20  # of segments and their counts that a task holds before it hands them on
 SMOOTHING = 0.5  # added to each piece's count
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -174,10 +174,47 @@ class Pieces:
         return out
 
 
-def piece_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str = "text", documents: int = FIT_DOCUMENTS) -> np.ndarray:
-    """How often each piece occurs in the library's encoding of the `documents` texts with the smallest hashes of their ids."""
+def segment_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(segment, n): how often each segment occurs in all texts, as the library takes it: its first marker goes, others are spaces."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, size = [], 0
+
+        def out():
+            found = pa.concat_tables(held).group_by("segment").aggregate([("n", "sum")]).combine_chunks()
+            return pa.RecordBatch.from_arrays([found["segment"].combine_chunks(), found["n_sum"].combine_chunks()], ["segment", "n"])
+
+        for part in slabs(batches, 4 << 20):
+            texts = part.column(0).filter(pc.fill_null(pc.not_equal(part.column(0), ""), False))
+            # where single spaces part words, segments are what lies between them
+            odd = pc.or_(pc.match_substring_regex(texts, f"  |{MARK}"), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+            plain = pc.value_counts(pc.list_flatten(pc.split_pattern(texts.filter(pc.invert(odd)), " ")))
+            other = Counter(s[1:].replace(MARK, " ") for t in texts.filter(odd).to_pylist() for s in segments_of(t))
+            for segment, n in ((plain.field(0), plain.field(1)), (pa.array(list(other), pa.string()), pa.array(list(other.values()), pa.int64()))):
+                held.append(pa.table({"segment": segment, "n": n}))
+                size += held[-1].nbytes
+            if size > COUNTED_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+def piece_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str = "text", documents: int | None = None) -> np.ndarray:
+    """How often each piece occurs in the library's encoding of all texts.
+
+    No piece holds a marker behind another character, so merges stay within segments and a text's pieces are those of its
+    segments: each distinct segment is encoded once and counts as often as it occurs.
+    With `documents`, only that many texts are counted, those with the smallest hashes of their ids; no query asks for it.
+    """
     own = docs.select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(text).alias("text"))
-    last = own.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    if documents is not None:
+        own = own.filter(F.col("h") <= F.lit(own.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -185,20 +222,21 @@ def piece_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text:
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        counts, lone = np.zeros(library.get_piece_size(), np.int64), [library.piece_to_id(MARK)]
         for batch in batches:
-            counts = np.zeros(library.get_piece_size(), np.int64)
-            for ids in library.encode([t or "" for t in batch.column(0).to_pylist()], num_threads=1):
-                counts += np.bincount(ids, minlength=len(counts))
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["piece", "n"])
+            segments = batch.column(0).to_pylist()
+            ids = [x if s else lone for s, x in zip(segments, library.encode(segments, num_threads=1))]
+            if ids:
+                np.add.at(counts, np.concatenate(ids).astype(np.int64), np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids]))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["piece", "n"])
 
     import sentencepiece
 
     out = np.zeros(sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size(), np.int64)
-    if last is not None:
-        # one row per piece of the vocabulary at most
-        for r in own.filter(F.col("h") <= last).select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-            out[r["piece"]] = r["n"]
+    # one row per piece of the vocabulary at most
+    for r in segment_counts(own).mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        out[r["piece"]] = r["n"]
     return out
 
 
@@ -228,7 +266,7 @@ def load(model: bytes, counts: np.ndarray | None = None) -> Pieces:
 
 
 def fitted(docs: DataFrame, model: str, id_column: str, text: str) -> Pieces:
-    """The vocabulary of a file with log scores counted on a sample of the documents."""
+    """The vocabulary of a file with log scores counted on all documents."""
     raw = read_model(model)
     return load(raw, piece_counts(docs, raw, id_column, text))
 
@@ -296,7 +334,7 @@ def encode_texts(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "te
 
     With `same`, same_text follows: whether the decoded text is the text; it needs `decode`.
 
-    The driver reads the vocabulary file, has its pieces counted on a sample (see the module) and broadcasts its arrays, whose
+    The driver reads the vocabulary file, has its pieces counted on all texts (see the module) and broadcasts its arrays, whose
     size the vocabulary fixes. Null texts count
     as empty: no ids, an empty text. A text that holds the marker character itself decodes with a space in its place.
     Repeated rows give repeated rows; an empty table gives none; other columns are ignored. keep begins with the id.

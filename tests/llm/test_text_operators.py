@@ -396,6 +396,20 @@ def test_scores_are_logs_of_counted_shares(spark, texts):
     assert 0 < few.sum() < counts.sum() and pieces.piece_counts(made([], spark), raw).sum() == 0
 
 
+def test_scores_count_every_text(spark):
+    """More texts than any sample of them; words that a sample would miss, runs of spaces, edges, markers, lone spaces."""
+    import sentencepiece
+    raw = pieces.read_model(pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    odd = ["  two  spaces ", " ", "   ", "a ", " b", "a▁b", "▁", "▁▁ x", "tab\tline\n end", "日本語 😀", "a\x00b  c", "", None, "word" * 500]
+    texts = [(i, f"rare{i} the house {'Ω' * (i % 5)} end", "en", "a") for i in range(4500)] + [(9000 + i, t, "en", "a") for i, t in enumerate(odd)]
+    want = Counter(i for _, t, *_ in texts for i in library.encode(t or ""))
+    counts = pieces.piece_counts(made(texts, spark), raw)
+    assert {i: int(n) for i, n in enumerate(counts) if n} == dict(want)
+    fitted = pieces.fitted(made(texts, spark), pieces.MODEL, "doc_id", "text")
+    assert np.array_equal(fitted.scores, pieces.load(raw, counts).scores)
+
+
 def best_score(v, text):
     """Highest sum of scores over all cuts of a text, unknown characters as in the operator."""
     by = {p: s for i, (p, s) in enumerate(zip(v.pieces, v.scores)) if i > 258}
