@@ -6,8 +6,8 @@ Content-Encoding says; digests and lengths of the payload are those of the full
 
 The index reads the archives once. Its entries (reversed-host key, record, file, offset, length) are range-sorted and
 packed into deflated blocks; the first key of each block is the sparse directory. A lookup finds the block in the
-directory, searches the block by bisection and reads the one range of the one file. archived() reads every record, so it
-reads the archives from first to last byte instead and joins the index.
+directory, searches the block by bisection and reads the one range of the one file. archived() looks up every capture: the
+index's entries meet their archive by file, and each record is cut from the range that its entry names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from docguard.session import new_path
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 INDEX = "block long, first_key string, last_key string, n_entries int, packed binary"
+ARCHIVES_PER_TASK = 16  # read by ranges
 ENTRY = "url_key string, record string, file string, offset long, length long"
 
 
@@ -195,10 +196,11 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
 
 
 def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFrame:
-    """Every capture of the index with what its record holds, payloads read whole and checked against their digests.
+    """Every capture of the index, read from its range and checked against its entry and its digest.
 
-    Archives are read in place; what the records say meets the index by file, offset and length, so that only
-    rows of a hundred bytes move. Returns page_id, payload_bytes, payload_digest, record_type, refers_to.
+    What no entry names is not read as a record. An archive moves once, to the ranges of its captures, which the writer's bound
+    on the records of a file bounds; the ranges are hashed, so archives are neither sorted nor held.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to.
     """
 
     def read(batches):
@@ -211,26 +213,28 @@ def read_records(spark: SparkSession, archives: str, index: DataFrame) -> DataFr
             digits = name.removeprefix("<urn:page:").removesuffix(">")
             return None if digits == "null" else int(digits)
 
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["file", "offset", "length", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
             for i in range(batch.num_rows):
-                file, data, at, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), 0, []
-                while at < len(data):
-                    head, payload, length = parsed(data, at)
+                data, rows = batch.column(0)[i].as_buffer(), []
+                for entry in batch.column(1)[i].as_py():
+                    head, payload, length = parsed(data.slice(entry["offset"], entry["length"]).to_pybytes())
+                    if (head["WARC-Record-ID"], length) != (entry["record"], entry["length"]):
+                        raise ValueError(f"the index has {entry['record']} where {head['WARC-Record-ID']} is")
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                     if payload is not None and (base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)) != (digest, size):
                         raise ValueError(f"{head['WARC-Record-ID']} does not match its digest")
                     refers = head.get("WARC-Refers-To")
-                    rows.append((file, at, length, number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], number(refers) if refers else None))
-                    at += length
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    records = archive_files(spark, archives).mapInArrow(
-        read, "file string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return captures(index).select("file", "offset", "length").join(records, ["file", "offset", "length"]).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+                    rows.append((number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], number(refers) if refers else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    # as many tasks as shuffles have, more where the counted archives need them
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-archive_files(spark, archives).select("path").count() // ARCHIVES_PER_TASK))
+    wanted = captures(index).groupBy("file").agg(F.collect_list(F.struct("record", "offset", "length")).alias("entries"))
+    ranges = archive_files(spark, archives).repartition(n, "path").join(
+        wanted.repartition(n, "file").hint("shuffle_hash"), F.col("path") == F.col("file")).select("content", "entries")
+    return ranges.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -497,6 +497,25 @@ def test_archives(spark, tmp_path):
     assert warc.lookup(spark, index, "http://nowhere.example/") == []
 
 
+def test_records_are_read_through_the_index(spark, tmp_path):
+    """What no entry of the index names is not read, be it damaged; an entry that names another record's place is an error."""
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"text {i}") for i in range(7)], "page_id long, url string, html string")
+    files, index = str(tmp_path / "files"), str(tmp_path / "index")
+    warc.write_archives(pages.coalesce(1), files, warc.Handoff(spark, "t"), records_per_file=100)
+    built = warc.build_index(spark, files, index)
+    assert sorted(r.page_id for r in warc.read_records(spark, files, built).collect()) == list(range(7))
+    (archive,) = (tmp_path / "files").glob("part-*")
+    with open(archive, "ab") as f:
+        f.write(b"no record at all")
+    (tmp_path / "files" / f".{archive.name}.crc").unlink(missing_ok=True)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_records(spark, files, built).collect()}
+    assert got == {i: (6, "response") for i in range(7)}
+    data = archive.read_bytes()
+    archive.write_bytes(data.replace(b"urn:page:3", b"urn:page:4"))
+    with pytest.raises(Exception, match="the index has <urn:page:3> where <urn:page:4> is"):
+        warc.read_records(spark, files, built).collect()
+
+
 # --- 8: quality --------------------------------------------------------------------------------------------------
 
 
