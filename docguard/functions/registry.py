@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 RESULT_TYPE = "score double, error string"
 
+#: Texts that a backend sees at once.
+TEXTS = 1_000
+
 # load() -> score(series of texts) -> series of floats
 Loader = Callable[[], Callable[[pd.Series], pd.Series]]
 
@@ -87,19 +91,20 @@ class WindowScorer:
 def window_scorer(name: str, stop_above: float = 0.99) -> WindowScorer:
     """The registered backend over arrays of windows: the first score above the stop value, else the largest.
 
-    All windows of a batch of rows are scored together.  A window that fails gives its row the error and no score.
+    The windows of a batch of rows are scored TEXTS at a time.  A window that fails gives its row the error and no score.
     """
     load, registration = _found(name)
-    make = _batch_scorer
+    make, most = _batch_scorer, TEXTS
 
     def score_rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         run = make(load, name, registration)
         for arrays in batches:
-            windows = [list(a) if a is not None else [] for a in arrays]
-            flat = iter(run([w for row in windows for w in row]))
+            # windows are taken from their rows as they are scored, so that few of them are held twice
+            windows = (w for a in arrays if a is not None for w in a)
+            flat = (s for part in iter(lambda: list(islice(windows, most)), []) for s in run(part))
             rows = []
-            for row in windows:
-                found = [next(flat) for _ in row]
+            for a in arrays:
+                found = list(islice(flat, len(a) if a is not None else 0))
                 error = next((e for _, e in found if e is not None), None)
                 scores = [s for s, _ in found]
                 early = None if error else next((s for s in scores if s > stop_above), None)
@@ -114,6 +119,7 @@ def window_scorer(name: str, stop_above: float = 0.99) -> WindowScorer:
 def scorer(name: str) -> Callable[[str], Column]:
     """The registered backend as a function from column name to struct<score, error>."""
     load, registration = _found(name)
+    most = TEXTS
 
     def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score, broken = None, None
@@ -137,7 +143,7 @@ def scorer(name: str) -> Callable[[str], Column]:
                     rows.append((None, str(problem)))
             return pd.DataFrame(rows, columns=["score", "error"])
 
-        for texts in batches:
+        for texts in (batch.iloc[at:at + most] for batch in batches for at in range(0, max(1, len(batch)), most)):
             if broken is not None:
                 yield pd.DataFrame({"score": [None] * len(texts), "error": [broken] * len(texts)})
                 continue

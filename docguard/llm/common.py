@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docguard.session import new_path, removed
+from docguard.session import new_path, removed, small_batches  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,20 +24,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Rows of an Arrow batch between the JVM and its workers, for rows as long as texts.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have the session move texts in batches of some megabytes, unless it names a size of its own.
-
-    Ten thousand texts a batch, the default, are held several times over by the JVM and by each worker.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10_000:
-        spark.conf.set(name, BATCH_ROWS)
-
-
 class Handoff:
     """Written tables in the shared folder; drop() removes those that no later step reads."""
 

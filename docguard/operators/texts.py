@@ -16,6 +16,7 @@ from docguard.functions.phrases import PhraseIndex
 from docguard.functions.signals import confidence, label_code
 from docguard.operators.features import replaced
 from docguard.operators.linear import LinearTextModel, windowed_probability, with_window_scores
+from docguard.session import small_batches
 
 INFERENCE_ORDER = ("ocr_text", "text", "prompt")
 TRAINING_ORDER = ("text", "ocr_text", "prompt")
@@ -123,6 +124,8 @@ def sliding_window_score(df: DataFrame, scorer: Scorer, id_column: str = "sample
         return scored.selectExpr(id_column, f"{windowed_probability(stop_above)} AS malicious_probability", "bigint(size(_scores)) AS n_windows")
     known = f"coalesce({text}, '')"
     plain = isinstance(scorer, TextScorer)
+    if not plain:
+        small_batches(df.sparkSession)
     prepared = df.selectExpr(id_column, f"{scorer.prepare(known) if plain else known} AS _text", "monotonically_increasing_id() AS _row")
     worded = prepared.selectExpr("*", f"{T.tokens('_text')} AS _words")
     windows = worded.selectExpr(id_column, "_row", f"inline({T.text_windows('_text', '_words', size, stride)}) AS (start, window_text)")

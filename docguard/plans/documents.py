@@ -23,6 +23,7 @@ from docguard.operators.linear import LinearTextModel, compiled, windowed_probab
 from docguard.operators.model import RiskModel, risk_probability
 from docguard.operators.rules import evaluate_rules
 from docguard.operators.texts import TextScorer, heuristic_scores, windowed_score
+from docguard.session import small_batches
 
 # What a document without an image has instead of vision signals.
 NO_IMAGE = {
@@ -73,6 +74,7 @@ def prompt_scores(df: DataFrame, scorer: AnyScorer) -> DataFrame:
     if isinstance(scorer, LinearTextModel):
         return replaced(with_window_scores(df, scorer), {
             "prompt_score": windowed_probability(), "prompt_error": "cast(null as string)"}).drop("_scores")
+    small_batches(df.sparkSession)
     windows = f"transform({text_windows('text', '_words', 510, 256)}, w -> w.text)"
     cut = df.selectExpr("*", f"{tokens('text')} AS _words").selectExpr("*", f"{windows} AS _windows")
     scored = cut.withColumn("_scored", scorer.score("_windows"))

@@ -172,3 +172,29 @@ def test_a_worker_keeps_the_last_registration():
     assert kept("n", "1", lambda: "one") == "one" and kept("n", "1", lambda: 1 / 0) == "one"
     assert kept("n", "2", lambda: "two") == "two" and kept("n", "1", lambda: "again") == "again"
     assert [v for k, v in registry._LOADED.items() if k == "n"] == [("1", "again")]
+
+
+def test_backends_see_few_texts_at_once(spark):
+    """The score is the number of texts that came with it: a bound on what a worker holds, whatever the table's size."""
+    from docguard.functions import registry
+    from docguard.operators.texts import sliding_window_score
+    from docguard.plans.documents import prompt_scores
+
+    def load():
+        return lambda texts: texts.map(lambda t: float(len(texts)))
+
+    registry.register("counted", load)
+    docs = spark.range(3500).selectExpr("string(id) AS sample_id", "if(id = 7, repeat('word ', 1500), 'short text') AS text").coalesce(1)
+    rows = sliding_window_score(docs, lambda text: registry.scorer("counted")(text)["score"], stop_above=1e9)
+    assert rows.count() == 3500 and rows.selectExpr("max(malicious_probability)").first()[0] <= registry.TEXTS
+    rows = prompt_scores(docs, registry.window_scorer("counted", stop_above=1e9)).select("sample_id", "prompt_score", "prompt_error")
+    found = rows.collect()
+    assert len(found) == 3500 and all(r.prompt_error is None and 1 <= r.prompt_score <= registry.TEXTS for r in found)
+
+
+def test_streamed_copies_are_written_by_several_tasks():
+    """No step of the query brings a whole arrival to one task."""
+    import inspect
+
+    from checks import models
+    assert "coalesce(1)" not in inspect.getsource(models.stream_decisions_once)
