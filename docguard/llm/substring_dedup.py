@@ -25,6 +25,7 @@ from docguard.llm.common import Handoff, mixed, rolling, slice_hashes, small_bat
 
 LAST = (1 << 63) - 1  # rows without an id come after all others
 BLOCK = 1 << 18  # bytes hashed at once, so that working arrays have a few megabytes
+ROWS = 1 << 13  # byte slices laid out at once
 TABLES: list[str] = []
 
 
@@ -330,7 +331,7 @@ class Chunk:
     def removed(self, results) -> np.ndarray:
         """Which bytes go: those of strings that begin in a document with a smaller id."""
         length = self.settings.length
-        steps = np.zeros(len(self.data) + 1, np.int64)
+        steps = np.zeros(len(self.data) + 1, np.int32)
         masks = {(r["kind"], r["bucket"]): opened(r["masks"]) for r in results or []}
         if len(self.lead):
             marks = np.concatenate([np.frombuffer(masks[0, int(b)], np.uint64) for b in np.unique(self.record_bucket)])
@@ -373,11 +374,12 @@ def suffix_order(matrix: np.ndarray, key: np.ndarray):
 def ragged_matrix(flat: np.ndarray, begin: np.ndarray, counts: np.ndarray, width: int, reverse: bool = False) -> np.ndarray:
     """Byte slices as rows of one width, filled with zeros, from their end if `reverse`."""
     out = np.zeros((len(begin), width), np.uint8)
-    total = int(counts.sum())
-    row = np.repeat(np.arange(len(begin)), counts)
-    inner = np.arange(total) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    source = np.repeat(begin + counts - 1, counts) - inner if reverse else np.repeat(begin, counts) + inner
-    out[row, inner] = flat[source]
+    for at in range(0, len(begin), ROWS):  # places of bytes take eight times as much as the bytes
+        b, n = begin[at:at + ROWS], counts[at:at + ROWS]
+        row = np.repeat(np.arange(at, at + len(b)), n)
+        inner = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        source = np.repeat(b + n - 1, n) - inner if reverse else np.repeat(b, n) + inner
+        out[row, inner] = flat[source]
     return out
 
 

@@ -628,3 +628,20 @@ def test_empty_tables(spark):
     assert warc.archived(pages).count() == 0
     chat = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert reply_trees.digests(reply_trees.format_trees(reply_trees.chained(chat, "conv_id", "turn", "role", "text"))).count() == 0
+
+
+def test_slices_are_laid_out_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 50, 100_000)
+    begin, flat = np.concatenate([[0], np.cumsum(counts)[:-1]]), rng.integers(97, 123, int(counts.sum()), dtype=np.uint8)
+    tracemalloc.start()
+    out = substring_dedup.ragged_matrix(flat, begin, counts, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    back = substring_dedup.ragged_matrix(flat, begin, counts, 50, reverse=True)
+    assert peak < 4 * out.nbytes
+    for i in (0, 1, 8191, 8192, 99_999):
+        x = flat[begin[i]:begin[i] + counts[i]]
+        assert out[i].tobytes() == x.tobytes().ljust(50, b"\0") and back[i].tobytes() == x[::-1].tobytes().ljust(50, b"\0")
