@@ -60,8 +60,9 @@ def with_window_scores(df: DataFrame, model: LinearTextModel, text: str = "text"
     add = "0.0D, (total, x) -> total + x"
     worded = df.withColumn("_weights", model.frame(df.sparkSession).select("weights").scalar()).selectExpr(
         "*", f"{T.tokens(f"lower(coalesce({text}, ''))")} AS _words")
+    # a word holds no space; a pattern given to split would be compiled for every word, the one of regexp_replace is kept
     weighed = worded.selectExpr(
-        *columns, f"transform(_words, w -> aggregate(transform(split(w, '{pattern}'), t -> {weight}), {add})) AS _sums")
+        *columns, f"transform(_words, w -> aggregate(transform(split(regexp_replace(w, '{pattern}', ' '), ' '), t -> {weight}), {add})) AS _sums")
     starts = f"if(size(_sums) <= {size}, array(0), sequence(0, greatest(size(_sums) - 1, 0), {stride}))"
     margin = f"{num(model.intercept)} + aggregate(slice(_sums, s + 1, {size}), {add})"
     return weighed.selectExpr(*columns, f"transform({starts}, s -> 1.0D / (1.0D + exp(-({margin})))) AS _scores")
