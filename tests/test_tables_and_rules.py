@@ -198,3 +198,11 @@ def test_streamed_copies_are_written_by_several_tasks():
 
     from checks import models
     assert "coalesce(1)" not in inspect.getsource(models.stream_decisions_once)
+
+
+def test_rows_of_one_file_are_worked_off_by_several_tasks(spark):
+    """A file of one row group is read by one task; the costly steps on its rows are not."""
+    from checks.inputs import pages
+
+    parts = pages(spark, "/root/testdata/sf0.1").selectExpr("spark_partition_id() AS part", "size(boxes) AS n").groupBy("part").agg({"n": "sum"}).collect()
+    assert len(parts) > 1
