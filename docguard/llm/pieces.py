@@ -19,7 +19,7 @@ from docguard.llm.common import slabs, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the least piece
-KEPT_BYTES = 24 << 20  # of segments and ids in a worker's cache; it starts anew beyond
+KEPT_BYTES = 32 << 20  # of segments and ids in a worker's cache; the half that was not seen lately goes
 COUNTED_BYTES = 16 << 20  # of segments and their counts that a task holds before it hands them on
 SMOOTHING = 0.5  # added to each piece's count
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -87,34 +87,33 @@ class Pieces:
         last = max(cell.values()) + width + 1
         self.base, self.check, self.piece = (np.concatenate([x, np.full(width, -1, np.int32)])[:last + 1] for x in (base, check, of))
 
-    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The child of each node by character code, or -1."""
-        to = self.base[nodes] + codes
-        return np.where((nodes >= 0) & (codes > 0) & (self.check[to] == nodes), to, -1)
-
     def best(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over rows of equal length (characters by row): per end position the last piece and where it begins.
 
-        All rows go forward together. -1 as a piece is an unknown character. Of equal sums the earlier begin stays.
+        All rows go forward together, from each begin those that still follow the trie. -1 as a piece is an unknown character.
+        Of equal sums the earlier begin stays.
         """
         n, length = chars.shape
-        codes = self.code[chars]
+        codes = np.ascontiguousarray(self.code[chars].T)
         score = np.full((length + 1, n), -np.inf)
         score[0] = 0
         piece, begin = np.full((length + 1, n), -1, np.int32), np.zeros((length + 1, n), np.int32)
         for i in range(length):
-            node, single = np.zeros(n, np.int32), np.zeros(n, bool)
+            rows, node, single = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool)
             for j in range(i, min(length, i + self.longest)):
-                node = self.step(node, codes[:, j])
-                found = np.flatnonzero(node >= 0)
-                if not len(found):
+                code = codes[j, rows]
+                to = self.base[node] + code
+                on = np.flatnonzero((code > 0) & (self.check[to] == node))
+                if not len(on):
                     break
-                of = self.piece[node[found]]
-                found, of = found[of >= 0], of[of >= 0]
+                rows, node = rows[on], to[on]
+                of = self.piece[node]
+                whole = np.flatnonzero(of >= 0)
+                found, of = rows[whole], of[whole]
                 if j == i:
                     single[found] = True
                 total = score[i, found] + self.scores[of]
-                better = total > score[j + 1, found]
+                better = np.flatnonzero(total > score[j + 1, found])
                 where = found[better]
                 score[j + 1, where], piece[j + 1, where], begin[j + 1, where] = total[better], of[better], i
             alone = ~single & (score[i] + self.floor > score[i + 1])
@@ -156,23 +155,38 @@ class Pieces:
             at = int(begin[at])
         return out[::-1]
 
-    def segments_ids(self, segments: list[str], widest: int = 48) -> list[list[int]]:
-        """Ids of each segment: short ones in groups of equal length, long ones each by itself."""
-        out: list[list[int]] = [[]] * len(segments)
+    def segments_bytes(self, segments: list[str], widest: int = 48) -> list[bytes]:
+        """Ids of each segment as 32-bit integers: short ones in groups of equal length, long ones each by itself."""
+        out = [b""] * len(segments)
         by: dict[int, list[int]] = {}
         for k, s in enumerate(segments):
             if len(s) > widest:
-                out[k] = self.long_segment(s)
+                out[k] = np.array(self.long_segment(s), np.int32).tobytes()
             elif s:
                 by.setdefault(len(s), []).append(k)
         for length, rows in by.items():
-            chars = np.frombuffer("".join(segments[k] for k in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+            chars = np.frombuffer("".join([segments[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
             piece, begin = self.best(chars)
-            pieces, begins = piece.T.tolist(), begin.T.tolist()
-            for k, p, b in zip(rows, pieces, begins):
-                out[k] = self._back(segments[k], p, b)
+            # all rows go back together, written from their ends
+            steps, left, at = np.full((len(rows), length), -2, np.int32), np.arange(len(rows)), np.full(len(rows), length, np.int32)
+            for k in range(length - 1, -1, -1):
+                steps[left, k], at = piece[at, left], begin[at, left]
+                more = np.flatnonzero(at)
+                left, at = left[more], at[more]
+                if not len(left):
+                    break
+            used = steps > -2
+            data, ends = steps[used].tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+            for k, x, y in zip(rows, [0, *ends], ends):
+                out[k] = data[x:y]
+            for r in np.flatnonzero((steps == -1).any(axis=1)).tolist():  # unknown characters become bytes
+                out[rows[r]] = np.array(self._back(segments[rows[r]], piece[:, r].tolist(), begin[:, r].tolist()), np.int32).tobytes()
         return out
 
+    def segments_ids(self, segments: list[str], widest: int = 48) -> list[list[int]]:
+        """As segments_bytes(), as lists."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.segments_bytes(segments, widest)]
+
 
 def segment_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(segment, n): how often each segment occurs in all texts, as the library takes it: its first marker goes, others are spaces."""
@@ -271,15 +285,14 @@ def fitted(docs: DataFrame, model: str, id_column: str, text: str) -> Pieces:
     return load(raw, piece_counts(docs, raw, id_column, text))
 
 
-_CACHE: dict = {"of": None, "known": {}, "bytes": 0}
+_CACHE: dict = {"of": None, "known": {}, "older": {}, "bytes": 0}
 
 
 def with_cache(vocabulary: Pieces) -> Pieces:
     """The vocabulary with this worker process's ids of segments seen so far; there is one cache, for the last vocabulary."""
     key = (len(vocabulary.pieces), vocabulary.floor, hash(tuple(vocabulary.pieces)), hash(vocabulary.scores.tobytes()))
     if _CACHE["of"] != key:
-        _CACHE.update(of=key, known={}, bytes=0)
-    vocabulary.known = _CACHE["known"]
+        _CACHE.update(of=key, known={}, older={}, bytes=0)
     return vocabulary
 
 
@@ -295,14 +308,15 @@ def encode_all(vocabulary: Pieces, texts: list[str]) -> list[np.ndarray]:
     segments. Those not seen before in this worker go through the trie together, all of a length at once.
     """
     split = [segments_of(t) for t in texts]
-    known = vocabulary.known
-    fresh = list({s for segments in split for s in segments if s not in known})
-    if _CACHE["bytes"] > KEPT_BYTES:
-        known.clear()
-        _CACHE["bytes"] = 0
-        fresh = list({s for segments in split for s in segments})
-    known.update(zip(fresh, (np.array(x, np.int32).tobytes() for x in vocabulary.segments_ids(fresh))))
-    _CACHE["bytes"] += sum(100 + 2 * len(s) + len(known[s]) for s in fresh)  # with what the objects take themselves
+    if _CACHE["bytes"] > KEPT_BYTES // 2:
+        _CACHE.update(known={}, older=_CACHE["known"], bytes=0)
+    known, older = _CACHE["known"], _CACHE["older"]
+    missing = set().union(*split).difference(known)
+    added = {s: older[s] for s in missing if s in older}  # what is seen again stays
+    fresh = [s for s in missing if s not in added]
+    added.update(zip(fresh, vocabulary.segments_bytes(fresh)))
+    known.update(added)
+    _CACHE["bytes"] += sum([100 + 2 * len(s) + len(x) for s, x in added.items()])  # with what the objects take themselves
     return [np.frombuffer(b"".join([known[s] for s in segments]), np.int32) for segments in split]
 
 

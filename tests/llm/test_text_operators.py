@@ -453,6 +453,22 @@ def test_pieces_are_no_worse_than_the_library_in_unigram_mode():
         assert sum(vocabulary.scores[i] for i in ids) >= sum(vocabulary.scores[i] for i in theirs)
 
 
+def test_segments_seen_again_stay_known(vocabulary, monkeypatch):
+    """A full cache loses what was not seen lately; a segment of every batch is encoded once. Ids are those of an empty cache."""
+    pieces.with_cache(vocabulary)
+    pieces._CACHE.update(known={}, older={}, bytes=0)
+    batches = [["house under " + " ".join(f"w{b}x{k}" for k in range(40)), f"a▁b ☃{b} 𝕏", ""] for b in range(30)]
+    want = [[vocabulary.long_segment(s) for s in pieces.segments_of(t)] for texts in batches for t in texts]
+    asked = Counter()
+    encode = vocabulary.segments_bytes
+    monkeypatch.setattr(vocabulary, "segments_bytes", lambda segments: asked.update(segments) or encode(segments), raising=False)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+    got = [ids.tolist() for texts in batches for ids in pieces.encode_all(vocabulary, texts)]
+    assert got == [sum(x, []) for x in want]
+    assert asked["▁house"] == asked["▁under"] == 1
+    assert len(pieces._CACHE["known"]) + len(pieces._CACHE["older"]) < 400 < len(asked)
+
+
 def test_long_segments_equal_short_ones(vocabulary):
     pieces.with_cache(vocabulary)
     text = "▁" + "thinkingwater" * 3
