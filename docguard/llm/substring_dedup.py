@@ -3,8 +3,10 @@
 A rolling hash of the bytes triggers where phrases end: each string of the given length has a trigger, the least hash
 among its 16-byte strings, and equal strings have it at the same place. So the string is a suffix of the phrase before
 the trigger and the begin of what the parse goes on with. Most triggers occur in one document only; they are found by
-shuffling four bytes for each and play no further part. For the rest, phrases and continuations meet by trigger. Both
-are sorted: phrases from their ends, which is the suffix array of the dictionary, and continuations, which is that of
+shuffling four bytes for each and play no further part. The rest are compared by hashes: a phrase with its continuation
+(a record) that an earlier document holds as a whole needs nothing more, since all its strings go, and one that shares the
+bytes halfway round its trigger with no other record shares no string with any. What remains is a dictionary of distinct
+records, each sent by the document that has it first. In it, phrases and continuations meet by trigger. Both are sorted: phrases from their ends, which is the suffix array of the dictionary, and continuations, which is that of
 the parse. With the lengths of common prefixes of neighbours, a string's place in corpus order is the pair of its
 ranks, and the strings of equal rank are one class with a first document.
 
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, mixed, rolling, slice_hashes, small_batches, text_bytes
+from docguard.llm.common import Handoff, mixed, rolling, small_batches, text_bytes
 
 LAST = (1 << 63) - 1  # rows without an id come after all others
 BLOCK = 1 << 18  # bytes hashed at once, so that working arrays have a few megabytes
@@ -93,7 +95,7 @@ def known_keys(side) -> tuple[np.ndarray, np.ndarray]:
     for part in side or []:
         k = opened_keys(part["keys"])
         known.append(np.uint64(part["bucket"]) << np.uint64(32) | k.astype(np.uint64))
-        hot.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(k)).astype(bool))
+        hot.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(k)).astype(bool) if "hot" in part else np.zeros(len(k), bool))
     known, hot = np.concatenate(known), np.concatenate(hot)
     order = np.argsort(known)
     return known[order], hot[order]
@@ -232,124 +234,193 @@ def trigger_keys(chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
     return chunks.select("chunk", "ids", "sizes", "packed").mapInArrow(run, "bucket int, chunk long, keys binary")
 
 
+def shared_of(parts: list[np.ndarray], hot: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each chunk's keys those that occur twice or more in all, once each, and which of these do `hot` times."""
+    key = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(key, kind="stable")
+    k, o = key[order], owner[order]
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+    copies = np.diff(edges)
+    keep = np.repeat(copies > 1, copies)
+    once = np.ones(len(k), bool)
+    once[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    keep &= once
+    k, o, often = k[keep], o[keep], np.repeat(copies >= hot, copies)[keep]
+    order = np.lexsort((k, o))
+    k, o, often = k[order], o[order], often[order]
+    edges = np.searchsorted(o, np.arange(len(parts) + 1))
+    return [(k[x:y], often[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+
+
 def shared_keys(keys: DataFrame, settings: Settings) -> DataFrame:
     """(chunk, bucket, keys, hot): of each chunk's keys those that two documents have, and which of these are hot."""
 
     def run(table):
         import pyarrow as pa
 
-        parts = [opened_keys(x.as_py()) for x in table.column("keys")]
-        key = np.concatenate(parts)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.argsort(key, kind="stable")
-        k, o = key[order], owner[order]
-        edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-        copies = np.diff(edges)
-        keep = np.repeat(copies > 1, copies)
-        once = np.ones(len(k), bool)
-        once[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        keep &= once
-        k, o, hot = k[keep], o[keep], np.repeat(copies >= settings.hot, copies)[keep]
-        order = np.lexsort((k, o))
-        k, o, hot = k[order], o[order], hot[order]
-        edges = np.searchsorted(o, np.arange(len(parts) + 1))
-        some = [i for i in range(len(parts)) if edges[i + 1] > edges[i]]
+        found = shared_of([opened_keys(x.as_py()) for x in table.column("keys")], settings.hot)
+        some = [i for i, (k, _) in enumerate(found) if len(k)]
         chunk, bucket = table.column("chunk").to_numpy(), table.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array(chunk[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()),
-                         "keys": pa.array([packed_keys(k[edges[i]:edges[i + 1]]) for i in some], pa.binary()),
-                         "hot": pa.array([np.packbits(hot[edges[i]:edges[i + 1]]).tobytes() for i in some], pa.binary())})
+                         "keys": pa.array([packed_keys(found[i][0]) for i in some], pa.binary()),
+                         "hot": pa.array([np.packbits(found[i][1]).tobytes() for i in some], pa.binary())})
 
     return keys.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, keys binary, hot binary")
 
 
+#: The keys of a chunk that shares none.
+NOTHING = packed_keys(np.zeros(0, np.uint32))
+
+#: Kinds of payloads: records and strings at hot triggers to be ranked; before that records' prints and their contexts' keys.
+RECORDS, STRINGS, PRINTS, CONTEXTS = range(4)
+
+
 class Chunk:
-    """A chunk with its shared triggers: the records and hot strings to be ranked, and what comes of their ranks."""
+    """A chunk with its shared triggers: what of its records is to be compared, what then is to be ranked, and what comes of it.
+
+    Results are (kind, bucket, masks) of the rounds so far, in the order of the payloads.
+    """
 
     def __init__(self, ids, sizes, data: bytes, side, n: int, settings: Settings):
-        self.settings, self.ids = settings, ids
+        self.settings, self.ids, self.n = settings, ids, n
         self.data, self.offsets = content(data, sizes)
         place, first, last, doc, h = triggered(self.data, self.offsets, settings)
         bucket, key = dealt(h, n)
         both = bucket.astype(np.uint64) << np.uint64(32) | key
         known, hot = known_keys(side)
         at = np.minimum(np.searchsorted(known, both), max(0, len(known) - 1))
-        shared = known[at] == both if len(known) else np.zeros(len(both), bool)
-        is_hot = shared & hot[at] if len(known) else shared
-        self.place, self.first, self.last, self.owner = place, first, last, self.ids[doc] if len(doc) else doc
-        self.bucket, self.key = bucket, key
-        self._records(np.flatnonzero(shared & ~is_hot))
-        self._strings(np.flatnonzero(is_hot), n)
-
-    def _records(self, rows: np.ndarray) -> None:
-        """Distinct (bucket, key, bytes around the trigger) with their least id; `of` gives each row's record."""
-        length = self.settings.length
-        begin, end = self.first[rows], self.last[rows] + length
-        prints = slice_hashes(self.data, begin, end) if len(rows) else np.zeros(0, np.uint64)
-        prints = mixed(prints ^ (self.place[rows] - begin).astype(np.uint64))
-        order = np.lexsort((self.owner[rows], prints, self.key[rows], self.bucket[rows]))
-        b, k, p, o = (x[order] for x in (self.bucket[rows], self.key[rows], prints, self.owner[rows]))
-        new = np.ones(len(rows), bool)
-        new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-        self.rows, head = rows[order], np.flatnonzero(new)
-        self.of, self.lead = np.cumsum(new) - 1, self.rows[head]
-        self.least, self.record_bucket = o[head], b[head]
-
-    def _strings(self, rows: np.ndarray, n: int) -> None:
-        """Distinct hashes of the strings at hot triggers with their least id."""
-        counts = self.last[rows] - self.first[rows] + 1
-        self.hot_begin = np.repeat(self.first[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(rows) else rows
-        self.hot_owner = np.repeat(self.owner[rows], counts)
-        h = slice_hashes(self.data, self.hot_begin, self.hot_begin + self.settings.length) if len(rows) else np.zeros(0, np.uint64)
-        check = np.repeat(self.key[rows], counts)
-        bucket = (h % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((self.hot_owner, check, h, bucket))
-        b, v, c = bucket[order], h[order], check[order]
+        shared = np.flatnonzero(known[at] == both) if len(known) else np.zeros(0, np.int64)
+        self.place, self.first, self.last, self.owner = (x[shared] for x in (place, first, last, self.ids[doc] if len(doc) else doc))
+        self.bucket, self.key, self.hot = bucket[shared], key[shared], hot[at[shared]] if len(known) else np.zeros(0, bool)
+        if len(shared):
+            self.sums, self.down = rolling(self.data)
+            self._records()
+
+    def _hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each slice."""
+        return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+
+    def _records(self) -> None:
+        """Distinct (bytes around the trigger, its place in them) with their least id, by the print's bucket; `of` gives each row's record."""
+        begin, end = self.first, self.last + self.settings.length
+        prints = mixed(self._hashes(begin, end) ^ (self.place - begin).astype(np.uint64))
+        part = (prints % np.uint64(self.n)).astype(np.int64)
+        order = np.lexsort((self.owner, self.key, prints, part))
+        p, k = prints[order], self.key[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
+        self.rows, head = order, np.flatnonzero(new)
+        self.of, self.lead = np.cumsum(new) - 1, order[head]
+        self.prints, self.print_bucket, self.least = p[head], part[order][head], self.owner[self.lead]
+
+    def _contexts(self):
+        """Bucket, key and record of what each string of a record holds one of: half of its bytes beside the trigger, on either side."""
+        length, k = self.settings.length, self.settings.trigger
+        before = (length - k + 1) // 2
+        after = length - k - before + 1
+        place = self.place[self.lead]
+        left = np.flatnonzero(place - self.first[self.lead] >= before)
+        right = np.flatnonzero(self.last[self.lead] + length - place >= k + after)
+        h = np.concatenate([self._hashes(place[left] - before, place[left] + k), mixed(~self._hashes(place[right], place[right] + k + after))])
+        return (*dealt(h, self.n), np.concatenate([left, right]))
+
+    def to_compare(self):
+        """(bucket, kind, packed bytes) of the records' prints and contexts."""
+        if not len(self.place):
+            return
+        for bucket, x, y in runs(self.print_bucket):
+            yield bucket, PRINTS, packed_hashes(self.prints[x:y], self.key[self.lead[x:y]], self.least[x:y])
+        buckets, keys = key_rows(*self._contexts())
+        yield from ((int(b), CONTEXTS, k) for b, k in zip(buckets, keys))
+
+    def _settle(self, results) -> dict:
+        """Which records an earlier document holds as a whole, and those to be ranked: records by trigger, strings of hot ones by hash."""
+        masks = {(r["kind"], r["bucket"]): opened(r["masks"]) for r in results if r["kind"] != CONTEXTS}
+        self.earlier = np.concatenate([np.frombuffer(masks[PRINTS, b], np.uint8) for b, _, _ in runs(self.print_bucket)]).astype(bool)
+        bucket, key, record = self._contexts()
+        known, _ = known_keys([{"bucket": r["bucket"], "keys": r["masks"]} for r in results if r["kind"] == CONTEXTS])
+        both = bucket.astype(np.uint64) << np.uint64(32) | key
+        near = np.zeros(len(self.lead), bool)
+        if len(known):
+            near[record[known[np.minimum(np.searchsorted(known, both), len(known) - 1)] == both]] = True
+        near &= ~self.earlier
+        plain, hot = np.flatnonzero(near & ~self.hot[self.lead]), np.flatnonzero(near & self.hot[self.lead])
+        self.plain = plain[np.argsort(self.bucket[self.lead[plain]], kind="stable")]
+        self.plain_bucket = self.bucket[self.lead[self.plain]]
+        self._strings(hot)
+        return masks
+
+    def _strings(self, records: np.ndarray) -> None:
+        """Distinct hashes of the strings of records at hot triggers with their least id."""
+        lead = self.lead[records]
+        counts = self.last[lead] - self.first[lead] + 1
+        begin = np.repeat(self.first[lead] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        record, check = np.repeat(records, counts), np.repeat(self.key[lead], counts)
+        h = self._hashes(begin, begin + self.settings.length)
+        bucket = (h % np.uint64(self.n)).astype(np.int64)
+        order = np.lexsort((self.least[record], check, h, bucket))
+        v, c = h[order], check[order]
         new = np.ones(len(order), bool)
         new[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
         head = np.flatnonzero(new)
-        self.hot_order, self.hot_of = order, np.cumsum(new) - 1
-        self.hot_hash, self.hot_check, self.hot_bucket, self.hot_least = v[head], c[head], b[head], self.hot_owner[order][head]
+        self.hot_of, self.hot_record, self.hot_begin = np.cumsum(new) - 1, record[order], begin[order]
+        self.hot_hash, self.hot_check, self.hot_bucket, self.hot_least = v[head], c[head], bucket[order][head], self.least[record[order][head]]
 
-    def payloads(self):
+    def to_rank(self, results):
         """(bucket, kind, packed bytes) of what is to be ranked."""
+        if not len(self.place):
+            return
+        self._settle(results)
         length = self.settings.length
-        for kind, buckets in ((0, self.record_bucket), (1, self.hot_bucket)):
-            if not len(buckets):
-                continue
-            edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
-            for x, y in zip(edges[:-1], edges[1:]):
-                if kind:
-                    parts = [self.hot_hash[x:y], self.hot_check[x:y], self.hot_least[x:y]]
-                else:
-                    lead = self.lead[x:y]
-                    left, right = self.place[lead] - self.first[lead], self.last[lead] + length - self.place[lead]
-                    counts = left + right
-                    at = np.repeat(self.first[lead] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                    parts = [self.key[lead], self.least[x:y], left.astype(np.uint8), right.astype(np.uint8), self.data[at]]
-                yield int(buckets[x]), kind, packed(np.int64(y - x).tobytes() + b"".join(p.tobytes() for p in parts))
+        for bucket, x, y in runs(self.plain_bucket):
+            lead = self.lead[self.plain[x:y]]
+            left, right = self.place[lead] - self.first[lead], self.last[lead] + length - self.place[lead]
+            counts = left + right
+            at = np.repeat(self.first[lead] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            parts = [np.int64([y - x]), self.key[lead], self.least[self.plain[x:y]], left.astype(np.uint8), right.astype(np.uint8), self.data[at]]
+            yield bucket, RECORDS, packed(b"".join([p.tobytes() for p in parts]))
+        for bucket, x, y in runs(self.hot_bucket):
+            yield bucket, STRINGS, packed_hashes(self.hot_hash[x:y], self.hot_check[x:y], self.hot_least[x:y])
 
     def removed(self, results) -> np.ndarray:
         """Which bytes go: those of strings that begin in a document with a smaller id."""
         length = self.settings.length
         steps = np.zeros(len(self.data) + 1, np.int32)
-        masks = {(r["kind"], r["bucket"]): opened(r["masks"]) for r in results or []}
-        if len(self.lead):
-            marks = np.concatenate([np.frombuffer(masks[0, int(b)], np.uint64) for b in np.unique(self.record_bucket)])
-            later = self.owner[self.rows] > self.least[self.of]
+        if len(self.place):
+            masks = self._settle(results)
+            marks = np.zeros(len(self.lead), np.uint64)
+            if len(self.plain):
+                marks[self.plain] = np.concatenate([np.frombuffer(masks[RECORDS, b], np.uint64) for b, _, _ in runs(self.plain_bucket)])
+            if len(self.hot_hash):
+                gone = np.concatenate([np.frombuffer(masks[STRINGS, b], np.uint8) for b, _, _ in runs(self.hot_bucket)]).astype(bool)[self.hot_of]
+                gone |= self.least[self.hot_record] > self.hot_least[self.hot_of]
+                record = self.hot_record[gone]
+                np.bitwise_or.at(marks, record, np.uint64(1) << (self.place[self.lead[record]] - self.hot_begin[gone]).astype(np.uint64))
+            later = (self.owner[self.rows] > self.least[self.of]) | self.earlier[self.of]
+            whole = self.rows[later]  # all strings of the row
+            np.add.at(steps, self.first[whole], 1)
+            np.add.at(steps, self.last[whole] + length, -1)
+            some = ~later & (marks[self.of] > 0)
+            rows, marks = self.rows[some], marks[self.of[some]]
             for j in range(length - self.settings.trigger + 1):
-                begin = self.place[self.rows] - j
-                go = (begin >= self.first[self.rows]) & (begin <= self.last[self.rows]) & (later | (marks[self.of] >> np.uint64(j) & np.uint64(1) > 0))
+                begin = self.place[rows] - j
+                go = (begin >= self.first[rows]) & (begin <= self.last[rows]) & (marks >> np.uint64(j) & np.uint64(1) > 0)
                 np.add.at(steps, begin[go], 1)
                 np.add.at(steps, begin[go] + length, -1)
-        if len(self.hot_hash):
-            marks = np.concatenate([np.frombuffer(masks[1, int(b)], np.uint8) for b in np.unique(self.hot_bucket)]).astype(bool)
-            begin = self.hot_begin[self.hot_order]
-            go = (self.hot_owner[self.hot_order] > self.hot_least[self.hot_of]) | marks[self.hot_of]
-            np.add.at(steps, begin[go], 1)
-            np.add.at(steps, begin[go] + length, -1)
         return np.cumsum(steps[:-1]) > 0
 
 
+def runs(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of sorted buckets."""
+    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]])) if len(buckets) else np.zeros(1, np.int64)
+    return [(int(buckets[x]), int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
+
+
+def packed_hashes(hashes: np.ndarray, checks: np.ndarray, least: np.ndarray) -> bytes:
+    return packed(np.int64(len(hashes)).tobytes() + hashes.tobytes() + checks.tobytes() + np.ascontiguousarray(least.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
 def columns_of(matrix: np.ndarray) -> list[np.ndarray]:
     """Byte rows as big-endian 64-bit columns, the last first, as lexsort takes them."""
     wide = np.zeros((len(matrix), -(-matrix.shape[1] // 8) * 8), np.uint8)
@@ -420,13 +491,14 @@ def ranked_records(parts: list[bytes], settings: Settings) -> list[bytes]:
 
 
 def ranked_strings(parts: list[bytes]) -> list[bytes]:
-    """Per payload, a byte for each hot string: whether it has an earlier document."""
+    """Per payload, a byte for each hash: whether it has an earlier document."""
     hashes, checks, least, sizes = [], [], [], []
     for data in parts:
         n = int(np.frombuffer(data, np.int64, 1)[0])
         hashes.append(np.frombuffer(data, np.uint64, n, 8))
         checks.append(np.frombuffer(data, np.uint32, n, 8 + 8 * n))
-        least.append(np.frombuffer(data, np.int64, n, 8 + 12 * n))
+        planes = np.frombuffer(data, np.uint8, 8 * n, 8 + 12 * n).reshape(8, n)
+        least.append(np.ascontiguousarray(planes.T).view(np.int64).reshape(-1))
         sizes.append(n)
     h, c, d = np.concatenate(hashes), np.concatenate(checks), np.concatenate(least)
     order = np.lexsort((c, h))
@@ -439,20 +511,47 @@ def ranked_strings(parts: list[bytes]) -> list[bytes]:
 
 
 def ranked(payloads: DataFrame, settings: Settings) -> DataFrame:
-    """(chunk, bucket, kind, masks): the payloads of a bucket are ranked together."""
+    """(chunk, bucket, kind, masks): the payloads of a bucket and kind are compared together."""
 
     def run(table):
         import pyarrow as pa
 
-        parts = [opened(x.as_py()) for x in table.column("payload")]
         kind = table.column("kind")[0].as_py()
-        masks = ranked_strings(parts) if kind else ranked_records(parts, settings)
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"),
-                         "masks": pa.array([packed(m) for m in masks], pa.binary())})
+        if kind == CONTEXTS:
+            masks = [packed_keys(k) for k, _ in shared_of([opened_keys(x.as_py()) for x in table.column("payload")], settings.hot)]
+        else:
+            parts = [opened(x.as_py()) for x in table.column("payload")]
+            masks = [packed(m) for m in (ranked_records(parts, settings) if kind == RECORDS else ranked_strings(parts))]
+        out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "masks": pa.array(masks, pa.binary())})
+        return out.filter(pa.array([m != NOTHING for m in masks], pa.bool_())) if kind == CONTEXTS else out
 
     return payloads.groupBy("bucket", "kind").applyInArrow(run, "chunk long, bucket int, kind int, masks binary")
 
 
+def payloads(wanted: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """(chunk, bucket, kind, payload) of chunks with their shared keys: what is to be compared, or with the results of that what is to be ranked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk(batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].as_py(),
+                              batch.column(4)[i].as_py(), n, settings)
+                rows = list(chunk.to_rank(batch.column(5)[i].as_py()) if batch.num_columns > 5 else chunk.to_compare())
+                if rows:
+                    bucket, kind, payload = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())],
+                        ["chunk", "bucket", "kind", "payload"])
+
+    return wanted.mapInArrow(run, "chunk long, bucket int, kind int, payload binary")
+
+
+def by_chunk(masks: DataFrame) -> DataFrame:
+    return masks.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "masks")).alias("results"))
+
+
 def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text", as_text: bool = False,
             hand: Handoff | None = None) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (a struct of the other columns).
@@ -471,24 +570,10 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
     keys = hand.write(shared_keys(trigger_keys(chunks, n, settings), settings), "keys")
     side = keys.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("side"))
 
-    def to_rank(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].as_py(),
-                              batch.column(4)[i].as_py(), n, settings)
-                rows = list(chunk.payloads())
-                if rows:
-                    bucket, kind, payload = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())],
-                        ["chunk", "bucket", "kind", "payload"])
-
     wanted = chunks.select("chunk", "ids", "sizes", "packed").join(side, "chunk").select("chunk", "ids", "sizes", "packed", "side")
-    payloads = wanted.mapInArrow(to_rank, "chunk long, bucket int, kind int, payload binary")
-    masks = hand.write(ranked(payloads, settings), "masks")
-    results = masks.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "masks")).alias("results"))
+    compared = hand.write(ranked(payloads(wanted, n, settings), settings), "compared")
+    masks = hand.write(ranked(payloads(wanted.join(by_chunk(compared), "chunk"), n, settings), settings), "masks")
+    results = by_chunk(compared.unionByName(masks))
 
     def finish(batches):
         import pyarrow as pa

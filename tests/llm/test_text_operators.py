@@ -188,6 +188,37 @@ def expected_removal(rows, length=50):
     return out
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_only_first_records_that_may_share_a_string_are_ranked(spark, hot):
+    """Copies are settled by their prints, short common strings by their contexts; what is ranked does not grow with the copies."""
+    from docguard.llm.common import Handoff
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    body, passage = word(1500), word(200)
+    settings = substring_dedup.Settings(chunk=2000, hot=hot)
+
+    def ranked(texts):
+        docs, hand = made([(i, t, "en", "a") for i, t in enumerate(texts)], spark), Handoff(spark, "test")
+        got = {r.id: bytes(r.kept).decode() for r in substring_dedup.cleaned(docs, settings, hand=hand).collect()}
+        masks = spark.read.parquet(hand.paths["masks"])
+        n = masks.filter(masks.kind.isin(substring_dedup.RECORDS, substring_dedup.STRINGS)).selectExpr("sum(length(masks)) AS n").first().n or 0
+        hand.drop()
+        substring_dedup.drop_tables(spark)
+        return got, n
+
+    few = ranked([body] * 3)[1]
+    got, n = ranked([body] * 30)
+    assert got == {0: body} | {i: "" for i in range(1, 30)} and n <= 1.5 * few
+    common = word(30)
+    texts = [word(700) + common + word(700) for _ in range(30)]
+    got, n = ranked(texts)
+    assert got == dict(enumerate(texts)) and n == 0
+    texts = [word(700) + passage + word(700) for _ in range(30)]
+    got, n = ranked(texts)
+    digests = {i: digest for i, _, _, _, digest in expected_removal(list(enumerate(texts)))}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in got.items()} == digests and n > 0
+
+
 @pytest.mark.parametrize("settings", [substring_dedup.Settings(), substring_dedup.Settings(chunk=2000, hot=2)])
 def test_substrings(spark, texts, settings):
     got = Counter(tuple(r) for r in substring_dedup.substring_digests(made(texts, spark), settings).collect())
