@@ -248,6 +248,20 @@ def test_without_repeats_keeps_columns(spark, texts):
     assert out.columns == docs.columns and out.count() == len(texts)
 
 
+def test_batches_of_long_rows_are_bounded(spark):
+    """Rows of a megabyte, as chunks of texts are, do not come to a worker dozens at once."""
+    from docguard.session import BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    small_batches(spark)
+    rows = spark.range(0, 48, 1, 1).selectExpr("repeat('x', 1 << 20) AS t").mapInArrow(sizes, "n long").collect()
+    assert sum(r.n for r in rows) >= 48 << 20 and max(r.n for r in rows) < 2 * BATCH_BYTES
+
+
 # --- 2: vectors --------------------------------------------------------------------------------------------------
 
 
