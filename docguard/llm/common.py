@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Callable
 
 import numpy as np
@@ -74,6 +77,40 @@ def _powers(n: int, base: int, name: str) -> np.ndarray:
     return have
 
 
+def released() -> None:
+    """Give back what this process holds without use: the powers kept, and freed memory that its allocators keep for later."""
+    import pyarrow as pa
+
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries may have none
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable, forget: Callable[[], None] = released) -> Callable:
+    """A function for mapInArrow or applyInArrow after which, at the end of a task or group, its worker forgets what it kept.
+
+    Workers live on from task to task and through all stages of a session. Else each of them holds the most that any stage
+    left in it, beside what the present one needs.
+    """
+    if inspect.isgeneratorfunction(run):
+        @functools.wraps(run)
+        def tidied(batches):
+            try:
+                yield from run(batches)
+            finally:
+                forget()
+    else:
+        @functools.wraps(run)
+        def tidied(table):
+            try:
+                return run(table)
+            finally:
+                forget()
+    return tidied
+
+
 def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the polynomial hash of a byte buffer, and the powers that bring a slice to position 0."""
     n = len(data)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, lowered, mixed, slice_hashes, small, word_spans
+from docguard.llm.common import Handoff, lowered, mixed, slice_hashes, small, tidy, word_spans
 from docguard.llm.components import connected_components
 from docguard.llm.substring_dedup import (
     LAST, bucketed, chunked, content, dealt, drop_tables, key_buckets, key_rows, known_keys, shared_keys,
@@ -99,7 +99,7 @@ def shingle_keys(chunks: DataFrame, n_buckets: int, settings: Settings) -> DataF
                     [pa.array(buckets), pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
                     ["bucket", "chunk", "keys"])
 
-    return chunks.select("chunk", "sizes", "packed").mapInArrow(run, "bucket int, chunk long, keys binary")
+    return chunks.select("chunk", "sizes", "packed").mapInArrow(tidy(run), "bucket int, chunk long, keys binary")
 
 
 def measured_sets(chunks: DataFrame, side: DataFrame, n_buckets: int, settings: Settings) -> DataFrame:
@@ -147,7 +147,7 @@ def measured_sets(chunks: DataFrame, side: DataFrame, n_buckets: int, settings:
                                                  ["doc_id", "n", "print_a", "print_b", "n_hot", "first", "shared"])
 
     joined = chunks.select("chunk", "ids", "sizes", "packed").join(side, "chunk", "left").select("chunk", "ids", "sizes", "packed", "side")
-    return joined.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, n_hot long, first array<long>, shared array<long>")
+    return joined.mapInArrow(tidy(run), "doc_id long, n long, print_a long, print_b long, n_hot long, first array<long>, shared array<long>")
 
 
 def list_links(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, percent: int):
@@ -286,7 +286,7 @@ def work_lists(members: DataFrame, keys: list[str], settings: Settings, possible
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = members.select(*keys, "sid", "known", "n", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 #: What names a pair of parts of two blocks of one list.

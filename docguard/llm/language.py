@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, lowered, slabs, small, small_batches, text_bytes
+from docguard.llm.common import Handoff, lowered, slabs, small, small_batches, text_bytes, tidy
 
 OTHER = "und"
 
@@ -89,7 +89,7 @@ def count_trigrams(rows: DataFrame, settings: Settings) -> dict[str, tuple[np.nd
                     total = {}
         yield from flushed(total)
 
-    summed = rows.filter(f"declared <> '{OTHER}'").select("declared", "text").mapInArrow(run, "language string, bucket int, n long").groupBy(
+    summed = rows.filter(f"declared <> '{OTHER}'").select("declared", "text").mapInArrow(tidy(run), "language string, bucket int, n long").groupBy(
         "language", "bucket").agg(F.sum("n").alias("n"))
     found = {}
     for r in summed.toLocalIterator():  # a row for each bucket that a language has
@@ -161,7 +161,7 @@ def text_likelihoods(rows: DataFrame, names: list[str], tables: Tables, settings
                 [*others, "n_letters", "n_trigrams", "text_ll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema.fields)
-    return rows.select(*others, "text").mapInArrow(run, schema + ", n_letters long, n_trigrams long, text_ll array<double>")
+    return rows.select(*others, "text").mapInArrow(tidy(run), schema + ", n_letters long, n_trigrams long, text_ll array<double>")
 
 
 def _names(names: list[str]) -> str:

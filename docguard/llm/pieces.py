@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docguard.llm.common import slabs, small_batches
+from docguard.llm.common import released, slabs, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the least piece
-KEPT_BYTES = 32 << 20  # of segments and ids in a worker's cache; the half that was not seen lately goes
+KEPT_BYTES = 32 << 20  # of segments and ids in a task's cache; the half that was not seen lately goes
 COUNTED_BYTES = 16 << 20  # of segments and their counts that a task holds before it hands them on
 SMOOTHING = 0.5  # added to each piece's count
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -216,7 +216,7 @@ def segment_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str = "text", documents: int | None = None) -> np.ndarray:
@@ -249,7 +249,7 @@ def piece_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text:
 
     out = np.zeros(sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size(), np.int64)
     # one row per piece of the vocabulary at most
-    for r in segment_counts(own).mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in segment_counts(own).mapInArrow(tidy(run), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r["piece"]] = r["n"]
     return out
 
@@ -289,13 +289,19 @@ _CACHE: dict = {"of": None, "known": {}, "older": {}, "bytes": 0}
 
 
 def with_cache(vocabulary: Pieces) -> Pieces:
-    """The vocabulary with this worker process's ids of segments seen so far; there is one cache, for the last vocabulary."""
+    """The vocabulary with this process's ids of segments seen so far; there is one cache, for the last vocabulary, which a task's end empties."""
     key = (len(vocabulary.pieces), vocabulary.floor, hash(tuple(vocabulary.pieces)), hash(vocabulary.scores.tobytes()))
     if _CACHE["of"] != key:
         _CACHE.update(of=key, known={}, older={}, bytes=0)
     return vocabulary
 
 
+def forget() -> None:
+    """Empty the cache of this process and give its memory back; the next task fills one of its own."""
+    _CACHE.update(of=None, known={}, older={}, bytes=0)
+    released()
+
+
 def segments_of(text: str) -> list[str]:
     """Markers and what follows up to the next one: a marker goes before a text and takes the place of each space."""
     return _SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -305,7 +311,7 @@ def encode_all(vocabulary: Pieces, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text.
 
     No piece of such a vocabulary holds a marker behind another character, so the best path of a text is that of its
-    segments. Those not seen before in this worker go through the trie together, all of a length at once.
+    segments. Those not seen before in this task go through the trie together, all of a length at once.
     """
     split = [segments_of(t) for t in texts]
     if _CACHE["bytes"] > KEPT_BYTES // 2:
@@ -377,7 +383,7 @@ def encode_texts(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "te
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids", "decoded", "same_text"][:len(columns)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return own.mapInArrow(run, schema + ", n_tokens long, ids array<int>" + ", decoded string" * decode + ", same_text boolean" * (decode and same))
+    return own.mapInArrow(tidy(run, forget), schema + ", n_tokens long, ids array<int>" + ", decoded string" * decode + ", same_text boolean" * (decode and same))
 
 
 def encoding_digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text", model: str = MODEL,
@@ -406,4 +412,4 @@ def encoding_digests(docs: DataFrame, id_column: str = "doc_id", text: str = "te
                 ["id", "n_tokens", "ids_sha256", "decoded_chars", "same_text"])
 
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_chars long, same_text boolean").withColumnRenamed("id", id_column)
+    return own.mapInArrow(tidy(run, forget), "id long, n_tokens long, ids_sha256 string, decoded_chars long, same_text boolean").withColumnRenamed("id", id_column)

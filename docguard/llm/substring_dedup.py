@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docguard.llm.common import Handoff, mixed, rolling, small_batches, text_bytes
+from docguard.llm.common import Handoff, mixed, rolling, small_batches, text_bytes, tidy
 
 LAST = (1 << 63) - 1  # rows without an id come after all others
 BLOCK = 1 << 18  # bytes hashed at once, so that working arrays have a few megabytes
@@ -144,7 +144,7 @@ def chunked(docs: DataFrame, settings: Settings, id_column: str, text: str) -> D
             yield out()
 
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"chunk long, ids array<long>, sizes array<long>, packed binary, rest array<{kind}>")
+    return rows.mapInArrow(tidy(run), f"chunk long, ids array<long>, sizes array<long>, packed binary, rest array<{kind}>")
 
 
 def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
@@ -231,7 +231,7 @@ def trigger_keys(chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
                     [pa.array(buckets), pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
                     ["bucket", "chunk", "keys"])
 
-    return chunks.select("chunk", "ids", "sizes", "packed").mapInArrow(run, "bucket int, chunk long, keys binary")
+    return chunks.select("chunk", "ids", "sizes", "packed").mapInArrow(tidy(run), "bucket int, chunk long, keys binary")
 
 
 def shared_of(parts: list[np.ndarray], hot: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -266,7 +266,7 @@ def shared_keys(keys: DataFrame, settings: Settings) -> DataFrame:
                          "keys": pa.array([packed_keys(found[i][0]) for i in some], pa.binary()),
                          "hot": pa.array([np.packbits(found[i][1]).tobytes() for i in some], pa.binary())})
 
-    return keys.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, keys binary, hot binary")
+    return keys.groupBy("bucket").applyInArrow(tidy(run), "chunk long, bucket int, keys binary, hot binary")
 
 
 #: The keys of a chunk that shares none.
@@ -525,7 +525,7 @@ def ranked(payloads: DataFrame, settings: Settings) -> DataFrame:
         out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "masks": pa.array(masks, pa.binary())})
         return out.filter(pa.array([m != NOTHING for m in masks], pa.bool_())) if kind == CONTEXTS else out
 
-    return payloads.groupBy("bucket", "kind").applyInArrow(run, "chunk long, bucket int, kind int, masks binary")
+    return payloads.groupBy("bucket", "kind").applyInArrow(tidy(run), "chunk long, bucket int, kind int, masks binary")
 
 
 def payloads(wanted: DataFrame, n: int, settings: Settings) -> DataFrame:
@@ -539,13 +539,14 @@ def payloads(wanted: DataFrame, n: int, settings: Settings) -> DataFrame:
                 chunk = Chunk(batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].as_py(),
                               batch.column(4)[i].as_py(), n, settings)
                 rows = list(chunk.to_rank(batch.column(5)[i].as_py()) if batch.num_columns > 5 else chunk.to_compare())
+                del chunk  # else it is held beside the next one
                 if rows:
                     bucket, kind, payload = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())],
                         ["chunk", "bucket", "kind", "payload"])
 
-    return wanted.mapInArrow(run, "chunk long, bucket int, kind int, payload binary")
+    return wanted.mapInArrow(tidy(run), "chunk long, bucket int, kind int, payload binary")
 
 
 def by_chunk(masks: DataFrame) -> DataFrame:
@@ -592,13 +593,13 @@ def cleaned(docs: DataFrame, settings: Settings = Settings(), id_column: str = "
                 if as_text:
                     kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
                 rest = batch.column(4)[i].values
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == LAST), pa.array(np.diff(at)), *(pa.array(c[at[1:]] - c[at[:-1]]) for c in counts), kept, rest],
-                    ["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
+                columns = [pa.array(ids, mask=ids == LAST), pa.array(np.diff(at)), *(pa.array(c[at[1:]] - c[at[:-1]]) for c in counts), kept, rest]
+                del chunk, gone, first, counts, left  # else they are held beside those of the next chunk
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     kind = chunks.schema["rest"].dataType.elementType.simpleString()
     joined = chunks.join(side, "chunk", "left").join(results, "chunk", "left").select("chunk", "ids", "sizes", "packed", "rest", "side", "results")
-    return joined.mapInArrow(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, rest {kind}")
+    return joined.mapInArrow(tidy(finish), f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, rest {kind}")
 
 
 def substring_digests(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -262,6 +262,48 @@ def test_batches_of_long_rows_are_bounded(spark):
     assert sum(r.n for r in rows) >= 48 << 20 and max(r.n for r in rows) < 2 * BATCH_BYTES
 
 
+def left_in_workers(spark):
+    """What the session's Python workers hold in their caches: bytes of pieces, and powers of the rolling hash."""
+    def probe(batches):
+        import time
+
+        import pyarrow as pa
+        from docguard.llm import common
+        for _ in batches:
+            time.sleep(0.2)  # so that no worker does it all
+        yield pa.RecordBatch.from_arrays([pa.array([pieces._CACHE["bytes"]]), pa.array([sum(len(x) for x in common._POWERS.values())])], ["pieces", "powers"])
+
+    return [tuple(r) for r in spark.range(0, 32, 1, 32).mapInArrow(probe, "pieces long, powers long").collect()]
+
+
+def test_workers_forget_between_tasks(spark, texts, vocabulary):
+    """Workers live on: what a stage leaves in them is held beside the needs of all later ones."""
+    pieces.encode_texts(made(texts, spark), vocabulary=vocabulary).collect()
+    substring_dedup.without_repeats(made(texts, spark)).collect()
+    substring_dedup.drop_tables(spark)
+    assert set(left_in_workers(spark)) == {(0, 0)}
+
+
+def test_tidy_functions_forget_at_their_end():
+    """Also if they fail, or are not read to their end; results stay."""
+    from docguard.llm.common import tidy
+
+    seen = []
+    forget = lambda: seen.append(1)
+
+    def rows(batches):
+        yield from batches
+
+    assert list(tidy(rows, forget)([1, 2])) == [1, 2] and len(seen) == 1
+    begun = tidy(rows, forget)([1, 2])
+    next(begun)
+    begun.close()
+    assert len(seen) == 2
+    with pytest.raises(ZeroDivisionError):
+        tidy(lambda table: 1 // table, forget)(0)
+    assert tidy(lambda table: 1 // table, forget)(1) == 1 and len(seen) == 4
+
+
 # --- 2: vectors --------------------------------------------------------------------------------------------------
 
 
